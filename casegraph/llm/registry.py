@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from casegraph.llm import fingerprint, line_dedup, mixing
+from casegraph.llm import fingerprint, line_dedup, mixing, sharding
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,8 +25,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_docs(spark, sf_dir), block_rows=64, period=1024, temper=0.5)
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.by_bytes(_docs(spark, sf_dir), shards=40)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_line_dedup": op2_line_dedup, "op9_fingerprint": op9_fingerprint, "op10_mixing": op10_mixing}
+    return {"op2_line_dedup": op2_line_dedup, "op9_fingerprint": op9_fingerprint, "op10_mixing": op10_mixing, "op5_sharding": op5_sharding}
 
 
 OP2_SQL = """
