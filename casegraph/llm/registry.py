@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from casegraph.llm import fingerprint, line_dedup, mixing, packing, sharding
+from casegraph.llm import fingerprint, line_dedup, media, mixing, packing, sharding
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,8 +33,12 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_docs(spark, sf_dir), size=1024, open_windows=64)
 
 
+def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_columns(_docs(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_line_dedup": op2_line_dedup, "op9_fingerprint": op9_fingerprint, "op10_mixing": op10_mixing, "op5_sharding": op5_sharding, "op8_packing": op8_packing}
+    return {"op2_line_dedup": op2_line_dedup, "op9_fingerprint": op9_fingerprint, "op10_mixing": op10_mixing, "op5_sharding": op5_sharding, "op8_packing": op8_packing, "op1_media": op1_media}
 
 
 OP2_SQL = """
