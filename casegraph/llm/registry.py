@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from casegraph.llm import fingerprint, language, line_dedup, media, mixing, packing, sharding
+from casegraph.llm import fingerprint, language, line_dedup, media, mixing, packing, quality, sharding
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,8 +41,12 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.held_out_predictions(_docs(spark, sf_dir), per_language=400)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_line_dedup": op2_line_dedup, "op9_fingerprint": op9_fingerprint, "op10_mixing": op10_mixing, "op5_sharding": op5_sharding, "op8_packing": op8_packing, "op1_media": op1_media, "op4_language": op4_language}
+    return {"op2_line_dedup": op2_line_dedup, "op9_fingerprint": op9_fingerprint, "op10_mixing": op10_mixing, "op5_sharding": op5_sharding, "op8_packing": op8_packing, "op1_media": op1_media, "op4_language": op4_language, "op3_quality": op3_quality}
 
 
 OP2_SQL = """
