@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from casegraph.llm import fingerprint, language, line_dedup, media, mixing, packing, quality, sharding
+from casegraph.llm import fingerprint, language, lattice_lm, line_dedup, media, mixing, packing, quality, sharding
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,8 +45,12 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op7_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_lm.lm_scores(_docs(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_line_dedup": op2_line_dedup, "op9_fingerprint": op9_fingerprint, "op10_mixing": op10_mixing, "op5_sharding": op5_sharding, "op8_packing": op8_packing, "op1_media": op1_media, "op4_language": op4_language, "op3_quality": op3_quality}
+    return {"op2_line_dedup": op2_line_dedup, "op9_fingerprint": op9_fingerprint, "op10_mixing": op10_mixing, "op5_sharding": op5_sharding, "op8_packing": op8_packing, "op1_media": op1_media, "op4_language": op4_language, "op3_quality": op3_quality, "op7_lattice_lm": op7_lattice_lm}
 
 
 OP2_SQL = """
