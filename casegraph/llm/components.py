@@ -1,0 +1,25 @@
+"""Connected components of a table of links, by minimum labels and pointer jumping; nothing is collected."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from casegraph.llm.common import materialise
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, component) for every node of ``links`` (a, b): the least node that it is connected with.
+
+    Each round every node takes the least label of itself and its neighbours, then the label of its label, so
+    labels travel twice as far in each round. Rounds end when nothing changes; each is written to the shared folder."""
+    both = materialise(links.where("a <> b").select("a", "b").unionByName(links.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), "labels")
+    while True:
+        near = both.join(labels.select(F.col("node").alias("b"), F.col("label").alias("l")), "b").groupBy(F.col("a").alias("node")).agg(F.min("l").alias("l"))
+        lower = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "l").alias("label"))
+        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
+        jumped = materialise(lower.join(jump, "label").select("node", "old", F.least("label", "next").alias("label")), "labels")
+        if jumped.where("old <> label").isEmpty():
+            return jumped.select("node", F.col("label").alias("component"))
+        labels = jumped.select("node", "label")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from casegraph.llm import fingerprint, language, lattice_lm, line_dedup, media, mixing, packing, quality, sharding
+from casegraph.llm import chosen_path, fingerprint, language, lattice_lm, line_dedup, media, mixing, packing, quality, sharding
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,8 +49,12 @@ def op7_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_lm.lm_scores(_docs(spark, sf_dir))
 
 
+def op6_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.near_duplicates(_docs(spark, sf_dir), words=5, threshold=0.8)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_line_dedup": op2_line_dedup, "op9_fingerprint": op9_fingerprint, "op10_mixing": op10_mixing, "op5_sharding": op5_sharding, "op8_packing": op8_packing, "op1_media": op1_media, "op4_language": op4_language, "op3_quality": op3_quality, "op7_lattice_lm": op7_lattice_lm}
+    return {"op2_line_dedup": op2_line_dedup, "op9_fingerprint": op9_fingerprint, "op10_mixing": op10_mixing, "op5_sharding": op5_sharding, "op8_packing": op8_packing, "op1_media": op1_media, "op4_language": op4_language, "op3_quality": op3_quality, "op7_lattice_lm": op7_lattice_lm, "op6_chosen_path": op6_chosen_path}
 
 
 OP2_SQL = """
