@@ -30,8 +30,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from casegraph.llm.common import by_batch, materialise, mix64, range_hashes, slices, text_bytes, text_or_empty
+from casegraph.llm.common import by_batch, materialise, mix64, range_hashes, same_key, slices, text_bytes, text_or_empty
 from casegraph.llm.components import components
 
 _U = np.uint64
@@ -119,8 +120,8 @@ def _sign(words: int, beta: float, runs: int):
                     for i, p in zip(*(x.tolist() for x in paths(h, bounds, beta, r)), strict=True):
                         keys[i].append({"run": r, "key": p - (1 << 63)})
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(a, z - a), pa.array(class_keys(h, bounds), pa.binary()), pa.array(np.diff(bounds).astype(np.int32)), pa.array(keys, pa.list_(pa.struct([("run", pa.int32()), ("key", pa.int64())])))],
-                    names=["doc_id", "ck", "n", "paths"],
+                    [ids.slice(a, z - a), b.column("thash").slice(a, z - a), pa.array(class_keys(h, bounds), pa.binary()), pa.array(np.diff(bounds).astype(np.int32)), pa.array(keys, pa.list_(pa.struct([("run", pa.int32()), ("key", pa.int64())])))],
+                    names=["doc_id", "thash", "ck", "n", "paths"],
                 )
 
     return run
@@ -286,11 +287,11 @@ def bucket_links(buckets: DataFrame, sets: DataFrame, threshold: float, beta: fl
 
 
 def classes_and_links(docs: DataFrame, words: int = 5, threshold: float = 0.8, recall: float = 0.999, beta: float = 1.5, small: int = 1024, cell: int = 512, depth: int = 2, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Of each row (doc_id, ck); of each class (ck, class_id, n_links, n_copies): the group it belongs to, the documents
+    """Of each row (doc_id, thash, ck); of each class (ck, group, class_id, n_links, n_copies): the group it belongs to, the documents
     of other classes that it is similar to, and the documents of its own."""
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lower(text_or_empty(text_col)).alias("text"))
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lower(text_or_empty(text_col)).alias("text"), F.xxhash64(text_or_empty(text_col)).alias("thash"))
     runs = runs_for(recall, threshold, beta)
-    rows = materialise(slim.mapInArrow(_sign(words, beta, runs), "doc_id long, ck binary, n int, paths array<struct<run int, key long>>"), "signed")
+    rows = materialise(slim.mapInArrow(_sign(words, beta, runs), "doc_id long, thash long, ck binary, n int, paths array<struct<run int, key long>>"), "signed")
     classes = materialise(rows.groupBy("ck").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_copies"), F.first("paths").alias("paths")), "classes")
     steps = classes.select("ck", "rep", F.explode("paths").alias("p")).select("ck", "rep", "p.run", "p.key")
     # buckets of two or more classes; of those with the same members one is enough
@@ -314,12 +315,24 @@ def classes_and_links(docs: DataFrame, words: int = 5, threshold: float = 0.8, r
     cells = in_cells(members, "size", cell).select("component", "i", "j", "ck", "set", F.col("n_copies").alias("members"), "chunk").repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
     counted = cells.mapInArrow(_count(threshold), "ck binary, classes long, docs long").groupBy("ck").agg(F.sum("docs").alias("n_links"))
     head = members.groupBy("component").agg(F.min("rep").alias("class_id"))
-    of = found.join(head, "component").join(counted, "ck", "left").select("ck", "class_id", "n_links")
-    each = facts.join(of, "ck", "left").select("ck", F.when(F.col("class_id").isNull(), F.col("rep")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
-    return rows.select("doc_id", "ck"), each
+    of = found.join(head, "component").join(counted, "ck", "left").select("ck", "component", "class_id", "n_links")
+    each = facts.join(of, "ck", "left").select("ck", F.coalesce("component", "ck").alias("group"), F.when(F.col("class_id").isNull(), F.col("rep")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
+    return rows.select("doc_id", "thash", "ck"), each
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, class_id, n_links) of each row: class_id is the least doc_id that links lead to; n_links counts the other documents with a similarity of at least the threshold, copies among them."""
     rows, each = classes_and_links(docs, **options)
     return rows.join(each, "ck").select("doc_id", "class_id", (F.col("n_links") + F.col("n_copies") - 1).alias("n_links"))
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs``, with their own columns, of one document of each group: the least doc_id (null first), then
+    the least hash of the text; of repeated rows one. What stays is decided on ids and hashes; texts are joined once."""
+    rows, each = classes_and_links(docs, **options)
+    first = rows.join(each.select("ck", "group"), "ck").groupBy("group").agg(F.min(F.struct("doc_id", "thash")).alias("first")).select("first.doc_id", "first.thash")
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("thash"))
+    kept = keyed.join(first, same_key(keyed, first, "doc_id", "thash"), "left_semi")
+    if not rows.groupBy("doc_id", "thash").count().where("count > 1").isEmpty():
+        kept = kept.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "thash").orderBy("doc_id"))).where("nth = 1")
+    return kept.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
