@@ -1,4 +1,9 @@
-"""The engine's registered queries and, where SQL can say the same, their SQL."""
+"""The engine's registered queries over the test tables, and, where SQL can say the same, their SQL.
+
+Stand-ins: orders are cases, customers and nations their stations and districts, priorities their categories, suppliers of
+large items the accused and customers the victims; documents give person records (first two words as a name) and
+facts; conversations give sessions.
+"""
 
 from __future__ import annotations
 
@@ -7,17 +12,524 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FLAGSHIP = "trend_monthly"
+from casegraph.functions import names, scores
+from casegraph.operators import dashboard, graph, resolve, retrieval, series
+from casegraph.plans import sqlgate
+from casegraph.sources import tables
+from casegraph.streaming import incremental
+
+FLAGSHIP = "location_by_nation"
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
 
+def query(sql: str | None = None):
+    """Register a function under its name, with its SQL."""
 
-def trend_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    return orders.groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.count("o_orderkey").alias("value"))
+    def add(fn):
+        _QUERIES[fn.__name__] = fn
+        if sql:
+            _SQL[fn.__name__] = sql
+        return fn
+
+    return add
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"trend_monthly": trend_monthly}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"trend_monthly": "SELECT strftime(o_orderdate, '%Y-%m') AS month, count(o_orderkey) AS value FROM orders GROUP BY 1"}
+    return dict(_SQL)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ---------------------------------------------------------------- stand-ins
+
+
+def cases(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("case_id"), "o_custkey", F.col("o_orderdate").alias("registered"), F.col("o_orderpriority").alias("category"))
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("district"), "n_regionkey")
+    return o.join(c, "o_custkey").join(n, "c_nationkey")
+
+
+CASES = "cases AS (SELECT o_orderkey AS case_id, o_custkey, o_orderdate AS registered, o_orderpriority AS category, n_name AS district, n_regionkey, c_nationkey FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey)"
+
+
+def accused(spark: SparkSession, d: str) -> DataFrame:
+    heavy = table(spark, d, "lineitem").where(F.col("l_quantity") >= 49)
+    return heavy.select(F.concat(F.lit("S-"), F.col("l_suppkey").cast("string")).alias("person_id"), F.col("l_orderkey").cast("string").alias("case_id")).distinct()
+
+
+def victims(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").select(F.concat(F.lit("C-"), F.col("o_custkey").cast("string")).alias("person_id"), F.col("o_orderkey").cast("string").alias("case_id"))
+
+
+ACCUSED = "accused AS (SELECT DISTINCT 'S-' || l_suppkey AS person_id, CAST(l_orderkey AS VARCHAR) AS case_id FROM lineitem WHERE l_quantity >= 49)"
+CO = "co AS (SELECT a.person_id AS source, b.person_id AS target, a.case_id FROM accused a JOIN accused b ON a.case_id = b.case_id AND a.person_id <> b.person_id)"
+
+
+def co_edges(spark: SparkSession, d: str) -> DataFrame:
+    return graph.co_accused(accused(spark, d))
+
+
+def suppliers(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "supplier")
+    return s.select(F.concat(F.lit("S-"), F.col("s_suppkey").cast("string")).alias("person_id"), F.array((F.col("s_suppkey") % 10).cast("string")).alias("unit_ids"), F.array(F.col("s_nationkey").cast("string")).alias("district_ids"))
+
+
+def person_records(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as person records: the first two words, an age from the length, the language as a gender, the source as a station."""
+    t = table(spark, d, "documents")
+    words = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))
+    name = F.array_join(F.slice(words, 1, 2), " ")
+    return t.select(
+        F.col("doc_id").alias("source_key"), name.alias("raw"), names.normalise_latin(name).alias("name"), (18 + F.col("n_chars") % 60).cast("int").alias("age"), F.col("lang").alias("gender"), F.col("source").alias("unit_id"),
+        F.lit(None).cast("string").alias("district_id"), F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"), F.concat(F.lit("D"), (F.col("doc_id") % 200).cast("string")).alias("case_id"),
+        F.element_at(F.array(F.lit("accused"), F.lit("victim"), F.lit("complainant")), (F.col("doc_id") % 3 + 1).cast("int")).alias("role"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 365).cast("int")).cast("string").alias("offence_date"),
+    )
+
+
+RAW = "raws AS (SELECT doc_id, lang, source, n_chars, array_to_string(regexp_extract_all(text, '[A-Za-z]+')[1:2], ' ') AS raw FROM documents)"
+_LOW = r"regexp_replace(lower(raw), '^(sri|shri|smt|srimati|mr|mrs|dr|late)\s+', '')"
+_SHORT = rf"regexp_replace({_LOW}, '\s+(kumar|bai|devi|amma|gowda|swamy|reddy)$', '')"
+NAMES = rf"{RAW}, named AS (SELECT *, trim(regexp_replace(regexp_replace(CASE WHEN len(list_filter(string_split(trim({_SHORT}), ' '), lambda x: x <> '')) >= 2 THEN {_SHORT} ELSE {_LOW} END, '[^a-z\s]', '', 'g'), '\s+', ' ', 'g')) AS name FROM raws)"
+#: Runs of equal codes fall together: a fold over the characters, as RE2 knows no back-references.
+_TOK = "upper(string_split(name, ' ')[1])"
+_CODES = f"regexp_replace(translate(tok[1], 'BFPVCGJKQSXZDTLMNR', '111122222222334556'), '[^0-9]', '', 'g') || regexp_replace(translate(regexp_replace(tok[2:], '[AEIOUHWY]', '', 'g'), 'BFPVCGJKQSXZDTLMNR', '111122222222334556'), '[^0-9]', '', 'g')"
+_RUNS = "regexp_replace(" * 6 + "codes" + "".join(f", '{k}+', '{k}', 'g')" for k in range(1, 7))
+_DIG = "tok"
+for _two, _mark in names.DIGRAPHS.items():
+    _DIG = f"replace({_DIG}, '{_two}', '{_mark}')"
+_MET = f"translate(regexp_replace({_DIG}, '[AEIOUYH]', '', 'g'), 'BCDFGJKLMNPQRSTVWXZ', 'BXJFKJKLMNPQRSTFFXS')"
+_FOLD = "array_to_string(list_transform(list_filter(range(1, len(met) + 1), lambda i: NOT (i > 1 AND met[i] = upper(met[i]) AND upper(met[i - 1]) = met[i])), lambda i: upper(met[i])), '')"
+KEYS = f"{NAMES}, toks AS (SELECT *, {_TOK} AS tok FROM named), coded AS (SELECT *, {_CODES} AS codes, {_MET} AS met, regexp_matches(tok[1], '[BFPVCGJKQSXZDTLMNR]') AS lead FROM toks), keyed AS (SELECT *, CASE WHEN tok = '' THEN '' ELSE rpad(tok[1] || CASE WHEN lead THEN ({_RUNS})[2:] ELSE {_RUNS} END, 4, '0') END AS sdx, {_FOLD} AS mph FROM coded)"
+BLOCKS = f"{KEYS}, blocks AS (SELECT *, sdx || ' ' || mph AS block_key, CAST(18 + n_chars % 60 AS INTEGER) AS age FROM keyed WHERE name <> '')"
+_HALF2 = "floor(({0}) * 100 + 0.5) / 100"
+
+# ---------------------------------------------------------------- dashboard
+
+
+@query(f"WITH {CASES} SELECT strftime(registered, '%Y-%m-%d') AS label, count(*) AS value FROM cases GROUP BY 1 ORDER BY 1 LIMIT 60")
+def trend_oldest60(spark, d):
+    return dashboard.trend(cases(spark, d), 60)
+
+
+@query(f"WITH {CASES} SELECT strftime(registered, '%Y-%m') AS label, count(*) AS value FROM cases GROUP BY 1")
+def trend_monthly(spark, d):
+    return dashboard.count_by(cases(spark, d).withColumn("month", F.date_format("registered", "yyyy-MM")), "month")
+
+
+@query(f"WITH {CASES} SELECT CAST(i AS INTEGER) AS bucket, count(case_id) AS value FROM range(12) t(i) LEFT JOIN cases ON month(registered) - 1 = i GROUP BY 1")
+def seasonal_month(spark, d):
+    return dashboard.seasonal(cases(spark, d), "month")
+
+
+@query(f"WITH {CASES} SELECT CAST(i AS INTEGER) AS bucket, count(case_id) AS value FROM range(7) t(i) LEFT JOIN cases ON dayofweek(registered) = i GROUP BY 1")
+def seasonal_weekday(spark, d):
+    return dashboard.seasonal(cases(spark, d), "weekday")
+
+
+@query(f"""WITH {CASES}, m AS (SELECT CAST(i AS INTEGER) AS b, count(case_id) AS v FROM range(12) t(i) LEFT JOIN cases ON month(registered) - 1 = i GROUP BY 1),
+w AS (SELECT count(*) FILTER (dayofweek(registered) IN (0, 6)) AS e, count(*) AS n FROM cases), a AS (SELECT avg(v) FILTER (v > 0) AS mean FROM m)
+SELECT (SELECT b FROM m ORDER BY v DESC, b LIMIT 1) AS peak_month, (SELECT b FROM m WHERE v > 0 ORDER BY v, b LIMIT 1) AS low_month, {_HALF2.format('mean')} AS mean,
+{_HALF2.format('(e / 2) / ((n - e) / 5) * 100 - 100')} AS weekend_uplift, (SELECT {_HALF2.format('max(v) / min(v) FILTER (v > 0)')} FROM m) AS peak_to_low, (SELECT CAST(count(*) AS INTEGER) FROM m, a WHERE v > 1.1 * mean) AS busy_months FROM a, w""")
+def seasonal_insights(spark, d):
+    return dashboard.seasonal_insights(cases(spark, d))
+
+
+@query("SELECT o_orderpriority AS label, count(*) AS value FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 100")
+def breakdown_by_priority(spark, d):
+    return dashboard.count_by(cases(spark, d), "category", 100)
+
+
+@query(f"WITH {CASES} SELECT district AS label, count(*) AS value FROM cases GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 100")
+def location_by_nation(spark, d):
+    return dashboard.count_by(cases(spark, d), "district", 100)
+
+
+@query(f"WITH {CASES} SELECT district AS label, count(*) AS value FROM cases JOIN region ON r_regionkey = n_regionkey WHERE lower(r_name) LIKE '%asia%' AND registered >= TIMESTAMP '1996-01-01' AND registered <= TIMESTAMP '1998-12-31' GROUP BY 1")
+def location_filtered(spark, d):
+    region = table(spark, d, "region").withColumnRenamed("r_regionkey", "n_regionkey")
+    return dashboard.count_by(dashboard.filtered(cases(spark, d), {"start": "1996-01-01", "end": "1998-12-31", "district": "asia"}, {"district": (region, "n_regionkey", F.col("r_name"))}), "district")
+
+
+@query(f"WITH {CASES} SELECT case_id, CAST(12 + c_nationkey * 0.125 AS DOUBLE) AS lat, CAST(77 + (o_custkey % 100) * 0.25 AS DOUBLE) AS lon, category, registered FROM cases WHERE o_custkey % 7 <> 0 ORDER BY case_id LIMIT 200")
+def hotspot_projection(spark, d):
+    located = cases(spark, d).withColumns({"lat": 12 + F.col("c_nationkey") * F.lit(0.125), "lon": F.when(F.col("o_custkey") % 7 != 0, 77 + (F.col("o_custkey") % 100) * F.lit(0.25))})
+    return dashboard.hotspots(located, 200)
+
+
+@query("SELECT p.p_type AS label, count(*) AS value FROM lineitem JOIN part p ON p_partkey = l_partkey GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50")
+def risk_ranked_top50(spark, d):
+    items = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey")).withColumn("case_id", F.col("l_orderkey"))
+    return dashboard.count_by(items, "p_type", 50)
+
+
+@query("SELECT person_id, count(DISTINCT case_id) AS cases, CAST(least(10.0, floor((2.5 * count(DISTINCT case_id) + CASE WHEN count(DISTINCT case_id) > 1 THEN 2 ELSE 0 END + least(count(DISTINCT category), 3)) * 10 + 0.5) / 10) AS DOUBLE) AS score FROM (SELECT DISTINCT 'S-' || l_suppkey AS person_id, l_orderkey AS case_id, o_orderpriority AS category FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_quantity >= 49) GROUP BY 1")
+def risk_score_by_name(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("case_id"), F.col("o_orderpriority").alias("category"))
+    per = accused(spark, d).join(o, "case_id").groupBy("person_id").agg(F.countDistinct("case_id").alias("cases"), F.countDistinct("category").alias("types"))
+    return per.select("person_id", "cases", scores.risk_score(F.col("cases"), F.col("types"), F.col("cases") > 1).alias("score"))
+
+
+@query(f"WITH {CASES} SELECT count(*) AS total, count(DISTINCT category) AS categories, count(DISTINCT district) AS districts, (SELECT strftime(registered, '%Y-%m-%d') FROM cases GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS peak_day FROM cases")
+def summary_cards(spark, d):
+    return dashboard.summary_cards(cases(spark, d))
+
+
+@query(f"WITH {CASES}, c AS (SELECT district AS label, count(*) AS value FROM cases GROUP BY 1) SELECT label, value, {_HALF2.format('value * 100 / (SELECT sum(value) FROM c)')} AS percent FROM c")
+def percent_of_total(spark, d):
+    return dashboard.share_of_total(dashboard.count_by(cases(spark, d), "district"))
+
+
+@query(f"""WITH {CASES} (SELECT 'category' AS kind, category AS label, count(*) AS value FROM cases GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 10) UNION ALL (SELECT 'month', strftime(registered, '%Y-%m') AS label, count(*) AS value FROM cases GROUP BY 2 ORDER BY 2 DESC LIMIT 12)
+UNION ALL (SELECT 'district', district AS label, count(*) AS value FROM cases GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 10)""")
+def analytical_trio(spark, d):
+    return dashboard.analytical_trio(cases(spark, d))
+
+
+@query("SELECT name FROM (SELECT lower(p_name) AS k, min(struct_pack(o := p_partkey, name := p_name)) AS f FROM part WHERE lower(p_name) LIKE '%ring%' GROUP BY 1) t, LATERAL (SELECT f.name AS name) ORDER BY f.o, k LIMIT 10")
+def name_search_distinct(spark, d):
+    return dashboard.distinct_names(table(spark, d, "part").select(F.col("p_partkey").alias("ord"), F.col("p_name").alias("name")), "RING", 10)
+
+
+# ---------------------------------------------------------------- names and scores
+
+
+@query(rf"WITH {NAMES} SELECT doc_id AS source_key, name FROM named")
+def normalise_latin(spark, d):
+    return person_records(spark, d).select("source_key", "name")
+
+
+@query()
+def indic_transliterate(spark, d):
+    return spark.createDataFrame([("रमेश कुमार",), ("ರಮೇಶ ಕುಮಾರ",), ("Mr Ramesh",), (None,)], "raw string").select("raw", names.normalise_name(F.col("raw")).alias("name"))
+
+
+@query(f"WITH {KEYS} SELECT doc_id AS source_key, sdx AS code FROM keyed")
+def soundex_variant(spark, d):
+    return person_records(spark, d).select("source_key", names.soundex_token(F.split("name", " ")[0]).alias("code"))
+
+
+@query(f"WITH {KEYS} SELECT doc_id AS source_key, mph AS code FROM keyed")
+def metaphone_variant(spark, d):
+    return person_records(spark, d).select("source_key", names.metaphone_token(F.split("name", " ")[0]).alias("code"))
+
+
+@query(f"WITH {BLOCKS} SELECT doc_id AS source_key, block_key FROM blocks")
+def phonetic_key(spark, d):
+    return resolve.with_key(person_records(spark, d)).select("source_key", "block_key")
+
+
+@query(f"WITH {BLOCKS}, s AS (SELECT count(*) AS n FROM blocks GROUP BY block_key) SELECT count(*) AS blocks, count(*) FILTER (n = 1) AS singletons, max(n) AS largest, {_HALF2.format('avg(n)')} AS mean_size, CAST(sum(n * (n - 1) // 2) AS BIGINT) AS pairs FROM s")
+def block_stats(spark, d):
+    return resolve.block_stats(resolve.with_key(person_records(spark, d)))
+
+
+_NEAR = "a.unit_id = b.unit_id AND abs(a.age - b.age) <= 2"
+
+
+@query(f"WITH {BLOCKS} SELECT a.doc_id AS a, b.doc_id AS b FROM blocks a JOIN blocks b ON a.block_key = b.block_key AND a.doc_id < b.doc_id")
+def candidate_pairs(spark, d):
+    return resolve.pairs(resolve.with_key(person_records(spark, d))).select(F.col("a.source_key").alias("a"), F.col("b.source_key").alias("b"))
+
+
+@query(f"""WITH {BLOCKS} SELECT a.doc_id AS a, b.doc_id AS b, CASE WHEN abs(a.age - b.age) = 0 THEN 1.0 WHEN abs(a.age - b.age) <= 2 THEN 0.9 WHEN abs(a.age - b.age) <= 5 THEN 0.7 WHEN abs(a.age - b.age) <= 10 THEN 0.4 ELSE 0.0 END::DOUBLE AS age_score,
+CASE WHEN upper(a.lang) = upper(b.lang) THEN 1.0 ELSE 0.0 END::DOUBLE AS gender_score, CASE WHEN a.source = b.source THEN 1.0 ELSE 0.0 END::DOUBLE AS location_score FROM blocks a JOIN blocks b ON a.block_key = b.block_key AND a.doc_id < b.doc_id""")
+def age_gender_location_score(spark, d):
+    p = resolve.pairs(resolve.with_key(person_records(spark, d)))
+    no = F.lit(None).cast("double")
+    return p.select(F.col("a.source_key").alias("a"), F.col("b.source_key").alias("b"), scores.age_score(F.col("a.age"), F.col("b.age")).alias("age_score"), scores.gender_score(F.col("a.gender"), F.col("b.gender")).alias("gender_score"), scores.location_score(F.col("a.unit_id"), F.col("b.unit_id"), F.col("a.district_id"), F.col("b.district_id"), no).alias("location_score"))
+
+
+@query(f"SELECT a.n_nationkey AS a, b.n_nationkey AS b, {_HALF2.format('2 * 6371 * atan2(sqrt(h), sqrt(1 - h))')} AS km FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey, LATERAL (SELECT pow(sin(radians(b.n_nationkey - a.n_nationkey) / 2), 2) + cos(radians(a.n_nationkey)) * cos(radians(b.n_nationkey)) * pow(sin(radians(2 * b.n_nationkey - 2 * a.n_nationkey) / 2), 2) AS h)")
+def haversine_pairs(spark, d):
+    n = table(spark, d, "nation").select("n_regionkey", F.col("n_nationkey").alias("k"))
+    p = n.select("n_regionkey", F.col("k").alias("a")).join(n.select("n_regionkey", F.col("k").alias("b")), "n_regionkey").where("a < b")
+    return p.select("a", "b", scores.half_up(scores.haversine(F.col("a"), F.col("a") * 2, F.col("b"), F.col("b") * 2), 2).alias("km"))
+
+
+@query()
+def scored_pairs(spark, d):
+    return resolve.scored(resolve.pairs(resolve.with_key(person_records(spark, d))))
+
+
+@query()
+def gate_counts(spark, d):
+    return resolve.scored(resolve.pairs(resolve.with_key(person_records(spark, d)))).groupBy("decision").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---------------------------------------------------------------- clusters and persons
+
+#: Links that SQL can express too: the same block and station, ages at most two apart.
+LINKS = f"RECURSIVE {BLOCKS}, links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM blocks a JOIN blocks b ON a.block_key = b.block_key AND a.source = b.source AND a.doc_id <> b.doc_id AND abs(a.age - b.age) <= 2), walk(n, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT links.b, walk.c FROM walk JOIN links ON links.a = walk.n), clustered AS (SELECT n AS source_key, min(c) AS cluster FROM walk GROUP BY 1)"
+
+
+def gated(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    records = person_records(spark, d)
+    links = resolve.pairs(resolve.with_key(records), condition=F.expr(_NEAR)).select(F.col("a.source_key").alias("a"), F.col("b.source_key").alias("b"))
+    return records, resolve.clusters(records, links)
+
+
+@query(f"WITH {LINKS} SELECT source_key, cluster FROM clustered")
+def exact_key_components(spark, d):
+    return gated(spark, d)[1]
+
+
+@query(f"""WITH {LINKS}, r AS (SELECT c.cluster, c.source_key, n.raw, CAST(18 + n.n_chars % 60 AS INTEGER) AS age, c.source_key % 3 AS role, 'D' || (c.source_key % 200) AS case_id FROM clustered c JOIN raws n ON n.doc_id = c.source_key)
+SELECT cluster, count(*) AS records, CAST(floor(quantile_cont(age, 0.5) + 0.5) AS INTEGER) AS age_estimate, min(age) AS age_min, max(age) AS age_max, count(*) FILTER (role = 0) AS accused_count, count(*) FILTER (role = 1) AS victim_count, count(*) FILTER (role = 2) AS complainant_count,
+count(DISTINCT case_id) AS total_case_appearances, count(DISTINCT raw) AS variants, count(*) FILTER (role = 0) > 1 AS repeat_offender FROM r GROUP BY cluster""")
+def person_documents(spark, d):
+    records, clustered = gated(spark, d)
+    docs = resolve.person_documents(records.drop("name").withColumnRenamed("raw", "name"), clustered)
+    return docs.select("cluster", "records", "age_estimate", "age_min", "age_max", "accused_count", "victim_count", "complainant_count", "total_case_appearances", F.size("name_variants").cast("long").alias("variants"), "repeat_offender")
+
+
+@query(f"WITH {LINKS}, r AS (SELECT cluster, source_key, source_key % 3 AS role FROM clustered), p AS (SELECT cluster, count(*) FILTER (role = 0) AS accused_count FROM r GROUP BY 1) SELECT cluster, accused_count FROM p WHERE accused_count >= 2 ORDER BY accused_count DESC, cluster LIMIT 20")
+def repeat_offenders(spark, d):
+    records, clustered = gated(spark, d)
+    per = records.join(clustered, "source_key").groupBy("cluster").agg(F.count_if(F.col("role") == "accused").alias("accused_count")).withColumn("person_id", F.col("cluster"))
+    return resolve.repeat_offenders(per).select("cluster", "accused_count")
+
+
+@query()
+def person_search(spark, d):
+    records, clustered = gated(spark, d)
+    return resolve.search_persons(resolve.person_documents(records, clustered), name="the", gender="en").select("person_id", "confidence")
+
+
+_TRUTH = "truth AS (SELECT doc_id AS key, source AS label FROM documents), pred AS (SELECT doc_id AS key, lang || '-' || (n_chars % 7) AS label FROM documents)"
+
+
+def _labels(spark, d):
+    t = table(spark, d, "documents")
+    return t.select(F.col("doc_id").alias("key"), F.col("source").alias("label")), t.select(F.col("doc_id").alias("key"), F.concat_ws("-", "lang", (F.col("n_chars") % 7).cast("string")).alias("label"))
+
+
+@query(f"""WITH {_TRUTH}, c AS (SELECT t.label AS t, p.label AS p, count(*) AS n FROM truth t JOIN pred p USING (key) GROUP BY 1, 2), x AS (SELECT sum(n * (n - 1) // 2) AS tp, (SELECT sum(s * (s - 1) // 2) FROM (SELECT sum(n) AS s FROM c GROUP BY p)) AS found, (SELECT sum(s * (s - 1) // 2) FROM (SELECT sum(n) AS s FROM c GROUP BY t)) AS real, sum(n) AS n FROM c),
+y AS (SELECT tp, found - tp AS fp, real - tp AS fn, n * (n - 1) // 2 - found - real + tp AS tn, tp / found AS p, tp / real AS r FROM x)
+SELECT CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, CAST(tn AS BIGINT) AS tn, floor(p * 10000 + 0.5) / 10000 AS precision, floor(r * 10000 + 0.5) / 10000 AS recall, floor(2 * p * r / (p + r) * 10000 + 0.5) / 10000 AS f1 FROM y""")
+def pairwise_metrics(spark, d):
+    return resolve.pair_metrics(*_labels(spark, d))
+
+
+@query(f"WITH {_TRUTH}, c AS (SELECT p.label AS p, t.label AS t, count(*) AS n FROM truth t JOIN pred p USING (key) GROUP BY 1, 2), x AS (SELECT p, max(n) / sum(n) AS u FROM c GROUP BY 1) SELECT count(*) AS clusters, floor(avg(u) * 10000 + 0.5) / 10000 AS purity FROM x")
+def cluster_purity(spark, d):
+    return resolve.purity(*_labels(spark, d))
+
+
+@query("""WITH x AS (SELECT (event_id * 37 % 101) / 100 AS score, event_id % 3 = 0 AS same FROM events), c AS (SELECT h / 100 AS threshold, count(*) FILTER (same AND floor(score * 100 + 1e-9) >= h) AS tp, count(*) FILTER (NOT same AND floor(score * 100 + 1e-9) >= h) AS fp, count(*) FILTER (same AND floor(score * 100 + 1e-9) < h) AS fn, count(*) FILTER (NOT same AND floor(score * 100 + 1e-9) < h) AS tn FROM range(60, 91) t(h), x GROUP BY 1),
+m AS (SELECT *, tp / (tp + fp) AS p, tp / (tp + fn) AS r FROM c) SELECT threshold, tp, fp, fn, tn, floor(p * 10000 + 0.5) / 10000 AS precision, floor(r * 10000 + 0.5) / 10000 AS recall, floor(2 * p * r / (p + r) * 10000 + 0.5) / 10000 AS f1 FROM m""")
+def threshold_sweep(spark, d):
+    e = table(spark, d, "events")
+    return resolve.threshold_sweep(e.select((F.col("event_id") * 37 % 101 / 100).alias("score"), (F.col("event_id") % 3 == 0).alias("same")))
+
+
+def _versions(spark, d):
+    """The customers before and after: some rows go, some come, some change."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("source_key"), "c_name", "c_acctbal", "c_mktsegment")
+    return c.where("source_key % 11 <> 0"), c.where("source_key % 13 <> 0").withColumn("c_mktsegment", F.when(F.col("source_key") % 17 == 0, "MOVED").otherwise(F.col("c_mktsegment")))
+
+
+@query("""SELECT c_custkey AS source_key, CASE WHEN c_custkey % 11 = 0 THEN 'new' WHEN c_custkey % 13 = 0 THEN 'orphaned' WHEN c_custkey % 17 = 0 THEN 'changed' ELSE 'unchanged' END AS state FROM customer WHERE NOT (c_custkey % 11 = 0 AND c_custkey % 13 = 0)""")
+def detect_changes(spark, d):
+    return resolve.detect_changes(*_versions(spark, d), ["c_name", "c_acctbal", "c_mktsegment"])
+
+
+@query("SELECT count(*) FILTER (k % 11 <> 0 AND k % 13 <> 0) AS both_sides, count(*) FILTER (k % 11 <> 0 AND k % 13 = 0) AS only_before, count(*) FILTER (k % 11 = 0 AND k % 13 <> 0) AS only_now FROM (SELECT c_custkey AS k FROM customer)")
+def set_arithmetic(spark, d):
+    s = resolve.detect_changes(*_versions(spark, d), ["c_name"])
+    return s.agg(F.count_if(F.col("state").isin("changed", "unchanged")).alias("both_sides"), F.count_if(F.col("state") == "orphaned").alias("only_before"), F.count_if(F.col("state") == "new").alias("only_now"))
+
+
+@query("WITH p AS (SELECT l_orderkey AS k, count(DISTINCT l_suppkey) AS persons, count(*) AS n FROM lineitem GROUP BY 1) SELECT count(*) FILTER (persons = 1) AS single, count(*) FILTER (persons = 2) AS two, count(*) FILTER (persons > 2) AS more, CAST(sum(n - persons) AS BIGINT) AS duplicates, max(persons) AS most FROM p")
+def owner_histogram(spark, d):
+    return resolve.owner_histogram(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("source_key"), F.col("l_suppkey").alias("person_id")))
+
+
+@query(f"""WITH o AS (SELECT l_orderkey AS cluster, l_suppkey AS person_id, count(*) AS overlap FROM lineitem GROUP BY 1, 2), w AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY overlap DESC, person_id) AS r FROM o), h AS (SELECT *, row_number() OVER (PARTITION BY person_id ORDER BY overlap DESC, cluster) AS q FROM w WHERE r = 1)
+SELECT c.cluster, coalesce(h.person_id, -c.cluster) AS person_id, coalesce(h.overlap, 0) AS overlap, CASE WHEN h.person_id IS NULL THEN 'new' ELSE 'kept' END AS state FROM (SELECT DISTINCT l_orderkey AS cluster FROM lineitem) c LEFT JOIN h ON h.cluster = c.cluster AND h.q = 1""")
+def map_ids(spark, d):
+    rows = table(spark, d, "lineitem").withColumn("source_key", F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"))
+    return resolve.keep_ids(rows.select("source_key", F.col("l_orderkey").alias("cluster")), rows.select("source_key", F.col("l_suppkey").alias("person_id")), -F.col("cluster"))
+
+
+# ---------------------------------------------------------------- graph
+
+
+@query(f"WITH {ACCUSED}, {CO} SELECT 'CO_ACCUSED' AS edge_type, source, target, case_id, 1.0::DOUBLE AS confidence FROM co")
+def co_accused_edges(spark, d):
+    return co_edges(spark, d).drop("edge_id")
+
+
+@query(f"WITH {ACCUSED} SELECT 'ACCUSED_TO_VICTIM' AS edge_type, person_id AS source, 'C-' || o_custkey AS target, case_id, 1.0::DOUBLE AS confidence FROM accused JOIN orders ON CAST(o_orderkey AS VARCHAR) = case_id")
+def accused_victim_edges(spark, d):
+    return graph.accused_to_victim(accused(spark, d), victims(spark, d)).drop("edge_id")
+
+
+@query(f"WITH {ACCUSED}, {CO} SELECT CASE WHEN CAST(substr(target, 3) AS BIGINT) % 5 = 0 THEN 'dangling' ELSE 'ok' END AS fault, count(*) AS n FROM co GROUP BY 1")
+def graph_diagnostics(spark, d):
+    return graph.diagnostics(co_edges(spark, d), suppliers(spark, d).where(F.substring("person_id", 3, 20).cast("long") % 5 != 0))
+
+
+@query(f"WITH {ACCUSED}, {CO} SELECT source AS person_id, 'CO_ACCUSED' AS edge_type, 2 * count(*) AS degree FROM co GROUP BY 1")
+def degree_by_type(spark, d):
+    return graph.degrees(co_edges(spark, d))
+
+
+_WALK = f"RECURSIVE {ACCUSED}, {CO}, walk(n, c) AS (SELECT 'S-' || s_suppkey, 'S-' || s_suppkey FROM supplier UNION SELECT co.target, walk.c FROM walk JOIN co ON co.source = walk.n), label AS (SELECT n, min(c) AS c FROM walk GROUP BY 1), sizes AS (SELECT count(*) AS size FROM label GROUP BY c)"
+
+
+@query(f"WITH {_WALK} SELECT size, count(*) AS components FROM sizes GROUP BY 1")
+def component_sizes(spark, d):
+    return graph.component_sizes(suppliers(spark, d), co_edges(spark, d))
+
+
+@query(f"WITH {_WALK}, deg AS (SELECT 2 * count(*) AS g FROM co GROUP BY source) SELECT (SELECT count(*) FROM supplier) AS nodes, (SELECT count(*) FROM co) AS edges, floor(((SELECT sum(g) FROM deg) / (SELECT count(*) FROM supplier)) * 100 + 0.5) / 100 AS avg_degree, (SELECT max(g) FROM deg) AS max_degree, CAST(count(*) AS BIGINT) AS components, max(size) AS largest FROM sizes")
+def graph_stats(spark, d):
+    return graph.statistics(suppliers(spark, d), co_edges(spark, d))
+
+
+def _bfs_sql(hops: int, seen: str = "TRUE") -> str:
+    ids = f"ids AS (SELECT 'S-' || s_suppkey AS person_id FROM supplier WHERE {seen})"
+    steps = "h0 AS (SELECT person_id, 0 AS hop FROM ids WHERE person_id = (SELECT min(source) FROM co))"
+    for h in range(1, hops + 1):
+        before = " UNION ".join(f"SELECT person_id FROM h{k}" for k in range(h))
+        steps += f", h{h} AS (SELECT DISTINCT target AS person_id, {h} AS hop FROM co JOIN h{h - 1} ON source = person_id WHERE target IN (SELECT person_id FROM ids) AND target NOT IN ({before}))"
+    return f"WITH {ACCUSED}, {CO}, {ids}, {steps} " + " UNION ALL ".join(f"SELECT person_id, hop FROM h{k}" for k in range(hops + 1))
+
+
+def _start(edges: DataFrame) -> str:
+    return edges.agg(F.min("source")).first()[0] or ""
+
+
+@query(_bfs_sql(3))
+def bfs_hops3(spark, d):
+    e = co_edges(spark, d)
+    return graph.traverse(suppliers(spark, d), e, _start(e), 3)
+
+
+@query(_bfs_sql(2, "s_suppkey % 10 = 3 OR s_nationkey <= 20 AND s_nationkey = 7 OR 'S-' || s_suppkey = (SELECT min(source) FROM co)"))
+def bfs_scoped(spark, d):
+    e = co_edges(spark, d)
+    start = _start(e)
+    nodes = suppliers(spark, d).withColumn("unit_ids", F.when(F.col("person_id") == start, F.array(F.lit("3"))).otherwise(F.col("unit_ids")))
+    return graph.traverse(nodes, e, start, 2, scope={"role": "Officer", "unit_id": "3", "district_id": "7"})
+
+
+@query()
+def graph_elements(spark, d):
+    e = co_edges(spark, d)
+    return graph.export_elements(graph.traverse(suppliers(spark, d), e, _start(e), 2), e)
+
+
+# ---------------------------------------------------------------- weekly series
+
+_WEEKS = "counts AS (SELECT o_orderpriority AS series, CAST(date_trunc('week', o_orderdate) AS DATE) AS week, count(*) AS n FROM orders GROUP BY 1, 2), span AS (SELECT series, min(week) AS lo, max(week) AS hi FROM counts GROUP BY 1), dense AS (SELECT s.series, CAST(w AS DATE) AS week, coalesce(c.n, 0) AS case_count FROM span s, LATERAL (SELECT unnest(generate_series(CAST(lo AS TIMESTAMP), CAST(hi AS TIMESTAMP), INTERVAL 7 DAY)) AS w) LEFT JOIN counts c ON c.series = s.series AND c.week = CAST(w AS DATE))"
+
+
+def _weekly(spark, d):
+    return series.weekly(table(spark, d, "orders").select(F.col("o_orderpriority").alias("series"), "o_orderdate"), "series", "o_orderdate")
+
+
+@query(f"WITH {_WEEKS} SELECT series, week, case_count FROM dense")
+def weekly_dense(spark, d):
+    return _weekly(spark, d)
+
+
+@query(f"WITH {_WEEKS}, n AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY week) AS i, count(*) OVER (PARTITION BY series) AS n FROM dense) SELECT series, week, case_count, CASE WHEN i > n - greatest(1, floor(n * 0.2 + 0.5)) THEN 'validation' ELSE 'train' END AS part FROM n")
+def temporal_split(spark, d):
+    return series.temporal_split(_weekly(spark, d), "series")
+
+
+@query()
+def holt_fit(spark, d):
+    return series.holt_fit(_weekly(spark, d), "series")
+
+
+@query()
+def holt_forecast(spark, d):
+    return series.holt_forecast(series.holt_fit(_weekly(spark, d), "series"), "series")
+
+
+@query(f"WITH {_WEEKS}, p AS (SELECT series, case_count AS a, lag(case_count) OVER (PARTITION BY series ORDER BY week) AS b FROM dense) SELECT series, floor(avg(abs(a - b)) * 1000 + 0.5) / 1000 AS mae, floor(sqrt(avg((a - b) * (a - b))) * 1000 + 0.5) / 1000 AS rmse, floor(avg(CASE WHEN a <> 0 THEN abs((a - b) / a) END) * 100 * 1000 + 0.5) / 1000 AS mape FROM p WHERE b IS NOT NULL GROUP BY 1")
+def forecast_metrics(spark, d):
+    from pyspark.sql.window import Window
+
+    w = _weekly(spark, d).withColumn("predicted", F.lag("case_count").over(Window.partitionBy("series").orderBy("week"))).where("predicted IS NOT NULL")
+    return series.errors(w.withColumnRenamed("case_count", "actual"), "series")
+
+
+@query("SELECT CAST(date_trunc('week', ts) AS DATE) AS week, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def weekly_window_counts(spark, d):
+    return incremental.weekly_counts(table(spark, d, "events"), "ts", "event_type")
+
+
+# ---------------------------------------------------------------- retrieval, sessions, gateway
+
+_WORDS = ["the", "tion", "and"]
+
+
+@query("""WITH h AS (SELECT doc_id AS case_id, DATE '2024-01-01' + CAST(doc_id % 365 AS INTEGER) AS d, CAST(contains(lower(text), 'the') AS INTEGER) + CAST(contains(lower(text), 'tion') AS INTEGER) + CAST(contains(lower(text), 'and') AS INTEGER) AS score FROM documents), n AS (SELECT * FROM h WHERE score > 0 ORDER BY d DESC, case_id LIMIT 15)
+SELECT case_id, score FROM n ORDER BY score DESC, d DESC, case_id LIMIT 3""")
+def keyword_retrieval_top3(spark, d):
+    t = table(spark, d, "documents").select(F.col("doc_id").alias("case_id"), F.col("text").alias("facts"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 365).cast("int")).cast("timestamp").alias("incident"))
+    return retrieval.excerpts(t, _WORDS)
+
+
+@query("SELECT o_orderkey AS case_id, o_orderstatus AS status, coalesce(array_to_string(list_sort(list(DISTINCT p_brand)), ','), '') AS sections FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN part ON p_partkey = l_partkey GROUP BY 1, 2")
+def case_enrichment(spark, d):
+    items = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey")).select(F.col("l_orderkey").alias("case_id"), F.col("p_brand").alias("section"))
+    c = table(spark, d, "orders").select(F.col("o_orderkey").alias("case_id"), F.col("o_orderstatus").alias("status"))
+    return retrieval.enrich(c, items).withColumn("sections", F.array_join("sections", ","))
+
+
+@query("SELECT o_orderkey AS case_id, 'Case: ' || o_orderkey || chr(10) || 'Station: ' || coalesce(c_name, 'N/A') || chr(10) || 'Category: ' || coalesce(o_orderpriority, 'N/A') AS text FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_custkey % 3 <> 0")
+def case_document(spark, d):
+    c = table(spark, d, "customer").where("c_custkey % 3 <> 0")
+    o = table(spark, d, "orders").join(c, F.col("c_custkey") == F.col("o_custkey"), "left")
+    return o.select(F.col("o_orderkey").alias("case_id"), retrieval.case_text(o, {"Case": "o_orderkey", "Station": "c_name", "Category": "o_orderpriority"}).alias("text"))
+
+
+@query("SELECT conv_id AS session, max(turn) AS at, max_by(text, turn) AS text FROM conversations WHERE role = 'user' GROUP BY 1")
+def last_turn_context(spark, d):
+    return retrieval.last_context(table(spark, d, "conversations").select(F.col("conv_id").alias("session"), F.col("turn").alias("at"), "role", "text"))
+
+
+@query("SELECT user, session, last, CAST(rank AS INTEGER) AS rank FROM (SELECT user, session, last, row_number() OVER (PARTITION BY user ORDER BY last DESC, session) AS rank FROM (SELECT user_id % 50 AS user, user_id AS session, max(ts) AS last FROM events GROUP BY 1, 2)) WHERE rank <= 5")
+def session_top5(spark, d):
+    return retrieval.recent_sessions(table(spark, d, "events").select((F.col("user_id") % 50).alias("user"), F.col("user_id").alias("session"), F.col("ts").alias("at")), "user")
+
+
+_STOP = ", ".join(f"'{w}'" for w in retrieval.STOP_WORDS)
+
+
+@query(rf"SELECT conv_id, turn, array_to_string(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9\s]', '', 'g'), '\s+'), lambda w: length(w) > 2 AND w NOT IN ({_STOP}))[1:5], ' ') AS words FROM conversations")
+def extract_keywords(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(retrieval.keywords(F.col("text")), " ").alias("words"))
+
+
+@query("SELECT turn, conv_id, " + "CASE " + " ".join(f"WHEN regexp_matches(text, '(?i){p}') THEN '{n}'" for n, _, p in retrieval.INTENTS) + " END AS intent FROM conversations")
+def intent_router(spark, d):
+    return table(spark, d, "conversations").select("turn", "conv_id", retrieval.intent(F.col("text"))["intent"].alias("intent"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def json_props(spark, d):
+    return table(spark, d, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+
+
+@query("SELECT count(*) AS missing FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 9 <> 0)")
+def fk_violations(spark, d):
+    return tables.orphans(table(spark, d, "lineitem"), "l_partkey", table(spark, d, "part").where("p_partkey % 9 <> 0"), "p_partkey").agg(F.count(F.lit(1)).alias("missing"))
+
+
+@query("SELECT n_name, count(c_custkey) AS n FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_nationkey = 7 AND c_mktsegment ILIKE '%house%' GROUP BY 1")
+def scoped_sql(spark, d):
+    views = {"customer": table(spark, d, "customer"), "nation": table(spark, d, "nation")}
+    return sqlgate.run(spark, "SELECT n_name, COUNT(c_custkey) AS n FROM customer INNER JOIN nation ON n_nationkey = c_nationkey WHERE c_mktsegment LIKE '*HOUSE*' GROUP BY n_name", views, {"c_nationkey": 7})
