@@ -2,45 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The white space of the contracts: space and the code points 9 to 13.
-ASCII_SPACE = " \t\n\x0b\x0c\r"
+from casegraph.sources.shared import materialise, scratch, shared_dir
 
+__all__ = ["ASCII_SPACE", "by_batch", "crc32_mod", "materialise", "mix64", "range_hashes", "row_key", "same_key", "scratch", "shared_dir", "slices", "text_bytes", "text_or_empty"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a new local one where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if jdir.isDefined():
-            return jdir.get()
-        found = "file://" + tempfile.mkdtemp(prefix="casegraph-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, deleted when the driver's JVM ends."""
-    path = f"{shared_dir(spark).rstrip('/')}/casegraph/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
-    return path
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: cuts the lineage, survives lost executors, fixes what was random."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: The white space of the contracts: space and the code points 9 to 13.
+ASCII_SPACE = " \t\n\x0b\x0c\r"
 
 
 def text_or_empty(col: str | Column = "text") -> Column:
