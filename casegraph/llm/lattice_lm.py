@@ -8,8 +8,8 @@ The vocabulary's own scores give the first piece probabilities: here its scores
 Expectation-maximisation over the counts of all training words then fits them: each round is one distributed pass of
 forward and backward over the table of word counts, and only expected counts of the pieces (the vocabulary's size) are
 gathered. The table of word counts itself stays distributed. Words at least as common as a threshold, chosen so that
-no more than ``hot_words`` reach it, are broadcast with their counts; the others' counts come by a join, on which no
-word is frequent. Nothing is left out.
+no more than ``hot_words`` reach it, are broadcast with their counts and prices; the others' come by a join, in which
+no word is frequent. A word's marginal is computed once, in the table of words, not once a document. Nothing is left out.
 
 Defined results: a null or empty text has one token, the end; repeated rows are learned and scored as rows; without
 training rows all counts are 0 and the pieces keep their first probabilities; an empty table gives an empty result.
@@ -18,22 +18,22 @@ training rows all counts are 0 and the pieces keep their first probabilities; an
 from __future__ import annotations
 
 import math
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casegraph.llm.common import crc32_mod, materialise, text_bytes, text_or_empty
+from casegraph.llm.common import by_batch, crc32_mod, materialise, text_bytes, text_or_empty
 
 START = "▁"
 END = "</s>"
-#: Entries of a worker's counter and of its cache of scored words.
-MOST_COUNTED, MOST_CACHED = 400_000, 400_000
+#: Words in a worker's counter; longest word for which words of one length are worked on together.
+MOST_COUNTED, GRID = 400_000, 48
 
 
 def default_vocabulary() -> str:
@@ -48,67 +48,85 @@ class Pieces:
 
     log_p: dict[str, float]
     longest: int
-    version: str
 
-    def edges(self, s: str) -> list[list[tuple[int, float, str]]]:
-        """For each end j: (start i, log probability, piece) of the edges that end there; bytes stand for a character without a piece."""
-        get, longest, out = self.log_p.get, self.longest, [[] for _ in range(len(s) + 1)]
+    def __post_init__(self):
+        self.number = {p: i for i, p in enumerate(self.log_p)}
+        self.table = np.array([*self.log_p.values(), -np.inf])
+
+    def edges(self, s: str) -> list[tuple[int, int, float, tuple[int, ...]]]:
+        """(start, end, log probability, pieces) of a word's edges; bytes stand for a character without a piece."""
+        out = []
         for j in range(1, len(s) + 1):
-            into = out[j]
-            for i in range(max(0, j - longest), j):
-                piece = s[i:j]
-                lp = get(piece)
-                if lp is not None:
-                    into.append((i, lp, piece))
-            if get(s[j - 1 : j]) is None:
-                into.append((j - 1, sum(self.log_p[b] for b in byte_pieces(s[j - 1])), s[j - 1]))
+            for i in range(max(0, j - self.longest), j):
+                k = self.number.get(s[i:j])
+                if k is not None:
+                    out.append((i, j, self.table[k], (k,)))
+            if s[j - 1] not in self.number:
+                ks = tuple(self.number[b] for b in byte_pieces(s[j - 1]))
+                out.append((j - 1, j, float(self.table[list(ks)].sum()), ks))
         return out
 
-    def word(self, word: str) -> float:
-        """Log of the sum over all segmentations of a word."""
+    def one(self, word: str, n: float = 0.0, into: np.ndarray | None = None) -> float:
+        """The forward recursion over one word's edges; with ``into`` also the backward one, adding n times the expected counts."""
         s = START + word
-        get, longest, alpha = self.log_p.get, self.longest, [0.0]
-        for j in range(1, len(s) + 1):
-            terms = []
-            for i in range(j - longest if j > longest else 0, j):
-                lp = get(s[i:j])
-                if lp is not None:
-                    terms.append(alpha[i] + lp)
-            if get(s[j - 1]) is None:
-                terms.append(alpha[j - 1] + sum(self.log_p[b] for b in byte_pieces(s[j - 1])))
-            alpha.append(log_sum(terms))
+        edges, alpha = self.edges(s), [0.0] + [-math.inf] * len(s)
+        for i, j, lp, _ in edges:
+            alpha[j] = log_add(alpha[j], alpha[i] + lp)
+        if into is not None:
+            beta = [-math.inf] * len(s) + [0.0]
+            for i, j, lp, _ in sorted(edges, key=lambda e: -e[1]):
+                beta[i] = log_add(beta[i], lp + beta[j])
+            for i, j, lp, ks in edges:
+                x = n * math.exp(alpha[i] + lp + beta[j] - alpha[-1])
+                for k in ks:
+                    into[k] += x
         return alpha[-1]
 
-    def expected(self, word: str, n: float, into: dict[str, float]) -> None:
-        """Add n times the pieces' expected counts in a word."""
-        s = START + word
-        edges = self.edges(s)
-        alpha = [0.0]
-        for j in range(1, len(s) + 1):
-            alpha.append(log_sum([alpha[i] + lp for i, lp, _ in edges[j]]))
-        beta, ahead = [-math.inf] * len(s) + [0.0], [[] for _ in range(len(s) + 1)]
-        for j in range(len(s), 0, -1):
-            if ahead[j]:
-                beta[j] = log_sum(ahead[j])
-            for i, lp, _ in edges[j]:
-                ahead[i].append(lp + beta[j])
-        whole = alpha[-1]
-        for j in range(1, len(s) + 1):
-            for i, lp, piece in edges[j]:
-                x = n * math.exp(alpha[i] + lp + beta[j] - whole)
-                for name in (piece,) if piece in self.log_p else byte_pieces(piece):
-                    into[name] = into.get(name, 0.0) + x
+    def many(self, words: list[str], n: np.ndarray | None = None, into: np.ndarray | None = None) -> np.ndarray:
+        """``one`` for many words: those of one length share each step of the recursion."""
+        out = np.zeros(len(words))
+        by_length: dict[int, list[int]] = {}
+        for k, w in enumerate(words):
+            by_length.setdefault(len(w) + 1, []).append(k)
+        get, none = self.number.get, len(self.log_p)
+        for length, group in by_length.items():
+            spans = [(i, j) for j in range(1, length + 1) for i in range(max(0, j - self.longest), j)]
+            starts, ends = np.array([i for i, _ in spans]), np.array([j for _, j in spans])
+            for at in range(0, len(group), 2048):
+                part = group[at : at + 2048] if length <= GRID else []
+                for k in group[at : at + 2048] if length > GRID else ():
+                    out[k] = self.one(words[k], 0.0 if n is None else float(n[k]), into)
+                if not part:
+                    continue
+                ids = np.array([[get(s[i:j], none) for i, j in spans] for s in (START + words[k] for k in part)], dtype=np.int32)
+                odd = (ids[:, ends - starts == 1] == none).any(axis=1)  # a character without a piece
+                for k in np.asarray(part)[odd].tolist():
+                    out[k] = self.one(words[k], 0.0 if n is None else float(n[k]), into)
+                ids, rows = ids[~odd], np.asarray(part)[~odd]
+                lp = self.table[ids]
+                alpha = np.zeros((len(rows), length + 1))
+                for j in range(1, length + 1):
+                    cols = np.flatnonzero(ends == j)
+                    alpha[:, j] = np.logaddexp.reduce(alpha[:, starts[cols]] + lp[:, cols], axis=1)
+                out[rows] = alpha[:, -1]
+                if into is not None:
+                    beta = np.zeros((len(rows), length + 1))
+                    for i in range(length - 1, -1, -1):
+                        cols = np.flatnonzero(starts == i)
+                        beta[:, i] = np.logaddexp.reduce(beta[:, ends[cols]] + lp[:, cols], axis=1)
+                    x = np.exp(alpha[:, starts] + lp + beta[:, ends] - alpha[:, -1:]) * n[rows][:, None]
+                    into += np.bincount(ids.ravel(), x.ravel(), none + 1)
+        return out
 
 
 def byte_pieces(char: str) -> list[str]:
     return [f"<0x{b:02X}>" for b in char.encode("utf-8", "surrogatepass")]
 
 
-def log_sum(terms: list[float]) -> float:
-    if len(terms) == 1:
-        return terms[0]
-    top = max(terms)
-    return top + math.log(sum(math.exp(t - top) for t in terms))
+def log_add(a: float, b: float) -> float:
+    if b > a:
+        a, b = b, a
+    return a if b == -math.inf else a + math.log1p(math.exp(b - a))
 
 
 def first_pieces(path: str) -> Pieces:
@@ -123,7 +141,7 @@ def first_pieces(path: str) -> Pieces:
     low = min(p.values(), default=1.0)
     p |= {f"<0x{b:02X}>": low for b in range(256)} | {START: max(low, p.get(START, low)), END: low * 100}
     total = sum(p.values())
-    return Pieces({x: math.log(v / total) for x, v in p.items()}, max(map(len, (x for x in p if not x.startswith("<0x"))), default=1), "first")
+    return Pieces({x: math.log(v / total) for x, v in p.items()}, max(map(len, (x for x in p if not x.startswith("<0x"))), default=1))
 
 
 def tokens(data: bytes) -> list[bytes]:
@@ -132,77 +150,85 @@ def tokens(data: bytes) -> list[bytes]:
 
 
 def count_words(texts: DataFrame) -> DataFrame:
-    """(word, n) over all texts, summed in each task before they meet."""
+    """(word, n) of every word of the texts, n in those that aren't ``held_out``; summed in each task before they meet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[bytes] = Counter()
+        others: set[bytes] = set()
 
         def out() -> pa.RecordBatch:
-            b = pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], names=["word", "n"])
+            unseen = others.difference(seen)
+            b = pa.RecordBatch.from_arrays([pa.array([*seen.keys(), *unseen], pa.binary()), pa.array([*seen.values(), *[0] * len(unseen)], pa.int64())], names=["word", "n"])
             seen.clear()
+            others.clear()
             return b
 
         for b in batches:
-            for data in text_bytes(b.column("text")):
-                seen.update(tokens(data))
-                if len(seen) > MOST_COUNTED:
+            for data, held in zip(text_bytes(b.column("text")), b.column("held_out").to_pylist(), strict=True):
+                (others if held else seen).update(tokens(data))
+                if len(seen) + len(others) > MOST_COUNTED:
                     yield out()
-        if seen:
+        if seen or others:
             yield out()
 
     return texts.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def refit(counts: DataFrame, ends: int, pieces: Pieces, version: str, smooth: float = 0.1) -> Pieces:
+def spelt(words: pa.Array) -> list[str]:
+    return [w.decode("utf-8", "surrogateescape") for w in words.to_pylist()]
+
+
+def refit(counts: DataFrame, ends: int, pieces: Pieces, smooth: float = 0.1) -> Pieces:
     """One round of expectation-maximisation over the table of word counts."""
     shared = counts.sparkSession.sparkContext.broadcast(pieces)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        into: dict[str, float] = {}
+        p = shared.value
+        into = np.zeros(len(p.log_p) + 1)
         for b in batches:
-            for word, n in zip(b.column("word").to_pylist(), b.column("n").to_pylist(), strict=True):
-                shared.value.expected(word.decode("utf-8", "surrogateescape"), n, into)
-        yield pa.RecordBatch.from_arrays([pa.array(into.keys(), pa.string()), pa.array(into.values(), pa.float64())], names=["piece", "x"])
+            p.many(spelt(b.column("word")), b.column("n").to_numpy().astype(float), into)
+        at = np.flatnonzero(into[:-1])
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(into[at], pa.float64())], names=["piece", "x"])
 
     # a row a piece at most, whatever the corpus
-    sums = {r["piece"]: r["x"] for r in counts.mapInArrow(run, "piece string, x double").groupBy("piece").agg(F.sum("x").alias("x")).collect()}
-    sums[END] = float(ends)
-    total = sum(sums.values()) + smooth * len(pieces.log_p)
-    return Pieces({p: math.log((sums.get(p, 0.0) + smooth) / total) for p in pieces.log_p}, pieces.longest, version)
+    rows = counts.where("n > 0").mapInArrow(run, "piece long, x double").groupBy("piece").agg(F.sum("x").alias("x")).collect()
+    x = np.full(len(pieces.log_p), smooth)
+    for r in rows:
+        x[r["piece"]] += r["x"]
+    x[pieces.number[END]] += ends
+    return Pieces(dict(zip(pieces.log_p, np.log(x / x.sum()).tolist(), strict=True)), pieces.longest)
+
+
+def priced(counts: DataFrame, pieces: Pieces) -> DataFrame:
+    """(word, n, lp): each word once with its marginal log probability."""
+    shared = counts.sparkSession.sparkContext.broadcast(pieces)
 
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([b.column("word"), b.column("n"), pa.array(shared.value.many(spelt(b.column("word"))), pa.float64())], names=["word", "n", "lp"])
 
-_CACHE: dict[str, dict[bytes, float]] = {}
+    return counts.mapInArrow(by_batch(run), "word binary, n long, lp double")
 
 
-def _score(shared, hot_shared):
-    """Rows of a text's own figures, and its words whose counts aren't at hand."""
+def _score(shared, end: float):
+    """Rows of a text's own figures, and its words whose counts and prices aren't at hand."""
     pair = pa.list_(pa.struct([("word", pa.binary()), ("tf", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, hot = shared.value, hot_shared.value
-        if pieces.version not in _CACHE:
-            _CACHE.clear()
-            _CACHE[pieces.version] = {}
-        cache, rid = _CACHE[pieces.version], TaskContext.get().partitionId() << 40
+        get, rid = shared.value.get, TaskContext.get().partitionId() << 40
         for b in batches:
             rows = []
             for data in text_bytes(b.column("text")):
                 own = Counter(tokens(data))
-                score, logs, known, rare = pieces.log_p[END], 0.0, 0, []
+                score, logs, known, rare = end, 0.0, 0, []
                 for w, tf in own.items():
-                    lp = cache.get(w)
-                    if lp is None:
-                        lp = pieces.word(w.decode("utf-8", "surrogateescape"))
-                        if len(cache) < MOST_CACHED:
-                            cache[w] = lp
-                    score += tf * lp
-                    c = hot.get(w)
-                    if c is None:
+                    hot = get(w)
+                    if hot is None:
                         rare.append({"word": w, "tf": tf})
                     else:
                         known += tf
-                        logs += tf * math.log10(c + 0.5)
-                rows.append((rid, sum(own.values()) + 1, known, logs, score / math.log(10), rare))
+                        logs += tf * hot[0]
+                        score += tf * hot[1]
+                rows.append((rid, sum(own.values()) + 1, known, logs, score, rare))
                 rid += 1
             if rows:
                 cols = [pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pair], strict=True)]
@@ -213,36 +239,34 @@ def _score(shared, hot_shared):
 
 def lm_scores(docs: DataFrame, rounds: int = 2, hot_words: int = 200_000, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score); learned where crc32(doc_id) mod 5 isn't 1."""
-    spark = docs.sparkSession
+    context = docs.sparkSession.sparkContext
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"), (crc32_mod(id_col, 5) == 1).alias("held_out"))
-    train = slim.where(~F.col("held_out"))
-    ends = train.count()
-    counts = materialise(count_words(train.select("text")), "word-counts")
+    ends = slim.where(~F.col("held_out")).count()
+    counts = materialise(count_words(slim.select("text", "held_out")), "word-counts")
     # words by the power of two of their count: at most 64 rows; the hot ones are those of the highest powers that fit
     level = F.floor(F.log2("n")).cast("int")
-    levels = sorted(((r["level"], r["words"], r["n"]) for r in counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("n")).collect()), reverse=True)
+    levels = sorted(((r["level"], r["words"], r["n"]) for r in counts.where("n > 0").groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("n")).collect()), reverse=True)
     total = ends + sum(n for _, _, n in levels)
     distinct = sum(w for _, w, _ in levels) + (ends > 0)
-    threshold, room = None, hot_words
+    least, room = None, hot_words
     for lv, words, _ in levels:
         room -= words
         if room < 0:
             break
-        threshold = lv
-    hot = {} if threshold is None else {bytes(r["word"]): r["n"] for r in counts.where(level >= threshold).collect()}
+        least = 1 << lv
     pieces = first_pieces(vocabulary or default_vocabulary())
     for _ in range(rounds if ends else 0):
-        pieces = refit(counts, ends, pieces, uuid.uuid4().hex)
-    context = spark.sparkContext
-    own = materialise(slim.mapInArrow(_score(context.broadcast(pieces), context.broadcast(hot)), "doc_id long, held_out boolean, rid long, n_tokens long, known long, logs double, score double, rare array<struct<word binary, tf long>>"), "lm-rows")
+        pieces = refit(counts, ends, pieces)
+    table = materialise(priced(counts, pieces), "word-prices")
+    hot = {} if least is None else {bytes(r["word"]): (math.log10(r["n"] + 0.5), r["lp"]) for r in table.where(F.col("n") >= least).collect()}
+    own = materialise(slim.mapInArrow(_score(context.broadcast(hot), pieces.log_p[END]), "doc_id long, held_out boolean, rid long, n_tokens long, known long, logs double, score double, rare array<struct<word binary, tf long>>"), "lm-rows")
     rare = own.select("rid", F.explode("rare").alias("r")).select("rid", "r.word", "r.tf")
-    cold = counts if threshold is None else counts.where(level < threshold)
-    met = rare.join(cold, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    sums = met.groupBy("rid").agg(F.sum(F.when(F.col("n") > 0, F.col("tf")).otherwise(0)).alias("more_known"), F.sum(F.col("tf") * F.log10(F.col("n") + 0.5)).alias("more_logs"))
+    met = rare.join(table if least is None else table.where(F.col("n") < least), "word")
+    sums = met.groupBy("rid").agg(F.sum(F.when(F.col("n") > 0, F.col("tf")).otherwise(0)).alias("more_known"), F.sum(F.col("tf") * F.log10(F.col("n") + 0.5)).alias("more_logs"), F.sum(F.col("tf") * F.col("lp")).alias("more_score"))
     joined = own.drop("rare").join(sums, "rid", "left")
     below = math.log10(total + 0.5 * (distinct + 1))
-    end = math.log10(ends + 0.5)
     return joined.select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0)) + (1 if ends else 0)).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) + F.lit(end) - F.col("n_tokens") * F.lit(below)).alias("base_score"), "score",
+        (F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) + F.lit(math.log10(ends + 0.5)) - F.col("n_tokens") * F.lit(below)).alias("base_score"),
+        ((F.col("score") + F.coalesce("more_score", F.lit(0.0))) / F.lit(math.log(10))).alias("score"),
     )
