@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,16 +47,19 @@ class _Stream:
         self.pid, self.min_docs, self.keep_first = pid, min_docs, keep_first
         self.key, self.runs = None, 0
 
-    def begin(self, key: tuple[int, int], doc: tuple) -> None:
-        self.key, self.first_doc, self.last_doc = key, doc, None
-        self.n_docs, self.held, self.fresh = 0, [], True
+    def begin(self, key: tuple[int, int], doc: tuple, pos: int) -> None:
+        self.key, self.first_doc, self.first_pos, self.last_doc = key, doc, pos, None
+        self.n_docs, self.held = 0, []
         self.runs += 1
 
     def add(self, part: pa.RecordBatch, docs: int, last: tuple) -> Iterator[dict]:
         """Rows of the current run; they are held while they span fewer than min_docs documents."""
         self.n_docs, self.last_doc = self.n_docs + docs, last
-        first = np.zeros(part.num_rows, dtype=bool)
-        first[0], self.fresh = self.fresh, False
+        # repeated rows of the first occurrence are first too; equal rows always lie in one partition
+        doc, thash = self.first_doc
+        ids = part.column("doc_id")
+        same = ids.is_null() if doc is None else pc.fill_null(pc.equal(ids, doc), False)
+        first = same.to_numpy(zero_copy_only=False) & (part.column("thash").to_numpy() == thash) & (part.column("pos").to_numpy() == self.first_pos)
         self.held.append((part, first))
         if self.n_docs >= self.min_docs:
             yield from self.flush(DROP)
@@ -98,7 +102,7 @@ def _stream(min_docs: int, keep_first: bool):
             n = b.num_rows
             if not n:
                 continue
-            h1, h2, thash = (b.column(c).to_numpy() for c in ("h1", "h2", "thash"))
+            h1, h2, thash, pos = (b.column(c).to_numpy() for c in ("h1", "h2", "thash", "pos"))
             ids = b.column("doc_id")
             doc, null = ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False)
             new_run = np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]
@@ -113,7 +117,7 @@ def _stream(min_docs: int, keep_first: bool):
                 if key != s.key:
                     for x in s.end(False):
                         yield batch(s, x)
-                    s.begin(key, doc_at(a))
+                    s.begin(key, doc_at(a), int(pos[a]))
                 elif s.last_doc == doc_at(a):
                     docs -= 1
                 for x in s.add(b.slice(a, z - a), docs, doc_at(z - 1)):

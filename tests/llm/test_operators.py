@@ -1,0 +1,450 @@
+"""The corpus operators on small tables with awkward rows, against brute force."""
+
+import hashlib
+import math
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+pytest.importorskip("casegraph.llm")
+from casegraph.llm import chosen_path, fingerprint, grams, language, lattice_lm, line_dedup, media, mixing, packing, quality, sharding  # noqa: E402
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, n string, key string"
+
+
+def make(seed=0, n=60):
+    """Documents with nulls in every column, empty and very long texts, repeated rows, one id with two texts, clashing names."""
+    rng = random.Random(seed)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(80)]
+    line = lambda k: " ".join(rng.choice(words) for _ in range(k))
+    out = [(i, "\n".join(line(rng.randint(3, 12)) for _ in range(rng.randint(1, 6))), rng.choice(["en", "de"]), rng.choice("abc"), 5, "r", "n", "k") for i in range(n)]
+    common = "  Shared LINE of many \t"
+    out = [(i, f"{common.strip() if i % 2 else common}\n{t}", *rest) if i % 3 == 0 else (i, t, *rest) for i, t, *rest in out]
+    base = line(40)
+    near = [base, base + " tail", "head " + base, base.upper(), base.replace(" ", "  ")]
+    out += [(100 + i, t, "en", "a", 1, None, None, None) for i, t in enumerate(near)]
+    odd = [(200, None), (201, ""), (202, " \n\t\n"), (203, "123 !!"), (204, "one\n"), (205, "\n\n\n"), (206, "日本語 テキスト\nß É"), (207, "x" * 50_000 + " " + line(20_000)), (None, "no id here at all"), (None, None)]
+    out += [(i, t, None, None, None, None, None, None) for i, t in odd]
+    out += [out[0], out[0], (3, "another text of the same id", "en", "b", 2, "r", "n", "k"), out[61]]
+    return out
+
+
+@pytest.fixture(scope="module")
+def rows():
+    return make()
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def text(t):
+    return t or ""
+
+
+def order(x):
+    return sorted(x, key=repr)
+
+
+def sha(b):
+    return hashlib.sha256(b).hexdigest()
+
+
+# ------------------------------------------------------------------ 1
+
+
+def test_media_round_trip(docs, none, rows):
+    got = media.media_columns(docs).collect()
+    want = []
+    for i, t, *_ in rows:
+        b = text(t).encode()
+        p = b.ljust(max(1, -(-len(b) // 192)) * 192, b" ")
+        want.append((i, len(b), len(p), sha(p), zlib.crc32(p[-16:]), len(p) // 192))
+    assert order((r["doc_id"], r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"], r["height"]) for r in got) == order(want)
+    values = defaultdict(set)
+    for r in got:
+        values[r["payload_sha256"]].add((r["media_bytes"], r["media_sha256"], r["feature"]))
+    assert all(len(v) == 1 for v in values.values())
+    assert media.media_columns(none).count() == 0
+
+
+def test_media_tar_and_png(docs):
+    import tarfile
+
+    manifest = media.store(docs).collect()
+    for shard in {r["shard"] for r in manifest}:
+        with tarfile.open("/" + shard.removeprefix("file:").lstrip("/")) as tar:
+            members = {m.offset_data: m for m in tar.getmembers()}
+            mine = [r for r in manifest if r["shard"] == shard]
+            assert len(members) == len({r["digest"] for r in mine})
+            for r in mine:
+                m = members[r["offset"]]
+                assert (m.name, m.size) == (f"{r['digest']}.png", r["length"])
+                assert sha(media.decode_png(tar.extractfile(m).read())) == r["digest"]
+    broken = bytearray(media.encode_png(b" " * 192))
+    broken[20] ^= 1
+    with pytest.raises(ValueError):
+        media.decode_png(bytes(broken))
+
+
+# ------------------------------------------------------------------ 2
+
+
+def line_key(x):
+    return x.strip(" \t\n\x0b\x0c\r").translate({c: c + 32 for c in range(65, 91)})
+
+
+def brute_lines(rows, least, keep_first=False):
+    where = defaultdict(set)
+    for i, t in {(i, text(t)) for i, t, *_ in rows}:
+        for x in t.split("\n"):
+            if line_key(x):
+                where[line_key(x)].add((i, t))
+    common = {k for k, v in where.items() if len(v) >= least}
+    return common
+
+
+@pytest.mark.parametrize("least", [1, 2, 10])
+def test_line_dedup(docs, rows, least):
+    common = brute_lines(rows, least)
+    want = []
+    for i, t, *_ in rows:
+        parts = text(t).split("\n")
+        kept = [x for x in parts if line_key(x) not in common]
+        want.append((i, len(parts), len(parts) - len(kept), sha("\n".join(kept).encode())))
+    assert order(tuple(r) for r in line_dedup.line_dedup(docs, min_docs=least).collect()) == order(want)
+
+
+def test_line_dedup_keeps_first_occurrences(spark, docs, rows, none):
+    got = line_dedup.drop_lines(docs, min_docs=10)
+    assert got.schema == docs.schema or got.columns == docs.columns
+    out = got.collect()
+    assert len(out) == len(rows) and line_dedup.drop_lines(none).count() == 0 and line_dedup.line_dedup(none).count() == 0
+    lines = Counter(line_key(x) for r in {(r["doc_id"], text(r["text"])) for r in out} for x in r[1].split("\n"))
+    assert all(lines[k] == 1 for k in brute_lines(rows, 10))
+    assert all(r["n_chars"] is None or r["text"] is None or r["n_chars"] == len(r["text"]) for r in out)
+
+
+def test_line_runs_over_partition_borders(spark):
+    """One line in all documents, over more partitions than it has neighbours."""
+    many = spark.createDataFrame([(i, "hot\nhot\nown %d" % i if i % 2 else "cold %d\nhot" % i) for i in range(300)], "doc_id long, text string").repartition(7)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = line_dedup.line_dedup(many, min_docs=10).collect()
+        first = line_dedup.drop_lines(many, min_docs=10).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert all(r["n_dropped"] == (2 if r["doc_id"] % 2 else 1) for r in got)
+    assert [r["doc_id"] for r in first if "hot" in r["text"].split("\n")] == [0]
+    assert line_dedup.line_dedup(many, min_docs=301).where("n_dropped > 0").count() == 0
+
+
+# ------------------------------------------------------------------ 3 and 4
+
+
+def test_grams_of_long_texts(monkeypatch):
+    monkeypatch.setattr(grams, "STRETCH", 64)
+    rng, table = random.Random(1), np.random.default_rng(0).normal(size=(256, 3))
+    texts = [bytes(rng.randrange(256) for _ in range(n)) for n in (0, 1, 2, 3, 5, 40, 300, 64, 128, 129, 1, 7, 131, 0)]
+    for t, got in zip(texts, grams.mean_weights(texts, table, (1, 2, 4), 8), strict=True):
+        d = np.frombuffer(t, dtype=np.uint8)
+        h = np.concatenate([grams.buckets(d, n, 8) for n in (1, 2, 4)]) if t else []
+        assert np.allclose(got, table[h].mean(axis=0) if len(h) else 0)
+
+
+def test_language(spark, docs, none, rows):
+    rng = random.Random(2)
+    words = {"en": "the of and tion ing that with".split(), "fr": "le eau oux tre é è une".split()}
+    data = [(i, " ".join(rng.choice(words[x]) for _ in range(rng.randint(3, 30))), x) for i, x in enumerate(["en", "fr"] * 150)]
+    got = language.held_out_predictions(spark.createDataFrame(data, "doc_id long, text string, lang string")).collect()
+    truth = {i: x for i, _, x in data}
+    held = [r for r in got if r["held_out"]]
+    assert {r["doc_id"] for r in held} == {i for i in truth if zlib.crc32(str(i).encode()) % 4 == 2}
+    assert sum(truth[r["doc_id"]] == r["lang_pred"] for r in held) / len(held) > 0.97 and all(0 <= r["score"] <= 1 for r in got)
+    odd = language.held_out_predictions(docs).collect()
+    assert len(odd) == len(rows)
+    for r in odd:
+        if r["doc_id"] in (200, 201, 202, 203, 205):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+        elif r["doc_id"] is not None:
+            assert r["lang_pred"] in ("en", "de")
+    assert language.held_out_predictions(none).count() == 0
+    unlabelled = language.held_out_predictions(docs.withColumn("lang", docs["lang"].substr(9, 0)).where("lang is null"))
+    assert {r["lang_pred"] for r in unlabelled.collect()} == {"und"}
+
+
+def test_quality(spark, docs, none, rows):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("aeioustrnm") for _ in range(rng.randint(2, 8))) for _ in range(300)]
+    prose = lambda: " ".join(rng.choice(words) for _ in range(rng.randint(30, 200)))
+    junk = lambda: "!! ".join(w.upper() for w in prose().split())
+    data = [(i, junk() if i % 5 == 0 else prose(), "en", f"s{i % 3}", 1) for i in range(400)]
+    d = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, int(i % 5 != 0), 0, "x") for i in range(200)], "doc_id long, quality int, toxic int, text string")
+    got = quality.classify(d, labels).collect()
+    assert sum(r["keep"] == (r["doc_id"] % 5 != 0) for r in got) / len(got) > 0.98 and len(got) == 400
+    kept = quality.keep_good(d, labels)
+    assert kept.columns == d.columns and not [r for r in kept.collect() if r["doc_id"] % 5 == 0][8:]
+    assert quality.classify(docs, labels.where("false")).where("keep").count() == len(rows)
+    assert quality.classify(docs, labels).count() == len(rows) and quality.keep_good(docs, labels).columns == docs.columns
+    assert quality.classify(none, labels).count() == 0
+
+
+# ------------------------------------------------------------------ 5
+
+
+def test_sharding(spark, docs, none, rows):
+    got = sharding.by_bytes(docs, 4).collect()
+    assert order((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == order((i, len(text(t).encode()) + 16, zlib.crc32(text(t).encode())) for i, t, *_ in rows)
+    for k in range(4):
+        slots = sorted(r["slot"] for r in got if r["shard"] == k)
+        assert slots == list(range(len(slots)))
+    assert sharding.by_bytes(none).count() == 0
+    copies = spark.createDataFrame([(i, "same text" * 9 if i % 3 else f"text {i} " * (1 + i % 9)) for i in range(3000)], "doc_id long, text string")
+    size = Counter()
+    for r in sharding.by_bytes(copies, 8).collect():
+        size[r["shard"]] += r["size"]
+    assert max(size.values()) / (sum(size.values()) / 8) < 1.02 and len(size) == 8
+
+
+# ------------------------------------------------------------------ 6
+
+
+def brute_links(rows, threshold=0.8):
+    def shingles(t):
+        w = text(t).lower().split()
+        return frozenset(" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+
+    sets = [shingles(t) for _, t, *_ in rows]
+    same = lambda a, b: a == b or (bool(a | b) and len(a & b) >= threshold * len(a | b))
+    links = [{j for j, b in enumerate(sets) if j != i and same(a, b)} for i, a in enumerate(sets)]
+    group = list(range(len(rows)))
+    for _ in rows:
+        group = [min([group[i], *(group[j] for j in links[i])]) for i in range(len(rows))]
+    least = defaultdict(list)
+    for i, g in enumerate(group):
+        if rows[i][0] is not None:
+            least[g].append(rows[i][0])
+    return [(rows[i][0], min(least[g], default=None), len(links[i])) for i, g in enumerate(group)]
+
+
+def test_join(docs, none, rows):
+    assert order(tuple(r) for r in chosen_path.near_duplicates(docs).collect()) == order(brute_links(rows))
+    assert chosen_path.near_duplicates(none).count() == 0
+
+
+@pytest.mark.parametrize("small", [8, 1024])
+def test_join_of_a_large_group(spark, small):
+    """A group of near copies larger than a bucket and a cell: split, cut in cells, and still whole."""
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(60)]
+    data = []
+    for i in range(90):
+        w = list(base)
+        for _ in range(rng.randint(0, 2)):
+            w[rng.randrange(60)] = f"x{rng.randrange(10**6)}"
+        data.append((i, " ".join(w)))
+    d = spark.createDataFrame(data, "doc_id long, text string")
+    got = chosen_path.near_duplicates(d, small=small, cell=16).collect()
+    assert order(tuple(r) for r in got) == order(brute_links(data))
+
+
+def test_one_of_each(docs, rows):
+    kept = chosen_path.one_of_each(docs)
+    assert kept.columns == docs.columns
+    groups = {g for _, g, _ in brute_links([r for r in rows if r[0] is not None])}
+    assert kept.where("doc_id is not null").count() >= len(groups)
+    got = [r["doc_id"] for r in kept.collect()]
+    assert 100 in got and not {101, 102, 103, 104} & set(got) and got.count(0) == 1
+    assert len({200, 201, 202, 205} & set(got)) + got.count(None) >= 1
+
+
+def test_runs_reach_recall():
+    assert chosen_path.survival(0.8, 1.5, 1) == pytest.approx(1 - math.exp(-1.2))
+    n = chosen_path.runs_for(0.999, 0.8, 1.5)
+    assert (1 - chosen_path.survival(0.8, 1.5, 2)) ** n <= 0.001
+
+
+# ------------------------------------------------------------------ 7
+
+
+def test_lattice_sums_all_segmentations():
+    p = lattice_lm.first_pieces(lattice_lm.default_vocabulary())
+
+    def brute(s):
+        total = 0.0
+        for m in range(1 << (len(s) - 1)):
+            cut = [0, *(i + 1 for i in range(len(s) - 1) if m >> i & 1), len(s)]
+            lps = []
+            for a, b in zip(cut, cut[1:], strict=False):
+                w = s[a:b]
+                lps.append(p.log_p[w] if w in p.log_p else sum(p.log_p[x] for x in lattice_lm.byte_pieces(w)) if len(w) == 1 else -math.inf)
+            total += math.exp(sum(lps))
+        return math.log(total)
+
+    words = ["the", "thntion", "éreau", "a", "", "x" * 9, "日本𓀀", "$$$a", "q" * 60]
+    for w in words[:-1]:
+        assert p.one(w) == pytest.approx(brute(lattice_lm.START + w))
+    assert np.allclose(p.many(words), [p.one(w) for w in words])
+    n, one, many = np.arange(1.0, 10.0), np.zeros(len(p.log_p) + 1), np.zeros(len(p.log_p) + 1)
+    p.many(words, n, many)
+    for w, k in zip(words, n, strict=True):
+        p.one(w, k, one)
+    assert np.allclose(one, many)
+
+
+@pytest.mark.parametrize("hot", [0, 20, 10**6])
+def test_language_model(docs, none, rows, hot):
+    got = lattice_lm.lm_scores(docs, rounds=1, hot_words=hot).collect()
+    tok = [lattice_lm.tokens(text(t).encode()) + [b"\0end"] for _, t, *_ in rows]
+    held = [zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1 for i, *_ in rows]
+    c = Counter(w for ws, h in zip(tok, held, strict=True) if not h for w in ws)
+    total, kinds = sum(c.values()), len(c)
+    want = [(i, h, len(ws), sum(c[w] > 0 for w in ws), total, round(sum(math.log10((c[w] + 0.5) / (total + 0.5 * (kinds + 1))) for w in ws), 6)) for (i, *_), ws, h in zip(rows, tok, held, strict=True)]
+    assert order((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got) == order(want)
+    assert all(r["score"] < 0 for r in got) and lattice_lm.lm_scores(none).count() == 0
+
+
+# ------------------------------------------------------------------ 8
+
+
+def test_packing(docs, none, rows):
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tok.encode_special_tokens = True
+    ids = Counter()
+    for i, t, *_ in rows:
+        x = np.array([*tok.encode(text(t), add_special_tokens=False).ids, 0], dtype="<u4")
+        ids[i, x.tobytes()] += 1
+    got = packing.pack(docs, open_windows=4).collect()
+    assert sum(r["length"] for r in got) == sum(len(b) // 4 * n for (_, b), n in ids.items())
+    texts = defaultdict(list)
+    for i, b in ids:
+        texts[i].append(b)
+    for r in got:
+        assert any(len(b) // 4 == r["doc_tokens"] and zlib.crc32(b[4 * r["start"] : 4 * (r["start"] + r["length"])]) == r["ids_crc32"] for b in texts[r["doc_id"]])
+    by = defaultdict(list)
+    for r in got:
+        by[r["sequence_id"]].append((r["offset"], r["length"]))
+    for pieces in by.values():
+        at = 0
+        for o, n in sorted(pieces):
+            assert o == at
+            at += n
+        assert at <= 1024
+    used = sum(r["length"] for r in got)
+    assert len(by) <= used / 1024 * 1.02 + 1 and packing.pack(none).count() == 0
+
+
+@pytest.mark.parametrize("t", ["", "a", " a", "a ", "a\n", "\n", "a  b", "a\tb", "don't we're\nI'll 's 's", "x y", "a 's\n's b", "<|endoftext|> x", "日本 ß\n\nq"])
+def test_ids_equal_the_tokenisers(t):
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tok.encode_special_tokens = True
+    assert packing.Ids(packing.default_vocabulary())(t) == np.array(tok.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+
+# ------------------------------------------------------------------ 9
+
+
+def test_fingerprints(spark, docs, none, rows):
+    got = fingerprint.edit_likeness(docs).collect()
+    plain = order({(i, text(t)) for i, t, *_ in rows if i is not None})
+    assert len(got) == len(rows)
+    by_text = defaultdict(set)
+    sizes = {(i, len(t)) for i, t in plain}
+    for r in got:
+        assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
+        if r["doc_id"] is not None:
+            assert (r["doc_id"], r["n_chars"]) in sizes
+            by_text[r["doc_id"], r["n_chars"]].add(r["fingerprint"])
+    assert all(len(v) == 1 for v in by_text.values())
+    one = [(i, t) for i, t in sorted((i, text(t)) for i, t, *_ in rows if i is not None) if i < 60 and i not in (0, 3)]
+    unique = spark.createDataFrame([*one, (9, one[7][1])][:-1], "doc_id long, text string")
+    want = {i: sha((a[: len(a) - len(a) // 2] + b[: len(a) // 2]).encode()) for (i, a), (_, b) in zip(one, one[1:] + one[:1], strict=True)}
+    assert {r["doc_id"]: r["edited_sha256"] for r in fingerprint.edit_likeness(unique).collect()} == want
+    assert fingerprint.edit_likeness(none).count() == 0
+
+
+def test_cells_join_up(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "CELL_ROWS", 4)
+    data = [(i * 7 % 101 - 50, f"text {i} " * (i % 5)) for i in range(101)]
+    got = {r["doc_id"]: r["edited_sha256"] for r in fingerprint.edit_likeness(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    s = sorted(data)
+    assert got == {i: sha((a[: len(a) - len(a) // 2] + b[: len(a) // 2]).encode()) for (i, a), (_, b) in zip(s, s[1:] + s[:1], strict=True)}
+
+
+def test_fingerprints_are_homomorphic(spark):
+    a, b = "one two\nthree. four five", "six\nseven! eight"
+    d = spark.createDataFrame([(1, a), (2, b), (3, f"{a}\n{b}"), (4, "three\nseven\nsix. four five. one two\neight"), (5, "")], "doc_id long, text string")
+    fp = {r["doc_id"]: r["lanes"] for r in fingerprint.fingerprints(d).collect()}
+    assert fp[3] == fp[4] and fp[1] != fp[2] and set(fp[5]) == {0}
+    pair = spark.createDataFrame([(fp[1], fp[2], fp[3])], "a array<long>, b array<long>, c array<long>")
+    from pyspark.sql import functions as F
+
+    r = pair.select(fingerprint.combine(F.col("a"), F.col("b")).alias("sum"), fingerprint.combine(F.col("c"), F.col("b"), remove=True).alias("left")).first()
+    assert r["sum"] == fp[3] and r["left"] == fp[1]
+
+
+# ------------------------------------------------------------------ 10
+
+
+def simulate(quota):
+    """Earliest deadline first over one period, slot by slot."""
+    period, done, out = sum(quota), [0] * len(quota), []
+    for t in range(period):
+        ready = [(-(-(done[i] + 1) * period // q), i) for i, q in enumerate(quota) if done[i] < q and done[i] * period // q <= t]
+        i = min(ready)[1]
+        done[i] += 1
+        out.append(i)
+    return out
+
+
+def test_earliest_deadline_first(spark):
+    from pyspark.sql import functions as F
+
+    for quota in ([1], [3, 2, 1], [5, 1, 1, 1], [7, 7, 2], [40, 23, 1]):
+        q = spark.range(1).select(F.array(*(F.lit(x).cast("long") for x in quota)).alias("q"), F.lit(sum(quota)).cast("long").alias("period"))
+        assert q.select(mixing.earliest_deadline_first(F.col("q"), F.col("period"))).first()[0] == simulate(quota)
+
+
+@pytest.mark.parametrize("weights", [None, {"a": 3.0, "b": 1.0, None: 0.5}])
+def test_mixing(docs, none, rows, weights):
+    got = mixing.mix(docs, weights, block_rows=2, period=16).collect()
+    assert order((r["doc_id"], r["source"]) for r in got) == order((i, s) for i, _, _, s, *_ in rows)
+    assert sorted(r["position"] for r in got) == list(range(len(rows)))
+    slots = defaultdict(set)
+    for r in got:
+        assert r["release"] <= r["slot"] < r["deadline"]
+        slots[r["slot"]].add((r["source"], r["block"]))
+    assert sorted(slots) == list(range(len(slots))) and all(len(v) == 1 for v in slots.values())
+    assert mixing.mix(none).count() == 0
+    ordered = mixing.in_order(docs)
+    assert ordered.columns == docs.columns and ordered.count() == len(rows)
+    with pytest.raises(ValueError):
+        mixing.mix(docs, {"a": 0.0})
+
+
+def test_mixing_stays_within_a_block(spark):
+    d = spark.createDataFrame([(i, "abc"[min(2, i % 7)]) for i in range(700)], "doc_id long, source string")
+    got = sorted(mixing.mix(d, {"a": 1.0, "b": 1.0, "c": 5.0}, block_rows=1, period=14).collect(), key=lambda r: r["slot"])
+    seen = Counter()
+    for t, r in enumerate(got, 1):
+        seen[r["source"]] += 1
+        for s, w in (("a", 1 / 7), ("b", 1 / 7), ("c", 5 / 7)):
+            assert abs(seen[s] - w * t) < 1
