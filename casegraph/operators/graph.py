@@ -106,7 +106,8 @@ def may_see(scope: dict) -> Column:
     some = F.size("unit_ids") > 0
     if scope.get("state_wide"):
         return some
-    return some & (F.array_contains("unit_ids", F.lit(scope.get("unit_id"))) | F.array_contains("district_ids", F.lit(scope.get("district_id"))))
+    own = lambda ids, key: F.coalesce(F.array_contains(ids, F.lit(scope.get(key)).cast("string")), F.lit(False))
+    return some & (own("unit_ids", "unit_id") | own("district_ids", "district_id"))
 
 
 def traverse(nodes: DataFrame, edges: DataFrame, start: str, hops: int = 2, types: list[str] | None = None, least_confidence: float = 0.0, scope: dict | None = None, most_nodes: int | None = None) -> DataFrame:
