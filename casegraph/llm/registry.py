@@ -73,5 +73,29 @@ GROUP BY k.doc_id
 """
 
 
+_LANES = [f"{w}{k}" for w in "ab" for k in range(60)]
+OP9_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+o AS (SELECT doc_id, text, length(text) AS n, coalesce(lead(text) OVER (ORDER BY doc_id), first_value(text) OVER (ORDER BY doc_id)) AS nt FROM d),
+e AS (SELECT doc_id, n, text, nt, left(text, n - n // 2) || left(nt, n // 2) AS edited FROM o),
+t AS (SELECT doc_id, 'f' AS kind, text FROM e UNION ALL SELECT doc_id, 'e', edited FROM e UNION ALL SELECT doc_id, 'n', nt FROM e),
+u AS (SELECT doc_id, kind, unnest(list_filter(string_split_regex(text, '\\n|[.!?] '), lambda x: x <> '')) AS p FROM t),
+w AS (SELECT doc_id, kind, CAST('0x' || substr(md5(p), 1, 15) AS BIGINT) AS a, CAST('0x' || substr(md5(p), 16, 15) AS BIGINT) AS b FROM u),
+s AS (SELECT t.doc_id, t.kind, count(a) AS c, CAST(coalesce(sum(a), 0) % 1152921504606846976 AS BIGINT) AS sa, CAST(coalesce(sum(b), 0) % 1152921504606846976 AS BIGINT) AS sb, {sums}
+      FROM (SELECT doc_id, kind FROM t) t LEFT JOIN w ON w.doc_id = t.doc_id AND w.kind = t.kind GROUP BY 1, 2),
+v AS (SELECT doc_id, kind, c, sa, sb, [{bits}] AS bits FROM s),
+l AS (SELECT doc_id, kind, format('{{:016x}}', c) || format('{{:016x}}', sa) || format('{{:016x}}', sb)
+        || array_to_string(list_transform(range(40), lambda i: format('{{:016x}}', CAST(bits[(i // 20) * 60 + i % 20 + 1] + bits[(i // 20) * 60 + i % 20 + 21] * 1048576 + bits[(i // 20) * 60 + i % 20 + 41] * 1099511627776 AS BIGINT))), '') AS fp,
+        list_transform(bits, lambda x: ((2 * x - c + 262144) % 524288 + 524288) % 524288 - 262144) AS g FROM v),
+j AS (SELECT e.doc_id, e.n, e.edited, f.fp AS ff, x.fp AS ef, y.fp AS nf, list_dot_product(CAST(f.g AS DOUBLE[]), CAST(x.g AS DOUBLE[])) AS fe, list_dot_product(CAST(f.g AS DOUBLE[]), CAST(y.g AS DOUBLE[])) AS fn,
+        list_dot_product(CAST(f.g AS DOUBLE[]), CAST(f.g AS DOUBLE[])) AS qf, list_dot_product(CAST(x.g AS DOUBLE[]), CAST(x.g AS DOUBLE[])) AS qe, list_dot_product(CAST(y.g AS DOUBLE[]), CAST(y.g AS DOUBLE[])) AS qn
+      FROM e JOIN l f ON f.doc_id = e.doc_id AND f.kind = 'f' JOIN l x ON x.doc_id = e.doc_id AND x.kind = 'e' JOIN l y ON y.doc_id = e.doc_id AND y.kind = 'n')
+SELECT doc_id, n AS n_chars, sha256(edited) AS edited_sha256, ff AS fingerprint, ef AS edited_fingerprint,
+       CASE WHEN ff = ef THEN 1.0::DOUBLE WHEN qf * qe > 0 THEN round(least(greatest(fe / sqrt(qf * qe), 0), 1), 6) ELSE 0.0::DOUBLE END AS near_edited,
+       CASE WHEN ff = nf THEN 1.0::DOUBLE WHEN qf * qn > 0 THEN round(least(greatest(fn / sqrt(qf * qn), 0), 1), 6) ELSE 0.0::DOUBLE END AS near_next
+FROM j
+""".format(sums=", ".join(f"coalesce(sum(({x[0]} >> {x[1:]}) & 1), 0) % 524288 AS {x}" for x in _LANES), bits=", ".join(_LANES))
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op9_fingerprint": OP9_SQL}
