@@ -263,27 +263,36 @@ def _split(beta: float):
             h = unpack_set(s)
             bounds = np.array([0, len(h)])
             _, path = step(h, bounds, _limits(bounds, beta), np.array([0]), np.array([k % (1 << 64)], dtype=_U))
-            out.extend((int(p) - (1 << 63), ck, s) for p in path.tolist())
-        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], type=t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["key", "ck", "set"])
+            out.extend((int(p) - (1 << 63), ck) for p in path.tolist())
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], type=t) for i, t in enumerate((pa.int64(), pa.binary()))], names=["key", "ck"])
 
     return by_batch(run)
 
 
+def unlike(steps: DataFrame) -> DataFrame:
+    """(key, size) of the buckets of rows (key, ck, in) with sets of two or more components ``in``; of those with the same members one is enough."""
+    sized = steps.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("in").alias("lo"), F.max("in").alias("hi"), F.bit_xor(F.xxhash64("ck")).alias("who"), F.bit_xor(F.xxhash64(F.lit(1), "ck")).alias("who2")).where("lo <> hi")
+    return sized.groupBy("size", "who", "who2").agg(F.min("key").alias("key")).select("key", "size")
+
+
+def members(steps: DataFrame, keys: DataFrame) -> DataFrame:
+    return materialise(steps.select("key", "ck").join(keys, "key"), "buckets")
+
+
 def bucket_links(buckets: DataFrame, sets: DataFrame, threshold: float, beta: float, small: int, depth: int) -> DataFrame:
     """(a, b): spanning links of all buckets (key, ck, size), large ones split by up to ``depth`` more shingles."""
-    rows = buckets.join(sets, "ck").select("key", "ck", "set", "size")
     found = None
     for level in range(depth + 1):
-        last = level == depth or rows.where(F.col("size") > small).isEmpty()
-        now = rows if last else rows.where(F.col("size") <= small)
-        cells = in_cells(now, "size", small).select("key", "i", "j", "ck", "set").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+        last = level == depth or buckets.where(F.col("size") > small).isEmpty()
+        now = buckets if last else buckets.where(F.col("size") <= small)
+        cells = in_cells(now.join(sets, "ck"), "size", small).select("key", "i", "j", "ck", "set").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
         links = materialise(cells.mapInArrow(_forest(threshold), "a binary, b binary"), "bucket-links")
         found = links if found is None else found.unionByName(links)
         if last:
             return found
-        deeper = materialise(rows.where(F.col("size") > small).select("key", "ck", "set").mapInArrow(_split(beta), "key long, ck binary, set binary"), "deeper")
-        sizes = deeper.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        rows = deeper.join(sizes, "key").select("key", "ck", "set", "size")
+        large = buckets.where(F.col("size") > small).join(sets, "ck").select("key", "ck", "set")
+        deeper = materialise(large.mapInArrow(_split(beta), "key long, ck binary").withColumn("in", F.col("ck")), "deeper")
+        buckets = members(deeper, unlike(deeper))
 
 
 def classes_and_links(docs: DataFrame, words: int = 5, threshold: float = 0.8, recall: float = 0.999, beta: float = 1.5, small: int = 1024, cell: int = 512, depth: int = 2, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -294,27 +303,24 @@ def classes_and_links(docs: DataFrame, words: int = 5, threshold: float = 0.8, r
     rows = materialise(slim.mapInArrow(_sign(words, beta, runs), "doc_id long, thash long, ck binary, n int, paths array<struct<run int, key long>>"), "signed")
     classes = materialise(rows.groupBy("ck").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_copies"), F.first("paths").alias("paths")), "classes")
     steps = classes.select("ck", "rep", F.explode("paths").alias("p")).select("ck", "rep", "p.run", "p.key")
-    # buckets of two or more classes; of those with the same members one is enough
-    sized = steps.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("run").alias("run"), F.bit_xor(F.xxhash64("ck")).alias("who"), F.bit_xor(F.xxhash64(F.lit(1), "ck")).alias("who2")).where("size > 1")
-    unlike = sized.groupBy("size", "who", "who2").agg(F.min(F.struct("run", "key")).alias("b")).select("b.key", "b.run", "size")
-    buckets = materialise(steps.drop("run").join(unlike, "key").select("key", "run", "size", "ck", "rep"), "buckets")
-    wanted = buckets.select("ck", "rep").distinct()
+    # the sets of the classes that share any bucket; copies are classes, so no bucket is large by them
+    shared = steps.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key")
+    wanted = steps.join(shared, "key", "left_semi").select("ck", "rep").distinct()
     sets = materialise(slim.join(wanted, slim["doc_id"].eqNullSafe(wanted["rep"])).select("ck", "text").mapInArrow(_sets(words), "ck binary, set binary").groupBy("ck").agg(F.first("set").alias("set")), "sets")
     early = max(1, runs // 3)
-    links = bucket_links(buckets.where(F.col("run") < early).select("key", "ck", "size"), sets, threshold, beta, small, depth)
+    first = steps.where(F.col("run") < early).withColumn("in", F.col("ck"))
+    links = bucket_links(members(first, unlike(first)), sets, threshold, beta, small, depth)
     if runs > early:
-        merged = components(links)
-        late = buckets.where(F.col("run") >= early).join(merged.withColumnRenamed("node", "ck"), "ck", "left").withColumn("in", F.coalesce("component", "ck"))
-        apart = late.groupBy("key").agg(F.min("in").alias("lo"), F.max("in").alias("hi")).where("lo <> hi").select("key")
-        more = bucket_links(late.join(apart, "key").select("key", "ck", "size"), sets, threshold, beta, small, depth)
-        links = links.unionByName(more)
+        merged = components(links).withColumnRenamed("node", "ck")
+        late = steps.where(F.col("run") >= early).join(merged, "ck", "left").withColumn("in", F.coalesce("component", "ck"))
+        links = links.unionByName(bucket_links(members(late, unlike(late)), sets, threshold, beta, small, depth))
     found = components(links).withColumnRenamed("node", "ck")
     sized = found.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     facts = classes.select("ck", "rep", "n_copies")
-    members = found.join(sized, "component").join(facts, "ck").join(sets, "ck")
-    cells = in_cells(members, "size", cell).select("component", "i", "j", "ck", "set", F.col("n_copies").alias("members"), "chunk").repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
+    linked = found.join(sized, "component").join(facts, "ck").join(sets, "ck")
+    cells = in_cells(linked, "size", cell).select("component", "i", "j", "ck", "set", F.col("n_copies").alias("members"), "chunk").repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
     counted = cells.mapInArrow(_count(threshold), "ck binary, classes long, docs long").groupBy("ck").agg(F.sum("docs").alias("n_links"))
-    head = members.groupBy("component").agg(F.min("rep").alias("class_id"))
+    head = linked.groupBy("component").agg(F.min("rep").alias("class_id"))
     of = found.join(head, "component").join(counted, "ck", "left").select("ck", "component", "class_id", "n_links")
     each = facts.join(of, "ck", "left").select("ck", F.coalesce("component", "ck").alias("group"), F.when(F.col("class_id").isNull(), F.col("rep")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
     return rows.select("doc_id", "thash", "ck"), each
