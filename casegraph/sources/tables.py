@@ -70,7 +70,8 @@ def json_array(column: str, schema: str):
     """A column of JSON that may be an array, a string with one, or an array of strings with objects."""
     c = F.col(column)
     whole = F.from_json(c, f"array<{schema}>")
-    inner = F.from_json(F.from_json(c, "string"), f"array<{schema}>")
+    unquoted = F.get(F.from_json(F.concat(F.lit("["), c, F.lit("]")), "array<string>"), F.lit(0))
+    inner = F.from_json(unquoted, f"array<{schema}>")
     parts = F.transform(F.from_json(c, "array<string>"), lambda x: F.from_json(x, schema))
     some = lambda a: F.when(F.size(F.filter(a, lambda x: x.isNotNull())) > 0, F.filter(a, lambda x: x.isNotNull()))
     return F.coalesce(some(whole), some(parts), some(inner), F.array().cast(f"array<{schema}>"))
