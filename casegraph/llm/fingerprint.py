@@ -93,7 +93,7 @@ def in_cells(docs: DataFrame) -> tuple[DataFrame, WindowSpec]:
     also stands, as a guest, at the end of the cell before. Needs columns doc_id (long) and thash."""
     lo, hi, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
     cells = max(1, min(MOST_CELLS, n // CELL_ROWS))
-    width = max(1, -(-((hi or 0) - (lo or 0) + 1) // cells))
+    width = min(max(1, -(-((hi or 0) - (lo or 0) + 1) // cells)), (1 << 63) - 1)
     below = ((lo or 0) // width) - 2
     cell = F.coalesce(F.expr(f"doc_id div {width}L"), F.lit(below)).alias("cell")
     placed = docs.withColumn("cell", cell).withColumn("guest", F.lit(0))
