@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casegraph.llm.common import by_batch, text_bytes, text_or_empty
+from casegraph.llm.common import by_batch, slices, text_bytes, text_or_empty
 from casegraph.llm.grams import buckets
 
 ORDERS, BITS, REPEATS = (2, 3), 15, 3
@@ -73,30 +73,48 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
+#: Entries of the text view that are worked on at once, so that temporary arrays stay small.
+STRIDE = 1 << 19
+
+
 @dataclass
 class Sparse:
-    """Rows of the text view as (columns, values)."""
+    """Rows of the text view: columns and values one after another, and the bounds of each row's (one more than rows)."""
 
-    rows: list[tuple[np.ndarray, np.ndarray]]
+    cols: np.ndarray
+    vals: np.ndarray
+    bounds: np.ndarray
 
     def take(self, at: np.ndarray) -> Sparse:
-        return Sparse([self.rows[i] for i in at])
+        pick = np.concatenate([np.arange(self.bounds[i], self.bounds[i + 1], dtype=np.int32) for i in at] or [np.zeros(0, np.int32)])
+        return Sparse(self.cols[pick], self.vals[pick], np.r_[0, np.cumsum(np.diff(self.bounds)[at])])
 
-    def joined(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        sizes = [len(r[0]) for r in self.rows]
-        return np.concatenate([r[0] for r in self.rows] or [np.zeros(0, np.int32)]), np.concatenate([r[1] for r in self.rows] or [np.zeros(0, np.float32)]), np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    def parts(self) -> list[tuple[int, int, slice]]:
+        """Ranges of rows of about STRIDE entries, with their entries."""
+        return [(a, z, slice(int(self.bounds[a]), int(self.bounds[z]))) for a, z in slices(np.diff(self.bounds).tolist(), STRIDE)]
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.array([float(w[c] @ v) for c, v in self.rows])
+        out, w = np.zeros(len(self.bounds) - 1), w.astype(np.float32)
+        for a, z, part in self.parts():
+            x = w[self.cols[part]]
+            x *= self.vals[part]
+            total = np.r_[0.0, np.cumsum(x, dtype=np.float64)]
+            at = self.bounds[a : z + 1] - self.bounds[a]
+            out[a:z] = total[at[1:]] - total[at[:-1]]
+        return out
+
+    def back(self, e: np.ndarray) -> np.ndarray:
+        """The sum of the rows, each times its ``e``."""
+        out = np.zeros(WIDTH)
+        for a, z, part in self.parts():
+            out += np.bincount(self.cols[part], self.vals[part] * np.repeat(e[a:z].astype(np.float32), np.diff(self.bounds[a : z + 1])), WIDTH)
+        return out
 
 
 def fit_logistic(x: Sparse | np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float, steps: int = 80, rate: float = 0.3) -> tuple[np.ndarray, float]:
     """Weights and intercept by Adam on the mean weighted log loss."""
     if isinstance(x, Sparse):
-        ids, share, owner = x.joined()
-        dot = lambda w: np.bincount(owner, w[ids] * share, len(y))
-        back = lambda e: np.bincount(ids, share * e[owner], WIDTH)
-        width = WIDTH
+        dot, back, width = x.dot, x.back, WIDTH
     else:
         dot, back, width = lambda w: x @ w, lambda e: x.T @ e, x.shape[1]
     w, b, m, v, mb, vb = np.zeros(width), 0.0, np.zeros(width), np.zeros(width), 0.0, 0.0
@@ -187,6 +205,15 @@ def _features(b: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("draw"), b.column("y"), pa.array(cols, pa.binary()), pa.array(vals, pa.binary()), pa.array([m.tobytes() for m in meta], pa.binary())], names=["doc_id", "draw", "y", "cols", "vals", "meta"])
 
 
+def _flat(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds and values of a column of packed arrays, without a copy for each row."""
+    whole = column.combine_chunks()
+    whole = whole if isinstance(whole, pa.Array) else whole.chunk(0)
+    offsets = np.frombuffer(whole.buffers()[1], dtype=np.int32)[whole.offset : whole.offset + len(whole) + 1]
+    size = np.dtype(kind).itemsize
+    return (offsets - offsets[0]).astype(np.int64) // size, np.frombuffer(whole.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]].view(kind)
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 3000, max_pool: int = 3000) -> Model | float:
     """The co-trained model from a bounded sample, or a constant probability where the labels have no two classes."""
     draw = lambda *c: F.pmod(F.xxhash64(F.lit(5), *c), F.lit(1 << 30)) / float(1 << 30)
@@ -201,14 +228,19 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 3000, max_pool:
     pool = drawn.join(y, drawn["doc_id"] == y["label_id"], "left_anti").select("doc_id", "text", "source", "lang", "draw", F.lit(None).cast("double").alias("y"))
     rows = known.limit(2 * max_labelled).unionByName(pool.limit(2 * max_pool)).mapInArrow(by_batch(_features), "doc_id long, draw double, y double, cols binary, vals binary, meta binary").toArrow()
     order = sorted(range(rows.num_rows), key=lambda i: (not rows["y"][i].is_valid, rows["draw"][i].as_py(), rows["doc_id"][i].as_py() or 0))
-    rows = rows.take(pa.array(order, pa.int64()))
+    rows = rows.take(pa.array(order, pa.int64())).combine_chunks()
     target = np.array([np.nan if v is None else v for v in rows["y"].to_pylist()])
     n = int((~np.isnan(target)).sum())
     if n < 8 or len(set(target[:n])) < 2 or len(set(target[np.setdiff1d(np.arange(n), np.arange(3, n, 4))])) < 2:
         return float(stats["hi"])
-    text = Sparse([(np.frombuffer(c, dtype=np.int32), np.frombuffer(v, dtype=np.float32)) for c, v in zip(rows["cols"].to_pylist(), rows["vals"].to_pylist(), strict=True)])
-    meta = np.stack([np.frombuffer(m, dtype=np.float64) for m in rows["meta"].to_pylist()])
-    return co_train(text, meta, target, n)
+    bounds, cols = _flat(rows["cols"], np.int32)
+    text = Sparse(cols, _flat(rows["vals"], np.float32)[1], bounds)
+    meta = _flat(rows["meta"], np.float64)[1].reshape(rows.num_rows, -1)
+    del rows
+    model = co_train(text, meta, target, n)
+    del text, meta, cols
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def score(docs: DataFrame, model: Model | float, carry: bool = False) -> DataFrame:
