@@ -5,13 +5,14 @@ the smallest, each in the shard whose residual capacity vector has the greatest
 
 The number of items is bounded, whatever the number of groups: groups of equal texts fall by their hash in
 ``shards * cells_per_shard`` cells, and a cell is an item. A group with more than a cell's share of the bytes or rows is
-heavy: it is no part of its cell but is split, by a hash of doc_id, in chunks of about a cell's size, which are items
-of their own. There can't be more heavy groups than twice the number of cells, so the table of items, which the driver
-packs and all tasks get by broadcast, has a proven bound. Slots are an item's offset in its shard and a
-rank within the item; no shard is ever sorted in one task.
+no part of its cell; there can't be more of these than twice the number of cells. It is counted in chunks of about a
+cell's size, by a hash of doc_id, and all its chunks go to one shard as long as a shard has room for them in bytes and
+rows, ``TOLERANCE`` of a shard's share above the even share at most. Only a group that no shard has room for is heavy:
+its chunks become items of their own. So the table of items, which the driver packs and all tasks get by broadcast, has
+a proven bound. Slots are an item's offset in its shard and a rank within the item; no shard is ever sorted in one task.
 
-Defined results: a null text has no bytes, 0 tokens and the size of the fixed 16 bytes; equal texts that aren't heavy
-share a shard; repeated rows get slots of their own; an empty table gives an empty result.
+Defined results: a null text has no bytes, 0 tokens and the size of the fixed 16 bytes; equal texts share a shard
+unless they are heavy; repeated rows get slots of their own; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,16 +28,32 @@ from casegraph.llm.common import text_or_empty
 
 #: Bytes of a row besides its text.
 ROW_BYTES = 16
+#: What a shard may hold above its even share of the bytes or rows so that a group stays whole, as a share of a shard.
+TOLERANCE = 0.02
 
 
-def pack(vectors: np.ndarray, shards: int) -> np.ndarray:
-    """The shard of each item: largest items first, each where the dot product with the residual capacity is highest."""
+def pack(vectors: np.ndarray, shards: int, groups: list | None = None) -> np.ndarray:
+    """The shard of each item: largest first, each where the dot product with the residual capacity is highest.
+
+    Items with the same entry in ``groups``, unless it is None, are placed before the others, together, where there is
+    room for them; those that no shard has room for are placed one by one. The columns are bytes, tokens and rows."""
     share = vectors / np.maximum(vectors.sum(axis=0), 1)
     residual = np.full((shards, share.shape[1]), 1.0 / shards)
-    out = np.zeros(len(share), dtype=np.int64)
+    out = np.full(len(share), -1, dtype=np.int64)
+    whole: dict = {}
+    for i, g in enumerate(groups or []):
+        if g is not None:
+            whole.setdefault(g, []).append(i)
+    sums = [(share[items].sum(axis=0), items) for items in whole.values()]
+    for total, items in sorted(sums, key=lambda x: (-x[0].max(), x[1][0])):
+        room = (residual[:, ::2] + TOLERANCE / shards >= total[::2]).all(axis=1)
+        if room.any():
+            out[items] = k = int(np.argmax(np.where(room, residual @ total, -np.inf)))
+            residual[k] -= total
     for i in np.lexsort((np.arange(len(share)), -share.max(axis=1))):
-        out[i] = k = int(np.argmax(residual @ share[i]))
-        residual[k] -= share[i]
+        if out[i] < 0:
+            out[i] = k = int(np.argmax(residual @ share[i]))
+            residual[k] -= share[i]
     return out
 
 
@@ -49,16 +66,16 @@ def shard(docs: DataFrame, shards: int = 40, cells_per_shard: int = 256, id_col:
         F.size(F.expr("filter(split(`%s`, '[ \\t-\\r]+'), x -> x != '')" % text_col.replace("`", "``"))).alias("n_tokens"), F.xxhash64(text).alias("g1"), F.xxhash64(F.lit(1), text).alias("g2"),
     ).withColumn("tokens", F.greatest(F.col("n_tokens"), F.lit(0)).cast("long")).drop("n_tokens")
     total = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("b")).first()
-    # rows and bytes of each group are summed before they meet; a group is heavy beyond a cell's share of either
+    # rows and bytes of each group are summed before they meet; a group beyond a cell's share of either is counted in chunks
     groups = rows.groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("b"))
     most = F.greatest(F.col("n") * cells / max(total["n"], 1), F.col("b") * cells / max(total["b"], 1))
-    heavy = groups.where((F.col("n") > 1) & (most > 1)).select("g1", "g2", F.least(F.ceil(most * 2), F.col("n")).cast("long").alias("chunks"))
+    large = groups.where((F.col("n") > 1) & (most > 1)).select("g1", "g2", F.least(F.ceil(most * 2), F.col("n")).cast("long").alias("chunks"))
     part = F.pmod(F.xxhash64("doc_id"), F.col("chunks"))
-    keyed = rows.join(F.broadcast(heavy), ["g1", "g2"], "left")
+    keyed = rows.join(F.broadcast(large), ["g1", "g2"], "left")
     item = F.when(F.col("chunks").isNull(), F.struct(F.lit(None).cast("long").alias("g1"), F.pmod(F.col("g1"), F.lit(cells)).alias("g2"), F.lit(0).cast("long").alias("part"))).otherwise(F.struct("g1", "g2", part.alias("part")))
     keyed = keyed.select("doc_id", "size", "text_crc32", "tokens", "g1", "g2", item.alias("item"))
     sums = keyed.groupBy("item").agg(F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n")).orderBy("item").collect()
-    placed = pack(np.array([[r["size"], r["tokens"], r["n"]] for r in sums], dtype=float).reshape(len(sums), 3), shards)
+    placed = pack(np.array([[r["size"], r["tokens"], r["n"]] for r in sums], dtype=float).reshape(len(sums), 3), shards, [None if r["item"]["g1"] is None else (r["item"]["g1"], r["item"]["g2"]) for r in sums])
     offset, table = [0] * shards, []
     for r, k in zip(sums, placed.tolist(), strict=True):
         table.append({"item": r["item"].asDict(), "shard": k, "base": offset[k]})

@@ -216,6 +216,20 @@ def test_sharding(spark, docs, none, rows):
     assert max(size.values()) / (sum(size.values()) / 8) < 1.02 and len(size) == 8
 
 
+def test_groups_that_fit_a_shard_stay_whole(spark):
+    """Groups of 2 to 40 copies, each beyond a cell's share and below a shard's, and one group larger than a shard."""
+    data = [f"group {g} " * (1 + g % 5) for g in range(40) for _ in range(2 + g)] + [f"single {i} " * (1 + i % 7) for i in range(600)] + ["too large for one " * 4] * 500
+    d = spark.createDataFrame(list(enumerate(data)), "doc_id long, text string")
+    where, size, rows = defaultdict(set), Counter(), Counter()
+    for r in sharding.by_bytes(d, 8).collect():
+        where[data[r["doc_id"]]].add(r["shard"])
+        size[r["shard"]] += r["size"]
+        rows[r["shard"]] += 1
+    assert all(len(s) == 1 for t, s in where.items() if not t.startswith("too large"))
+    assert len(where["too large for one " * 4]) > 1
+    assert max(size.values()) / (sum(size.values()) / 8) < 1.03 and sum(rows.values()) == len(data)
+
+
 # ------------------------------------------------------------------ 6
 
 
