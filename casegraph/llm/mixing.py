@@ -1,13 +1,16 @@
 """Mixing sources to target weights: Pfair scheduling of source blocks, in built-in functions only.
 
-The rows of a source, in hash order, form blocks of ``block_rows``. One slot runs one block. With the weight
-w = quota / period of its source, block j (from 0) is released at floor(j / w) and due at ceil((j + 1) / w); in each
-slot the released block with the earliest deadline runs. Weights sum to 1, so every block meets its deadline, and
-after any number of slots a source has run less than one block more or less than its weight says.
-
-Quotas are integers, so the schedule repeats each period: only one period of a few thousand slots is simulated (by a
-fold in one row of a tiny table), whatever the size of the data, and a block finds its slot by division. When a source
-ends, a new phase begins: the others share its weight in proportion. All rows stay.
+The rows of a source, in hash order, form blocks of ``block_rows``. One slot runs one block. With the weight w of its
+source, a share of 1, block j (from 0) is released at floor(j / w) and due at ceil((j + 1) / w); in each slot the
+released block with the earliest deadline runs. Weights sum to 1, so every block meets its deadline, and after any
+number of slots of a phase a source has run less than one block more or less than its weight says. When a source ends,
+a new phase begins: the others share its weight in proportion. All rows stay.
+
+Weights are integer parts of a total as large as 64 bits allow for a phase of n blocks (2**62 / n, 2**48 at most), so
+that releases and deadlines are exact; what the rounding to parts adds over a phase is n * n / 2**62 of a block, or
+n / 2**48 for small n. The schedule doesn't repeat. The driver walks it, a step a block and none a row, and keeps only
+where each source stands every ``period`` slots; tasks run these stretches again, side by side, for the slots of the
+blocks, and each cell of a source (below) gets those of its own blocks.
 
 Numbering a source's rows never sorts a source in one task: a source is cut by hash in cells, cells are counted
 (pre-aggregated), and a row's rank is its cell's offset and its rank in the cell.
@@ -20,6 +23,8 @@ from __future__ import annotations
 
 import json
 from collections.abc import Mapping
+from fractions import Fraction
+from heapq import heapify, heappop, heappush
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,16 +32,17 @@ from pyspark.sql.window import Window
 
 #: Rows aimed at in a cell, and most cells of a source.
 CELL_ROWS, MOST_CELLS = 1024, 8192
-#: The slot of the j-th block of a phase.
-_SLOT = "p.first_slot + (j div p.quota) * p.period + p.at[cast(j % p.quota as int)]"
+#: The most parts that weights are divided into.
+MOST_PARTS = 1 << 48
 
 
-def quotas(weights: list[float], period: int, most: list[int] | None = None) -> list[int]:
+def quotas(weights: list[float], period: int) -> list[int]:
     """Integers of at least 1 that sum to the period, nearest to the weights by largest remainder."""
-    total = sum(weights)
-    exact = [w / total * period for w in weights]
+    shares = [Fraction(w) for w in weights]
+    total = sum(shares)
+    exact = [w * period / total for w in shares]
     out = [max(1, int(x)) for x in exact]
-    order = sorted(range(len(out)), key=lambda i: (-(exact[i] - int(exact[i])), i))
+    order = sorted(range(len(out)), key=lambda i: (int(exact[i]) - exact[i], i))
     for i in order[: max(0, period - sum(out))]:
         out[i] += 1
     while sum(out) > period:
@@ -44,23 +50,35 @@ def quotas(weights: list[float], period: int, most: list[int] | None = None) ->
     return out
 
 
-def phases(blocks: list[int], weights: list[float], period: int) -> list[dict]:
-    """Phases in which the same sources are active: their quotas, whole periods, first slot, and first blocks.
-
-    A phase ends with the last whole period that every active source can fill; if that is none, one shorter period
-    uses up the scarcest source. There are at most two phases a source."""
-    left, out, slot = list(blocks), [], 0
+def schedule(blocks: list[int], weights: list[float], period: int) -> tuple[list[dict], list[dict], list[int]]:
+    """The phases, in which the same sources are active, with their quotas, first slot and first blocks; stretches of at
+    most ``period`` slots of them with the blocks that each source has run before; and the slot of each source's last block."""
+    left, phases, stretches, ends, slot = list(blocks), [], [], [0] * len(blocks), 0
     while active := [i for i, n in enumerate(left) if n > 0]:
-        q = quotas([weights[i] for i in active], max(period, 2 * len(active)))
-        rounds = min(left[i] // n for i, n in zip(active, q, strict=True))
-        if not rounds:
-            share = min(left[i] / n for i, n in zip(active, q, strict=True))
-            q, rounds = [min(left[i], max(1, round(n * share))) for i, n in zip(active, q, strict=True)], 1
-        out.append({"first_slot": slot, "rounds": rounds, "period": sum(q), "sources": [{"source_no": i, "quota": n, "first_block": blocks[i] - left[i]} for i, n in zip(active, q, strict=True)]})
-        for i, n in zip(active, q, strict=True):
-            left[i] -= n * rounds
-        slot += rounds * sum(q)
-    return out
+        total = max(2 * len(active), min(MOST_PARTS, (1 << 62) // (sum(left) + 1)))
+        q = quotas([weights[i] for i in active], total)
+        first = [blocks[i] - left[i] for i in active]
+        phases.append({"first_slot": slot, "period": total, "sources": [{"source_no": i, "quota": n, "first_block": f} for i, n, f in zip(active, q, first, strict=True)]})
+        done, t, begin, before = [0] * len(active), 0, 0, [0] * len(active)
+        ready, waiting = [(-(-total // n), k) for k, n in enumerate(q)], []
+        heapify(ready)
+        ended = False
+        while not ended:
+            while waiting and waiting[0][0] <= t:
+                heappush(ready, heappop(waiting)[1:])
+            k = heappop(ready)[1]
+            done[k] += 1
+            ended = done[k] == left[active[k]]
+            heappush(waiting, (done[k] * total // q[k], -(-(done[k] + 1) * total // q[k]), k))
+            t += 1
+            if ended or t - begin == period:
+                stretches.append({"first_slot": slot, "begin": begin, "slots": t - begin, "period": total, "q": q, "done": before, "source_no": active, "first_block": first})
+                begin, before = t, list(done)
+        ends[active[k]] = slot + t - 1
+        for i, n in zip(active, done, strict=True):
+            left[i] -= n
+        slot += t
+    return phases, stretches, ends
 
 
 def literal(rows: list[dict], schema: str, spark) -> DataFrame:
@@ -68,62 +86,71 @@ def literal(rows: list[dict], schema: str, spark) -> DataFrame:
     return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<{schema}>")))
 
 
-def earliest_deadline_first(q: Column, period: Column) -> Column:
-    """The order in which a period's slots go to the sources: an array of indexes into the quotas."""
+def earliest_deadline_first(q: Column, period: Column, begin: str = "0L", slots: str = "period", done: str = "transform(q, x -> 0L)") -> Column:
+    """The order in which slots go to the sources: an array of indexes into the quotas.
+
+    ``slots`` slots from ``begin`` on, before which the sources have run ``done`` blocks: one whole period by default."""
     due = "((s.done[i] + 1) * period + q[i] - 1) div q[i]"
-    pick = f"array_min(transform(sequence(0, size(q) - 1), i -> if(s.done[i] < q[i] and (s.done[i] * period) div q[i] <= t, struct({due} as due, i as i), null))).i"
-    fold = f"aggregate(sequence(0L, period - 1), struct(transform(q, x -> 0L) as done, cast(array() as array<int>) as ran), (s, t) -> aggregate(array({pick}), s, (z, p) -> struct(transform(z.done, (d, k) -> if(k = p, d + 1, d)) as done, concat(z.ran, array(p)) as ran)), s -> s.ran)"
+    pick = f"array_min(transform(sequence(0, size(q) - 1), i -> if((s.done[i] * period) div q[i] <= t, struct({due} as due, i as i), null))).i"
+    fold = f"aggregate(sequence({begin}, {begin} + {slots} - 1), struct({done} as done, cast(array() as array<int>) as ran), (s, t) -> aggregate(array({pick}), s, (z, p) -> struct(transform(z.done, (d, k) -> if(k = p, d + 1, d)) as done, concat(z.ran, array(p)) as ran)), s -> s.ran)"
     return F.expr(fold)
 
 
-def ranked(docs: DataFrame) -> tuple[DataFrame, list[tuple[str | None, int]]]:
-    """The rows with ``source_no`` and ``source_rank`` (from 0, in hash order), and the sources with their counts."""
+def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame, list[tuple[str | None, int]]]:
+    """The rows with ``source_no``, their cell and rank in it (in hash order), the cells with their offsets in the source's ranks, and the sources with their counts."""
     counts = [(r["source"], r["n"]) for r in docs.groupBy("source").agg(F.count(F.lit(1)).alias("n")).orderBy("source").collect()]
     spark = docs.sparkSession
     table = literal([{"source": s, "source_no": i, "cells": max(1, min(MOST_CELLS, n // CELL_ROWS))} for i, (s, n) in enumerate(counts)], "struct<source string, source_no int, cells long>", spark)
     keyed = docs.join(F.broadcast(table), docs["source"].eqNullSafe(table["source"])).drop(table["source"])
     keyed = keyed.withColumn("_order", F.xxhash64("doc_id")).withColumn("_cell", F.expr("pmod(_order, cells)"))
     per_cell = keyed.groupBy("source_no", "_cell").agg(F.count(F.lit(1)).alias("n"))
-    offsets = per_cell.select("source_no", "_cell", (F.sum("n").over(Window.partitionBy("source_no").orderBy("_cell")) - F.col("n")).alias("_offset"))
+    offsets = per_cell.select("source_no", "_cell", "n", (F.sum("n").over(Window.partitionBy("source_no").orderBy("_cell")) - F.col("n")).alias("_offset"))
     within = F.row_number().over(Window.partitionBy("source_no", "_cell").orderBy("_order", "doc_id")) - 1
-    placed = keyed.withColumn("_within", within).join(offsets, ["source_no", "_cell"]).withColumn("source_rank", F.col("_offset") + F.col("_within"))
-    return placed.drop("cells", "_order", "_cell", "_within", "_offset"), counts
+    return keyed.withColumn("_within", within).drop("cells", "_order"), offsets, counts
+
+
+def block_slots(stretches: list[dict], spark) -> DataFrame:
+    """(source_no, block, slot) of all blocks: each row of the stretches is run by itself."""
+    table = literal(stretches, "struct<first_slot long, begin long, slots long, period long, q array<long>, done array<long>, source_no array<int>, first_block array<long>>", spark)
+    ran = table.repartition(F.col("first_slot") + F.col("begin")).withColumn("order", earliest_deadline_first(F.col("q"), F.col("period"), "begin", "slots", "done"))
+    each = ran.select("first_slot", "begin", "source_no", "first_block", "done", F.posexplode("order").alias("at", "who"))
+    each = each.select("first_slot", "begin", "at", F.expr("source_no[who]").alias("source_no"), F.expr("first_block[who] + done[who]").alias("_from"))
+    nth = F.row_number().over(Window.partitionBy("first_slot", "begin", "source_no").orderBy("at")) - 1
+    return each.select("source_no", (F.col("_from") + nth).alias("block"), (F.col("first_slot") + F.col("begin") + F.col("at")).alias("slot"))
 
 
 def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, block_rows: int = 64, period: int = 1024, temper: float = 0.5, default_weight: float = 1.0, id_col: str = "doc_id", source_col: str = "source", carry: bool = False) -> DataFrame:
     """(doc_id, source) of all rows with source_rank, block, release, deadline, slot and position (gapless from 0: the order of the mixture).
 
     ``weights``: of the sources; without, a source's row count to the power ``temper``. ``release`` and ``deadline``
-    are slots: the block runs in ``slot`` with release <= slot < deadline. The table of sources is collected
-    (a row a source), never their rows. ``carry``: keep the whole row as a struct, ``row``."""
+    are slots: the block runs in ``slot`` with release <= slot < deadline. ``period``: slots that are run at a time; it
+    doesn't change the result. The table of sources is collected (a row a source), never their rows. ``carry``: keep the
+    whole row as a struct, ``row``."""
     if weights is not None and any(w <= 0 for w in [*weights.values(), default_weight]):
         raise ValueError("weights must be above 0")
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), *([F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if carry else []))
-    rows, counts = ranked(slim)
+    rows, offsets, counts = numbered(slim)
     blocks = [-(-n // block_rows) for _, n in counts]
     target = [float(n) ** temper if weights is None else float(weights.get(s, default_weight)) for s, n in counts]
-    plan = phases(blocks, target, period)
-    whole = "struct<first_slot long, rounds long, period long, sources array<struct<source_no int, quota long, first_block long>>>"
-    ran = literal(plan, whole, spark).withColumn("q", F.col("sources.quota")).withColumn("order", earliest_deadline_first(F.col("q"), F.col("period")))
-    slots = ran.select("first_slot", "rounds", "period", "sources", F.posexplode("order").alias("at", "who"))
-    slots = slots.select("first_slot", "rounds", "period", "at", F.expr("sources[who].source_no").alias("source_no"), F.expr("sources[who].quota").alias("quota"), F.expr("sources[who].first_block").alias("first_block"))
-    nth = F.row_number().over(Window.partitionBy("source_no", "first_slot").orderBy("at")) - 1
-    # a row a source, phase and block of the period: bounded by the numbers of sources and phases and the period
-    pattern = slots.withColumn("nth", nth).groupBy("source_no", "first_block").agg(F.first("first_slot").alias("first_slot"), F.first("rounds").alias("rounds"), F.first("period").alias("period"), F.first("quota").alias("quota"), F.transform(F.sort_array(F.collect_list(F.struct("nth", "at"))), lambda x: x["at"]).alias("at"))
-    per_source = pattern.groupBy("source_no").agg(F.sort_array(F.collect_list(F.struct("first_block", "first_slot", "period", "quota", "at"))).alias("phases"))
-    out = rows.withColumn("block", F.expr(f"source_rank div {block_rows}L")).join(F.broadcast(per_source), "source_no")
+    plan, stretches, ends = schedule(blocks, target, period)
+    # a cell's rows are consecutive ranks: it gets the slots of the blocks from its first rank's to its last's
+    spans = offsets.withColumn("block", F.explode(F.expr(f"sequence(_offset div {block_rows}L, (_offset + n - 1) div {block_rows}L)")))
+    met = spans.join(block_slots(stretches, spark), ["source_no", "block"])
+    cells = met.groupBy("source_no", "_cell", "_offset").agg(F.transform(F.sort_array(F.collect_list(F.struct("block", "slot"))), lambda x: x["slot"]).alias("_slots"))
+    # a row a source: bounded by the numbers of sources and phases
+    per_source = [{"source_no": i, "phases": [{"first_block": x["first_block"], "first_slot": p["first_slot"], "period": p["period"], "quota": x["quota"]} for p in plan for x in p["sources"] if x["source_no"] == i]} for i in range(len(counts))]
+    phases = literal(per_source, "struct<source_no int, phases array<struct<first_block long, first_slot long, period long, quota long>>>", spark)
+    out = rows.join(cells, ["source_no", "_cell"]).withColumn("source_rank", F.col("_offset") + F.col("_within")).withColumn("block", F.expr(f"source_rank div {block_rows}L"))
+    out = out.withColumn("slot", F.expr(f"_slots[cast(block - _offset div {block_rows}L as int)]")).drop("_cell", "_offset", "_within", "_slots").join(F.broadcast(phases), "source_no")
     out = out.withColumn("p", F.expr("element_at(filter(phases, x -> x.first_block <= block), -1)")).drop("phases")
     out = out.withColumn("j", F.expr("block - p.first_block"))
     out = out.withColumns({
         "release": F.expr("p.first_slot + (j * p.period) div p.quota"),
         "deadline": F.expr("p.first_slot + ((j + 1) * p.period + p.quota - 1) div p.quota"),
-        "slot": F.expr(_SLOT),
     }).drop("p", "j")
     # only a source's last block may be short: what the earlier ones lack is a list of one entry a source
-    lacks = literal([{"source_no": i, "block": b - 1, "lack": b * block_rows - n} for i, ((_, n), b) in enumerate(zip(counts, blocks, strict=True)) if b * block_rows > n], "struct<source_no int, block long, lack long>", spark)
-    ends = lacks.join(F.broadcast(per_source), "source_no").withColumn("p", F.expr("element_at(filter(phases, x -> x.first_block <= block), -1)")).withColumn("j", F.expr("block - p.first_block"))
-    gaps = [{"end_slot": r[0], "lack": r[1]} for r in ends.select(F.expr(_SLOT), "lack").collect()]
+    gaps = [{"end_slot": e, "lack": b * block_rows - n} for e, (_, n), b in zip(ends, counts, blocks, strict=True) if b * block_rows > n]
     lacking = F.aggregate(F.from_json(F.lit(json.dumps(gaps)), "array<struct<end_slot long, lack long>>"), F.lit(0).cast("long"), lambda t, g: t + F.when(g["end_slot"] < F.col("slot"), g["lack"]).otherwise(0))
     return out.withColumn("position", F.col("slot") * block_rows + F.col("source_rank") % block_rows - lacking).select("doc_id", "source", "source_rank", "block", "release", "deadline", "slot", "position", *(["row"] if carry else []))
 

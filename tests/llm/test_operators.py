@@ -462,3 +462,19 @@ def test_mixing_stays_within_a_block(spark):
         seen[r["source"]] += 1
         for s, w in (("a", 1 / 7), ("b", 1 / 7), ("c", 5 / 7)):
             assert abs(seen[s] - w * t) < 1
+
+
+@pytest.mark.parametrize("weights,rows", [({"a": 1.0, "b": 2.0}, {"a": 400, "b": 800}), ({"a": 1.0, "b": 700.0, "c": 2999.0}, {"a": 3, "b": 600, "c": 2400}), ({"a": 5.0} | {f"s{i:02}": 1.0 for i in range(23)}, {"a": 700} | {f"s{i:02}": 140 for i in range(23)})])
+def test_mixing_keeps_to_the_weights_over_many_periods(spark, weights, rows):
+    """Weights that don't divide the period: within a block until the first source ends."""
+    d = spark.createDataFrame([(i, s) for i, s in enumerate(s for s, n in rows.items() for _ in range(n))], "doc_id long, source string")
+    got = sorted(mixing.mix(d, weights, block_rows=1, period=16).collect(), key=lambda r: r["slot"])
+    assert [r["slot"] for r in got] == [r["position"] for r in got] == list(range(len(d.collect())))
+    seen, total = Counter(), sum(weights.values())
+    for t, r in enumerate(got, 1):
+        seen[r["source"]] += 1
+        assert r["release"] <= r["slot"] < r["deadline"]
+        assert all(abs(seen[s] - w / total * t) < 1 for s, w in weights.items())
+        if seen[r["source"]] == rows[r["source"]]:
+            break
+    assert t > 50 * 16
