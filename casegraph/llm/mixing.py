@@ -156,6 +156,9 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, bloc
 
 
 def in_order(docs: DataFrame, **options) -> DataFrame:
-    """The documents with their own columns, range-partitioned and sorted by their place in the mixture: files written from it are read in that order."""
+    """The documents with their own columns, range-partitioned and sorted by their place in the mixture.
+
+    Each file written from it holds one range, in order, but Spark reads files by size and not by range: a reader that
+    needs the order asks for it again, which gives the same order as all rows are still there."""
     mixed = mix(docs, carry=True, **options)
     return mixed.repartitionByRange("position").sortWithinPartitions("position").select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))

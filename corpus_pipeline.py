@@ -32,13 +32,13 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order of the mixture; files keep that order."""
+    """All documents, in the order of the mixture."""
     return mixing.in_order(docs, block_rows=64, period=1024, temper=0.5)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of at most 1024 tokens."""
-    return packing.pack(docs, size=1024)
+    """The pieces of all documents in sequences of at most 1024 tokens. Spark rereads the mixture's files by size, so its order is made again."""
+    return packing.pack(mixing_stage(spark, docs, sf_dir), size=1024)
 
 
 STAGES = [

@@ -2,7 +2,7 @@ import pytest
 
 pytest.importorskip("casegraph.llm")
 import corpus_pipeline  # noqa: E402
-from casegraph.llm import registry  # noqa: E402
+from casegraph.llm import mixing, registry  # noqa: E402
 
 
 def test_stages_keep_columns_and_clean_documents(spark, sf):
@@ -26,6 +26,19 @@ def test_empty_documents(spark, sf):
         assert docs.count() == 0
 
 
+def test_packing_follows_the_mixture_over_files_of_unequal_size(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "ab " * (1500 + i), "abc"[min(2, i % 5)]) for i in range(300)], "doc_id long, text string, source string")
+    options = {"block_rows": 64, "period": 1024, "temper": 0.5}
+    rows = corpus_pipeline.mixing_stage(spark, docs, "").collect()
+    for a, z in ((0, 20), (20, 80), (80, 300)):
+        spark.createDataFrame(rows[a:z], docs.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "mixed"))
+    place = {r["doc_id"]: r["position"] for r in mixing.mix(docs, **options).collect()}
+    assert [place[r["doc_id"]] for r in rows] == list(range(300))
+    pieces = corpus_pipeline.packing_stage(spark, spark.read.parquet(str(tmp_path / "mixed")), "").where("start = 0 and sequence_id >= 0").orderBy("sequence_id", "offset").collect()
+    got = [place[r["doc_id"]] for r in pieces]
+    assert got == sorted(got) and len(got) == 300
+
+
 def test_registry_names():
     assert sorted(int(k[2:].split("_")[0]) for k in registry.queries()) == list(range(1, 11))
 
