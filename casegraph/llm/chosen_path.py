@@ -9,7 +9,8 @@ pairs are compared, exactly, by their shingles. A bucket that sampling can't spl
 cells, each pair of sets meeting in one: no cap drops a pair.
 
 Runs repeat until the recall aimed at: the survival of a pair at the threshold is known for each run
-(``survival``), and the number of runs follows. After a first batch of runs, links are merged to components; later runs
+(``survival``), and the number of runs follows. It is that of paths as long as the deepest split makes them, so a pair
+in large buckets reaches the recall too, whatever the sizes of its buckets. After a first batch of runs, links are merged to components; later runs
 look only at buckets that hold sets of more than one component. A bucket yields the links of a spanning
 forest, not its pairs; buckets with the same members are looked at once.
 
@@ -299,7 +300,8 @@ def classes_and_links(docs: DataFrame, words: int = 5, threshold: float = 0.8, r
     """Of each row (doc_id, thash, ck); of each class (ck, group, class_id, n_links, n_copies): the group it belongs to, the documents
     of other classes that it is similar to, and the documents of its own."""
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lower(text_or_empty(text_col)).alias("text"), F.xxhash64(text_or_empty(text_col)).alias("thash"))
-    runs = runs_for(recall, threshold, beta)
+    # sets of a bucket that is split must share its further shingles too: runs count on the deepest level
+    runs = runs_for(recall, threshold, beta, 2 + depth)
     rows = materialise(slim.mapInArrow(_sign(words, beta, runs), "doc_id long, thash long, ck binary, n int, paths array<struct<run int, key long>>"), "signed")
     classes = materialise(rows.groupBy("ck").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_copies"), F.first("paths").alias("paths")), "classes")
     steps = classes.select("ck", "rep", F.explode("paths").alias("p")).select("ck", "rep", "p.run", "p.key")

@@ -288,6 +288,15 @@ def test_runs_reach_recall():
     assert (1 - chosen_path.survival(0.8, 1.5, 2)) ** n <= 0.001
 
 
+@pytest.mark.parametrize("depth", [0, 2])
+def test_runs_reach_recall_in_split_buckets(none, monkeypatch, depth):
+    """A pair whose common paths all lie in buckets that are split follows ``depth`` more shingles."""
+    used, sign = [], chosen_path._sign
+    monkeypatch.setattr(chosen_path, "_sign", lambda words, beta, runs: used.append(runs) or sign(words, beta, runs))
+    chosen_path.classes_and_links(none, depth=depth)
+    assert (1 - chosen_path.survival(0.8, 1.5, 2 + depth)) ** used[0] <= 0.001
+
+
 # ------------------------------------------------------------------ 7
 
 
