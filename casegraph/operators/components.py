@@ -1,4 +1,4 @@
-"""Connected components of a table of links, by minimum labels and pointer jumping; nothing is collected."""
+"""Connected components of a table of links, by contraction: the graph shrinks each round; nothing is collected."""
 
 from __future__ import annotations
 
@@ -7,19 +7,39 @@ from pyspark.sql import functions as F
 
 from casegraph.sources.shared import materialise
 
+#: Rows of the smaller side are repeated so often, so that a label that a third of all nodes share spans as many tasks.
+SALTS = 16
+
+
+def spread_join(rows: DataFrame, by: str, table: DataFrame, key: str, how: str = "left") -> DataFrame:
+    """``rows`` with the row of ``table`` whose ``key`` (unique) is their ``by``: a hot value of ``by`` is dealt to SALTS tasks."""
+    salted = table.withColumn("_salt", F.explode(F.array(*(F.lit(i) for i in range(SALTS)))))
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
+    return dealt.join(salted, (dealt[by] == salted[key]) & (dealt["_salt"] == salted["_salt"]), how).drop("_salt")
+
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of ``links`` (a, b): the least node that it is connected with.
 
-    Each round every node takes the least label of itself and its neighbours, then the label of its label, so
-    labels travel twice as far in each round. Rounds end when nothing changes; each is written to the shared folder."""
-    both = materialise(links.where("a <> b").select("a", "b").unionByName(links.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), "labels")
-    while True:
-        near = both.join(labels.select(F.col("node").alias("b"), F.col("label").alias("l")), "b").groupBy(F.col("a").alias("node")).agg(F.min("l").alias("l"))
-        lower = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "l").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        jumped = materialise(lower.join(jump, "label").select("node", "old", F.least("label", "next").alias("label")), "labels")
-        if jumped.where("old <> label").isEmpty():
-            return jumped.select("node", F.col("label").alias("component"))
-        labels = jumped.select("node", "label")
+    In each round every node moves to the one of itself and its neighbours that comes first in an order drawn anew by
+    hash, and the links move with their ends; loops and repeats go. So stars fall together in a round or two and chains
+    lose a constant share of their nodes, whatever their order. Each round is written to the shared folder. Where the
+    nodes have gone is composed round by round, and the least node of each end point is the component's name."""
+    edges = materialise(links.where("a <> b").select("a", "b").distinct(), "links")
+    moves: list[DataFrame] = []
+    while not edges.isEmpty():
+        first = lambda c: F.struct(F.xxhash64(F.lit(len(moves)), c).alias("o"), c.alias("n"))  # noqa: E731, B023
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        to = both.groupBy(F.col("a").alias("node")).agg(F.least(first(F.col("node")), F.min(first(F.col("b")))).alias("to")).select("node", F.col("to.n").alias("to"))
+        moved = materialise(to, "moves")
+        moves.append(moved)
+        ends = edges.join(moved.select(F.col("node").alias("a"), F.col("to").alias("x")), "a").join(moved.select(F.col("node").alias("b"), F.col("to").alias("y")), "b")
+        edges = materialise(ends.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
+    if not moves:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    at = moves[0]
+    for later in moves[1:]:
+        at = spread_join(at, "to", later.select(F.col("node").alias("n"), F.col("to").alias("next")), "n").select("node", F.coalesce("next", "to").alias("to"))
+    at = materialise(at, "roots") if len(moves) > 1 else at
+    least = at.groupBy("to").agg(F.least(F.min("node"), F.col("to")).alias("component")).withColumnRenamed("to", "root")
+    return spread_join(at, "to", least, "root", "inner").select("node", "component")

@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or a new local folder where that is unset (tests)."""
+    """``spark.checkpoint.dir``, or the folder given to ``setCheckpointDir``; an error where neither is set, as a folder of
+    this machine would be out of the executors' sight. On a local master that can't happen: the warehouse folder serves."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if jdir.isDefined():
-            return jdir.get()
-        found = "file://" + tempfile.mkdtemp(prefix="casegraph-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
+    if found:
+        return found
+    context = spark.sparkContext
+    given = context._jsc.sc().getCheckpointDir()
+    if given.isDefined():
+        return given.get()
+    if not context.master.startswith("local[") and context.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
