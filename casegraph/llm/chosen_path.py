@@ -3,16 +3,19 @@
 A document is the set of its shingles (``words`` consecutive words, lower case; all words where there are fewer).
 Documents with equal sets form a class; only classes are joined. In each run a set samples about ``beta`` of its
 shingles by a hash that all sets share, then again below each of them: the sampled shingles are a path, and two
-similar sets follow a common path with a probability that their similarity bounds from below. Sets on one path are a
-bucket. A bucket of more than ``small`` sets is split by one more sampled shingle, recursively; in a small one all
-pairs are compared, exactly, by their shingles. A bucket that sampling can't split, as its sets are alike, is cut in
-cells, each pair of sets meeting in one: no cap drops a pair.
+similar sets follow a common path with a probability that their similarity bounds from below (``survival``). Sets on
+one path are a bucket; in a bucket of up to ``small`` sets all pairs are compared, exactly, by their shingles. Runs
+repeat until the recall aimed at: their number follows from the survival of a pair at the threshold.
 
-Runs repeat until the recall aimed at: the survival of a pair at the threshold is known for each run
-(``survival``), and the number of runs follows. It is that of paths as long as the deepest split makes them, so a pair
-in large buckets reaches the recall too, whatever the sizes of its buckets. After a first batch of runs, links are merged to components; later runs
-look only at buckets that hold sets of more than one component. A bucket yields the links of a spanning
-forest, not its pairs; buckets with the same members are looked at once.
+A bucket of more sets mostly stems from a passage that many texts share, which sampling splits badly. The sets of such
+buckets are pooled and joined exactly instead: shingles are counted in the pool, and each set stands in the buckets of
+its rarest shingles, as many as it can lack and still reach the threshold, and one more. Any two similar sets
+share one of these, so no pair of the pool is lost. A bucket that is still large, as its sets are alike, is dealt to
+chunks, each compared within itself and with a few sets that all chunks get (pivots); when their links are merged, the
+sets outside the bucket's largest component are compared with all its sets. No cap drops a pair.
+
+After the first runs, links are merged to components; later runs look only at buckets that hold sets of more than one
+component. A bucket yields the links of a spanning forest, not its pairs; buckets with the same members are looked at once.
 
 At last the links of a class are counted, exactly: each component's sets are dealt to cells of at most about
 ``cell`` by ``cell`` sets, and each task counts links by class without emitting pairs.
@@ -255,75 +258,96 @@ def in_cells(rows: DataFrame, size: str, cell: int) -> DataFrame:
     return dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")}).drop("chunks", "other")
 
 
-def _split(beta: float):
-    """Rows one sampled shingle further down."""
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row a shingle: (ck, n, token), n being the size of the set."""
+    for b in batches:
+        cks, sets = b.column("ck").to_pylist(), [unpack_set(x) for x in b.column("set").to_pylist()]
+        for a, z in slices([len(x) for x in sets], 1 << 18):
+            size = [len(x) for x in sets[a:z]]
+            own = np.repeat(np.arange(z - a), size)
+            yield pa.RecordBatch.from_arrays([pa.array(cks[a:z], pa.binary()).take(pa.array(own)), pa.array(np.repeat(size, size), pa.int32()), pa.array(np.concatenate(sets[a:z]).view(np.int64))], names=["ck", "n", "token"])
 
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        keys, cks, out = b.column("key").to_numpy(), b.column("ck").to_pylist(), []
-        for k, ck, s in zip(keys.tolist(), cks, b.column("set").to_pylist(), strict=True):
-            h = unpack_set(s)
-            bounds = np.array([0, len(h)])
-            _, path = step(h, bounds, _limits(bounds, beta), np.array([0]), np.array([k % (1 << 64)], dtype=_U))
-            out.extend((int(p) - (1 << 63), ck) for p in path.tolist())
-        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], type=t) for i, t in enumerate((pa.int64(), pa.binary()))], names=["key", "ck"])
 
-    return by_batch(run)
+def rarest(pool: DataFrame, sets: DataFrame, threshold: float, small: int) -> DataFrame:
+    """(run, key, ck): each set of the pool at its rarest shingles; any two sets that reach the threshold share one.
+
+    Only shingles of more than ``small`` sets are told apart by their counts; all others come first, by their hashes."""
+    tokens = materialise(sets.join(pool, "ck", "left_semi").mapInArrow(_tokens, "ck binary, n int, token long"), "tokens")
+    common = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > small)
+    place = F.row_number().over(Window.partitionBy("ck").orderBy(F.coalesce("df", F.lit(0)), "token"))
+    ranked = tokens.join(common, "token", "left").withColumn("place", place)
+    return ranked.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select(F.lit(-1).alias("run"), F.xxhash64(F.lit(7), "token").alias("key"), "ck")
 
 
-def unlike(steps: DataFrame) -> DataFrame:
-    """(key, size) of the buckets of rows (key, ck, in) with sets of two or more components ``in``; of those with the same members one is enough."""
-    sized = steps.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("in").alias("lo"), F.max("in").alias("hi"), F.bit_xor(F.xxhash64("ck")).alias("who"), F.bit_xor(F.xxhash64(F.lit(1), "ck")).alias("who2")).where("lo <> hi")
-    return sized.groupBy("size", "who", "who2").agg(F.min("key").alias("key")).select("key", "size")
+def unlike(steps: DataFrame, small: int) -> DataFrame:
+    """(key, size) of the buckets of rows (run, key, ck, in) with sets of two or more components ``in``, but for the large
+    ones of runs, whose sets are pooled; of those with the same members one is enough."""
+    sized = steps.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("run").alias("run"), F.min("in").alias("lo"), F.max("in").alias("hi"), F.bit_xor(F.xxhash64("ck")).alias("who"), F.bit_xor(F.xxhash64(F.lit(1), "ck")).alias("who2"))
+    return sized.where(F.col("lo") != F.col("hi")).where((F.col("run") < 0) | (F.col("size") <= small)).groupBy("size", "who", "who2").agg(F.min("key").alias("key")).select("key", "size")
 
 
-def members(steps: DataFrame, keys: DataFrame) -> DataFrame:
-    return materialise(steps.select("key", "ck").join(keys, "key"), "buckets")
+def compared(cells: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): the spanning links of each cell of rows (key, i, j, ck)."""
+    full = cells.join(sets, "ck").select("key", "i", "j", "ck", "set").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return materialise(full.mapInArrow(_forest(threshold), "a binary, b binary"), "bucket-links")
 
 
-def bucket_links(buckets: DataFrame, sets: DataFrame, threshold: float, beta: float, small: int, depth: int) -> DataFrame:
-    """(a, b): spanning links of all buckets (key, ck, size), large ones split by up to ``depth`` more shingles."""
-    found = None
-    for level in range(depth + 1):
-        last = level == depth or buckets.where(F.col("size") > small).isEmpty()
-        now = buckets if last else buckets.where(F.col("size") <= small)
-        cells = in_cells(now.join(sets, "ck"), "size", small).select("key", "i", "j", "ck", "set").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-        links = materialise(cells.mapInArrow(_forest(threshold), "a binary, b binary"), "bucket-links")
-        found = links if found is None else found.unionByName(links)
-        if last:
-            return found
-        large = buckets.where(F.col("size") > small).join(sets, "ck").select("key", "ck", "set")
-        deeper = materialise(large.mapInArrow(_split(beta), "key long, ck binary").withColumn("in", F.col("ck")), "deeper")
-        buckets = members(deeper, unlike(deeper))
+def in_chunks(buckets: DataFrame, small: int, pivots: int = 32) -> DataFrame:
+    """The rows (key, ck, size) dealt to chunks of about ``small`` sets; some ``pivots`` of a larger bucket stand in all its chunks."""
+    dealt = buckets.withColumn("chunks", F.ceil(F.col("size") / small).cast("int"))
+    own = F.array(F.pmod(F.xxhash64(F.lit(3), "ck"), F.col("chunks")).cast("int"))
+    pivot = (F.col("chunks") > 1) & (F.pmod(F.xxhash64(F.lit(4), "ck"), F.ceil(F.col("size") / pivots)) == 0)
+    return dealt.select("key", "ck", F.explode(F.when(pivot, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(own)).alias("i")).withColumn("j", F.col("i"))
 
 
-def classes_and_links(docs: DataFrame, words: int = 5, threshold: float = 0.8, recall: float = 0.999, beta: float = 1.5, small: int = 1024, cell: int = 512, depth: int = 2, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def what_is_left(buckets: DataFrame, found: DataFrame, small: int) -> DataFrame:
+    """Cells (key, i, j, ck) in which each set of a large bucket outside its largest component meets all its sets."""
+    rows = materialise(buckets.where(F.col("size") > small).join(found, "ck", "left").select("key", "ck", F.coalesce("component", "ck").alias("in")), "large")
+    parts = rows.groupBy("key", "in").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("in", F.struct("n", "in")).alias("most"), F.sum("n").alias("all"), (F.sum("n") - F.max("n")).alias("others")).where("others > 0")
+    half = small // 2
+    dealt = rows.join(parts, "key").withColumns({"rows_of": F.ceil(F.col("others") / half).cast("int"), "cols_of": F.ceil(F.col("all") / half).cast("int")})
+    at = lambda n: F.pmod(F.xxhash64(F.lit(5), "ck"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    return dealt.where(F.col("in") != F.col("most")).select("key", at("rows_of").alias("i"), every("cols_of").alias("j"), "ck").unionByName(dealt.select("key", every("rows_of").alias("i"), at("cols_of").alias("j"), "ck"))
+
+
+def classes_and_links(docs: DataFrame, words: int = 5, threshold: float = 0.8, recall: float = 0.999, beta: float = 1.5, small: int = 1024, cell: int = 512, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Of each row (doc_id, thash, ck); of each class (ck, group, class_id, n_links, n_copies): the group it belongs to, the documents
     of other classes that it is similar to, and the documents of its own."""
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lower(text_or_empty(text_col)).alias("text"), F.xxhash64(text_or_empty(text_col)).alias("thash"))
-    # sets of a bucket that is split must share its further shingles too: runs count on the deepest level
-    runs = runs_for(recall, threshold, beta, 2 + depth)
+    runs = runs_for(recall, threshold, beta)
     rows = materialise(slim.mapInArrow(_sign(words, beta, runs), "doc_id long, thash long, ck binary, n int, paths array<struct<run int, key long>>"), "signed")
-    classes = materialise(rows.groupBy("ck").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_copies"), F.first("paths").alias("paths")), "classes")
-    steps = classes.select("ck", "rep", F.explode("paths").alias("p")).select("ck", "rep", "p.run", "p.key")
+    classes = materialise(rows.groupBy("ck").agg(F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "thash")).alias("at"), F.count(F.lit(1)).alias("n_copies"), F.first("paths").alias("paths")), "classes")
+    steps = classes.select("ck", "at", F.explode("paths").alias("p")).select("ck", "at", "p.run", "p.key")
     # the sets of the classes that share any bucket; copies are classes, so no bucket is large by them
-    shared = steps.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key")
-    wanted = steps.join(shared, "key", "left_semi").select("ck", "rep").distinct()
-    sets = materialise(slim.join(wanted, slim["doc_id"].eqNullSafe(wanted["rep"])).select("ck", "text").mapInArrow(_sets(words), "ck binary, set binary").groupBy("ck").agg(F.first("set").alias("set")), "sets")
+    shared = materialise(steps.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "shared")
+    wanted = steps.join(shared, "key", "left_semi").select("ck", "at.doc_id", "at.thash").distinct()
+    sets = materialise(slim.join(wanted, same_key(slim, wanted, "doc_id", "thash")).select("ck", "text").mapInArrow(_sets(words), "ck binary, set binary").groupBy("ck").agg(F.first("set").alias("set")), "sets")
+    steps = steps.select("run", "key", "ck")
     early = max(1, runs // 3)
-    first = steps.where(F.col("run") < early).withColumn("in", F.col("ck"))
-    links = bucket_links(members(first, unlike(first)), sets, threshold, beta, small, depth)
-    if runs > early:
-        merged = components(links).withColumnRenamed("node", "ck")
-        late = steps.where(F.col("run") >= early).join(merged, "ck", "left").withColumn("in", F.coalesce("component", "ck"))
-        links = links.unionByName(bucket_links(members(late, unlike(late)), sets, threshold, beta, small, depth))
+    first = steps.where(F.col("run") < early)
+    large = shared.where(F.col("size") > small)
+    if not large.isEmpty():
+        first = first.unionByName(rarest(steps.join(large, "key", "left_semi").select("ck").distinct(), sets, threshold, small))
+    first = materialise(first.withColumn("in", F.col("ck")), "steps")
+    members = lambda of: materialise(of.select("key", "ck").join(unlike(of, small), "key"), "buckets")
+    buckets = members(first)
+    links = compared(in_chunks(buckets, small), sets, threshold)
     found = components(links).withColumnRenamed("node", "ck")
+    if not buckets.where(F.col("size") > small).isEmpty():
+        links = links.unionByName(compared(what_is_left(buckets, found, small), sets, threshold))
+        found = components(links).withColumnRenamed("node", "ck")
+    if runs > early:
+        late = steps.where(F.col("run") >= early).join(found, "ck", "left").select("run", "key", "ck", F.coalesce("component", "ck").alias("in"))
+        links = links.unionByName(compared(in_chunks(members(late), small), sets, threshold))
+        found = components(links).withColumnRenamed("node", "ck")
     sized = found.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     facts = classes.select("ck", "rep", "n_copies")
     linked = found.join(sized, "component").join(facts, "ck").join(sets, "ck")
     cells = in_cells(linked, "size", cell).select("component", "i", "j", "ck", "set", F.col("n_copies").alias("members"), "chunk").repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
     counted = cells.mapInArrow(_count(threshold), "ck binary, classes long, docs long").groupBy("ck").agg(F.sum("docs").alias("n_links"))
-    head = linked.groupBy("component").agg(F.min("rep").alias("class_id"))
-    of = found.join(head, "component").join(counted, "ck", "left").select("ck", "component", "class_id", "n_links")
+    head = found.join(facts, "ck").groupBy("component").agg(F.min("rep").alias("class_id"))
+    of = materialise(found.join(head, "component").join(counted, "ck", "left").select("ck", "component", "class_id", "n_links"), "groups")
     each = facts.join(of, "ck", "left").select("ck", F.coalesce("component", "ck").alias("group"), F.when(F.col("class_id").isNull(), F.col("rep")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
     return rows.select("doc_id", "thash", "ck"), each
 
