@@ -62,6 +62,7 @@ def _spell(script: dict) -> tuple[re.Pattern, object]:
 
 
 _SCRIPTS = [_spell(KANNADA), _spell(DEVANAGARI)]
+# Fixed value: a word's final inherent a.
 _FINAL_A = re.compile(r"(?i)([bcdfghjklmnpqrstvwxyz])a(?=\s|$)")
 _HAS_INDIC = re.compile("[ऀ-ॿಀ-೿]")
 
@@ -86,10 +87,9 @@ def transliterate_udf(x: pd.Series) -> pd.Series:
 def normalise_latin(raw: Column) -> Column:
     """Lower case, without one title, without one suffix if two words remain, letters and single spaces only."""
     low = F.regexp_replace(F.lower(raw), rf"^({SALUTATIONS})\s+", "")
-    short = F.regexp_replace(low, rf"\s+({SUFFIXES})$", "")
-    enough = F.size(F.filter(F.split(F.trim(short), r"\s+"), lambda t: F.length(t) > 0)) >= 2
-    letters = F.regexp_replace(F.when(enough, short).otherwise(low), r"[^a-z\s]", "")
-    return F.coalesce(F.trim(F.regexp_replace(letters, r"\s+", " ")), F.lit(""))
+    # a suffix goes only after two other words; one pattern, so that the name stands in the expression once
+    short = F.regexp_replace(low, rf"(?s)^(\s*\S+\s+.*\S)\s+({SUFFIXES})$", "$1")
+    return F.coalesce(F.trim(F.regexp_replace(F.regexp_replace(short, r"[^a-z\s]", ""), r"\s+", " ")), F.lit(""))
 
 
 def normalise_name(raw: Column) -> Column:
@@ -132,8 +132,36 @@ def metaphone_name(name: Column) -> Column:
 
 def phonetic_key(name: Column) -> Column:
     """Soundex and metaphone of the first word; empty for an empty name."""
-    first = F.split(F.trim(name), r"\s+")[0]
-    return F.when(F.length(F.trim(name)) > 0, F.concat_ws(" ", soundex_token(first), metaphone_token(first))).otherwise("")
+    first = F.array(F.split(F.trim(name), r"\s+")[0])  # bound to a variable, so that the word is cut out once
+    return F.when(F.length(F.trim(name)) > 0, F.transform(first, lambda t: F.concat_ws(" ", soundex_token(t), metaphone_token(t)))[0]).otherwise("")
+
+
+def last_word_key(name: Column) -> Column:
+    """Soundex and metaphone of the last word."""
+    last = F.array(F.element_at(F.split(F.trim(name), r"\s+"), -1))
+    return F.when(F.length(F.trim(name)) > 0, F.transform(last, lambda t: F.concat_ws(" ", soundex_token(t), metaphone_token(t)))[0]).otherwise("")
+
+
+def initial_surname_key(name: Column) -> Column:
+    """The first letter and the soundex of the last word; empty for a name of one word."""
+    words = F.split(F.trim(name), r"\s+")
+    return F.when(F.size(words) > 1, F.transform(F.array(F.element_at(words, -1)), lambda t: F.concat_ws(" ", F.substring(F.trim(name), 1, 1), soundex_token(t)))[0]).otherwise("")
+
+
+def surname_age_key(name: Column, age: Column, band: int = 5) -> Column:
+    """The last word and the age's band of ``band`` years; empty without an age or a second word."""
+    words = F.split(F.trim(name), r"\s+")
+    return F.when((F.size(words) > 1) & age.isNotNull(), F.concat_ws(" ", F.element_at(words, -1), F.floor(age / band).cast("string"))).otherwise("")
+
+
+def spelling_variants(name: Column) -> Column:
+    """A name's own spelling and those that data entry makes of it: first word's initial, words swapped, a doubled letter dropped, vowels dropped after the first letter."""
+    words = F.split(F.trim(name), r"\s+")
+    two = F.size(words) > 1
+    return F.array_distinct(F.array_compact(F.array(
+        F.trim(name), F.when(two, F.concat_ws(" ", F.substring(F.trim(name), 1, 1), F.element_at(words, -1))), F.when(two, F.array_join(F.reverse(words), " ")),
+        F.regexp_replace(F.trim(name), r"([a-z])\1", "$1"), F.regexp_replace(F.trim(name), r"(?<=\w)[aeiou]", ""),
+    )))
 
 
 def jaro_winkler(a: str, b: str) -> float:

@@ -22,29 +22,58 @@ def block_stats(keyed: DataFrame) -> DataFrame:
     return sizes.agg(F.count(F.lit(1)).alias("blocks"), F.count_if(F.col("n") == 1).alias("singletons"), F.max("n").alias("largest"), scores.half_up(F.avg("n"), 2).alias("mean_size"), F.sum(F.expr("n * (n - 1) div 2")).cast("long").alias("pairs"))
 
 
-def pairs(keyed: DataFrame, by: str = "block_key", condition: Column | None = None) -> DataFrame:
-    """Pairs of different records of a block, the lesser key as ``a``. An equi-join: skewed blocks are split by adaptive execution.
+def by_strategies(records: DataFrame, strategies: list[Callable[[], Column]]) -> DataFrame:
+    """Records once for each key that the strategies give them, with the strategy's number in front so that keys don't mix."""
+    keys = F.array(*(F.when(F.length(s()) > 0, F.concat(F.lit(f"{i}:"), s())) for i, s in enumerate(strategies)))
+    return records.withColumn("block_key", F.explode(F.array_compact(keys)))
 
-    ``condition``: on structs ``a`` and ``b``, checked in the join."""
-    side = lambda x: keyed.select(F.col(by).alias("k"), F.struct(*keyed.columns).alias(x))
-    on = F.col("a.source_key") < F.col("b.source_key")
-    left, right = side("a"), side("b")
-    return left.join(right, "k").where(on if condition is None else on & condition).select("a", "b")
 
+def pairs(keyed: DataFrame, by: str = "block_key", condition: Column | None = None, cell: int = 2000) -> DataFrame:
+    """Pairs of different records of a block, the lesser key as ``a``, each once for each block that they share.
 
-def scored(candidates: DataFrame) -> DataFrame:
-    """Pairs with the four scores, their weighted sum and its class. Similarities of names are computed once a pair of names."""
-    spelt = candidates.select(F.col("a.name").alias("na"), F.col("b.name").alias("nb")).distinct()
-    spelt = spelt.withColumn("ns", names.name_score_udf("na", "nb"))
-    joined = candidates.join(spelt, (candidates["a.name"] == spelt["na"]) & (candidates["b.name"] == spelt["nb"]))
+    Blocks of more than ``cell`` records are dealt to chunks of about that size, and each pair of chunks is joined by itself,
+    so that no block is one task. ``condition``: on structs ``a`` and ``b``, checked in the join; it must not depend on their order."""
+    chunks = keyed.groupBy(F.col(by).alias("k")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cell).select("k", F.ceil(F.col("n") / cell).cast("int").alias("chunks"))
+    rows = keyed.select(F.col(by).alias("k"), F.struct(*keyed.columns).alias("x")).join(chunks, "k", "left")
+    rows = rows.select("k", "x", F.coalesce("chunks", F.lit(1)).alias("chunks"), F.pmod(F.xxhash64("x.source_key"), F.coalesce("chunks", F.lit(1))).cast("int").alias("c"))
+    left = rows.select("k", F.col("x").alias("a"), F.col("c").alias("i"), F.explode(F.sequence("c", F.col("chunks") - 1)).alias("j"))
+    right = rows.select("k", F.col("x").alias("b"), F.explode(F.sequence(F.lit(0), F.col("c"))).alias("i"), F.col("c").alias("j"))
+    on = (F.col("a.source_key") != F.col("b.source_key")) & ((F.col("i") < F.col("j")) | (F.col("a.source_key") < F.col("b.source_key")))
+    met = left.join(right, ["k", "i", "j"]).where(on if condition is None else on & condition)
+    ordered = F.col("a.source_key") < F.col("b.source_key")
+    return met.select(F.when(ordered, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(ordered, F.col("b")).otherwise(F.col("a")).alias("b"))
+
+
+def distinct_pairs(candidates: DataFrame) -> DataFrame:
+    """Pairs of several strategies once each."""
+    return candidates.withColumns({"_a": F.col("a.source_key"), "_b": F.col("b.source_key")}).dropDuplicates(["_a", "_b"]).drop("_a", "_b")
+
+
+def scored(candidates: DataFrame, least: float | None = None) -> DataFrame:
+    """Pairs with the four scores, their weighted sum and its class. Similarities of names are computed once a pair of names.
+
+    ``least``: only pairs that reach this score; those that can't, even with equal names, never get to the comparison of names."""
     km = scores.haversine(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon"))
     part = {
-        "name_score": F.col("ns"), "age_score": scores.age_score(F.col("a.age"), F.col("b.age")), "gender_score": scores.gender_score(F.col("a.gender"), F.col("b.gender")),
+        "age_score": scores.age_score(F.col("a.age"), F.col("b.age")), "gender_score": scores.gender_score(F.col("a.gender"), F.col("b.gender")),
         "location_score": scores.location_score(F.col("a.unit_id"), F.col("b.unit_id"), F.col("a.district_id"), F.col("b.district_id"), km),
     }
-    out = joined.select(F.col("a.source_key").alias("a"), F.col("b.source_key").alias("b"), *(scores.half_up(c, 2).alias(n) for n, c in part.items()))
-    out = out.withColumn("score", scores.composite({n: F.col(n) for n in part}))
-    return out.withColumn("decision", scores.gate(F.col("score")))
+    out = candidates.select(F.col("a.source_key").alias("a"), F.col("b.source_key").alias("b"), F.col("a.name").alias("na"), F.col("b.name").alias("nb"), *(scores.half_up(c, 2).alias(n) for n, c in part.items()))
+    if least is not None:
+        out = out.where(scores.composite({"name_score": F.lit(1.0)} | {n: F.col(n) for n in part}) >= least)
+    spelt = out.select("na", "nb").distinct().withColumn("name_score", scores.half_up(names.name_score_udf("na", "nb"), 2))
+    out = out.join(spelt, ["na", "nb"]).select("a", "b", "name_score", *part)
+    out = out.withColumn("score", scores.composite({n: F.col(n) for n in ("name_score", *part)})).withColumn("decision", scores.gate(F.col("score")))
+    return out if least is None else out.where(F.col("score") >= least)
+
+
+def match(spark, a: dict, b: dict) -> DataFrame:
+    """One pair of persons scored: each a dict of the record's fields, with ``name`` as written."""
+    record = "source_key string, name string, age double, gender string, unit_id string, district_id string, lat double, lon double"
+    two = spark.createDataFrame([tuple({"source_key": k, **x}.get(c.split()[0]) for c in record.split(", ")) for k, x in (("a", a), ("b", b))], record)
+    two = two.withColumn("name", names.normalise_name(F.col("name")))
+    side = lambda k: two.where(F.col("source_key") == k).select(F.lit(1).alias("one"), F.struct(*two.columns).alias(k))
+    return scored(side("a").join(side("b"), "one").select("a", "b"))
 
 
 def clusters(records: DataFrame, links: DataFrame) -> DataFrame:
@@ -71,6 +100,7 @@ def person_documents(records: DataFrame, clustered: DataFrame) -> DataFrame:
         F.sort_array(F.collect_set("name")).alias("name_variants"), F.floor(F.percentile("age", 0.5) + 0.5).cast("int").alias("age_estimate"), F.min("age").alias("age_min"), F.max("age").alias("age_max"),
         role("accused").alias("accused_count"), role("victim").alias("victim_count"), role("complainant").alias("complainant_count"), F.countDistinct("case_id").alias("total_case_appearances"),
         F.min("offence_date").alias("first_appearance"), F.max("offence_date").alias("last_appearance"), F.count(F.lit(1)).alias("records"), F.sort_array(F.collect_set("source_key")).alias("source_keys"),
+        F.sort_array(F.collect_set("unit_id")).alias("unit_ids"), F.sort_array(F.collect_set("district_id")).alias("district_ids"),
     )
     spelt = commonest(rows, "cluster", "plain", "source_key", longest=True).withColumnRenamed("plain", "name_normalised")
     gender = commonest(rows, "cluster", "gender", "source_key")
@@ -113,20 +143,35 @@ def remove_orphans(documents: DataFrame, orphans: DataFrame) -> DataFrame:
     return kept.groupBy("person_id").agg(F.sort_array(F.collect_list("r")).alias("records"), role("accused").alias("accused_count"), role("victim").alias("victim_count"), role("complainant").alias("complainant_count"))
 
 
-def search_persons(persons: DataFrame, name: str | None = None, gender: str | None = None, age: int | None = None, limit: int = 10) -> DataFrame:
-    """Persons by a score of name (half), gender (a fifth) and age (three tenths); an age out of range excludes; what isn't asked for scores full."""
-    q = (name or "").lower().strip()
-    first = q.split(" ")[0] if q else ""
-    variants = F.transform("name_variants", F.lower)
-    n = F.when(F.exists(variants, lambda v: v == q), 1.0).when(F.exists(variants, lambda v: F.contains(v, F.lit(q))), 0.8).when(F.contains("name_normalised", F.lit(q)), 0.7).when(F.exists(variants, lambda v: F.contains(v, F.lit(first))), 0.5).otherwise(0.0) if q else F.lit(1.0)
-    g = (F.when(F.upper("gender") == gender.upper(), 1.0).otherwise(0.0)) if gender else F.lit(1.0)
-    rows = persons if age is None else persons.where((F.col("age_min") <= age) & (F.col("age_max") >= age))
-    score = scores.half_up(n * 0.5 + g * 0.2 + 0.3, 2)
-    hits = rows.withColumn("confidence", score)
-    return (hits.where(n > 0) if q else hits).orderBy(F.desc("confidence"), "person_id").limit(min(limit, 50))
+def search_persons(persons: DataFrame, name: str | None = None, gender: str | None = None, min_age: int | None = None, max_age: int | None = None, limit: int = 10) -> DataFrame:
+    """Persons by a score of name (half), gender (a fifth) and age (three tenths); what isn't asked for scores full.
 
-
-def repeat_offenders(persons: DataFrame, least: int = 2, limit: int = 20) -> DataFrame:
+    A person whose estimated age is out of range is left out; one without an estimate stays, without the score for age. A
+    person without a gender scores full."""
+    q = (name or "").lower().strip()
+    n = F.lit(1.0)
+    if q:
+        rank = lambda v: F.when(v == q, 1.0).when(F.contains(v, F.lit(q)), 0.8).when(F.contains(v, F.lit(q.split(" ")[0])), 0.5).otherwise(0.0)
+        by_variant = F.coalesce(F.array_max(F.transform("name_variants", lambda v: rank(F.lower(v)))), F.lit(0.0))
+        n = F.greatest(by_variant, F.when(F.contains("name_normalised", F.lit(q)), 0.7).otherwise(0.0))
+    g = F.when(F.upper("gender") != gender.upper(), 0.0).otherwise(1.0) if gender else F.lit(1.0)
+    at, asked = F.col("age_estimate"), min_age is not None or max_age is not None
+    within = F.lit(True)
+    if min_age is not None:
+        within = within & (at >= min_age)
+    if max_age is not None:
+        within = within & (at <= max_age)
+    rows = persons.where(at.isNull() | within) if asked else persons
+    age = F.when(at.isNotNull(), 0.3).otherwise(0.0) if asked else F.lit(0.3)
+    hits = rows.withColumn("_n", n).where("_n > 0").withColumn("confidence", scores.half_up(F.col("_n") * 0.5 + g * 0.2 + age, 2)).drop("_n")
+    return hits.orderBy(F.desc("confidence"), "person_id").limit(min(limit, 50))
+
+
+def repeat_offenders(persons: DataFrame, least: int = 2, limit: int = 20, unit_id: str | None = None, district_id: str | None = None) -> DataFrame:
+    """Persons accused ``least`` times or more; with a unit or district, those with any record in one of them (``unit_ids``, ``district_ids``)."""
+    if unit_id or district_id:
+        inside = lambda c, v: F.coalesce(F.array_contains(c, v), F.lit(False)) if v else F.lit(False)
+        persons = persons.where(inside("unit_ids", unit_id) | inside("district_ids", district_id))
     return persons.where(F.col("accused_count") >= least).orderBy(F.desc("accused_count"), "person_id").limit(min(limit, 100))
 
 

@@ -85,10 +85,10 @@ def suppliers(spark: SparkSession, d: str) -> DataFrame:
 def person_records(spark: SparkSession, d: str) -> DataFrame:
     """Documents as person records: the first two words, an age from the length, the language as a gender, the source as a station."""
     t = table(spark, d, "documents")
-    words = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))
-    name = F.array_join(F.slice(words, 1, 2), " ")
+    # the match ends with the second word: the rest of a text isn't read
+    t = t.withColumn("raw", F.regexp_replace(F.regexp_extract("text", "[A-Za-z]+(?:[^A-Za-z]+[A-Za-z]+)?", 0), "[^A-Za-z]+", " "))
     return t.select(
-        F.col("doc_id").alias("source_key"), name.alias("raw"), names.normalise_latin(name).alias("name"), (18 + F.col("n_chars") % 60).cast("int").alias("age"), F.col("lang").alias("gender"), F.col("source").alias("unit_id"),
+        F.col("doc_id").alias("source_key"), "raw", names.normalise_latin(F.col("raw")).alias("name"), (18 + F.col("n_chars") % 60).cast("int").alias("age"), F.col("lang").alias("gender"), F.col("source").alias("unit_id"),
         F.lit(None).cast("string").alias("district_id"), F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"), F.concat(F.lit("D"), (F.col("doc_id") % 200).cast("string")).alias("case_id"),
         F.element_at(F.array(F.lit("accused"), F.lit("victim"), F.lit("complainant")), (F.col("doc_id") % 3 + 1).cast("int")).alias("role"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 365).cast("int")).cast("string").alias("offence_date"),
     )
@@ -532,4 +532,4 @@ def fk_violations(spark, d):
 @query("SELECT n_name, count(c_custkey) AS n FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_nationkey = 7 AND c_mktsegment ILIKE '%house%' GROUP BY 1")
 def scoped_sql(spark, d):
     views = {"customer": table(spark, d, "customer"), "nation": table(spark, d, "nation")}
-    return sqlgate.run(spark, "SELECT n_name, COUNT(c_custkey) AS n FROM customer INNER JOIN nation ON n_nationkey = c_nationkey WHERE c_mktsegment LIKE '*HOUSE*' GROUP BY n_name", views, {"c_nationkey": 7})
+    return sqlgate.run(spark, "SELECT n_name, COUNT(c_custkey) AS n FROM customer INNER JOIN nation ON n_nationkey = c_nationkey WHERE c_mktsegment LIKE '*HOUSE*' GROUP BY n_name", views, {"c_nationkey": 7}, lookups=("nation",))

@@ -1,15 +1,20 @@
-"""A guarded SELECT dialect: checks, dialect rewriting, and scoped views that fail closed."""
+"""A guarded SELECT dialect: checks on Spark's own parse of a query, dialect rewriting, and scoped tables that fail closed."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+import uuid
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Verbs that a query must not hold.
+# Verbs that a query must not hold; table-level limits of the dialect (columns, conditions, joins, rows).
 FORBIDDEN = ("DROP", "DELETE", "INSERT", "UPDATE", "TRUNCATE", "ALTER", "CREATE", "EXEC", "EXECUTE", "MERGE", "REPLACE", "GRANT", "REVOKE", "CALL", "LOAD", "RENAME")
+MOST_JOINS, MOST_ROWS = 4, 300
+#: What a parsed query may consist of; any other node of a plan is refused.
+PLAIN_NODES = {"Project", "Filter", "Aggregate", "UnresolvedHaving", "Sort", "GlobalLimit", "LocalLimit", "Offset", "Join", "SubqueryAlias", "UnresolvedRelation", "OneRowRelation", "Distinct"}
+_STRING = r"'(?:[^']|'')*'"
 
 
 class UnsafeSql(ValueError):
@@ -18,12 +23,30 @@ class UnsafeSql(ValueError):
 
 def _bare(sql: str) -> str:
     """Upper case, without strings and comments."""
-    out = re.sub(r"'(?:[^']|'')*'", "''", sql)
+    out = re.sub(_STRING, "''", sql)
     return re.sub(r"/\*.*?\*/", " ", re.sub(r"--[^\n]*", " ", out), flags=re.S).upper()
 
 
-def validate(sql: str, tables: set[str]) -> None:
-    """Raise UnsafeSql unless the text is one SELECT over the tables of the whitelist (names in any case)."""
+def _walk(plan):
+    """All nodes of a parsed plan, those of subqueries in expressions too."""
+    todo = [plan]
+    while todo:
+        node = todo.pop()
+        yield node
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+        inner = [node.expressions().apply(i) for i in range(node.expressions().size())] if hasattr(node, "expressions") else []
+        while inner:
+            e = inner.pop()
+            if e.getClass().getSimpleName() in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery"):
+                todo.append(e.plan())
+            inner += [e.children().apply(i) for i in range(e.children().size())]
+
+
+def validate(spark: SparkSession, sql: str, tables: Iterable[str]) -> None:
+    """Raise UnsafeSql unless the text (in the dialect) is one SELECT over tables of the whitelist (names in any case).
+
+    The whitelist is held against the relations of the plan that Spark's parser makes of the query: quoted names, paths
+    of files, names with a catalog, comma joins, common table expressions and table functions are all refused."""
     bare = _bare(sql)
     if not re.match(r"\s*SELECT\b", bare):
         raise UnsafeSql("only SELECT is allowed")
@@ -31,41 +54,112 @@ def validate(sql: str, tables: set[str]) -> None:
         raise UnsafeSql("several statements")
     if found := next((w for w in FORBIDDEN if re.search(rf"\b{w}\b", bare)), None):
         raise UnsafeSql(f"{found} is not allowed")
-    allowed = {t.upper() for t in tables}
-    for clause in re.findall(r"\bFROM\s+([^()]*?)(?=\bWHERE\b|\bGROUP\b|\bORDER\b|\bHAVING\b|\bLIMIT\b|\bJOIN\b|\bINNER\b|\bLEFT\b|\)|$)", bare):
-        if "," in clause:
-            raise UnsafeSql("tables must be joined explicitly")
-    for name in re.findall(r"\b(?:FROM|JOIN)\s+([A-Z_][\w.]*)", bare):
-        if name not in allowed:
-            raise UnsafeSql(f"table {name} is not known")
-
-
-def to_spark(sql: str, default_limit: int | None = 300) -> str:
-    """The dialect in Spark's words: * in LIKE patterns, case-insensitive LIKE, IS as =, LIMIT offset,count."""
-    like = lambda m: f"ILIKE '{m[1].replace('*', '%').replace('?', '_')}'"
-    out = re.sub(r"(?i)\bLIKE\s+'((?:[^']|'')*)'", like, sql)
-    out = re.sub(r"(?i)\bIS\s+(?!NOT\b|NULL\b)", "= ", out)
-    out = re.sub(r"(?i)\bLIMIT\s+(\d+)\s*,\s*(\d+)", r"LIMIT \2 OFFSET \1", out)
-    return out if default_limit is None or re.search(r"(?i)\bLIMIT\s+\d+", out) else f"{out} LIMIT {default_limit}"
-
-
-def run(spark: SparkSession, sql: str, tables: Mapping[str, DataFrame], scope: Mapping[str, Mapping[str, str]] | None = None, default_limit: int | None = 300) -> DataFrame:
-    """Check a query and run it over views that hold only the rows in scope.
-
-    ``scope``: of a column's name, the value that it must have; every table with the column is filtered, and a scope
-    that no table can show leaves no rows."""
-    validate(sql, set(tables))
-    for name, df in tables.items():
-        for column, value in (scope or {}).items():
-            if column in df.columns:
-                df = df.where(F.col(column) == value)
-        if scope and not any(c in t.columns for c in scope for t in tables.values()):
-            df = df.where(F.lit(False))
-        df.createOrReplaceTempView(name)
-    return spark.sql(to_spark(sql, default_limit))
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(to_spark(sql))
+        nodes = list(_walk(plan))
+    except Exception as e:
+        raise UnsafeSql("not a SELECT that can be read") from e
+    allowed, joins = {t.upper() for t in tables}, 0
+    for node in nodes:
+        kind = node.getClass().getSimpleName()
+        if kind not in PLAIN_NODES:
+            raise UnsafeSql(f"{kind} is not allowed")
+        if kind == "Join":
+            joins += 1
+            if node.condition().isEmpty():
+                raise UnsafeSql("tables must be joined explicitly, on a condition")
+        if kind == "UnresolvedRelation":
+            parts = [node.multipartIdentifier().apply(i) for i in range(node.multipartIdentifier().size())]
+            if len(parts) != 1 or parts[0].upper() not in allowed:
+                raise UnsafeSql(f"table {'.'.join(parts)} is not known")
+    if joins > MOST_JOINS:
+        raise UnsafeSql(f"more than {MOST_JOINS} joins")
+
+
+def to_spark(sql: str, default_limit: int | None = MOST_ROWS) -> str:
+    """The dialect in Spark's words: * and ? in LIKE patterns (% and _ are plain there), case-insensitive LIKE, IS as =, LIMIT offset,count."""
+    escaped = lambda x: re.sub(r"([%_])", r"\\\1", x.replace("\\", "\\\\\\\\")).replace("*", "%").replace("?", "_")
+    out = re.sub(rf"(?i)\bLIKE\s+'((?:[^']|'')*)'", lambda m: f"ILIKE '{escaped(m[1])}'", sql)
+    parts = re.split(f"({_STRING})", out)  # what stands in quotes isn't rewritten
+    for i in range(0, len(parts), 2):
+        parts[i] = re.sub(r"(?i)\bIS\s+(?!NOT\b|NULL\b|DISTINCT\b)", "= ", re.sub(r"(?i)\bIS$", "=", parts[i].rstrip()) + parts[i][len(parts[i].rstrip()) :])
+        parts[i] = re.sub(r"(?i)\bLIMIT\s+(\d+)\s*,\s*(\d+)", r"LIMIT \2 OFFSET \1", parts[i])
+    out = "".join(parts)
+    return out if default_limit is None or re.search(r"(?i)\bLIMIT\s+\d+", "".join(parts[::2])) else f"{out} LIMIT {default_limit}"
+
+
+def scoped(tables: Mapping[str, DataFrame], scope: Mapping[str, object] | None, through: Mapping[str, tuple[str, str, str]] | None = None, lookups: Iterable[str] = ()) -> dict[str, DataFrame]:
+    """The rows of each table that a scope covers.
+
+    ``scope``: of a column's name, the value that it must have. A table without one of these columns is cut to the rows
+    whose own key stands in another, scoped table (``through``: own key, other table, its key). Tables named in
+    ``lookups`` hold nothing to protect and stay whole. Any other table has no rows."""
+    if not scope:
+        return dict(tables)
+    done: dict[str, DataFrame] = {}
+
+    def of(name: str, above: tuple[str, ...] = ()) -> DataFrame:
+        if name not in done:
+            df, missing = tables[name], [c for c in scope if c not in tables[name].columns]
+            for column, value in scope.items():
+                if column in df.columns:
+                    df = df.where(F.col(column) == value)
+            if missing and name not in lookups:
+                way = (through or {}).get(name)
+                if way is None or way[1] in above:
+                    df = df.where(F.lit(False))
+                else:
+                    df = df.join(of(way[1], (*above, name)).select(F.col(way[2]).alias(way[0])).distinct(), way[0], "left_semi")
+            done[name] = df
+        return done[name]
+
+    return {name: of(name) for name in tables}
+
+
+def run(spark: SparkSession, sql: str, tables: Mapping[str, DataFrame], scope: Mapping[str, object] | None = None, default_limit: int | None = MOST_ROWS, through: Mapping[str, tuple[str, str, str]] | None = None, lookups: Iterable[str] = ()) -> DataFrame:
+    """Check a query and run it over the rows in scope (see ``scoped``). Its tables are named for this query alone."""
+    validate(spark, sql, tables)
+    views = {name: f"gate_{uuid.uuid4().hex}" for name in tables}
+    rows = scoped(tables, scope, through, lookups)
+    try:
+        for name, view in views.items():
+            rows[name].createOrReplaceTempView(view)
+        own = ", ".join(f"`{name}` AS (SELECT * FROM {view})" for name, view in views.items())
+        return spark.sql(f"WITH {own} {to_spark(sql, default_limit)}")
+    finally:
+        for view in views.values():
+            spark.catalog.dropTempView(view)
+
+
+def column_meta(rows: DataFrame) -> list[dict[str, str]]:
+    """Name, type and a plain title of each column of a result."""
+    return [{"name": c, "type": t, "title": re.sub(r"(?<=[a-z])(?=[A-Z])|_", " ", c).strip()} for c, t in rows.dtypes]
+
+
+def source_refs(rows: DataFrame, keys: Mapping[str, str]) -> DataFrame:
+    """(table, id): the distinct records that a result's key columns (column: table) point to."""
+    parts = [rows.where(F.col(c).isNotNull()).select(F.lit(t).alias("table"), F.col(c).cast("string").alias("id")) for c, t in keys.items() if c in rows.columns]
+    out = rows.sparkSession.createDataFrame([], "table string, id string")
+    for p in parts:
+        out = out.unionByName(p)
+    return out.distinct()
+
+
+def without_aliases(sql: str) -> str:
+    """The query without the names that AS gives to its columns; names of tables stay."""
+    head, rest = re.split(r"(?i)(?=\bFROM\b)", sql, maxsplit=1) if re.search(r"(?i)\bFROM\b", sql) else (sql, "")
+    return re.sub(r"(?i)\s+AS\s+(?:`[^`]*`|\w+)", "", head) + rest
 
 
 def answer(rows: DataFrame) -> str:
-    """One row with one value: the value; else how many rows were found."""
-    first = rows.limit(2).collect()
-    return f"Result: {first[0][0]}" if len(first) == 1 and len(rows.columns) == 1 else f"Found {rows.count()} record(s)."
+    """One row with one value: the value; else how many rows were found. One job, over one more row than the dialect returns."""
+    first = rows.limit(MOST_ROWS + 1).collect()
+    return f"Result: {first[0][0]}" if len(first) == 1 and len(rows.columns) == 1 else f"Found {len(first) if len(first) <= MOST_ROWS else rows.count()} record(s)."
+
+
+def templated_answer(rows: DataFrame, label: str = "label", value: str = "value") -> str:
+    """A sentence on a result of labels and values: total, the largest, and how the last compares with the first."""
+    found = rows.agg(F.sum(value).alias("total"), F.max_by(label, F.struct(value, label)).alias("top"), F.max(value).alias("most"), F.count(F.lit(1)).alias("n")).first()
+    if not found["n"]:
+        return "No records found."
+    return f"{found['total']} in total over {found['n']} groups; most: {found['top']} ({found['most']})."

@@ -8,6 +8,7 @@ def column(spark, fn, values):
 
 
 def test_normalise(spark):
+    assert column(spark, names.normalise_latin, ["Ravi  Kumar", "a b   Kumar", "A B C Devi", " x Bai", "Dr. X Y", "mr Late Z Reddy"]) == ["ravi kumar", "a b", "a b c", "x bai", "dr x y", "late z"]
     raw = ["Mr Ramesh", "Ramesh-Kumar_123", "रमेश कुमार", "ರಮೇಶ ಕುಮಾರ", "Kumar", "Smt Lakshmi Devi Bai", "", None]
     assert column(spark, names.normalise_name, raw) == ["ramesh", "rameshkumar", "ramesh kumar", "ramesh kumar", "kumar", "lakshmi devi", "", ""]
 
@@ -22,6 +23,13 @@ def test_metaphone(spark):
     assert column(spark, names.phonetic_key, ["Ramesh", "  ", None]) == ["R520 RMX", "", ""]
 
 
+def test_other_keys(spark):
+    assert column(spark, names.last_word_key, ["Ramesh Kumar", "x", ""]) == ["K560 KMR", column(spark, names.phonetic_key, ["x"])[0], ""]
+    assert column(spark, names.initial_surname_key, ["ramesh kumar", "kumar", ""]) == ["r K560", "", ""]
+    assert column(spark, lambda c: names.surname_age_key(c, F.lit(33)), ["ramesh kumar", "kumar"]) == ["kumar 6", ""]
+    assert column(spark, names.spelling_variants, ["anna rao"]) == [["anna rao", "a rao", "rao anna", "ana rao", "ann r"]]
+
+
 def test_similarity():
     assert names.jaro_winkler("", "") == 1 and names.jaro_winkler("a", "") == 0 and names.jaro_winkler("a", "a") == 0
     assert abs(names.jaro_winkler("martha", "marhta") - 0.9611111) < 1e-6 and abs(names.jaro_winkler("ab", "ac") - 0.7) < 1e-9
