@@ -1,42 +1,49 @@
 """Quality classifier by co-training: a text view and a page-metadata view teach each other.
 
-The text view is a logistic regression on the shares of hashed byte n-grams (2 and 3) of the whole text and on how much
-its words repeat. The metadata view
-is one on what can be known without reading the words: source and language (hashed), numbers of characters and lines,
-line lengths, and the shares of capitals, digits, white space and other signs. Both start from the labelled rows of a
-bounded sample. In each round either view labels the rows of a bounded pool without labels about which it is
+The text view is a logistic regression on the shares of hashed byte n-grams (2 and 3) of the whole text, on how much
+its words repeat, and on the shares of capitals, digits, white space and other signs. The metadata view
+is one on what can be known without reading the words: source and language (hashed), size, number of lines and
+line lengths. Both start from the labelled rows of a
+bounded sample. In each round either view labels the rows of a sample without labels (the pool) about which it is
 most confident, as many of each class as the labels' proportions say, and the *other* view learns from them.
 
 A part of the labelled sample is kept from all training: it calibrates each view (Platt scaling) and fits the
 combination of the calibrated views. Every document is then scored, whole, by both.
 
-The bounds are parameters: ``max_labelled`` and ``max_pool`` rows are drawn by a hash of doc_id; only their n-gram
-counts reach the driver. The label table's own rows are never broadcast beyond that sample.
+``max_labelled`` labelled documents are drawn by a hash of doc_id, twice as many at most. The pool is the documents
+whose hash lies below ``pool`` divided by the number of documents, about ``pool`` of them; which they are doesn't depend
+on partitions, and repeated rows count once. Sample and pool are turned to n-gram counts where they lie; one task of an
+executor fits the model on them, and the driver gets its weights only. Labels are never broadcast beyond the sample.
 
 Defined results: a null or empty text is scored as an empty one; a null source or language is a value of its own;
-with labels of one class only, or none, every document is kept with the probability of that class (0.5 without);
-several labels of one doc_id count as their rounded mean; repeated rows get equal scores; an empty table an empty result.
+with labels of one class only, none, or fewer than 8 (or no two classes) among the documents of the sample, there is no
+model: every document is kept, with the share of good labels as its probability (0.5 without a label);
+several labels of one doc_id count as their rounded mean; of several texts of a labelled doc_id one is learned;
+repeated rows get equal scores; an empty table an empty result.
 """
 
 from __future__ import annotations
 
 import operator
+import pickle
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casegraph.llm.common import by_batch, slices, text_bytes, text_or_empty
 from casegraph.llm.grams import buckets
 
-ORDERS, BITS, REPEATS = (2, 3), 15, 3
-WIDTH = (1 << BITS) + REPEATS
+ORDERS, BITS, REPEATS, SIGNS = (2, 3), 15, 3, 5
+WIDTH = (1 << BITS) + REPEATS + SIGNS
 #: Metadata features: numbers, then hashed sources and languages.
-NUMBERS, SOURCES, LANGUAGES = 9, 64, 16
+NUMBERS, SOURCES, LANGUAGES = 4, 64, 16
 _CLASS = np.zeros(256, dtype=np.int64)  # 0: small letters and bytes of other letters
 _CLASS[65:91] = 1
 _CLASS[48:58] = 2
@@ -45,13 +52,15 @@ _CLASS[[b for b in range(33, 127) if not chr(b).isalnum()]] = 4
 
 
 def content(text: bytes) -> np.ndarray:
-    """The text view's features: square roots of n-gram shares, then the shares of words that repeat the one before, that repeat any, and of the commonest word."""
+    """The text view's features: square roots of n-gram shares, the shares of words that repeat the one before, that repeat any, and of the commonest word, then the shares of kinds of signs."""
     data, out = np.frombuffer(text, dtype=np.uint8), np.zeros(WIDTH, dtype=np.float32)
     grams = sum(np.bincount(buckets(data, n, BITS), minlength=1 << BITS) for n in ORDERS)
     out[: 1 << BITS] = np.sqrt(grams / max(1, int(grams.sum()))) * 10
     if words := text.split():
         counts = Counter(words)
-        out[1 << BITS :] = [8 * sum(map(operator.eq, words, words[1:])) / len(words), 4 - 4 * len(counts) / len(words), 4 * counts.most_common(1)[0][1] / len(words)]
+        out[1 << BITS : (1 << BITS) + REPEATS] = [8 * sum(map(operator.eq, words, words[1:])) / len(words), 4 - 4 * len(counts) / len(words), 4 * counts.most_common(1)[0][1] / len(words)]
+    share = np.bincount(_CLASS[data], minlength=5) / max(1, len(data))
+    out[(1 << BITS) + REPEATS :] = [*(share[1:] * 4), share[1] > 0.3]
     return out
 
 
@@ -60,10 +69,9 @@ def metadata(texts: list[bytes], sources: list[str | None], langs: list[str | No
     out = np.zeros((len(texts), NUMBERS + SOURCES + LANGUAGES))
     for i, (t, s, lang) in enumerate(zip(texts, sources, langs, strict=True)):
         x = np.frombuffer(t, dtype=np.uint8)
-        share = np.bincount(_CLASS[x], minlength=5) / max(1, len(x))
         breaks = np.flatnonzero(x == 10)
         lines = np.diff(np.r_[-1, breaks, len(x)]) - 1
-        out[i, :NUMBERS] = [np.log1p(len(x)) / 10, np.log1p(len(lines)) / 5, np.log1p(lines.mean()) / 8, np.log1p(lines.max()) / 10, *(share[1:] * 4), share[1] > 0.3]
+        out[i, :NUMBERS] = [np.log1p(len(x)) / 10, np.log1p(len(lines)) / 5, np.log1p(lines.mean()) / 8, np.log1p(lines.max()) / 10]
         out[i, NUMBERS + zlib.crc32(repr(s).encode()) % SOURCES] = 0.5
         out[i, NUMBERS + SOURCES + zlib.crc32(repr(lang).encode()) % LANGUAGES] = 0.5
     return out
@@ -149,7 +157,7 @@ class Model:
         return sigmoid(a), sigmoid(b), sigmoid(self.blend[0] * np.clip(a, -12, 12) + self.blend[1] * np.clip(b, -12, 12) + self.blend[2])
 
 
-def co_train(text: Sparse, meta: np.ndarray, y: np.ndarray, labelled: int, rounds: int = 4, confident: float = 0.95, give: int = 400, trust: float = 0.5) -> Model:
+def co_train(text: Sparse, meta: np.ndarray, y: np.ndarray, labelled: int, rounds: int = 4, confident: float = 0.98, give: int = 400, trust: float = 0.5) -> Model:
     """Rows before ``labelled`` have the labels ``y``; the rest is the pool. Every fourth labelled row only calibrates."""
     apart = np.arange(3, labelled, 4)
     seed = np.setdiff1d(np.arange(labelled), apart)
@@ -202,7 +210,7 @@ def _features(b: pa.RecordBatch) -> pa.RecordBatch:
         at = np.flatnonzero(x).astype(np.int32)
         cols.append(at.tobytes())
         vals.append(x[at].tobytes())
-    return pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("draw"), b.column("y"), pa.array(cols, pa.binary()), pa.array(vals, pa.binary()), pa.array([m.tobytes() for m in meta], pa.binary())], names=["doc_id", "draw", "y", "cols", "vals", "meta"])
+    return pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "thash", "draw", "y")), pa.array(cols, pa.binary()), pa.array(vals, pa.binary()), pa.array([m.tobytes() for m in meta], pa.binary())], names=["doc_id", "thash", "draw", "y", "cols", "vals", "meta"])
 
 
 def _flat(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
@@ -214,33 +222,38 @@ def _flat(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
     return (offsets - offsets[0]).astype(np.int64) // size, np.frombuffer(whole.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]].view(kind)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 3000, max_pool: int = 3000) -> Model | float:
-    """The co-trained model from a bounded sample, or a constant probability where the labels have no two classes."""
+def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row: the model of all rows, pickled; None where there are too few labels."""
+    model, parts = None, [b for b in batches if b.num_rows]
+    if parts:
+        rows = pa.Table.from_batches(parts)
+        order = sorted(zip(pc.is_null(rows["y"]).to_pylist(), rows["draw"].to_pylist(), ((x is not None, x or 0) for x in rows["doc_id"].to_pylist()), rows["thash"].to_pylist(), range(rows.num_rows), strict=True))
+        rows = rows.take(pa.array([x[-1] for x in order], pa.int64())).combine_chunks()
+        target = np.array([np.nan if v is None else v for v in rows["y"].to_pylist()])
+        n = int((~np.isnan(target)).sum())
+        if n >= 8 and len(set(target[np.setdiff1d(np.arange(n), np.arange(3, n, 4))])) == 2:
+            bounds, cols = _flat(rows["cols"], np.int32)
+            model = co_train(Sparse(cols, _flat(rows["vals"], np.float32)[1], bounds), _flat(rows["meta"], np.float64)[1].reshape(rows.num_rows, -1), target, n)
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 3000, pool: int = 3000) -> Model | float:
+    """The co-trained model from a bounded labelled sample and a pool, or the share of good labels where they give no model."""
     draw = lambda *c: F.pmod(F.xxhash64(F.lit(5), *c), F.lit(1 << 30)) / float(1 << 30)
     y = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("label_id")).agg(F.round(F.avg("quality")).cast("double").alias("y"))
-    stats = y.agg(F.count(F.lit(1)).alias("n"), F.min("y").alias("lo"), F.max("y").alias("hi")).first()
+    stats = y.agg(F.count(F.lit(1)).alias("n"), F.min("y").alias("lo"), F.max("y").alias("hi"), F.avg("y").alias("share")).first()
     if not stats["n"] or stats["lo"] == stats["hi"]:
-        return 0.5 if not stats["n"] else float(stats["hi"])
+        return 0.5 if not stats["n"] else float(stats["share"])
     some = y.where(draw("label_id") < max_labelled / stats["n"]).orderBy(draw("label_id"), "label_id").limit(2 * max_labelled)
-    known = docs.join(F.broadcast(some), docs["doc_id"] == some["label_id"]).select("doc_id", "text", "source", "lang", draw("doc_id").alias("draw"), "y")
-    share = max_pool / max(1, docs.count())
-    drawn = docs.where(draw("doc_id", "text") < share).withColumn("draw", draw("doc_id", "text"))
-    pool = drawn.join(y, drawn["doc_id"] == y["label_id"], "left_anti").select("doc_id", "text", "source", "lang", "draw", F.lit(None).cast("double").alias("y"))
-    rows = known.limit(2 * max_labelled).unionByName(pool.limit(2 * max_pool)).mapInArrow(by_batch(_features), "doc_id long, draw double, y double, cols binary, vals binary, meta binary").toArrow()
-    order = sorted(range(rows.num_rows), key=lambda i: (not rows["y"][i].is_valid, rows["draw"][i].as_py(), rows["doc_id"][i].as_py() or 0))
-    rows = rows.take(pa.array(order, pa.int64())).combine_chunks()
-    target = np.array([np.nan if v is None else v for v in rows["y"].to_pylist()])
-    n = int((~np.isnan(target)).sum())
-    if n < 8 or len(set(target[:n])) < 2 or len(set(target[np.setdiff1d(np.arange(n), np.arange(3, n, 4))])) < 2:
-        return float(stats["hi"])
-    bounds, cols = _flat(rows["cols"], np.int32)
-    text = Sparse(cols, _flat(rows["vals"], np.float32)[1], bounds)
-    meta = _flat(rows["meta"], np.float64)[1].reshape(rows.num_rows, -1)
-    del rows
-    model = co_train(text, meta, target, n)
-    del text, meta, cols
-    pa.default_memory_pool().release_unused()
-    return model
+    slim = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("thash"), F.struct("source", "lang", "text").alias("d"))
+    known = slim.join(F.broadcast(some), slim["doc_id"] == some["label_id"]).groupBy("doc_id", "y").agg(F.min(F.struct("thash", "d")).alias("x"))
+    known = known.select("doc_id", "x.thash", "x.d", draw("doc_id").alias("draw"), "y")
+    drawn = slim.where(draw("doc_id", "thash") < pool / max(1, docs.count())).groupBy("doc_id", "thash").agg(F.min("d").alias("d"))
+    unknown = drawn.join(y, drawn["doc_id"] == y["label_id"], "left_anti").select("doc_id", "thash", "d", draw("doc_id", "thash").alias("draw"), F.lit(None).cast("double").alias("y"))
+    rows = known.unionByName(unknown).select("doc_id", "thash", "draw", "y", "d.text", "d.source", "d.lang")
+    features = rows.mapInArrow(by_batch(_features), "doc_id long, thash long, draw double, y double, cols binary, vals binary, meta binary")
+    model = pickle.loads(features.repartition(1).mapInArrow(_train, "model binary").first()[0])  # bounded by max_labelled and pool
+    return float(stats["share"]) if model is None else model
 
 
 def score(docs: DataFrame, model: Model | float, carry: bool = False) -> DataFrame:
@@ -263,13 +276,19 @@ def score(docs: DataFrame, model: Model | float, carry: bool = False) -> DataFra
     return slim.mapInArrow(by_batch(run), schema + (f", row {slim.schema['row'].dataType.simpleString()}" if carry else ""))
 
 
+def kept(model: Model | float, keep_at: float):
+    return F.lit(True) if isinstance(model, float) else F.col("quality_prob") >= keep_at
+
+
 def classify(docs: DataFrame, labels: DataFrame, keep_at: float = 0.5) -> DataFrame:
-    """Scores of every document and ``keep``: whether its probability of good quality is at least ``keep_at``."""
+    """Scores of every document and ``keep``: whether its probability of good quality is at least ``keep_at``; all without a model."""
     model = fit(docs.select("doc_id", "text", "source", "lang"), labels.select("doc_id", "quality"))
-    return score(docs, model).withColumn("keep", F.col("quality_prob") >= keep_at)
+    return score(docs, model).withColumn("keep", kept(model, keep_at))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, keep_at: float = 0.5) -> DataFrame:
     """The documents that the classifier doesn't reject, with their own columns."""
     model = fit(docs.select("doc_id", "text", "source", "lang"), labels.select("doc_id", "quality"))
-    return score(docs, model, carry=True).where(F.col("quality_prob") >= keep_at).select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+    if isinstance(model, float):
+        return docs
+    return score(docs, model, carry=True).where(kept(model, keep_at)).select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))

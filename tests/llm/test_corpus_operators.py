@@ -195,6 +195,14 @@ def test_quality(spark, docs, none, rows):
     kept = quality.keep_good(d, labels)
     assert kept.columns == d.columns and not [r for r in kept.collect() if r["doc_id"] % 5 == 0][8:]
     assert quality.classify(docs, labels.where("false")).where("keep").count() == len(rows)
+    for q in (0, 1):  # labels of one class are no model: all stay
+        one = labels.selectExpr("doc_id", f"{q} as quality")
+        assert quality.keep_good(d, one).count() == 400 and {r["quality_prob"] for r in quality.classify(d, one).where("keep").collect()} == {float(q)}
+    assert quality.keep_good(d, labels.where("doc_id > 1000000").union(labels.selectExpr("doc_id + 1000000", "quality", "toxic", "text"))).count() == 400  # labels of other documents
+    first = sorted((r["doc_id"], r["quality_prob"]) for r in got)
+    again = quality.classify(d.union(d).repartition(7), labels.repartition(3)).distinct().collect()
+    assert [i for i, _ in first] == sorted(r["doc_id"] for r in again)  # repeated rows get equal scores
+    assert sum(r["keep"] == (r["doc_id"] % 5 != 0) for r in again) / len(again) > 0.98
     assert quality.classify(docs, labels).count() == len(rows) and quality.keep_good(docs, labels).columns == docs.columns
     assert quality.classify(none, labels).count() == 0
 
