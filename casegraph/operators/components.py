@@ -1,12 +1,17 @@
-"""Connected components of a table of links, by contraction: the graph shrinks each round; nothing is collected."""
+"""Connected components of a table of links: tasks join up their own links, then the graph of what they found shrinks each round."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casegraph.sources.shared import materialise
 
+#: Links that a task joins up.
+LINKS_A_TASK = 500_000
 #: Rows of the smaller side are repeated so often, so that a label that a third of all nodes share spans as many tasks.
 SALTS = 16
 
@@ -18,28 +23,62 @@ def spread_join(rows: DataFrame, by: str, table: DataFrame, key: str, how: str =
     return dealt.join(salted, (dealt[by] == salted[key]) & (dealt["_salt"] == salted["_salt"]), how).drop("_salt")
 
 
+def _joined_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) of the nodes of a task's links: the least node that these links lead to."""
+    above: dict = {}
+
+    def root(x):
+        way = []
+        while (up := above.setdefault(x, x)) != x:
+            way.append(x)
+            x = up
+        for w in way:
+            above[w] = x
+        return x
+
+    kind = pa.null()
+    for b in batches:
+        kind = b.schema.field("a").type
+        for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True):
+            x, y = root(x), root(y)
+            if x != y:
+                above[max(x, y)] = min(x, y)
+    nodes = list(above)
+    for at in range(0, len(nodes), 50_000):
+        part = nodes[at : at + 50_000]
+        yield pa.RecordBatch.from_arrays([pa.array(part, kind), pa.array([root(x) for x in part], kind)], names=["node", "root"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of ``links`` (a, b): the least node that it is connected with.
 
-    In each round every node moves to the one of itself and its neighbours that comes first in an order drawn anew by
-    hash, and the links move with their ends; loops and repeats go. So stars fall together in a round or two and chains
-    lose a constant share of their nodes, whatever their order. Each round is written to the shared folder. Where the
-    nodes have gone is composed round by round, and the least node of each end point is the component's name."""
-    edges = materialise(links.where("a <> b").select("a", "b").distinct(), "links")
+    Links are dealt to tasks of about LINKS_A_TASK by the end that comes first in an order drawn anew each round, and
+    each task joins up its own. Where one task is enough, that is the result. Else a node moves to the first of the roots
+    that tasks found for it, and the links between its roots make the next, smaller graph: every node that is last among
+    its neighbours is gone from it. Where the nodes went is composed, and the least node of each end point names the
+    component. Each round is written to the shared folder; nothing is collected."""
+    node = dict(links.dtypes)["a"]
+    edges = materialise(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
     moves: list[DataFrame] = []
-    while not edges.isEmpty():
-        first = lambda c: F.struct(F.xxhash64(F.lit(len(moves)), c).alias("o"), c.alias("n"))  # noqa: E731, B023
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        to = both.groupBy(F.col("a").alias("node")).agg(F.least(first(F.col("node")), F.min(first(F.col("b")))).alias("to")).select("node", F.col("to.n").alias("to"))
-        moved = materialise(to, "moves")
-        moves.append(moved)
-        ends = edges.join(moved.select(F.col("node").alias("a"), F.col("to").alias("x")), "a").join(moved.select(F.col("node").alias("b"), F.col("to").alias("y")), "b")
-        edges = materialise(ends.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
+    while n := edges.count():
+        tasks = -(-n // LINKS_A_TASK)
+        place = lambda c: F.xxhash64(F.lit(len(moves)), F.col(c))  # noqa: B023, E731
+        dealt = edges.repartition(tasks, F.when(place("a") < place("b"), F.col("a")).otherwise(F.col("b"))) if tasks > 1 else edges.repartition(1)
+        found = dealt.mapInArrow(_joined_up, f"node {node}, root {node}")
+        if tasks == 1:
+            moves.append(materialise(found.withColumnRenamed("root", "to"), "moves"))
+            break
+        roots = materialise(found.groupBy("node").agg(F.min("root").alias("to"), F.collect_set("root").alias("roots")), "moves")  # a root a task at most
+        moves.append(roots.select("node", "to"))
+        edges = roots.where(F.size("roots") > 1).select("to", F.explode("roots").alias("root")).where("to <> root")
+        edges = materialise(edges.select(F.least("to", "root").alias("a"), F.greatest("to", "root").alias("b")).distinct(), "links")
     if not moves:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     at = moves[0]
+    if len(moves) == 1:
+        return at.withColumnRenamed("to", "component")
     for later in moves[1:]:
         at = spread_join(at, "to", later.select(F.col("node").alias("n"), F.col("to").alias("next")), "n").select("node", F.coalesce("next", "to").alias("to"))
-    at = materialise(at, "roots") if len(moves) > 1 else at
-    least = at.groupBy("to").agg(F.least(F.min("node"), F.col("to")).alias("component")).withColumnRenamed("to", "root")
+    at = materialise(at, "roots")
+    least = at.groupBy("to").agg(F.min("node").alias("component")).withColumnRenamed("to", "root")
     return spread_join(at, "to", least, "root", "inner").select("node", "component")

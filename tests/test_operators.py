@@ -19,6 +19,14 @@ def test_components(spark):
     assert rows(components.components(links.where("false"))) == []
 
 
+def test_components_over_many_tasks(spark, monkeypatch):
+    """A chain in order, one in disorder, a star, a ring with repeats, and names that are texts, 6 links a task."""
+    monkeypatch.setattr(components, "LINKS_A_TASK", 6)
+    links = [(f"a{i:03}", f"a{i + 1:03}") for i in range(40)] + [(f"b{i * 7 % 31:02}", f"b{(i + 1) * 7 % 31:02}") for i in range(30)] + [("c99", f"c{i:02}") for i in range(30)] + [(f"d{i}", f"d{(i + 1) % 9}") for i in range(9)] * 2
+    want = [(x, f"{x[0]}{'0' * (len(x) - 1)}") for x in sorted({x for p in links for x in p})]
+    assert rows(components.components(spark.createDataFrame(links, "a string, b string"))) == want
+
+
 def test_dashboard_empty_and_unsafe(spark):
     cases = spark.createDataFrame([], "case_id long, registered timestamp, category string, district string")
     assert rows(dashboard.seasonal(cases, "weekday")) == [(k, 0) for k in range(7)]
