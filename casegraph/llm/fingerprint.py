@@ -16,6 +16,8 @@ likeness 1, an empty and another one 0; rows that agree in doc_id follow one ano
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
@@ -28,8 +30,8 @@ ONES = sum(1 << (WIDTH * i) for i in range(3))
 ENTRIES = ONES * ((1 << (WIDTH - 1)) - 1)
 GUARDS = ONES << (WIDTH - 1)
 M60 = (1 << 60) - 1
-#: Cells of the doc_id axis for finding the next document: rows aimed at, and most of them.
-CELL_ROWS, MOST_CELLS = 1024, 32_768
+#: Cells of the doc_id axis for finding the next document: rows aimed at, and most of them; borders that are looked at together.
+CELL_ROWS, MOST_CELLS, FAN = 1024, 1 << 17, 64
 
 
 def paragraphs(text: Column) -> Column:
@@ -86,19 +88,43 @@ def likeness(a: Column, b: Column, signs_a: Column, signs_b: Column) -> Column:
     return F.when(a == b, 1.0).otherwise(F.round(F.least(F.greatest(cosine, F.lit(0.0)), F.lit(1.0)), 6))
 
 
+def borders_below(x: Column, borders: list[int]) -> Column:
+    """How many of the sorted ``borders`` are not above ``x``, found as in a tree of FAN branches; null for null."""
+    depth = 1
+    while FAN**depth < len(borders):
+        depth += 1
+
+    def nested(v: list, d: int) -> list:
+        return v if d == 1 else [nested(v[i : i + FAN ** (d - 1)], d - 1) for i in range(0, len(v), FAN ** (d - 1))]
+
+    def least(node: Column, d: int) -> Column:
+        return node[0] if d == 1 else least(node[0], d - 1)
+
+    def count(node: Column, d: int) -> Column:
+        if d == 1:
+            return F.size(F.filter(node, lambda b: b <= x))
+        branches = F.size(F.filter(node, lambda n: least(n, d - 1) <= x))
+        return F.transform(F.array(branches), lambda i: F.when(i > 0, (i - 1) * FAN ** (d - 1) + count(F.get(node, i - 1), d - 1)).otherwise(0))[0]
+
+    tree = F.from_json(F.lit(json.dumps(nested(borders, depth))), "array<" * depth + "long" + ">" * depth)
+    return F.when(x.isNotNull(), count(tree, depth))
+
+
 def in_cells(docs: DataFrame) -> tuple[DataFrame, WindowSpec]:
     """The rows with ``cell`` and ``guest``, and the window in which ``lead`` finds the row next in (doc_id, text hash); after the last comes the first.
 
-    The doc_id axis is cut in at most 32,768 cells of equal width; each cell is sorted alone, and each cell's first row
+    The doc_id axis is cut at ids drawn by hash, about MOST_CELLS at most, so that cells hold about as many rows however
+    the ids lie; each cell is sorted alone, and each cell's first row
     also stands, as a guest, at the end of the cell before. Needs columns doc_id (long) and thash."""
-    lo, hi, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
-    cells = max(1, min(MOST_CELLS, n // CELL_ROWS))
-    width = min(max(1, -(-((hi or 0) - (lo or 0) + 1) // cells)), (1 << 63) - 1)
-    below = ((lo or 0) // width) - 2
-    cell = F.coalesce(F.expr(f"doc_id div {width}L"), F.lit(below)).alias("cell")
+    cells = max(1, min(MOST_CELLS, docs.count() // CELL_ROWS))
+    borders = []
+    if cells > 1:  # ids, not rows: one id in many rows is one border
+        share = F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.lit(1 << 40)) < (1 << 40) * cells // max(1, docs.count())
+        borders = [r[0] for r in docs.where(F.col("doc_id").isNotNull() & share).select("doc_id").distinct().orderBy("doc_id").limit(2 * MOST_CELLS).collect()]
+    cell = F.coalesce(borders_below(F.col("doc_id"), borders), F.lit(-1)).cast("long").alias("cell")
     placed = docs.withColumn("cell", cell).withColumn("guest", F.lit(0))
     heads = docs.select(cell, F.struct(F.col("doc_id").isNotNull().alias("has"), "doc_id", "thash").alias("head")).groupBy("cell").agg(F.min("head").alias("head"))
-    last = Window.partitionBy().orderBy("cell")  # over the cells' heads: 32,769 rows at most
+    last = Window.partitionBy().orderBy("cell")  # over the cells' heads: 2 * MOST_CELLS rows at most
     before = heads.select("head", F.coalesce(F.lag("cell").over(last), F.max("cell").over(Window.partitionBy())).alias("before"))
     before = before.select(F.col("head.doc_id").alias("doc_id"), F.col("head.thash").alias("thash"), "before")
     guests = docs.join(F.broadcast(before), same_key(docs, before, "doc_id", "thash")).select(*(docs[c] for c in docs.columns), before["before"].alias("cell"), F.lit(1).alias("guest"))
