@@ -2,8 +2,8 @@
 
 Subwords are byte n-grams (1 to 4) of the lower-cased text between spaces, hashed in 2**16 buckets. A text is the mean
 of its subwords' embeddings; a linear softmax over that mean gives the languages' probabilities. Both are trained
-together on a bounded sample: at most ``per_language`` documents of each language in the training part, chosen by a
-hash of doc_id; each is learned as a whole and line by line, so that short texts are known too. A slice of
+together on a bounded sample: about ``per_language`` documents of each language in the training part and no more than
+twice as many, chosen by a hash of id and text among the texts of up to ``max_bytes`` bytes, repeated rows once; each is learned as a whole and line by line, so that short texts are known too. A slice of
 the sample, kept apart, fits the softmax temperature and the score below which a prediction is rejected.
 
 For prediction the embeddings times the softmax weights are one small table, which is all that executors get; each
@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from casegraph.llm.common import by_batch, crc32_mod
 from casegraph.llm.grams import mean_weights, sparse_counts
@@ -105,23 +106,20 @@ def train(texts: list[str], labels: list[str], epochs: int = 4, rate: float = 0.
     return model
 
 
-def sample(docs: DataFrame, per_language: int, id_col: str = "doc_id") -> tuple[list[str], list[str]]:
-    """About ``per_language`` texts of each language and no more than twice as many, by a hash of the id."""
+def sample(docs: DataFrame, per_language: int, id_col: str = "doc_id", max_bytes: int = 1 << 20) -> tuple[list[str], list[str]]:
+    """About ``per_language`` texts of each language and no more than twice as many, by a hash of id and text."""
+    docs = docs.where(F.octet_length("text") <= max_bytes)
     counts = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().collect()}
     if not counts:
         return [], []
     # the share of a language's ids that is taken: all, or as many as give the number asked for on average
     limit = F.create_map(*(x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, per_language / n)))))
     draw = F.pmod(F.xxhash64(F.lit(11), F.col(id_col).cast("string"), "text"), F.lit(1 << 30)) / float(1 << 30)
-    rows = docs.where(draw < limit[F.col("lang")]).select(draw.alias("draw"), "lang", "text").collect()
+    drawn = docs.where(draw < limit[F.col("lang")]).select(draw.alias("draw"), "lang", "text").distinct()  # repeated rows share a draw
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "text"))
+    rows = drawn.withColumn("nth", nth).where(F.col("nth") <= 2 * per_language).collect()
     rows.sort(key=lambda r: (r["draw"], r["lang"], r["text"]))
-    taken, texts, labels = dict.fromkeys(counts, 0), [], []
-    for r in rows:
-        taken[r["lang"]] += 1
-        if taken[r["lang"]] <= 2 * per_language:
-            texts.append(r["text"])
-            labels.append(r["lang"])
-    return texts, labels
+    return [r["text"] for r in rows], [r["lang"] for r in rows]
 
 
 def has_letter(text: str) -> bool:
@@ -147,10 +145,10 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     return slim.mapInArrow(by_batch(run), "doc_id long, lang_pred string, score double, rejected boolean")
 
 
-def fit(docs: DataFrame, per_language: int = 400, id_col: str = "doc_id") -> Model | None:
+def fit(docs: DataFrame, per_language: int = 400, id_col: str = "doc_id", max_bytes: int = 1 << 20) -> Model | None:
     """A model from rows with a text and a language: a bounded sample of ``per_language`` documents of each."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    texts, labels = sample(usable, per_language, id_col)
+    texts, labels = sample(usable, per_language, id_col, max_bytes)
     return train(texts, labels) if texts else None
 
 
