@@ -6,8 +6,8 @@ released block with the earliest deadline runs. Weights sum to 1, so every block
 number of slots of a phase a source has run less than one block more or less than its weight says. When a source ends,
 a new phase begins: the others share its weight in proportion. All rows stay.
 
-Weights are integer parts of a total as large as 64 bits allow for a phase of n blocks (2**62 / n, 2**48 at most), so
-that releases and deadlines are exact; what the rounding to parts adds over a phase is n * n / 2**62 of a block, or
+Weights are integer parts of a total: exact where a total that 64 bits allow for a phase of n blocks (2**62 / n, 2**48 at
+most) suffices, else the nearest parts of the largest such total; what this rounding adds over a phase is n * n / 2**62 of a block, or
 n / 2**48 for small n. The schedule doesn't repeat. The driver walks it, a step a block and none a row, and keeps only
 where each source stands every ``period`` slots; tasks run these stretches again, side by side, for the slots of the
 blocks, and each cell of a source (below) gets those of its own blocks.
@@ -15,13 +15,17 @@ blocks, and each cell of a source (below) gets those of its own blocks.
 Numbering a source's rows never sorts a source in one task: a source is cut by hash in cells, cells are counted
 (pre-aggregated), and a row's rank is its cell's offset and its rank in the cell.
 
-Defined results: a null source is a source of its own; repeated rows are rows like any; a source without a given
+Sources, their counts and the walk over the blocks are on the driver: thousands of sources, not millions.
+
+Defined results: a null source is a source of its own; rows that agree in doc_id follow one another by a hash of their
+other columns where the row is carried; repeated rows are rows like any; a source without a given
 weight gets ``default_weight``; a weight of 0 or less is refused; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Mapping
 from fractions import Fraction
 from heapq import heapify, heappop, heappush
@@ -50,13 +54,21 @@ def quotas(weights: list[float], period: int) -> list[int]:
     return out
 
 
+def parts(weights: list[float], most: int) -> list[int]:
+    """The weights as integers whose sum is ``most`` at most: exact where these suffice, else the nearest."""
+    shares = [Fraction(w) for w in weights]
+    whole = [int(w * math.lcm(*(x.denominator for x in shares))) for w in shares]
+    whole = [w // math.gcd(*whole) for w in whole]
+    return whole if sum(whole) <= most else quotas(weights, most)
+
+
 def schedule(blocks: list[int], weights: list[float], period: int) -> tuple[list[dict], list[dict], list[int]]:
     """The phases, in which the same sources are active, with their quotas, first slot and first blocks; stretches of at
     most ``period`` slots of them with the blocks that each source has run before; and the slot of each source's last block."""
     left, phases, stretches, ends, slot = list(blocks), [], [], [0] * len(blocks), 0
     while active := [i for i, n in enumerate(left) if n > 0]:
-        total = max(2 * len(active), min(MOST_PARTS, (1 << 62) // (sum(left) + 1)))
-        q = quotas([weights[i] for i in active], total)
+        q = parts([weights[i] for i in active], max(2 * len(active), min(MOST_PARTS, (1 << 62) // (sum(left) + 1))))
+        total = sum(q)
         first = [blocks[i] - left[i] for i in active]
         phases.append({"first_slot": slot, "period": total, "sources": [{"source_no": i, "quota": n, "first_block": f} for i, n, f in zip(active, q, first, strict=True)]})
         done, t, begin, before = [0] * len(active), 0, 0, [0] * len(active)
@@ -102,11 +114,12 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame, list[tuple[str | No
     spark = docs.sparkSession
     table = literal([{"source": s, "source_no": i, "cells": max(1, min(MOST_CELLS, n // CELL_ROWS))} for i, (s, n) in enumerate(counts)], "struct<source string, source_no int, cells long>", spark)
     keyed = docs.join(F.broadcast(table), docs["source"].eqNullSafe(table["source"])).drop(table["source"])
-    keyed = keyed.withColumn("_order", F.xxhash64("doc_id")).withColumn("_cell", F.expr("pmod(_order, cells)"))
+    rest = [c for c in docs.columns if c != "source"]
+    keyed = keyed.withColumns({"_order": F.xxhash64("doc_id"), "_tie": F.xxhash64(*rest)}).withColumn("_cell", F.expr("pmod(_order, cells)"))
     per_cell = keyed.groupBy("source_no", "_cell").agg(F.count(F.lit(1)).alias("n"))
     offsets = per_cell.select("source_no", "_cell", "n", (F.sum("n").over(Window.partitionBy("source_no").orderBy("_cell")) - F.col("n")).alias("_offset"))
-    within = F.row_number().over(Window.partitionBy("source_no", "_cell").orderBy("_order", "doc_id")) - 1
-    return keyed.withColumn("_within", within).drop("cells", "_order"), offsets, counts
+    within = F.row_number().over(Window.partitionBy("source_no", "_cell").orderBy("_order", "doc_id", "_tie")) - 1
+    return keyed.withColumn("_within", within).drop("cells", "_order", "_tie"), offsets, counts
 
 
 def block_slots(stretches: list[dict], spark) -> DataFrame:
@@ -156,9 +169,12 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, bloc
 
 
 def in_order(docs: DataFrame, **options) -> DataFrame:
-    """The documents with their own columns, range-partitioned and sorted by their place in the mixture.
+    """The documents with their own columns, in partitions of consecutive places in the mixture, each sorted.
 
     Each file written from it holds one range, in order, but Spark reads files by size and not by range: a reader that
     needs the order asks for it again, which gives the same order as all rows are still there."""
     mixed = mix(docs, carry=True, **options)
-    return mixed.repartitionByRange("position").sortWithinPartitions("position").select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+    # places are gapless, so that ranges need no sample, which would run the mixture twice
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    width = max(1, -(-docs.count() // parts))
+    return mixed.repartitionById(parts, F.expr(f"cast(position div {width}L as int)")).sortWithinPartitions("position").select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
