@@ -70,5 +70,15 @@ def crc_id(prefix: str, *parts: Column) -> Column:
     return F.concat(F.lit(prefix), F.lpad(F.lower(F.hex(F.crc32(F.concat_ws("|", *parts).cast("binary")))), 8, "0"))
 
 
+def weeks_between(a: Column, b: Column) -> Column:
+    """Whole weeks from a date to another, rounded half up."""
+    return F.floor(F.datediff(b, a) / 7 + 0.5).cast("int")
+
+
+def finite(x: Column) -> Column:
+    """Whether a number is there and finite."""
+    return x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf"))
+
+
 def monday(day: Column) -> Column:
     return F.date_trunc("week", day).cast("date")

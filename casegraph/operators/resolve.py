@@ -76,6 +76,13 @@ def match(spark, a: dict, b: dict) -> DataFrame:
     return scored(side("a").join(side("b"), "one").select("a", "b"))
 
 
+def against(target: dict, candidates: DataFrame) -> DataFrame:
+    """All candidates scored against one person (a dict of the record's fields), the best first."""
+    one = candidates.sparkSession.createDataFrame([tuple({"source_key": "", **target}.get(c) for c in ("source_key", "name", "age", "gender", "unit_id", "district_id", "lat", "lon"))], "source_key string, name string, age double, gender string, unit_id string, district_id string, lat double, lon double")
+    met = candidates.select(F.lit(1).alias("one"), F.struct(*candidates.columns).alias("b")).join(F.broadcast(one.select(F.lit(1).alias("one"), F.struct(*one.columns).alias("a"))), "one").select("a", "b")
+    return scored(met).orderBy(F.desc("score"), "b")
+
+
 def clusters(records: DataFrame, links: DataFrame) -> DataFrame:
     """(source_key, cluster) of every record: the least key that its links (a, b) lead to."""
     found = components(links.select("a", "b"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -25,6 +26,11 @@ def keywords(query: Column, most: int = 5) -> Column:
     return F.slice(F.filter(F.split(plain, r"\s+"), lambda w: (F.length(w) > 2) & ~w.isin(*STOP_WORDS)), 1, most)
 
 
+def keyword_union(*lists: Column, most: int = 8) -> Column:
+    """The different words of several lists, in order, ``most`` of them at most."""
+    return F.slice(F.array_distinct(F.concat(*lists)), 1, most)
+
+
 def intent(query: Column) -> Column:
     """STRUCT<intent, confidence> of the first pattern that matches, or null."""
     out = None
@@ -50,10 +56,78 @@ def enrich(cases: DataFrame, sections: DataFrame) -> DataFrame:
 
 
 def merge_hits(*hits: DataFrame) -> DataFrame:
-    """Hits (case_id, score) of several searches: each case once, from the first search that has it; ``retry`` where no score is above 1."""
+    """Hits (case_id, score) of several searches: each case once, from the first search that has it, with ``retry``: no score is above 1."""
     rows = reduce(lambda a, b: a.unionByName(b), (h.select("case_id", "score", F.lit(i).alias("search")) for i, h in enumerate(hits)))
     first = rows.groupBy("case_id").agg(F.min(F.struct("search", -F.col("score"))).alias("f")).select("case_id", (-F.col("f")["col2"]).alias("score"), F.col("f.search").alias("search"))
-    return first
+    weak = first.agg((F.coalesce(F.max("score"), F.lit(0)) <= 1).alias("retry"))  # one row
+    return first.withColumn("one", F.lit(1)).join(F.broadcast(weak.withColumn("one", F.lit(1))), "one").drop("one")
+
+
+def name_hits(roles: DataFrame, words: list[str], newest: int = 15) -> DataFrame:
+    """(case_id, score): of the role rows (case_id, role, name, incident) whose name contains a word, the newest ones of each
+    role and word; a case scores two for each different role and name."""
+    spelt = F.lower("name")
+    tried = roles.where(F.length(F.trim("name")) > 0).withColumn("word", F.explode(F.array(*(F.lit(w.lower()) for w in words)))).where(F.contains(spelt, F.col("word")))
+    place = F.row_number().over(Window.partitionBy("role", "word").orderBy(F.col("incident").desc_nulls_last(), "case_id", "name"))
+    return tried.withColumn("place", place).where(F.col("place") <= newest).groupBy("case_id").agg((2 * F.countDistinct("role", "name")).alias("score"))
+
+
+def case_by_id(cases: DataFrame, roles: DataFrame, case_id: str) -> DataFrame:
+    """The case with that id, with its people by role as sorted lists, and a score of 10; empty where there is none."""
+    one = cases.where(F.col("case_id").cast("string") == case_id)
+    people = roles.where(F.col("case_id").cast("string") == case_id).groupBy("case_id").agg(*(F.sort_array(F.collect_set(F.when(F.col("role") == r, F.col("name")))).alias(r) for r in ("accused", "victim", "complainant")))
+    return one.join(people, "case_id", "left").withColumn("score", F.lit(10))
+
+
+def with_status(hits: DataFrame, cases: DataFrame, statuses: DataFrame, courts: DataFrame, sections: DataFrame) -> DataFrame:
+    """Hits with their case's status, court and sections; what a case lacks is null, its list of sections empty."""
+    full = hits.join(cases.select("case_id", "status_id", "court_id"), "case_id", "left").join(statuses, "status_id", "left").join(courts, "court_id", "left")
+    return enrich(full.drop("status_id", "court_id"), sections)
+
+
+def citations(hits: DataFrame) -> Column:
+    """An aggregate: the cases that an answer rests on, in order."""
+    return F.array_join(F.array_sort(F.collect_set(F.concat(F.lit("CaseMasterID:"), F.col("case_id").cast("string")))), ", ")
+
+
+def slots(query: Column, districts: list[str], kinds: list[str]) -> Column:
+    """STRUCT<district, kind, case_id, person_id, year>: what a question names, each the first of the known values that it contains."""
+    low = F.lower(query)
+    first = lambda values: F.get(F.filter(F.array(*(F.lit(v) for v in values)), lambda v: F.contains(low, F.lower(v))), F.lit(0)) if values else F.lit(None).cast("string")
+    found = lambda pattern: F.nullif(F.regexp_extract(query, pattern, 1), F.lit(""))
+    return F.struct(first(districts).alias("district"), first(kinds).alias("kind"), found(r"\b(\d{14,17})\b").alias("case_id"), found(r"\b(PM_[0-9a-f]{8})\b").alias("person_id"), found(r"\b(20\d{2})\b").alias("year"))
+
+
+def chat_period(query: Column, today: Column) -> Column:
+    """STRUCT<label, since>: the period that a question names, this or last month or year or a year from 2000 on; null for none."""
+    month, year = F.trunc(today, "month"), F.trunc(today, "year")
+    ahead = lambda since: F.struct(since[0].alias("label"), since[1].cast("string").alias("since"))
+    last_month, named = F.add_months(month, -1), F.regexp_extract(query, r"\b(20\d{2})\b", 1)
+    says = lambda x: query.rlike(rf"(?i)\b{x}\b")
+    return (
+        F.when(says(r"this\s+month"), ahead((F.concat(F.lit("This month ("), F.date_format(month, "MMMM"), F.lit(")")), month)))
+        .when(says(r"last\s+month"), ahead((F.concat(F.lit("Last month ("), F.date_format(last_month, "MMMM"), F.lit(")")), last_month)))
+        .when(says(r"this\s+year"), ahead((F.concat(F.lit("This year ("), F.year(year).cast("string"), F.lit(")")), year)))
+        .when(says(r"last\s+year"), ahead((F.concat(F.lit("Last year ("), (F.year(year) - 1).cast("string"), F.lit(")")), F.add_months(year, -12))))
+        .when(F.length(named) > 0, ahead((named, F.make_date(named.try_cast("int"), F.lit(1), F.lit(1)))))
+    )
+
+
+def dashboard_period(period: str | None, today: str) -> dict[str, str]:
+    """The start and end dates of a dashboard's period (year, 6months, 3months, month), for ``dashboard.filtered``; no limits for others."""
+    months = {"year": 12, "6months": 6, "3months": 3, "month": 1}.get(period or "")
+    if not months:
+        return {}
+    end = datetime.date.fromisoformat(today)
+    back = end.year * 12 + end.month - 1 - months
+    # a day that the month lacks runs on into the next one
+    start = datetime.date(back // 12, back % 12 + 1, 1) + datetime.timedelta(days=end.day - 1)
+    return {"start": start.isoformat(), "end": end.isoformat()}
+
+
+def short_label(text: Column, most: int = 20) -> Column:
+    """A label of up to ``most`` characters, the last an ellipsis where it is cut."""
+    return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most - 1), F.lit("…"))).otherwise(text)
 
 
 def case_text(rows: DataFrame, fields: dict[str, str]) -> Column:

@@ -6,6 +6,8 @@ cases); the grid is a cross of 77 parameter pairs that is exploded a series at a
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -55,7 +57,14 @@ def macro_average(per_series: DataFrame) -> DataFrame:
 
 def forecast_ids(forecasts: DataFrame, series: list[str], model_version: str, snapshot: str) -> DataFrame:
     """Forecasts with an id that follows from what was forecast, by which model, from which snapshot: running again replaces."""
-    return forecasts.withColumn("forecast_id", crc_id("FC_", *(F.col(c).cast("string") for c in [*series, "horizon_days"]), F.lit(model_version), F.lit(snapshot)))
+    return forecasts.withColumn("forecast_id", crc_id("FCT_", *(F.col(c).cast("string") for c in [*series, "horizon_days"]), F.lit(model_version), F.lit(snapshot)))
+
+
+def model_version(rows: DataFrame, series: list[str], snapshot: str | None, training_version: int = 1) -> str:
+    """A name that follows from the training version, the rows, the series and the snapshot."""
+    n = rows.agg(F.count(F.lit(1)).alias("n"), F.countDistinct(*series).alias("g")).first()
+    seed = "|".join(sorted([f"fc-v{training_version}", f"n-{n['n']}", f"g-{n['g']}", f"snapshot-{snapshot or 'unknown'}"]))
+    return f"FC_v{training_version}_{zlib.crc32(seed.encode()):08x}"
 
 
 def temporal_split(dense: DataFrame, series: str, share: float = 0.2) -> DataFrame:

@@ -1,7 +1,7 @@
 """The engine's registered queries over the test tables, and, where SQL can say the same, their SQL.
 
 Stand-ins: orders are cases, customers and nations their stations and districts, priorities their categories, suppliers of
-large items the accused and customers the victims; documents give person records (first two words as a name) and
+their items the accused and customers the victims; documents give person records (first two words as a name) and
 facts; conversations give sessions.
 """
 
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casegraph.functions import names, scores
-from casegraph.operators import dashboard, graph, resolve, retrieval, series
+from casegraph.operators import dashboard, graph, resolve, retrieval, series, sync
 from casegraph.plans import sqlgate
 from casegraph.sources import tables
 from casegraph.streaming import incremental
@@ -61,15 +61,14 @@ CASES = "cases AS (SELECT o_orderkey AS case_id, o_custkey, o_orderdate AS regis
 
 
 def accused(spark: SparkSession, d: str) -> DataFrame:
-    heavy = table(spark, d, "lineitem").where(F.col("l_quantity") >= 49)
-    return heavy.select(F.concat(F.lit("S-"), F.col("l_suppkey").cast("string")).alias("person_id"), F.col("l_orderkey").cast("string").alias("case_id")).distinct()
+    return table(spark, d, "lineitem").select(F.concat(F.lit("S-"), F.col("l_suppkey").cast("string")).alias("person_id"), F.col("l_orderkey").cast("string").alias("case_id")).distinct()
 
 
 def victims(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select(F.concat(F.lit("C-"), F.col("o_custkey").cast("string")).alias("person_id"), F.col("o_orderkey").cast("string").alias("case_id"))
 
 
-ACCUSED = "accused AS (SELECT DISTINCT 'S-' || l_suppkey AS person_id, CAST(l_orderkey AS VARCHAR) AS case_id FROM lineitem WHERE l_quantity >= 49)"
+ACCUSED = "accused AS (SELECT DISTINCT 'S-' || l_suppkey AS person_id, CAST(l_orderkey AS VARCHAR) AS case_id FROM lineitem)"
 CO = "co AS (SELECT a.person_id AS source, b.person_id AS target, a.case_id FROM accused a JOIN accused b ON a.case_id = b.case_id AND a.person_id <> b.person_id)"
 
 
@@ -102,9 +101,7 @@ NAMES = rf"{RAW}, named AS (SELECT *, trim(regexp_replace(regexp_replace(CASE WH
 _TOK = "upper(string_split(name, ' ')[1])"
 _CODES = f"regexp_replace(translate(tok[1], 'BFPVCGJKQSXZDTLMNR', '111122222222334556'), '[^0-9]', '', 'g') || regexp_replace(translate(regexp_replace(tok[2:], '[AEIOUHWY]', '', 'g'), 'BFPVCGJKQSXZDTLMNR', '111122222222334556'), '[^0-9]', '', 'g')"
 _RUNS = "regexp_replace(" * 6 + "codes" + "".join(f", '{k}+', '{k}', 'g')" for k in range(1, 7))
-_DIG = "tok"
-for _two, _mark in names.DIGRAPHS.items():
-    _DIG = f"replace({_DIG}, '{_two}', '{_mark}')"
+_DIG = "replace(replace(replace(replace(replace(replace(tok, 'SH', 'x'), 'TH', 't'), 'KH', 'k'), 'GH', 'k'), 'CH', 'x'), 'PH', 'f')"
 _MET = f"translate(regexp_replace({_DIG}, '[AEIOUYH]', '', 'g'), 'BCDFGJKLMNPQRSTVWXZ', 'BXJFKJKLMNPQRSTFFXS')"
 _FOLD = "array_to_string(list_transform(list_filter(range(1, len(met) + 1), lambda i: NOT (i > 1 AND met[i] = upper(met[i]) AND upper(met[i - 1]) = met[i])), lambda i: upper(met[i])), '')"
 KEYS = f"{NAMES}, toks AS (SELECT *, {_TOK} AS tok FROM named), coded AS (SELECT *, {_CODES} AS codes, {_MET} AS met, regexp_matches(tok[1], '[BFPVCGJKQSXZDTLMNR]') AS lead FROM toks), keyed AS (SELECT *, CASE WHEN tok = '' THEN '' ELSE rpad(tok[1] || CASE WHEN lead THEN ({_RUNS})[2:] ELSE {_RUNS} END, 4, '0') END AS sdx, {_FOLD} AS mph FROM coded)"
@@ -170,7 +167,7 @@ def risk_ranked_top50(spark, d):
     return dashboard.count_by(items, "p_type", 50)
 
 
-@query("SELECT person_id, count(DISTINCT case_id) AS cases, CAST(least(10.0, floor((2.5 * count(DISTINCT case_id) + CASE WHEN count(DISTINCT case_id) > 1 THEN 2 ELSE 0 END + least(count(DISTINCT category), 3)) * 10 + 0.5) / 10) AS DOUBLE) AS score FROM (SELECT DISTINCT 'S-' || l_suppkey AS person_id, l_orderkey AS case_id, o_orderpriority AS category FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_quantity >= 49) GROUP BY 1")
+@query("SELECT person_id, count(DISTINCT case_id) AS cases, CAST(least(10.0, floor((2.5 * count(DISTINCT case_id) + CASE WHEN count(DISTINCT case_id) > 1 THEN 2 ELSE 0 END + least(count(DISTINCT category), 3)) * 10 + 0.5) / 10) AS DOUBLE) AS score FROM (SELECT DISTINCT 'S-' || l_suppkey AS person_id, l_orderkey AS case_id, o_orderpriority AS category FROM lineitem JOIN orders ON o_orderkey = l_orderkey) GROUP BY 1")
 def risk_score_by_name(spark, d):
     o = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("case_id"), F.col("o_orderpriority").alias("category"))
     per = accused(spark, d).join(o, "case_id").groupBy("person_id").agg(F.countDistinct("case_id").alias("cases"), F.countDistinct("category").alias("types"))
@@ -206,9 +203,9 @@ def normalise_latin(spark, d):
     return person_records(spark, d).select("source_key", "name")
 
 
-@query()
+@query(rf"WITH {NAMES} SELECT doc_id AS source_key, name FROM named")
 def indic_transliterate(spark, d):
-    return spark.createDataFrame([("रमेश कुमार",), ("ರಮೇಶ ಕುಮಾರ",), ("Mr Ramesh",), (None,)], "raw string").select("raw", names.normalise_name(F.col("raw")).alias("name"))
+    return person_records(spark, d).select("source_key", names.normalise_name(F.col("raw")).alias("name"))
 
 
 @query(f"WITH {KEYS} SELECT doc_id AS source_key, sdx AS code FROM keyed")
@@ -231,7 +228,7 @@ def block_stats(spark, d):
     return resolve.block_stats(resolve.with_key(person_records(spark, d)))
 
 
-_NEAR = "a.unit_id = b.unit_id AND abs(a.age - b.age) <= 2"
+_NEAR = "a.unit_id = b.unit_id AND abs(a.age - b.age) <= 2"  # a gate that a recursion in SQL can follow at any size; confirmed_clusters has the score's
 
 
 @query(f"WITH {BLOCKS} SELECT a.doc_id AS a, b.doc_id AS b FROM blocks a JOIN blocks b ON a.block_key = b.block_key AND a.doc_id < b.doc_id")
@@ -254,14 +251,47 @@ def haversine_pairs(spark, d):
     return p.select("a", "b", scores.half_up(scores.haversine(F.col("a"), F.col("a") * 2, F.col("b"), F.col("b") * 2), 2).alias("km"))
 
 
-@query()
+#: Jaro-Winkler as a recursion over the letters of the first name; three comparisons a pair of names.
+_JW = """cmp AS (SELECT DISTINCT na AS x, nb AS y FROM p UNION SELECT DISTINCT array_to_string(list_sort(string_split(na, ' ')), ' '), array_to_string(list_sort(string_split(nb, ' ')), ' ') FROM p UNION SELECT DISTINCT string_split(na, ' ')[-1], string_split(nb, ' ')[-1] FROM p),
+jwr(x, y, i, free, am, js) AS (SELECT x, y, 1::BIGINT, string_split(y, ''), '', CAST([] AS BIGINT[]) FROM cmp UNION ALL
+ SELECT x, y, i + 1, CASE WHEN j > 0 THEN list_concat(list_concat(free[:j - 1], ['']), free[j + 1:]) ELSE free END, CASE WHEN j > 0 THEN am || x[i] ELSE am END, CASE WHEN j > 0 THEN list_append(js, j) ELSE js END
+ FROM (SELECT *, CASE WHEN q > 0 THEN lo + q - 1 ELSE 0 END AS j FROM (SELECT *, coalesce(list_position(free[lo:hi], x[i]), 0) AS q FROM (SELECT *, greatest(1, i - reach) AS lo, least(length(y), i + reach) AS hi FROM (SELECT *, greatest(length(x), length(y)) // 2 - 1 AS reach FROM jwr WHERE i <= length(x)))) )),
+jw AS (SELECT x, y, CASE WHEN n = 0 THEN 0.0::DOUBLE ELSE jaro + same * 0.1::DOUBLE * (1 - jaro) END AS jw FROM (SELECT *, (n::DOUBLE / length(x) + n::DOUBLE / length(y) + (n - moved / 2::DOUBLE) / n) / 3 AS jaro FROM
+ (SELECT *, len(list_filter(range(1, n + 1), lambda k: am[k] <> y[list_sort(js)[k]]))::DOUBLE AS moved, len(js) AS n, CASE WHEN x[1] <> y[1] THEN 0 WHEN x[2] <> y[2] OR least(length(x), length(y)) < 2 THEN 1 WHEN x[3] <> y[3] OR least(length(x), length(y)) < 3 THEN 2 WHEN x[4] <> y[4] OR least(length(x), length(y)) < 4 THEN 3 ELSE 4 END AS same FROM (SELECT *, len(js) AS n FROM jwr WHERE i = length(x) + 1))))"""
+_AGES = "CASE WHEN abs(a.age - b.age) = 0 THEN 1.0 WHEN abs(a.age - b.age) <= 2 THEN 0.9 WHEN abs(a.age - b.age) <= 5 THEN 0.7 WHEN abs(a.age - b.age) <= 10 THEN 0.4 ELSE 0.0 END::DOUBLE"
+SCORED = f"""RECURSIVE {BLOCKS}, p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.name AS na, b.name AS nb, {_AGES} AS age_score, CASE WHEN upper(a.lang) = upper(b.lang) THEN 1.0 ELSE 0.0 END::DOUBLE AS gender_score, CASE WHEN a.source = b.source THEN 1.0 ELSE 0.0 END::DOUBLE AS location_score FROM blocks a JOIN blocks b ON a.block_key = b.block_key AND a.doc_id < b.doc_id), {_JW},
+named_pairs AS (SELECT na, nb, least(base * CASE WHEN contains(na, ' ') AND contains(nb, ' ') AND string_split(na, ' ')[1] = string_split(nb, ' ')[1] AND string_split(na, ' ')[-1] <> string_split(nb, ' ')[-1] THEN CASE WHEN l.jw < 0.6::DOUBLE THEN 0.65::DOUBLE WHEN l.jw < 0.8::DOUBLE THEN 0.8::DOUBLE ELSE 1.0::DOUBLE END ELSE 1.0::DOUBLE END, 1.0::DOUBLE) AS ns, plain
+ FROM (SELECT u.na, u.nb, greatest(f.jw, s.jw) AS base, f.jw AS plain FROM (SELECT DISTINCT na, nb FROM p) u JOIN jw f ON f.x = u.na AND f.y = u.nb JOIN jw s ON s.x = array_to_string(list_sort(string_split(u.na, ' ')), ' ') AND s.y = array_to_string(list_sort(string_split(u.nb, ' ')), ' ')) t JOIN jw l ON l.x = string_split(na, ' ')[-1] AND l.y = string_split(nb, ' ')[-1]),
+sc AS (SELECT a, b, {_HALF2.format('ns')} AS name_score, age_score, gender_score, location_score FROM p JOIN named_pairs USING (na, nb)),
+scored AS (SELECT *, {_HALF2.format('name_score * 0.45::DOUBLE + age_score * 0.2::DOUBLE + gender_score * 0.2::DOUBLE + location_score * 0.15::DOUBLE')} AS score FROM sc),
+gated AS (SELECT *, CASE WHEN score >= 0.78::DOUBLE THEN 'CONFIRMED' WHEN score >= 0.55::DOUBLE THEN 'UNCONFIRMED' ELSE 'DISCARD' END AS decision FROM scored)"""
+
+
+def _candidates(spark: SparkSession, d: str) -> DataFrame:
+    return resolve.pairs(resolve.with_key(person_records(spark, d)))
+
+
+@query(f"WITH {SCORED} SELECT a, b, name_score, age_score, gender_score, location_score, score, decision FROM gated")
 def scored_pairs(spark, d):
-    return resolve.scored(resolve.pairs(resolve.with_key(person_records(spark, d))))
+    return resolve.scored(_candidates(spark, d))
 
 
-@query()
+@query(f"WITH {SCORED} SELECT decision, count(*) AS n FROM gated GROUP BY 1")
 def gate_counts(spark, d):
-    return resolve.scored(resolve.pairs(resolve.with_key(person_records(spark, d)))).groupBy("decision").agg(F.count(F.lit(1)).alias("n"))
+    return scored_pairs(spark, d).groupBy("decision").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {SCORED} SELECT na, nb, floor(plain * 1000000 + 0.5) / 1000000 AS similarity FROM named_pairs")
+def jaro_winkler_pairs(spark, d):
+    spelt = _candidates(spark, d).select(F.col("a.name").alias("na"), F.col("b.name").alias("nb")).distinct()
+    return spelt.select("na", "nb", scores.half_up(names.jaro_winkler_udf("na", "nb"), 6).alias("similarity"))
+
+
+@query(f"WITH {BLOCKS}, keys AS (SELECT doc_id, '0:' || block_key AS k FROM blocks UNION ALL SELECT doc_id, '1:' || string_split(name, ' ')[-1] || ' ' || (age // 5) FROM blocks WHERE contains(name, ' ')) SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM keys a JOIN keys b ON a.k = b.k AND a.doc_id < b.doc_id")
+def candidates_of_strategies(spark, d):
+    """Pairs that share the phonetic key or the surname and the age's band, once each."""
+    keyed = resolve.by_strategies(person_records(spark, d).where("name <> ''"), [lambda: names.phonetic_key(F.col("name")), lambda: names.surname_age_key(F.col("name"), F.col("age"))])
+    return resolve.distinct_pairs(resolve.pairs(keyed)).select(F.col("a.source_key").alias("a"), F.col("b.source_key").alias("b"))
 
 
 # ---------------------------------------------------------------- clusters and persons
@@ -297,10 +327,64 @@ def repeat_offenders(spark, d):
     return resolve.repeat_offenders(per).select("cluster", "accused_count")
 
 
-@query()
+@query(f"WITH {SCORED}, links AS (SELECT a, b FROM gated WHERE decision = 'CONFIRMED' UNION SELECT b, a FROM gated WHERE decision = 'CONFIRMED'), walk(n, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT links.b, walk.c FROM walk JOIN links ON links.a = walk.n) SELECT n AS source_key, min(c) AS cluster FROM walk GROUP BY 1")
+def confirmed_clusters(spark, d):
+    """Score, gate and clusters together: pairs that can't be confirmed never get to the comparison of names."""
+    return resolve.clusters(person_records(spark, d), resolve.scored(_candidates(spark, d), least=scores.CONFIRMED))
+
+
+@query(f"WITH {SCORED}, e AS (SELECT a AS k, score FROM gated WHERE decision = 'CONFIRMED' UNION ALL SELECT b, score FROM gated WHERE decision = 'CONFIRMED') SELECT k AS source_key, {_HALF2.format('avg(score)')} AS confidence FROM e GROUP BY 1")
+def mean_confidence(spark, d):
+    scored = resolve.scored(_candidates(spark, d), least=scores.CONFIRMED)
+    return sync.confidences(scored, person_records(spark, d).select("source_key", F.col("source_key").alias("cluster")))[0]
+
+
+@query(f"""WITH {LINKS}, r AS (SELECT c.cluster, c.source_key, n.name, n.lang, CAST(18 + n.n_chars % 60 AS INTEGER) AS age FROM clustered c JOIN named n ON n.doc_id = c.source_key),
+g AS (SELECT cluster, lang FROM (SELECT cluster, lang, row_number() OVER (PARTITION BY cluster ORDER BY count(*) DESC, min(source_key)) AS k FROM r GROUP BY 1, 2) WHERE k = 1),
+m AS (SELECT cluster, name FROM (SELECT cluster, name, row_number() OVER (PARTITION BY cluster ORDER BY count(*) DESC, length(name) DESC, min(source_key)) AS k FROM r GROUP BY 1, 2) WHERE k = 1),
+t AS (SELECT cluster, CAST(floor(quantile_cont(age, 0.5) + 0.5) AS INTEGER) AS age, max(CASE WHEN name = 'the' THEN 1.0 WHEN contains(name, 'the') THEN 0.8 ELSE 0.0 END)::DOUBLE AS n FROM r GROUP BY 1)
+SELECT t.cluster, floor((greatest(t.n, CASE WHEN contains(m.name, 'the') THEN 0.7 ELSE 0 END) * 0.5::DOUBLE + CASE WHEN g.lang = 'en' THEN 0.2 ELSE 0 END::DOUBLE + 0.3::DOUBLE) * 100 + 0.5) / 100 AS confidence
+FROM t JOIN g USING (cluster) JOIN m USING (cluster) WHERE t.age BETWEEN 20 AND 60 AND greatest(t.n, CASE WHEN contains(m.name, 'the') THEN 0.7 ELSE 0 END) > 0 ORDER BY 2 DESC, 1 LIMIT 50""")
 def person_search(spark, d):
     records, clustered = gated(spark, d)
-    return resolve.search_persons(resolve.person_documents(records, clustered), name="the", gender="en").select("person_id", "confidence")
+    persons = resolve.person_documents(records, clustered).withColumn("person_id", F.col("cluster"))
+    return resolve.search_persons(persons, name="the", gender="en", min_age=20, max_age=60, limit=50).select("cluster", "confidence")
+
+
+_ROLES = """roles AS (SELECT 'Accused:A-' || l_orderkey || '-' || l_linenumber AS source_key, 'accused' AS role, s_name AS raw, (18 + s_suppkey % 50)::DOUBLE AS age, s_suppkey % 3 + 1 AS g, l_orderkey AS case_id FROM lineitem JOIN supplier ON s_suppkey = l_suppkey
+UNION ALL SELECT 'Victim:V-' || o_orderkey, 'victim', c_name, (20 + c_custkey % 40)::DOUBLE, c_custkey % 4 + 1, o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey
+UNION ALL SELECT 'ComplainantDetails:C-' || o_orderkey, 'complainant', c_name, NULL, 2, o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 3 = 0)"""
+
+
+def role_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers as accused, customers as victims and, in a third of the cases, as complainants."""
+    o, c, s = table(spark, d, "orders"), table(spark, d, "customer"), table(spark, d, "supplier")
+    party = o.join(c, F.col("c_custkey") == F.col("o_custkey"))
+    acc = table(spark, d, "lineitem").join(s, F.col("s_suppkey") == F.col("l_suppkey")).select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), F.col("s_name").alias("name"), (18 + F.col("s_suppkey") % 50).alias("age"), (F.col("s_suppkey") % 3 + 1).alias("gender_code"), F.col("l_orderkey").alias("case_id"))
+    vic = party.select(F.col("o_orderkey").alias("id"), F.col("c_name").alias("name"), (20 + F.col("c_custkey") % 40).alias("age"), (F.col("c_custkey") % 4 + 1).alias("gender_code"), F.col("o_orderkey").alias("case_id"))
+    com = party.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("id"), F.col("c_name").alias("name"), F.lit(None).cast("int").alias("age"), F.lit(2).alias("gender_code"), F.col("o_orderkey").alias("case_id"))
+    place = o.join(c.where("c_custkey % 10 <> 0"), F.col("c_custkey") == F.col("o_custkey")).select(F.col("o_orderkey").alias("case_id"), F.col("o_orderdate").cast("date").alias("offence_date"), F.col("c_nationkey").alias("unit_id"), F.lit(None).alias("lat"), F.lit(None).alias("lon"))
+    units = table(spark, d, "nation").select(F.col("n_nationkey").alias("unit_id"), F.col("n_regionkey").alias("district_id"))
+    return sync.source_records({"Accused": (acc, "id", "name"), "Victim": (vic, "id", "name"), "ComplainantDetails": (com, "id", "name")}, place, units)
+
+
+@query(f"WITH {_ROLES} SELECT source_key, role, raw, age, CASE g WHEN 1 THEN 'M' WHEN 2 THEN 'F' WHEN 3 THEN 'O' ELSE CAST(g AS VARCHAR) END AS gender, CAST(case_id AS VARCHAR) AS case_id, CAST(c_nationkey AS VARCHAR) AS unit_id, CAST(n_regionkey AS VARCHAR) AS district_id, strftime(o_orderdate, '%Y-%m-%d') AS offence_date FROM roles JOIN orders ON o_orderkey = case_id JOIN customer ON c_custkey = o_custkey AND c_custkey % 10 <> 0 JOIN nation ON n_nationkey = c_nationkey")
+def role_records(spark, d):
+    return role_rows(spark, d).select("source_key", "role", "raw", "age", "gender", "case_id", "unit_id", "district_id", "offence_date")
+
+
+@query(f"WITH {_ROLES}, n AS (SELECT raw, count(*) AS c FROM roles JOIN orders ON o_orderkey = case_id JOIN customer ON c_custkey = o_custkey AND c_custkey % 10 <> 0 GROUP BY 1) SELECT CAST(sum(c) AS BIGINT) AS total, count(*) AS different, count(*) FILTER (c >= 2) AS recurring FROM n")
+def name_census(spark, d):
+    n = role_rows(spark, d).groupBy("raw").agg(F.count(F.lit(1)).alias("c"))
+    return n.agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("different"), F.count_if(F.col("c") >= 2).alias("recurring"))
+
+
+@query(f"WITH {_ROLES}, hit AS (SELECT DISTINCT case_id FROM roles JOIN orders ON o_orderkey = case_id JOIN customer ON c_custkey = o_custkey AND c_custkey % 10 <> 0 WHERE raw = (SELECT min(s_name) FROM supplier)) SELECT r.source_key FROM roles r JOIN hit USING (case_id)")
+def shared_case_records(spark, d):
+    """The records of all cases that one person touches."""
+    rows = role_rows(spark, d)
+    name = table(spark, d, "supplier").agg(F.min("s_name").alias("raw"))
+    return graph.by_ids(rows, rows.join(F.broadcast(name), "raw").select("case_id"), "case_id").select("source_key")
 
 
 _TRUTH = "truth AS (SELECT doc_id AS key, source AS label FROM documents), pred AS (SELECT doc_id AS key, lang || '-' || (n_chars % 7) AS label FROM documents)"
@@ -359,6 +443,30 @@ def map_ids(spark, d):
     return resolve.keep_ids(rows.select("source_key", F.col("l_orderkey").alias("cluster")), rows.select("source_key", F.col("l_suppkey").alias("person_id")), -F.col("cluster"))
 
 
+_OWNED = "o AS (SELECT l_orderkey AS cluster, l_suppkey AS person_id, count(*) AS overlap FROM lineitem GROUP BY 1, 2)"
+
+
+def _owned(spark, d):
+    rows = table(spark, d, "lineitem").withColumn("source_key", F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"))
+    return rows.select("source_key", F.col("l_orderkey").alias("cluster")), rows.select("source_key", F.col("l_suppkey").alias("person_id")).unionByName(spark.range(1).select(F.lit("gone").alias("source_key"), F.lit(-1).cast("long").alias("person_id")))
+
+
+@query(f"WITH {_OWNED}, w AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY overlap DESC, person_id) AS r FROM o), k AS (SELECT DISTINCT person_id FROM w WHERE r = 1) SELECT person_id, CASE WHEN person_id IN (SELECT person_id FROM k) THEN 'kept' ELSE 'merged' END AS fate FROM (SELECT DISTINCT person_id FROM o) UNION ALL SELECT -1, 'stale'")
+def id_fates(spark, d):
+    clustered, owners = _owned(spark, d)
+    return sync.fates(clustered, owners, resolve.keep_ids(clustered, owners, -2 - F.col("cluster")))
+
+
+@query(f"""WITH o AS (SELECT l_orderkey AS cluster, l_suppkey AS person_id, count(DISTINCT l_linenumber || ':' || l_partkey) AS overlap FROM lineitem GROUP BY 1, 2), n AS (SELECT *, count(*) OVER (PARTITION BY person_id) AS clusters FROM o), sole AS (SELECT cluster, person_id FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY overlap DESC, person_id) AS r FROM n WHERE clusters = 1) WHERE r = 1),
+k AS (SELECT l_orderkey AS cluster, string_agg(DISTINCT l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey, '|' ORDER BY l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey) AS keys FROM lineitem GROUP BY 1),
+best AS (SELECT * FROM (SELECT n.*, row_number() OVER (PARTITION BY person_id ORDER BY overlap DESC, keys) AS r FROM n JOIN k USING (cluster) WHERE clusters > 1) WHERE r = 1 AND cluster NOT IN (SELECT cluster FROM sole)),
+split AS (SELECT cluster, person_id FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY overlap DESC, person_id) AS q FROM best) WHERE q = 1)
+SELECT k.cluster, coalesce(s.person_id, p.person_id, -k.cluster) AS person_id, CASE WHEN s.person_id IS NOT NULL THEN 'sole' WHEN p.person_id IS NOT NULL THEN 'split' ELSE 'new' END AS claim FROM k LEFT JOIN sole s USING (cluster) LEFT JOIN split p USING (cluster)""")
+def incremental_ids(spark, d):
+    rows = table(spark, d, "lineitem").withColumn("source_key", F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")).select("source_key", "l_orderkey", "l_suppkey").distinct()
+    return sync.incremental(rows.select("source_key", F.col("l_orderkey").alias("cluster")), rows.select("source_key", F.col("l_suppkey").alias("person_id")), -F.col("cluster"))
+
+
 # ---------------------------------------------------------------- graph
 
 
@@ -372,9 +480,39 @@ def accused_victim_edges(spark, d):
     return graph.accused_to_victim(accused(spark, d), victims(spark, d)).drop("edge_id")
 
 
-@query(f"WITH {ACCUSED}, {CO} SELECT CASE WHEN CAST(substr(target, 3) AS BIGINT) % 5 = 0 THEN 'dangling' ELSE 'ok' END AS fault, count(*) AS n FROM co GROUP BY 1")
+@query(f"WITH {ACCUSED}, {CO}, e AS (SELECT CASE WHEN k % 7 = 0 THEN 'malformed' WHEN k % 7 = 1 THEN 'unknown_type' WHEN k % 7 = 2 THEN 'self_loop' WHEN CAST(substr(target, 3) AS BIGINT) % 5 = 0 THEN 'dangling' WHEN k % 7 = 3 THEN 'duplicate' ELSE 'ok' END AS fault, CASE WHEN k % 7 = 3 THEN 2 ELSE 1 END AS times FROM (SELECT *, CAST(case_id AS BIGINT) AS k FROM co)) SELECT fault, CAST(sum(times) AS BIGINT) AS n FROM e GROUP BY 1")
 def graph_diagnostics(spark, d):
-    return graph.diagnostics(co_edges(spark, d), suppliers(spark, d).where(F.substring("person_id", 3, 20).cast("long") % 5 != 0))
+    """Edges of all kinds of faults, by the case's number."""
+    k = F.col("case_id").cast("long") % 7
+    e = co_edges(spark, d).withColumns({"source": F.when(k != 0, F.col("source")), "edge_type": F.when(k == 1, "OTHER").otherwise(F.col("edge_type")), "target": F.when(k == 2, F.col("source")).otherwise(F.col("target"))})
+    return graph.diagnostics(e.unionByName(e.where(k == 3)), suppliers(spark, d).where(F.substring("person_id", 3, 20).cast("long") % 5 != 0))
+
+
+@query(f"WITH {ACCUSED}, {CO} SELECT source, target, count(DISTINCT case_id) AS cases, min(case_id) AS first_case FROM co GROUP BY 1, 2")
+def edge_dedupe(spark, d):
+    """One edge a pair of persons: an id without the case."""
+    e = co_edges(spark, d).withColumn("edge_id", graph.edge_id(F.col("edge_type"), F.col("source"), F.col("target"), F.lit("")))
+    return graph.dedupe(e.unionByName(e.where("case_id % 2 = 0"))).select("source", "target", F.size("case_ids").cast("long").alias("cases"), F.col("case_ids")[0].alias("first_case"))
+
+
+@query(f"WITH {ACCUSED}, {CO}, k AS (SELECT DISTINCT 'S-' || l_suppkey AS person_id, l_orderkey AS case_id, o_orderpriority AS category FROM lineitem JOIN orders ON o_orderkey = l_orderkey), c AS (SELECT source AS person_id, count(*) AS links FROM co GROUP BY 1), r AS (SELECT person_id, count(DISTINCT case_id) AS cases, count(DISTINCT category) AS types FROM k GROUP BY 1), z AS (SELECT person_id, CAST(least(10.0, floor((2.5 * cases + CASE WHEN cases > 1 THEN 2 ELSE 0 END + least(types, 3) + least(coalesce(links, 0), 2)) * 10 + 0.5) / 10) AS DOUBLE) AS score FROM r LEFT JOIN c USING (person_id)) SELECT person_id, score, CASE WHEN score >= 7 THEN 'High' WHEN score >= 4 THEN 'Medium' ELSE 'Low' END AS severity FROM z")
+def risk_score_by_person(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("case_id"), F.col("o_orderpriority").alias("category"))
+    per = accused(spark, d).join(o, "case_id").groupBy("person_id").agg(F.countDistinct("case_id").alias("cases"), F.countDistinct("category").alias("types"))
+    links = co_edges(spark, d).groupBy(F.col("source").alias("person_id")).agg(F.count(F.lit(1)).alias("links"))
+    score = scores.risk_score(F.col("cases"), F.col("types"), F.col("cases") > 1, F.coalesce("links", F.lit(0)))
+    return per.join(links, "person_id", "left").select("person_id", score.alias("score")).withColumn("severity", scores.severity(F.col("score")))
+
+
+@query(f"WITH {ACCUSED}, {CO} SELECT source AS person_id, count(*) AS confirmed, CAST(0 AS BIGINT) AS unconfirmed, count(*) AS degree FROM co GROUP BY 1")
+def profile_degree(spark, d):
+    return graph.profile_degree(co_edges(spark, d))
+
+
+@query(f"WITH {ACCUSED}, {CO} SELECT DISTINCT target AS person_id FROM co WHERE source = (SELECT min(source) FROM co)")
+def neighbours(spark, d):
+    e = co_edges(spark, d)
+    return graph.neighbours(suppliers(spark, d), e, _start(e)).select("person_id")
 
 
 @query(f"WITH {ACCUSED}, {CO} SELECT source AS person_id, 'CO_ACCUSED' AS edge_type, 2 * count(*) AS degree FROM co GROUP BY 1")
@@ -411,7 +549,7 @@ def _start(edges: DataFrame) -> str:
 @query(_bfs_sql(3))
 def bfs_hops3(spark, d):
     e = co_edges(spark, d)
-    return graph.traverse(suppliers(spark, d), e, _start(e), 3)
+    return graph.traverse(suppliers(spark, d), e, _start(e), 3).drop("truncated")
 
 
 @query(_bfs_sql(2, "s_suppkey % 10 = 3 OR s_nationkey <= 20 AND s_nationkey = 7 OR 'S-' || s_suppkey = (SELECT min(source) FROM co)"))
@@ -419,13 +557,27 @@ def bfs_scoped(spark, d):
     e = co_edges(spark, d)
     start = _start(e)
     nodes = suppliers(spark, d).withColumn("unit_ids", F.when(F.col("person_id") == start, F.array(F.lit("3"))).otherwise(F.col("unit_ids")))
-    return graph.traverse(nodes, e, start, 2, scope={"role": "Officer", "unit_id": "3", "district_id": "7"})
+    return graph.traverse(nodes, e, start, 2, scope={"role": "Officer", "unit_id": "3", "district_id": "7"}).drop("truncated")
 
 
-@query()
+_REACHED = _bfs_sql(2).replace("WITH ", "", 1).rsplit("SELECT person_id, hop FROM h0", 1)
+
+
+@query(f"WITH {_REACHED[0]}, reached AS (SELECT person_id, hop FROM h0{_REACHED[1]}), inside AS (SELECT co.* FROM co WHERE source IN (SELECT person_id FROM reached) AND target IN (SELECT person_id FROM reached)) SELECT 'nodes' AS \"group\", person_id AS id, NULL AS source, NULL AS target, hop, (SELECT 2 * count(*) FROM inside WHERE source = person_id) AS degree FROM reached UNION ALL SELECT 'edges', NULL, source, target, NULL, NULL FROM inside")
 def graph_elements(spark, d):
+    """The elements without the edges' ids, which are hashes of Spark's."""
     e = co_edges(spark, d)
-    return graph.export_elements(graph.traverse(suppliers(spark, d), e, _start(e), 2), e)
+    elements = graph.export_elements(graph.traverse(suppliers(spark, d), e, _start(e), 2), e)
+    return elements.withColumn("id", F.when(F.col("group") == "nodes", F.col("id")))
+
+
+_SUMMED = _bfs_sql(3).replace("WITH ", "", 1).rsplit("SELECT person_id, hop FROM h0", 1)
+
+
+@query(f"WITH {_SUMMED[0]}, reached AS (SELECT person_id, hop FROM h0{_SUMMED[1]}), s AS (SELECT min(source) AS p FROM co) SELECT p AS person_id, (SELECT 2 * count(*) FROM co, s WHERE source = p) AS degree, (SELECT count(*) - 1 FROM reached) AS known_associates, CAST(0 AS BIGINT) AS victim_links, (SELECT 2 * count(*) FROM co, s WHERE source = p) AS co_accused, false AS truncated FROM s")
+def network_summary(spark, d):
+    e = co_edges(spark, d)
+    return graph.network_summary(suppliers(spark, d), e, _start(e), most_nodes=None).drop("edge_breakdown")
 
 
 # ---------------------------------------------------------------- weekly series
@@ -447,16 +599,46 @@ def temporal_split(spark, d):
     return series.temporal_split(_weekly(spark, d), "series")
 
 
-@query()
+_HOLT = f"""RECURSIVE {_WEEKS}, v AS (SELECT series, list(case_count::DOUBLE ORDER BY week) AS v FROM dense GROUP BY 1 HAVING count(*) >= 3),
+grid AS (SELECT a.i * 7 + b.i AS g, a.v AS alpha, b.v AS beta FROM (SELECT unnest(range(11)) AS i, unnest([0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95])::DOUBLE AS v) a, (SELECT unnest(range(7)) AS i, unnest([0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5])::DOUBLE AS v) b),
+h(series, g, alpha, beta, v, i, l, t, sse) AS (SELECT series, g, alpha, beta, v, 2::BIGINT, v[1], v[2] - v[1], 0.0::DOUBLE FROM v, grid UNION ALL
+ SELECT series, g, alpha, beta, v, i + 1, nl, beta * (nl - l) + (1 - beta) * t, sse + e * e FROM (SELECT *, alpha * v[i] + (1 - alpha) * (l + t) AS nl, v[i] - (l + t) AS e FROM h WHERE i <= len(v))),
+fit AS (SELECT series, alpha, beta, l AS level, t AS trend, sse, CAST(len(v) AS INTEGER) AS n FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY sse, g) AS k FROM h WHERE i = len(v) + 1) WHERE k = 1)"""
+_HALF3 = "floor(({0}) * 1000 + 0.5) / 1000"
+
+
+@query(f"WITH {_HOLT} SELECT series, alpha, beta, {_HALF3.format('level')} AS level, {_HALF3.format('trend')} AS trend, {_HALF3.format('sse')} AS sse, n FROM fit")
 def holt_fit(spark, d):
-    return series.holt_fit(_weekly(spark, d), "series")
+    return series.holt_fit(_weekly(spark, d), "series").withColumns({c: scores.half_up(F.col(c), 3) for c in ("level", "trend", "sse")})
 
 
-@query()
+@query(f"""WITH {_HOLT}, w AS (SELECT series, x, greatest(0, level + x * trend) AS p, 1.96::DOUBLE * sqrt(sse / greatest(n - 1, 1)) * sqrt(x::DOUBLE) AS s FROM fit, range(1, 6) t(x)),
+b AS (SELECT series, x, p, {_HALF3.format('greatest(0, p - s)')} AS lo, {_HALF3.format('p + s')} AS hi FROM w),
+y AS (SELECT series, d AS horizon_days, x, p, lo, hi, greatest(0.0, least(1.0, k - (x - 1)))::DOUBLE AS share FROM b, (VALUES (7, 1.0::DOUBLE), (14, 2.0::DOUBLE), (30, 4.2857::DOUBLE)) hz(d, k))
+SELECT series, horizon_days, {_HALF3.format('sum(p * share ORDER BY x)')} AS predicted, {_HALF3.format('sum(lo * share ORDER BY x)')} AS low, {_HALF3.format('sum(hi * share ORDER BY x)')} AS high FROM y GROUP BY 1, 2""")
 def holt_forecast(spark, d):
     return series.holt_forecast(series.holt_fit(_weekly(spark, d), "series"), "series")
 
 
+@query(f"WITH {_WEEKS}, p AS (SELECT series, case_count AS a, lag(case_count) OVER (PARTITION BY series ORDER BY week) AS b FROM dense), e AS (SELECT series, {_HALF3.format('avg(abs(a - b))')} AS mae, {_HALF3.format('sqrt(avg((a - b) * (a - b)))')} AS rmse, {_HALF3.format('avg(CASE WHEN a <> 0 THEN abs((a - b) / a) END) * 100')} AS mape FROM p WHERE b IS NOT NULL GROUP BY 1) SELECT count(*) AS series, {_HALF3.format('avg(mae)')} AS mae, {_HALF3.format('avg(rmse)')} AS rmse, {_HALF3.format('avg(mape)')} AS mape FROM e")
+def macro_average(spark, d):
+    return series.macro_average(forecast_metrics(spark, d))
+
+
+@query("SELECT o_custkey % 20 AS unit, o_orderpriority AS head, CAST(date_trunc('week', o_orderdate) AS DATE) AS week, CAST(sum(o_custkey % 4) AS DOUBLE) AS case_count FROM orders WHERE o_custkey % 5 <> 0 GROUP BY 1, 2, 3")
+def merged_weeks(spark, d):
+    """Rows with a week, some of them malformed, some of the same week."""
+    rows = table(spark, d, "orders").select((F.col("o_custkey") % 20).alias("unit"), F.col("o_orderpriority").alias("head"), F.col("o_orderdate").alias("time_bucket"), F.when(F.col("o_custkey") % 5 != 0, F.col("o_custkey") % 4).otherwise(-1).alias("case_count"))
+    return series.merged_weeks(series.well_formed(rows, ["unit", "head"]), ["unit", "head"])
+
+
+@query("SELECT c_nationkey AS unit, CAST(date_trunc('week', o_orderdate) AS DATE) AS week, o_orderpriority AS kind, count(*) AS case_count, floor(avg(o_custkey % 3) * 100 + 0.5) / 100 AS avg_gravity, CAST(floor(avg(c_nationkey + 0.01) / 0.05) AS BIGINT) AS lat_bin, CAST(floor(avg(c_nationkey + 0.02) / 0.05) AS BIGINT) AS lon_bin FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2, 3")
+def weekly_features(spark, d):
+    o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey"))
+    o = o.withColumns({"g": F.col("o_custkey") % 3, "la": F.col("c_nationkey") + F.lit(0.01), "lo": F.col("c_nationkey") + F.lit(0.02)})
+    return series.features(o, "c_nationkey", "o_orderdate", "o_orderpriority", "g", "la", "lo")
+
+
 @query(f"WITH {_WEEKS}, p AS (SELECT series, case_count AS a, lag(case_count) OVER (PARTITION BY series ORDER BY week) AS b FROM dense) SELECT series, floor(avg(abs(a - b)) * 1000 + 0.5) / 1000 AS mae, floor(sqrt(avg((a - b) * (a - b))) * 1000 + 0.5) / 1000 AS rmse, floor(avg(CASE WHEN a <> 0 THEN abs((a - b) / a) END) * 100 * 1000 + 0.5) / 1000 AS mape FROM p WHERE b IS NOT NULL GROUP BY 1")
 def forecast_metrics(spark, d):
     from pyspark.sql.window import Window
@@ -506,7 +688,13 @@ def session_top5(spark, d):
     return retrieval.recent_sessions(table(spark, d, "events").select((F.col("user_id") % 50).alias("user"), F.col("user_id").alias("session"), F.col("ts").alias("at")), "user")
 
 
-_STOP = ", ".join(f"'{w}'" for w in retrieval.STOP_WORDS)
+# Fixed values, written out for the SQL.
+_STOP = "'the', 'a', 'an', 'in', 'of', 'for', 'on', 'to', 'at', 'by', 'with', 'from', 'is', 'was', 'are', 'were', 'what', 'how', 'show', 'tell', 'describe', 'give', 'find', 'about', 'me', 'and', 'or', 'but', 'not'"
+_INTENT = r"""CASE WHEN regexp_matches(text, '(?i)\b(associates?|linked\s+to|connected|co-accused|network|relationships?)\b') THEN 'network'
+WHEN regexp_matches(text, '(?i)\b(risk\s+score|high-risk|repeat\s+offender|risk\s+level|dangerous|threat\s+level)\b') THEN 'risk'
+WHEN regexp_matches(text, '(?i)\b(describe|what\s+happened|tell\s+me\s+about|modus\s+operandi|summary\s+of|overview\s+of|details?\s+about\s+case|brief\s+facts|incident\s+details?|sequence\s+of\s+events)\b') THEN 'narrative'
+WHEN regexp_matches(text, '(?i)\b(predict|forecast|next\s+month|hotspot|trend(?:s|ing)?|pattern(?:s)?|seasonal|analysis|analytics|statistics?|breakdown|compare|most\s+common|crime\s+(?:trends?|analysis|statistics?|pattern|data|overview))\b') THEN 'analytical'
+WHEN regexp_matches(text, '(?i)\b(how many|count|total|list\s+\w+|show\s+(me|all|the|FIR)|find\s+\w+|get\s+(me|all|the)|cases?\s+(in|registered|filed|reported)|FIR\s+details?|accused\s+details?|victim\s+details?|officer\s+|section\s+\w+|IPC|CrPC|charge\s+sheet)\b') THEN 'structured' END"""
 
 
 @query(rf"SELECT conv_id, turn, array_to_string(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9\s]', '', 'g'), '\s+'), lambda w: length(w) > 2 AND w NOT IN ({_STOP}))[1:5], ' ') AS words FROM conversations")
@@ -514,7 +702,7 @@ def extract_keywords(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(retrieval.keywords(F.col("text")), " ").alias("words"))
 
 
-@query("SELECT turn, conv_id, " + "CASE " + " ".join(f"WHEN regexp_matches(text, '(?i){p}') THEN '{n}'" for n, _, p in retrieval.INTENTS) + " END AS intent FROM conversations")
+@query(f"SELECT turn, conv_id, {_INTENT} AS intent FROM conversations")
 def intent_router(spark, d):
     return table(spark, d, "conversations").select("turn", "conv_id", retrieval.intent(F.col("text"))["intent"].alias("intent"))
 
@@ -533,3 +721,55 @@ def fk_violations(spark, d):
 def scoped_sql(spark, d):
     views = {"customer": table(spark, d, "customer"), "nation": table(spark, d, "nation")}
     return sqlgate.run(spark, "SELECT n_name, COUNT(c_custkey) AS n FROM customer INNER JOIN nation ON n_nationkey = c_nationkey WHERE c_mktsegment LIKE '*HOUSE*' GROUP BY n_name", views, {"c_nationkey": 7}, lookups=("nation",))
+
+
+# ---------------------------------------------------------------- checks, lookups, questions
+
+
+@query("SELECT count(*) AS missing FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM lineitem q WHERE q.l_linenumber = 1 AND q.l_partkey = l.l_partkey AND q.l_suppkey = l.l_suppkey)")
+def composite_orphans(spark, d):
+    items = table(spark, d, "lineitem")
+    return tables.composite_orphans(items, {"l_partkey": "l_partkey", "l_suppkey": "l_suppkey"}, items.where("l_linenumber = 1")).agg(F.count(F.lit(1)).alias("missing"))
+
+
+@query("SELECT count(*) AS early FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_shipdate < o_orderdate + INTERVAL 30 DAY")
+def dates_out_of_order(spark, d):
+    """Items shipped within 30 days of the order, as charge sheets before their due date."""
+    rows = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("o_orderkey") == F.col("l_orderkey")).withColumn("due", F.col("o_orderdate") + F.expr("interval 30 days"))
+    return tables.out_of_order(rows, "due", "l_shipdate").agg(F.count(F.lit(1)).alias("early"))
+
+
+@query("SELECT c_mktsegment AS value, CAST(row_number() OVER (ORDER BY c_mktsegment) - 1 AS BIGINT) AS id FROM (SELECT DISTINCT c_mktsegment FROM customer) UNION ALL SELECT c_name, row_number() OVER (ORDER BY c_name) - 1 FROM (SELECT DISTINCT c_name FROM customer)")
+def id_dictionaries(spark, d):
+    c = table(spark, d, "customer")
+    return tables.id_dictionary(c.select(F.col("c_mktsegment").alias("value")), "value").unionByName(tables.id_dictionary(c.select(F.col("c_name").alias("value")), "value"))
+
+
+@query("SELECT o_orderstatus AS label, count(*) AS value FROM orders GROUP BY 1")
+def status_distribution(spark, d):
+    return dashboard.count_by(table(spark, d, "orders").withColumn("case_id", F.col("o_orderkey")), "o_orderstatus")
+
+
+@query("WITH r AS (SELECT l_orderkey AS case_id, 'supplier' AS role, s_name AS name, l_shipdate AS seen FROM lineitem JOIN supplier ON s_suppkey = l_suppkey UNION ALL SELECT o_orderkey, 'customer', c_name, o_orderdate FROM orders JOIN customer ON c_custkey = o_custkey), w AS (SELECT r.*, k FROM r, (VALUES ('supplier#'), ('er#000000001')) t(k) WHERE contains(lower(name), k)), n AS (SELECT *, row_number() OVER (PARTITION BY role, k ORDER BY seen DESC, case_id, name) AS p FROM w) SELECT case_id, 2 * count(DISTINCT role || name) AS score FROM n WHERE p <= 15 GROUP BY 1")
+def name_hits(spark, d):
+    s = table(spark, d, "lineitem").join(table(spark, d, "supplier"), F.col("s_suppkey") == F.col("l_suppkey")).select(F.col("l_orderkey").alias("case_id"), F.lit("supplier").alias("role"), F.col("s_name").alias("name"), F.col("l_shipdate").alias("incident"))
+    c = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey")).select(F.col("o_orderkey").alias("case_id"), F.lit("customer").alias("role"), F.col("c_name").alias("name"), F.col("o_orderdate").alias("incident"))
+    return retrieval.name_hits(s.unionByName(c), ["supplier#", "er#000000001"])
+
+
+@query(r"SELECT conv_id, turn, nullif(regexp_extract(text, '\b(20\d{2})\b', 1), '') AS year, CASE WHEN length(text) > 20 THEN left(text, 19) || '…' ELSE text END AS label FROM conversations")
+def question_slots(spark, d):
+    t = table(spark, d, "conversations")
+    return t.select("conv_id", "turn", retrieval.slots(F.col("text"), [], [])["year"].alias("year"), retrieval.short_label(F.col("text")).alias("label"))
+
+
+@query("SELECT 'orders' AS \"table\", CAST(o_orderkey AS VARCHAR) AS id FROM orders UNION ALL SELECT DISTINCT 'customer', CAST(o_custkey AS VARCHAR) FROM orders")
+def source_references(spark, d):
+    return sqlgate.source_refs(table(spark, d, "orders"), {"o_orderkey": "orders", "o_custkey": "customer"})
+
+
+@query("SELECT event_type, count(*) AS n, CAST(max(weeks) AS INTEGER) AS weeks FROM (SELECT event_type, floor(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) / 7 + 0.5) AS weeks FROM events WHERE value IS NOT NULL AND isfinite(value)) GROUP BY 1")
+def finite_values(spark, d):
+    e = table(spark, d, "events").where(scores.finite(F.col("value")))
+    weeks = scores.weeks_between(F.lit("2024-01-01").cast("date"), F.col("ts").cast("date"))
+    return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.max(weeks).alias("weeks"))

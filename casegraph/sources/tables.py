@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from casegraph.sources.shared import materialise
 
 # Audit columns that exports drop.
 AUDIT_COLUMNS = ("CREATORID", "CREATEDTIME", "MODIFIEDTIME")
@@ -77,6 +82,51 @@ def json_array(column: str, schema: str):
     return F.coalesce(some(whole), some(parts), some(inner), F.array().cast(f"array<{schema}>"))
 
 
+def lookup(spark: SparkSession, path: str, key: str, value) -> DataFrame:
+    """The rows of a keyed table with one key: the filter reaches the files."""
+    return spark.read.parquet(path).where(F.col(key) == value)
+
+
+def live_sessions(sessions: DataFrame, now, hours: float = 1.0) -> DataFrame:
+    """Sessions (session, touched_at) that were used within ``hours`` before ``now``."""
+    since = F.lit(now).cast("timestamp") - F.make_dt_interval(hours=F.lit(0), mins=F.lit(int(hours * 60)))
+    return sessions.where(F.col("touched_at") > since)
+
+
+def touch_session(spark: SparkSession, path: str, turn: DataFrame, now, keep_hours: float = 1.0) -> None:
+    """Add turns (session, user, role, text) to a table of sessions, one row each with its turns in order; sessions that ran out go."""
+    new = turn.groupBy("session", "user").agg(F.collect_list(F.struct("role", "text")).alias("turns")).withColumn("touched_at", F.lit(now).cast("timestamp"))
+    try:
+        old = live_sessions(spark.read.parquet(path), now, keep_hours)
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return swap(spark, new, path)
+    both = old.unionByName(new).groupBy("session").agg(F.max_by("user", "touched_at").alias("user"), F.transform(F.sort_array(F.collect_list(F.struct("touched_at", "turns"))), lambda x: x["turns"]).alias("t"), F.max("touched_at").alias("touched_at"))
+    swap(spark, both.select("session", "user", F.flatten("t").alias("turns"), "touched_at"), path)
+    return None
+
+
+def id_dictionary(rows: DataFrame, key: str) -> DataFrame:
+    """(key, id): a number from 0 for each different value, in order and without gaps. Values are ranked within ranges, whose counts are summed before."""
+    ranged = materialise(rows.where(F.col(key).isNotNull()).select(key).distinct().repartitionByRange(key).select(key, F.spark_partition_id().alias("_p")), "ids")
+    counts = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("n"))
+    before = counts.select("_p", (F.sum("n").over(Window.orderBy("_p")) - F.col("n")).alias("before"))  # a row a partition
+    place = F.row_number().over(Window.partitionBy("_p").orderBy(key)) - 1
+    return ranged.withColumn("place", place).join(F.broadcast(before), "_p").select(key, (F.col("before") + F.col("place")).alias("id"))
+
+
+def composite_orphans(child: DataFrame, keys: dict[str, str], parent: DataFrame) -> DataFrame:
+    """Rows whose key of several columns (child's name: parent's) has no row in the parent; a key with a null refers to nothing."""
+    whole = reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in keys))
+    return child.where(whole).join(parent.select(*(F.col(p).alias(c) for c, p in keys.items())).distinct(), list(keys), "left_anti")
+
+
+def out_of_order(rows: DataFrame, earlier: str, later: str) -> DataFrame:
+    """Rows whose later date lies before the earlier one; rows that lack one are in order."""
+    return rows.where(F.col(later) < F.col(earlier))
+
+
 def orphans(child: DataFrame, key: str, parent: DataFrame, parent_key: str) -> DataFrame:
     """Rows whose foreign key has no row in the parent; null keys refer to nothing."""
     return child.where(F.col(key).isNotNull()).join(parent.select(F.col(parent_key).alias(key)), key, "left_anti")
