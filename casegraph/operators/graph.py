@@ -47,7 +47,7 @@ def accused_to_victim(accused: DataFrame, victims: DataFrame) -> DataFrame:
 
 def shared_location(residents: DataFrame) -> DataFrame:
     """Edges both ways between persons (person_id, unit_id) of a station, without a case."""
-    return _edges(_both_ways(residents, "unit_id").withColumn("case_id", F.lit(None).cast("string")).distinct(), "SHARED_LOCATION")
+    return _edges(_both_ways(residents, "unit_id").select("source", "target").distinct().withColumn("case_id", F.lit(None).cast("string")), "SHARED_LOCATION")
 
 
 def candidate_matches(scored: DataFrame, owners: DataFrame) -> DataFrame:

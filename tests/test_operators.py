@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from casegraph.operators import components, dashboard, graph, resolve, retrieval, series
+from casegraph.operators import components, dashboard, graph, resolve, retrieval, series, sync
 from casegraph.plans import sqlgate
 from casegraph.sources import tables
 from casegraph.streaming import incremental
@@ -104,11 +104,15 @@ def test_graph(spark):
     assert rows(av, "source", "target") == [("p2", "p3"), ("p2", "v1"), ("p3", "v1")]
     nodes = spark.createDataFrame([("p1", ["u1"], ["d1"]), ("p2", ["u1"], ["d1"]), ("p3", ["u2"], ["d2"]), ("v1", [], [])], "person_id string, unit_ids array<string>, district_ids array<string>")
     e = co.unionByName(av)
-    assert rows(graph.traverse(nodes, e, "p1", 3)) == [("p1", 0), ("p2", 1), ("p3", 2), ("v1", 2)]
-    assert rows(graph.traverse(nodes, e, "v1", 3)) == [("v1", 0)]
-    assert rows(graph.traverse(nodes, e, "p1", 3, scope={"role": "Officer", "unit_id": "u1"})) == [("p1", 0), ("p2", 1)]
-    assert rows(graph.traverse(nodes, e, "p1", 3, scope={"role": "Policymaker", "state_wide": True})) == []
-    assert rows(graph.traverse(nodes, e, "p1", 1, types=["ACCUSED_TO_VICTIM"])) == [("p1", 0)]
+    walk = lambda *a, **o: rows(graph.traverse(nodes, e, *a, **o), "person_id", "hop")
+    assert walk("p1", 3) == [("p1", 0), ("p2", 1), ("p3", 2), ("v1", 2)]
+    assert walk("v1", 3) == [("v1", 0)]
+    assert walk("p1", 3, scope={"role": "Officer", "unit_id": "u1"}) == [("p1", 0), ("p2", 1)]
+    assert walk("p1", 3, scope={"role": "Policymaker", "state_wide": True}) == []
+    assert walk("p1", 1, types=["ACCUSED_TO_VICTIM"]) == [("p1", 0)]
+    assert walk("p2", 3, terminal=["ACCUSED_TO_VICTIM"]) == [("p1", 1), ("p2", 0), ("p3", 1), ("v1", 1)]
+    assert rows(graph.traverse(nodes, e, "p1", 3, most_nodes=3)) == [("p1", 0, True), ("p2", 1, True), ("p3", 2, True)]
+    assert rows(graph.traverse(nodes, e, "p1", 3, most_nodes=4), "truncated") == [(False,)] * 4
     with pytest.raises(ValueError):
         graph.traverse(nodes, e, "p1", 4)
     assert rows(graph.statistics(nodes, co), "nodes", "edges", "components", "largest") == [(4, 4, 2, 3)]
@@ -117,6 +121,145 @@ def test_graph(spark):
     assert faults["unknown_type"] == 1 and faults["duplicate"] == 2 and faults["ok"] == 3
 
 
+@pytest.fixture(scope="module")
+def net(spark):
+    """p1 - p2 - p3 by cases, p3's victim v1, and x, who may be p1."""
+    acc = spark.createDataFrame([("p1", "c1"), ("p2", "c1"), ("p2", "c2"), ("p3", "c2"), ("p1", "c3"), ("p2", "c3")], "person_id string, case_id string")
+    vic = spark.createDataFrame([("v1", "c2")], "person_id string, case_id string")
+    scored = spark.createDataFrame([("A-1", "A-9", 0.6, "UNCONFIRMED", 0.4, 0.0, 0.9), ("A-1", "A-2", 0.9, "CONFIRMED", 1.0, 1.0, 1.0), ("A-2", "A-9", 0.7, "UNCONFIRMED", 1.0, 1.0, 0.7)], "a string, b string, score double, decision string, age_score double, location_score double, name_score double")
+    owners = spark.createDataFrame([("A-1", "p1"), ("A-2", "p1"), ("A-9", "x")], "source_key string, person_id string")
+    maybe = graph.candidate_matches(scored, owners)
+    persons = spark.createDataFrame([("p1", "ravi patil", ["Ravi Patil", "R Patil"], 2, 0, 0, ["A-1", "A-2"]), ("p2", "ravi", ["Ravi"], 2, 0, 0, []), ("p3", "anil", ["Anil"], 1, 3, 0, []), ("v1", "mala", ["Mala"], 0, 1, 1, []), ("x", "ravi p", None, 0, 0, 0, ["A-9"])], "person_id string, name_normalised string, name_variants array<string>, accused_count int, victim_count int, complainant_count int, source_keys array<string>")
+    return persons, graph.co_accused(acc).unionByName(graph.accused_to_victim(acc, vic)), maybe
+
+
+def test_candidates_and_locations(spark, net):
+    _, _, maybe = net
+    assert rows(maybe, "source", "target", "confidence", "reason") == [("p1", "x", 0.7, "name differs"), ("x", "p1", 0.7, "name differs")]
+    near = spark.createDataFrame([("a", "u"), ("b", "u"), ("a", "w"), ("b", "w"), ("c", None), ("d", None)], "person_id string, unit_id string")
+    assert rows(graph.shared_location(near), "source", "target") == [("a", "b"), ("b", "a")]
+
+
+def test_network_presets(net):
+    persons, e, maybe = net
+    every = e.unionByName(maybe, allowMissingColumns=True)
+    ids = lambda df: [r[0] for r in rows(df, "person_id")]
+    assert ids(graph.known_associates(persons, every, "p1")) == ["p2", "p3", "v1"] and ids(graph.known_associates(persons, every, "p1", include_unconfirmed=True)) == ["p2", "p3", "v1", "x"]
+    assert ids(graph.co_accused_network(persons, every, "p1")) == ["p2", "p3"] and ids(graph.victim_relationships(persons, every, "p2")) == ["v1"] and ids(graph.victim_relationships(persons, every, "v1")) == []
+    one = graph.network_summary(persons, every, "p2").first()
+    assert (one["degree"], one["known_associates"], one["victim_links"], one["co_accused"], one["truncated"]) == (7, 3, 1, 6, False) and one["edge_breakdown"] == {"CO_ACCUSED": 6, "ACCUSED_TO_VICTIM": 1}
+    lonely = graph.network_summary(persons, every, "nobody").first()
+    assert (lonely["degree"], lonely["co_accused"]) == (0, 0)
+
+
+def test_graph_lookups(net):
+    persons, e, maybe = net
+    every = e.unionByName(maybe, allowMissingColumns=True)
+    ids = lambda df: [r[0] for r in rows(df, "person_id")]
+    assert ids(graph.neighbours(persons, every, "v1")) == ["p2", "p3"] and ids(graph.neighbours(persons, every, "p1")) == ["p2", "x"] and ids(graph.neighbours(persons, every, "none")) == []
+    assert graph.edges_of(e, "p1").count() == 4 and ids(graph.by_ids(persons, ["p1", "zz", "p1"])) == ["p1"] and graph.by_ids(e, [e.first()["edge_id"]], "edge_id").count() == 1
+    assert rows(graph.persons_by_role(persons, "Victim")) == [("p3", "Victim", 3), ("v1", "Victim", 1)] and graph.persons_by_role(persons, "judge").count() == 0
+    assert ids(graph.owner_of(persons, "A-9")) == ["x"] and ids(graph.owner_of(persons, "A-7")) == []
+    assert rows(graph.profile_degree(every)) == [("p1", 2, 1, 3), ("p2", 4, 0, 4), ("p3", 2, 0, 2), ("x", 0, 1, 1)]
+    assert ids(graph.named(persons, "RAVI")) == ["p1", "p2", "x"] and ids(graph.named(persons, "V1")) == ["v1"]
+    assert ids(graph.network_of_name(persons, e, "ravi")) == ["p1", "p2"] and ids(graph.network_of_name(persons, e, "anil")) == ["p1", "p2", "p3", "v1"] and ids(graph.network_of_name(persons, e, "qq")) == []
+
+
+def test_graph_exports(spark, net):
+    persons, e, _ = net
+    reached = graph.traverse(persons, e, "p1", 1)
+    assert rows(graph.compact(reached, e)) == [("p1", 0, ["p2"]), ("p2", 1, ["p1"])]
+    assert rows(graph.debug_counts(reached, e)) == [("edge_type", "CO_ACCUSED", 4), ("hop", "0", 1), ("hop", "1", 1), ("missing_endpoint", "", 2)]
+    roles = spark.createDataFrame([(3, 1, 0), (1, 1, 0), (0, 0, 2), (0, 0, 0)], "a int, v int, c int")
+    got = roles.select(graph.primary_role(F.col("a"), F.col("v"), F.col("c")).alias("r"), graph.node_style(F.col("a"), F.col("v"), F.col("c")).alias("s"), graph.edge_style(F.lit("CO_ACCUSED"))["width"].alias("w"), graph.edge_style(F.lit("?"))["key"].alias("k")).collect()
+    assert [(r["r"], r["s"]["key"], r["s"]["size"], r["w"], r["k"]) for r in got] == [("Accused", "mixed", 55, 3, "default"), ("Mixed (Accused)", "mixed", 55, 3, "default"), ("Complainant", "complainant", 45, 3, "default"), ("Unknown", "default", 40, 3, "default")]
+
+
+def test_dedupe_is_fixed(spark):
+    e = spark.createDataFrame([("e1", "B", "x", "y", 0.5, "c2"), ("e1", "A", "y", "x", 0.9, "c1"), ("e2", "A", "p", "q", 1.0, None)], "edge_id string, edge_type string, source string, target string, confidence double, case_id string")
+    assert rows(graph.dedupe(e)) == [("e1", "A", "y", "x", 0.9, ["c1", "c2"]), ("e2", "A", "p", "q", 1.0, [])]
+
+
+def test_incremental_ids(spark):
+    """Sole claims come first, a split id goes to the larger part, a tie to the least keys, a second sole id is merged."""
+    clustered = spark.createDataFrame([("k1", 1), ("k2", 1), ("k3", 2), ("k4", 2), ("k5", 3), ("k6", 4), ("k7", 4), ("k9", 5)], "source_key string, cluster int")
+    owners = spark.createDataFrame([("k1", "P1"), ("k2", "P2"), ("k3", "P3"), ("k4", "P3"), ("k5", "P3"), ("k6", "P5"), ("k7", "P6"), ("k8", "P7")], "source_key string, person_id string")
+    got = sync.incremental(clustered, owners, F.concat(F.lit("N"), F.col("cluster").cast("string")))
+    assert rows(got) == [(1, "P1", "sole"), (2, "P3", "split"), (3, "N3", "new"), (4, "P5", "sole"), (5, "N5", "new")]
+    assert rows(sync.fates(clustered, owners, got)) == [("P1", "kept"), ("P2", "merged"), ("P3", "kept"), ("P5", "kept"), ("P6", "merged"), ("P7", "stale")]
+    tie = spark.createDataFrame([("b", 1), ("a", 2)], "source_key string, cluster int")
+    both = spark.createDataFrame([("a", "P"), ("b", "P")], "source_key string, person_id string")
+    assert rows(sync.incremental(tie, both, F.lit("N"))) == [(1, "N", "new"), (2, "P", "split")]
+
+
+def test_rebuilt_records(spark):
+    schema = "source_key string, name string, age double, case_id string, unit_id string, district_id string"
+    rec = lambda k, n="n": (k, n, 30.0, "c", "u", "d")
+    records = spark.createDataFrame([rec("k1"), rec("k2", "new name"), rec("k3")], schema)
+    clustered = spark.createDataFrame([("k1", 1), ("k2", 2), ("k3", 3)], "source_key string, cluster int")
+    held = spark.createDataFrame([(1, "P1"), (2, "P2"), (3, "P3")], "cluster int, person_id string")
+    old = spark.createDataFrame([(*rec("k1"), "P1"), (*rec("k5"), "P1"), (*rec("k2"), "P2"), (*rec("k6"), "P2"), (*rec("k7"), "P9")], schema + ", person_id string")
+    orphans = spark.createDataFrame([("k6",)], "source_key string")
+    got = rows(sync.rebuilt_records(records, held, clustered, old, orphans), "person_id", "source_key", "state")
+    assert got == [("P1", "k1", "unchanged"), ("P1", "k5", "unchanged"), ("P2", "k2", "changed"), ("P3", "k3", "new")]
+
+
+def test_source_records_and_a_full_run(spark):
+    acc = spark.createDataFrame([(1, "Mr Ravi Patil", 30, 1, 10), (2, "Ravi Patil", 31, 1, 11), (3, None, None, None, 12), (4, "No Unit", 1, 2, 13)], "id int, name string, age int, gender_code int, case_id int")
+    vic = spark.createDataFrame([(1, "Mala", 20, 2, 10)], "id int, name string, age int, gender_code int, case_id int")
+    cases = spark.createDataFrame([(10, "2024-01-01", 5, 1.0, 2.0), (11, "2024-02-01", 5, None, None), (12, None, 5, None, None), (13, None, 6, None, None)], "case_id int, offence_date string, unit_id int, lat double, lon double")
+    units = spark.createDataFrame([(5, 7)], "unit_id int, district_id int")
+    records = sync.source_records({"Accused": (acc, "id", "name"), "Victim": (vic, "id", "name")}, cases, units)
+    assert rows(records, "source_key", "role", "name", "gender", "district_id") == [("Accused:A-1", "accused", "ravi patil", "M", "7"), ("Accused:A-2", "accused", "ravi patil", "M", "7"), ("Accused:A-3", "accused", "", "", "7"), ("Victim:V-1", "victim", "mala", "F", "7")]
+    owners = spark.createDataFrame([("Accused:A-2", "PM_1"), ("gone", "PM_2")], "source_key string, person_id string")
+    clustered, ids, ends = sync.full(records, owners)
+    assert dict(rows(clustered))["Accused:A-2"] == "Accused:A-1" and rows(ids.where("state = 'kept'"), "person_id") == [("PM_1",)] and rows(ends) == [("PM_1", "kept"), ("PM_2", "stale")]
+    scored = resolve.scored(resolve.pairs(resolve.with_key(records)))
+    assert rows(sync.confidences(scored, clustered)[1].where("confidence is not null")) == [("Accused:A-1", 0.98)]
+    arrests = spark.createDataFrame([("Accused:A-1", "2024-03-01"), ("Accused:A-2", "2024-04-01"), ("Victim:V-1", "2025-01-01")], "source_key string, arrest_date string")
+    assert rows(sync.last_arrests(records, clustered, arrests)) == [("Accused:A-1", "2024-04-01")]
+    assert rows(sync.phonetic_keys(records, clustered)) == [("Accused:A-1", "R100 RF"), ("Victim:V-1", "M400 ML")]
+    assert rows(resolve.against({"name": "ravi patil", "age": 30.0, "gender": "M", "unit_id": "5"}, records.where("name <> ''")), "b", "decision")[0] == ("Accused:A-1", "CONFIRMED")
+
+
+def test_migrations(spark):
+    docs = spark.createDataFrame([("P1", None, ["b", "a", "b", ""], "a", 2, None), ("P2", 3, ["x"], "x", 0, "2024-01-01 00:00:00"), ("P3", 1, None, "name", None, None)], "person_id string, schema_version int, name_variants array<string>, name_normalised string, accused_count int, last_synced_at string")
+    full = docs.selectExpr("*", "array('k') as source_keys", "0 as victim_count", "0 as complainant_count", "1 as total_case_appearances", "accused_count >= 2 as repeat_offender", "false as supervisor_review_pending")
+    assert rows(sync.migrate(full), "person_id", "schema_version", "name_variants", "repeat_offender", "changed") == [("P1", 3, ["b", "a"], True, True), ("P2", 3, ["x"], False, False), ("P3", 3, ["name"], False, True)]
+    assert rows(sync.migrate(docs), "person_id", "total_case_appearances", "changed") == [("P1", 0, True), ("P2", 0, True), ("P3", 0, True)]
+    stored = spark.createDataFrame([("p", "q", None, None, None, None, 0.7), ("p", "r", "x", None, None, "E-1", None), ("p", None, None, "co_accused", "s", "E-2", 1.0), ("p", None, "x", None, None, None, None), ("q", "p", None, None, None, None, None)], "person_id string, with_person_id string, type string, edge_type string, target_person_id string, edge_id string, confidence double")
+    got = rows(sync.convert_edges(stored), "shape", "edge_type", "target", "confidence")
+    assert got == [("canonical", "CO_ACCUSED", "s", 1.0), ("legacy", "CANDIDATE_MATCH", "p", 0.5), ("legacy", "CANDIDATE_MATCH", "q", 0.7), ("semi", "CANDIDATE_MATCH", "r", 0.5)]
+    assert sync.convert_edges(stored).where("shape = 'legacy'").select("edge_id").distinct().count() == 1
+
+
+def test_searches_of_cases(spark):
+    roles = spark.createDataFrame([("c1", "accused", "Ravi Patil", "2024-01-01"), ("c1", "victim", "Ravi Patil", "2024-01-01"), ("c2", "accused", "ravi kumar", "2024-02-01"), ("c3", "victim", None, None)], "case_id string, role string, name string, incident string")
+    names = retrieval.name_hits(roles, ["RAVI", "patil"])
+    assert rows(names) == [("c1", 4), ("c2", 2)] and rows(retrieval.name_hits(roles, ["ravi"], newest=1)) == [("c1", 2), ("c2", 2)]
+    facts = spark.createDataFrame([("c2", 1), ("c9", 1)], "case_id string, score int")
+    both = retrieval.merge_hits(facts, names)
+    assert rows(both) == [("c1", 4, 1, False), ("c2", 1, 0, False), ("c9", 1, 0, False)] and rows(retrieval.merge_hits(facts), "retry") == [(True,), (True,)]
+    cases = spark.createDataFrame([("c1", 1, 5), ("c2", None, None)], "case_id string, status_id int, court_id int")
+    one = retrieval.case_by_id(cases, roles, "c1").first()
+    assert (one["accused"], one["victim"], one["complainant"], one["score"]) == (["Ravi Patil"], ["Ravi Patil"], [], 10) and retrieval.case_by_id(cases, roles, "zz").count() == 0
+    sections = spark.createDataFrame([("c1", "s2"), ("c1", "s1")], "case_id string, section string")
+    full = retrieval.with_status(both, cases, spark.createDataFrame([(1, "open")], "status_id int, status string"), spark.createDataFrame([(5, "high")], "court_id int, court string"), sections)
+    assert rows(full, "case_id", "status", "court", "sections") == [("c1", "open", "high", ["s1", "s2"]), ("c2", None, None, []), ("c9", None, None, [])]
+    assert both.agg(retrieval.citations(both)).first()[0] == "CaseMasterID:c1, CaseMasterID:c2, CaseMasterID:c9"
+
+
+def test_questions(spark):
+    q = spark.createDataFrame([("thefts in MYSURU City last month",), ("case 12345678901234567 of PM_0a1b2c3d in 2023",), ("this year",), ("hello",)], "q string")
+    got = q.select(retrieval.slots(F.col("q"), ["Bengaluru", "Mysuru"], ["Theft"]).alias("s"), retrieval.chat_period(F.col("q"), F.lit("2024-01-15").cast("date")).alias("p"), retrieval.short_label(F.col("q"), 8).alias("l")).collect()
+    assert [tuple(r["s"]) for r in got] == [("Mysuru", "Theft", None, None, None), (None, None, "12345678901234567", "PM_0a1b2c3d", "2023"), (None,) * 5, (None,) * 5]
+    assert [r["p"] and tuple(r["p"]) for r in got] == [("Last month (December)", "2023-12-01"), ("2023", "2023-01-01"), ("This year (2024)", "2024-01-01"), None]
+    assert [r["l"] for r in got] == ["thefts …", "case 12…", "this ye…", "hello"]
+    assert retrieval.dashboard_period("month", "2024-03-31") == {"start": "2024-03-02", "end": "2024-03-31"} and retrieval.dashboard_period("year", "2024-03-05")["start"] == "2023-03-05" and retrieval.dashboard_period("ever", "2024-03-05") == {}
+    words = spark.range(1).select(retrieval.keyword_union(F.array(F.lit("a"), F.lit("b")), F.array(F.lit("b"), F.lit("c")), most=2)).first()[0]
+    assert words == ["a", "b"]
+
+
 def test_holt(spark):
     data = [("s", f"2024-01-{d:02d}", v) for d, v in ((1, 2), (8, 4), (15, 6), (22, 8))] + [("t", "2024-01-01", 5), ("t", "2024-01-08", 3)]
     dense = spark.createDataFrame(data, "series string, week string, case_count long").withColumn("week", F.col("week").cast("date"))
@@ -226,6 +369,45 @@ def test_sources(spark, tmp_path):
     assert got == [[1], [2], [3], [], []]
 
 
+def test_keyed_tables(spark, tmp_path):
+    p = str(tmp_path / "s")
+    turn = lambda s, u, *t: spark.createDataFrame([(s, u, r, x) for r, x in t], "session string, user string, role string, text string")
+    tables.touch_session(spark, p, turn("s1", "u", ("user", "q1"), ("assistant", "a1")), "2024-01-01 10:00:00")
+    tables.touch_session(spark, p, turn("s2", "u", ("user", "x")), "2024-01-01 10:30:00")
+    tables.touch_session(spark, p, turn("s2", "u", ("user", "y")), "2024-01-01 11:15:00")
+    assert [(r["session"], [t["text"] for t in r["turns"]]) for r in spark.read.parquet(p).collect()] == [("s2", ["x", "y"])]
+    assert tables.lookup(spark, p, "session", "s2").count() == 1 and tables.lookup(spark, p, "session", "s1").count() == 0
+    assert tables.live_sessions(spark.read.parquet(p), "2024-01-01 12:14:00").count() == 1 and tables.live_sessions(spark.read.parquet(p), "2024-01-01 12:16:00").count() == 0
+    ids = tables.id_dictionary(spark.range(1000).selectExpr("concat('k', id % 300) as k").union(spark.createDataFrame([(None,)], "k string")), "k")
+    assert rows(ids) == [(k, i) for i, k in enumerate(sorted(f"k{i}" for i in range(300)))]
+    child = spark.createDataFrame([(1, "a"), (1, "b"), (None, "a")], "x int, y string")
+    assert rows(tables.composite_orphans(child, {"x": "px", "y": "py"}, spark.createDataFrame([(1, "a")], "px int, py string"))) == [(1, "b")]
+    assert tables.out_of_order(spark.createDataFrame([("2024-02-01", "2024-01-01"), ("2024-01-01", None), ("2024-01-01", "2024-01-01")], "a string, b string"), "a", "b").count() == 1
+
+
+def test_texts_logs_and_json(spark, tmp_path):
+    d = spark.createDataFrame([(i, f"text {i}", "me") for i in range(450)], "k int, t string, CREATORID string")
+    tables.write_texts(d, "t", "k", str(tmp_path / "t"), per_file=200)
+    assert spark.read.text(str(tmp_path / "t")).count() == 450
+    tables.write_json(d.limit(3), str(tmp_path / "j"))
+    assert spark.read.json(str(tmp_path / "j")).columns == ["k", "t"]
+    tables.append_log(d.limit(2), str(tmp_path / "l"))
+    tables.append_log(d.limit(1), str(tmp_path / "l"))
+    assert spark.read.parquet(str(tmp_path / "l")).where("logged_at is not null").count() == 3
+
+
+def test_sessions_and_batches(spark, tmp_path):
+    at = ["10:00", "10:40", "12:00", "12:59"]
+    events = spark.createDataFrame([(f"2024-01-01 {x}:00", "u") for x in at], "t string, who string").withColumn("t", F.col("t").cast("timestamp"))
+    assert rows(incremental.sessions(events, "t", "who"), "n") == [(2,), (2,)]
+    src = str(tmp_path / "in")
+    events.repartition(4).write.parquet(src)
+    seen = []
+    q = incremental.each_batch(incremental.read_records(spark, src, "t timestamp, who string", 1), lambda df, i: seen.append(df.count()), str(tmp_path / "ck"))
+    q.awaitTermination(120)
+    assert sum(seen) == 4
+
+
 def test_streaming_equals_static(spark, tmp_path):
     events = spark.createDataFrame([(i, f"2024-01-{1 + i % 28:02d} 10:00:00", "ab"[i % 2]) for i in range(100)], "id int, t string, kind string").withColumn("t", F.col("t").cast("timestamp"))
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
