@@ -273,7 +273,7 @@ def rarest(pool: DataFrame, sets: DataFrame, threshold: float, small: int) -> Da
 
     Only shingles of more than ``small`` sets are told apart by their counts; all others come first, by their hashes."""
     tokens = materialise(sets.join(pool, "ck", "left_semi").mapInArrow(_tokens, "ck binary, n int, token long"), "tokens")
-    common = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > small)
+    common = materialise(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > small), "common")  # a few rows: no shuffle of the tokens
     place = F.row_number().over(Window.partitionBy("ck").orderBy(F.coalesce("df", F.lit(0)), "token"))
     ranked = tokens.join(common, "token", "left").withColumn("place", place)
     return ranked.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select(F.lit(-1).alias("run"), F.xxhash64(F.lit(7), "token").alias("key"), "ck")
@@ -321,15 +321,16 @@ def classes_and_links(docs: DataFrame, words: int = 5, threshold: float = 0.8, r
     steps = classes.select("ck", "at", F.explode("paths").alias("p")).select("ck", "at", "p.run", "p.key")
     # the sets of the classes that share any bucket; copies are classes, so no bucket is large by them
     shared = materialise(steps.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "shared")
-    wanted = steps.join(shared, "key", "left_semi").select("ck", "at.doc_id", "at.thash").distinct()
+    steps = materialise(steps.join(shared, "key", "left_semi").select("run", "key", "ck", "at"), "steps")  # most steps lead to a bucket of one
+    wanted = steps.select("ck", "at.doc_id", "at.thash").distinct()
     sets = materialise(slim.join(wanted, same_key(slim, wanted, "doc_id", "thash")).select("ck", "text").mapInArrow(_sets(words), "ck binary, set binary").groupBy("ck").agg(F.first("set").alias("set")), "sets")
     steps = steps.select("run", "key", "ck")
     early = max(1, runs // 3)
     first = steps.where(F.col("run") < early)
     large = shared.where(F.col("size") > small)
     if not large.isEmpty():
-        first = first.unionByName(rarest(steps.join(large, "key", "left_semi").select("ck").distinct(), sets, threshold, small))
-    first = materialise(first.withColumn("in", F.col("ck")), "steps")
+        first = first.unionByName(materialise(rarest(steps.join(large, "key", "left_semi").select("ck").distinct(), sets, threshold, small), "rarest"))
+    first = first.withColumn("in", F.col("ck"))
     members = lambda of: materialise(of.select("key", "ck").join(unlike(of, small), "key"), "buckets")
     buckets = members(first)
     links = compared(in_chunks(buckets, small), sets, threshold)
