@@ -132,18 +132,20 @@ def block_slots(stretches: list[dict], spark) -> DataFrame:
     return each.select("source_no", (F.col("_from") + nth).alias("block"), (F.col("first_slot") + F.col("begin") + F.col("at")).alias("slot"))
 
 
-def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, block_rows: int = 64, period: int = 1024, temper: float = 0.5, default_weight: float = 1.0, id_col: str = "doc_id", source_col: str = "source", carry: bool = False) -> DataFrame:
+def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, block_rows: int = 64, period: int = 1024, temper: float = 0.5, default_weight: float = 1.0, id_col: str = "doc_id", source_col: str = "source", carry: bool = False, most_blocks: int = 1 << 20) -> DataFrame:
     """(doc_id, source) of all rows with source_rank, block, release, deadline, slot and position (gapless from 0: the order of the mixture).
 
     ``weights``: of the sources; without, a source's row count to the power ``temper``. ``release`` and ``deadline``
     are slots: the block runs in ``slot`` with release <= slot < deadline. ``period``: slots that are run at a time; it
-    doesn't change the result. The table of sources is collected (a row a source), never their rows. ``carry``: keep the
+    doesn't change the result. Where ``block_rows`` would make more than ``most_blocks`` blocks, blocks are as much larger:
+    the driver's walk and its table of stretches stay bounded. The table of sources is collected (a row a source), never their rows. ``carry``: keep the
     whole row as a struct, ``row``."""
     if weights is not None and any(w <= 0 for w in [*weights.values(), default_weight]):
         raise ValueError("weights must be above 0")
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), *([F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if carry else []))
     rows, offsets, counts = numbered(slim)
+    block_rows = max(block_rows, -(-sum(n for _, n in counts) // most_blocks))
     blocks = [-(-n // block_rows) for _, n in counts]
     target = [float(n) ** temper if weights is None else float(weights.get(s, default_weight)) for s, n in counts]
     plan, stretches, ends = schedule(blocks, target, period)
