@@ -90,6 +90,12 @@ def share_of_total(counts: DataFrame) -> DataFrame:
     return counts.withColumn("one", F.lit(1)).join(F.broadcast(total), "one").select("label", "value", half_up(F.col("value") * 100 / F.col("total"), 2).alias("percent"))
 
 
+def highlighted(counts: DataFrame, n: int = 3, most: int = 20) -> DataFrame:
+    """The ``most`` largest counts, with ``top`` true for the first ``n`` of them; a count that is null is left out."""
+    live = counts.where(F.col("value").isNotNull())
+    return live.orderBy(F.desc("value"), "label").limit(most).withColumn("top", F.row_number().over(Window.orderBy(F.desc("value"), "label")) <= n)
+
+
 def hotspots(cases: DataFrame, limit: int = 200) -> DataFrame:
     """Located cases, the first by id."""
     return cases.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).orderBy("case_id").limit(limit).select("case_id", "lat", "lon", "category", "registered")

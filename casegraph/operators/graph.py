@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -119,6 +121,24 @@ def may_see(scope: dict) -> Column:
     return some & (own("unit_ids", "unit_id") | own("district_ids", "district_id"))
 
 
+def request(person_id: str | None, max_hops: int | str | None = None, edge_types: list[str] | str | None = None, include_unconfirmed: bool | str | None = None) -> dict:
+    """The options for ``traverse`` that a request gives: two hops, all types and no candidates unless it says otherwise. ValueError tells all that is wrong."""
+    wrong = []
+    if not isinstance(person_id, str) or not re.fullmatch(r"PM_[0-9a-f]{8}", person_id):
+        wrong.append("person_id must be PM_ and eight hex digits")
+    hops = 2 if max_hops is None else int(max_hops) if str(max_hops).lstrip("-").isdigit() else None
+    if hops is None or not 1 <= hops <= MOST_HOPS:
+        wrong.append(f"max_hops must be a number from 1 to {MOST_HOPS}")
+    types = edge_types.split(",") if isinstance(edge_types, str) else edge_types
+    if types is not None and (not types or any(t not in EDGE_TYPES for t in types)):
+        wrong.append(f"edge types must be some of {', '.join(EDGE_TYPES)}")
+    if include_unconfirmed not in (None, True, False, "true", "false"):
+        wrong.append("include_unconfirmed must be true or false")
+    if wrong:
+        raise ValueError("; ".join(wrong))
+    return {"start": person_id, "hops": hops, "types": types, "include_unconfirmed": include_unconfirmed in (True, "true")}
+
+
 def traverse(nodes: DataFrame, edges: DataFrame, start: str, hops: int = 2, types: list[str] | None = None, least_confidence: float = 0.0, scope: dict | None = None, most_nodes: int | None = None, include_unconfirmed: bool = True, terminal: list[str] | None = None) -> DataFrame:
     """(person_id, hop, truncated) reachable from a person along edges in up to ``hops`` (1 to 3) steps, through persons that the caller may see.
 

@@ -19,6 +19,40 @@ INTENTS = (
     ("structured", 0.85, r"\b(how many|count|total|list\s+\w+|show\s+(me|all|the|FIR)|find\s+\w+|get\s+(me|all|the)|cases?\s+(in|registered|filed|reported)|FIR\s+details?|accused\s+details?|victim\s+details?|officer\s+|section\s+\w+|IPC|CrPC|charge\s+sheet)\b"),
 )
 
+# Words that are no part of a name, those of commands at the end; where names stand in a question; districts by their old and new names.
+NOT_NAMES = tuple((
+    "show me the find get list what how who which all any describe tell about for of with and network associates connections linked connected risk score trend pattern crime cases case in at on by to from is was are were "
+    "has have been being do does did will would could should can may might shall not no nor but or if then else than that this these those his her its their your our my mine yours theirs itself himself herself myself "
+    "involved crimes assess check calculate evaluate analyse analyze person"
+).split())
+NAME_PATTERNS = (
+    r"(?:associates?|connected|linked|co-accused|network|find|search|about)\s+(?:of\s+)?(\w+(?:\s+\w+)?)",
+    r"(?:risk\s+)?score\s+(?:of\s+|for\s+)?(\w+(?:\s+\w+)?)",
+    r"(\w+(?:\s+\w+)?)(?:'s)?\s+(?:associates?|network|connections?|links?|relations?|risk\s+score)",
+)
+DISTRICTS = (
+    "Bengaluru", "Bangalore", "Mysuru", "Mysore", "Hubli", "Dharwad", "Belagavi", "Belgaum", "Mangaluru", "Mangalore", "Shivamogga", "Shimoga", "Tumakuru", "Tumkur", "Kalaburagi", "Gulbarga", "Ballari", "Bellary", "Vijayapura",
+    "Bijapur", "Davanagere", "Udupi", "Hassan", "Chitradurga", "Raichur", "Kolar", "Bidar", "Haveri", "Mandya", "Kodagu", "Chikkamagaluru", "Chikmagalur", "Ramanagara", "Chikkaballapur", "Yadgir", "Gadag",
+)
+
+
+def person_name(query: Column) -> Column:
+    """The person that a question is about: an id, else what follows or precedes the words that ask for a person, else the first word that may be a name; null for none."""
+    plain = lambda w: ~F.lower(w).isin(*NOT_NAMES)
+    of = lambda p: F.regexp_extract(query, "(?i)" + p, 1)
+    told = [F.when((F.length(of(p)) > 1) & F.forall(F.split(of(p), r"\s+"), plain), F.trim(of(p))) for p in NAME_PATTERNS]
+    words = F.transform(F.split(query, r"\s+"), lambda w: F.regexp_replace(w, "[^a-zA-Z]", ""))
+    own = F.get(F.filter(words, lambda w: (F.length(w) > 2) & plain(w)), F.lit(0))
+    marked = F.regexp_extract(query, r"(?i)\bPM_([0-9a-f]{8})\b", 1)
+    return F.coalesce(F.when(F.length(marked) > 0, F.concat(F.lit("PM_"), F.lower(marked))), *told, own)
+
+
+def location(query: Column) -> Column:
+    """The place that a question names: capitalised words after in, of, at or for, else a known district; null for none."""
+    said = F.regexp_extract(query, r"\b(?:in|of|at|for)\s+([A-Z][a-z]+(?:\s+[A-Z][a-z]+)?)\b", 1)
+    known = F.get(F.filter(F.array(*(F.lit(x) for x in DISTRICTS)), lambda x: F.contains(F.lower(query), F.lower(x))), F.lit(0))
+    return F.coalesce(F.when(F.length(said) > 0, said), known)
+
 
 def keywords(query: Column, most: int = 5) -> Column:
     """Up to ``most`` words of three letters or more that aren't stop words."""

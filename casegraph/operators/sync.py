@@ -42,6 +42,22 @@ def source_records(roles: Mapping[str, tuple[DataFrame, str, str]], cases: DataF
     return out.withColumn("name", names.normalise_latin(F.col("raw"))).select("source_key", "source_table", "role", "raw", "name", "age", "gender", F.col("case_id").cast("string").alias("case_id"), F.col("unit_id").cast("string").alias("unit_id"), "district_id", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"), F.col("offence_date").cast("string").alias("offence_date"))
 
 
+def record_key(record: Column) -> Column:
+    """The key of a stored record (a struct with table, source_table, role, source_id, row_id): its table, or its role's, and its id; null if either is missing."""
+    some = lambda *names: F.coalesce(*(F.when(F.length(record[n]) > 0, record[n]) for n in names))
+    by_role = F.create_map(*(F.lit(x) for t, (r, _) in ROLE_TABLES.items() for x in (r, t)))
+    return F.concat(F.coalesce(some("table", "source_table"), by_role[F.lower(record["role"])]), F.lit(":"), some("source_id", "row_id"))
+
+
+def ground_truth(truth: DataFrame, persons: DataFrame) -> DataFrame:
+    """Persons (person_id, source_keys) against true identities (source_key, identity): one row of pairwise measures, purity and the share of true records that persons hold."""
+    held = persons.select(F.col("person_id").alias("label"), F.explode("source_keys").alias("key"))
+    real = truth.select(F.col("source_key").alias("key"), F.col("identity").alias("label"))
+    found = real.join(held.select("key").distinct().withColumn("there", F.lit(1)), "key", "left").agg(scores.half_up(F.coalesce(F.count("there") / F.count(F.lit(1)), F.lit(0.0)), 4).alias("coverage"))
+    one = lambda df: df.withColumn("one", F.lit(1))
+    return one(resolve.pair_metrics(real, held)).join(one(resolve.purity(real, held)), "one").join(one(found), "one").drop("one")
+
+
 def confidences(scored: DataFrame, clustered: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of records (source_key, confidence): the mean score of their confirmed pairs; of clusters (cluster, confidence): the mean over their records that have one."""
     confirmed = scored.where(F.col("decision") == "CONFIRMED")

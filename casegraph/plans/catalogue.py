@@ -116,6 +116,17 @@ def trend_oldest60(spark, d):
     return dashboard.trend(cases(spark, d), 60)
 
 
+@query(f"WITH {CASES} SELECT strftime(registered, '%Y-%m-%d') AS label, count(*) AS value FROM cases GROUP BY 1 ORDER BY 1 LIMIT 200")
+def seasonal_oldest200(spark, d):
+    return dashboard.trend(cases(spark, d), 200)
+
+
+@query("SELECT label, value, row_number() OVER (ORDER BY value DESC, label) <= 3 AS top FROM (SELECT p_type AS label, count(*) AS value FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20)")
+def highlighted_types(spark, d):
+    items = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey")).withColumn("case_id", F.col("l_orderkey"))
+    return dashboard.highlighted(dashboard.count_by(items, "p_type"))
+
+
 @query(f"WITH {CASES} SELECT strftime(registered, '%Y-%m') AS label, count(*) AS value FROM cases GROUP BY 1")
 def trend_monthly(spark, d):
     return dashboard.count_by(cases(spark, d).withColumn("month", F.date_format("registered", "yyyy-MM")), "month")

@@ -131,6 +131,17 @@ def run(spark: SparkSession, sql: str, tables: Mapping[str, DataFrame], scope: M
             spark.catalog.dropTempView(view)
 
 
+def employee_scope(employees: DataFrame, ranks: DataFrame, units: DataFrame, unit_types: DataFrame, districts: DataFrame, employee_id: object) -> DataFrame:
+    """One row on an employee: rank_hierarchy, unit_id, unit_hierarchy, district_id, each null where the chain breaks; empty for an unknown one.
+
+    employees: employee_id, rank_id, unit_id, district_id; ranks: rank_id, hierarchy; units: unit_id, type_id; unit_types: type_id, level; districts: district_id."""
+    one = employees.where(F.col("employee_id").cast("string") == str(employee_id)).limit(1)
+    rank = ranks.select("rank_id", F.col("hierarchy").alias("rank_hierarchy"))
+    unit = units.select("unit_id", F.col("unit_id").alias("known_unit"), "type_id").join(unit_types.select("type_id", F.col("level").alias("unit_hierarchy")), "type_id", "left").drop("type_id")
+    full = one.join(rank, "rank_id", "left").join(unit, "unit_id", "left").join(districts.select("district_id", F.col("district_id").alias("known_district")), "district_id", "left")
+    return full.select("employee_id", "rank_hierarchy", F.col("known_unit").alias("unit_id"), "unit_hierarchy", F.col("known_district").alias("district_id"))
+
+
 def column_meta(rows: DataFrame) -> list[dict[str, str]]:
     """Name, type and a plain title of each column of a result."""
     return [{"name": c, "type": t, "title": re.sub(r"(?<=[a-z])(?=[A-Z])|_", " ", c).strip()} for c, t in rows.dtypes]

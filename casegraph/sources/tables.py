@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,28 +40,55 @@ def merged(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
-def swap(spark: SparkSession, df: DataFrame, path: str) -> None:
-    """Write a table next to the old one, then rename: readers see the old table or the new, never a part."""
+def _fs(spark: SparkSession, path: str):
+    """The file system of a path, and a function that makes its paths."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-    fs = at(path).getFileSystem(conf)
-    df.write.mode("overwrite").parquet(f"{path}.new")
-    if fs.exists(at(path)):
-        fs.delete(at(f"{path}.old"), True)
-        fs.rename(at(path), at(f"{path}.old"))
-    fs.rename(at(f"{path}.new"), at(path))
-    fs.delete(at(f"{path}.old"), True)
+    return at(path).getFileSystem(conf), at
+
+
+def version(spark: SparkSession, path: str) -> int | None:
+    """When the table's folder was put in its place; None without a table."""
+    fs, at = _fs(spark, path)
+    return fs.getFileStatus(at(f"{path}/_SUCCESS")).getModificationTime() if fs.exists(at(f"{path}/_SUCCESS")) else None
+
+
+class Conflict(RuntimeError):
+    pass
+
 
+def swap(spark: SparkSession, df: DataFrame, path: str, expected: int | None | str = "any") -> None:
+    """Write a table next to the old one, then rename: readers see the old table or the new, never a part.
 
-def upsert(spark: SparkSession, new: DataFrame, path: str, key: str) -> None:
-    """Replace rows by key in a Parquet table; creates it."""
+    ``expected``: the version that ``df`` was made from; Conflict if another writer came first, and nothing is changed."""
+    fs, at = _fs(spark, path)
+    new, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
     try:
-        old = spark.read.parquet(path)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        old = None
-    swap(spark, new if old is None else merged(old, new, key), path)
+        df.write.parquet(new)
+    except Exception as e:  # the files that it reads may have gone with another writer's swap
+        fs.delete(at(new), True)
+        if expected != "any" and version(spark, path) != expected:
+            raise Conflict(path) from e
+        raise
+    if expected != "any" and version(spark, path) != expected:
+        fs.delete(at(new), True)
+        raise Conflict(path)
+    if fs.exists(at(path)):
+        fs.rename(at(path), at(old))
+    fs.rename(at(new), at(path))
+    fs.delete(at(old), True)
+
+
+def upsert(spark: SparkSession, new: DataFrame, path: str, key: str, tries: int = 4) -> None:
+    """Replace rows by key in a Parquet table; creates it. After a conflict with another writer it starts again from that one's table."""
+    for left in range(tries - 1, -1, -1):
+        seen = version(spark, path)
+        try:
+            return swap(spark, new if seen is None else merged(spark.read.parquet(path), new, key), path, seen)
+        except Conflict:
+            if not left:
+                raise
+    return None
 
 
 def delete_keys(spark: SparkSession, path: str, keys: DataFrame, key: str) -> None:

@@ -1,4 +1,5 @@
 import math
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -260,6 +261,34 @@ def test_questions(spark):
     assert words == ["a", "b"]
 
 
+def test_names_and_places_of_questions(spark):
+    asked = {"show associates of Ravi Patil": "Ravi Patil", "risk score for Mala": "Mala", "Anil Rao's network": "Anil Rao", "check pm_0a1b2c3d please": "PM_0a1b2c3d", "what is the trend": None, "is Zed involved": "Zed"}
+    q = spark.createDataFrame([(k,) for k in asked], "q string")
+    assert [r[0] for r in q.select(retrieval.person_name(F.col("q"))).collect()] == list(asked.values())
+    places = spark.createDataFrame([("thefts in Mandya North",), ("MYSURU thefts",), ("thefts",)], "q string")
+    assert [r[0] for r in places.select(retrieval.location(F.col("q"))).collect()] == ["Mandya North", "Mysuru", None]
+
+
+def test_requests():
+    assert graph.request("PM_0a1b2c3d") == {"start": "PM_0a1b2c3d", "hops": 2, "types": None, "include_unconfirmed": False}
+    assert graph.request("PM_0a1b2c3d", "3", "CO_ACCUSED,ACCUSED_TO_VICTIM", "true") == {"start": "PM_0a1b2c3d", "hops": 3, "types": ["CO_ACCUSED", "ACCUSED_TO_VICTIM"], "include_unconfirmed": True}
+    for bad in [("x",), (None,), ("PM_0a1b2c3d", 4), ("PM_0a1b2c3d", "two"), ("PM_0a1b2c3d", 1, []), ("PM_0a1b2c3d", 1, "co_accused"), ("PM_0a1b2c3d", 1, None, "maybe")]:
+        with pytest.raises(ValueError):
+            graph.request(*bad)
+
+
+def test_keys_truth_and_scope_of_employees(spark):
+    r = spark.createDataFrame([(("Accused", None, None, "A-1", None),), ((None, "Victim", "accused", None, "7"),), ((None, "", "Complainant", "C-1", "9"),), ((None, None, "judge", "x", None),), (("Accused", None, None, "", None),)], "r struct<table:string,source_table:string,role:string,source_id:string,row_id:string>")
+    assert [x[0] for x in r.select(sync.record_key(F.col("r"))).collect()] == ["Accused:A-1", "Victim:7", "ComplainantDetails:C-1", None, None]
+    persons = spark.createDataFrame([("P1", ["a", "b"]), ("P2", ["c"])], "person_id string, source_keys array<string>")
+    truth = spark.createDataFrame([("a", 1), ("b", 1), ("c", 1), ("z", 2)], "source_key string, identity int")
+    one = sync.ground_truth(truth, persons).first()
+    assert (one["tp"], one["fp"], one["fn"], one["purity"], one["coverage"]) == (1, 0, 2, 1.0, 0.75)
+    table = lambda rows_, schema: spark.createDataFrame(rows_, schema)
+    chain = table([(1, 10, 20, 30), (2, None, 99, None)], "employee_id int, rank_id int, unit_id int, district_id int"), table([(10, 5)], "rank_id int, hierarchy int"), table([(20, 3)], "unit_id int, type_id int"), table([(3, 2)], "type_id int, level int"), table([(30,)], "district_id int")
+    assert [rows(sqlgate.employee_scope(*chain, i)) for i in ("1", 2, 3)] == [[(1, 5, 20, 2, 30)], [(2, None, None, None, None)], []]
+
+
 def test_holt(spark):
     data = [("s", f"2024-01-{d:02d}", v) for d, v in ((1, 2), (8, 4), (15, 6), (22, 8))] + [("t", "2024-01-01", 5), ("t", "2024-01-08", 3)]
     dense = spark.createDataFrame(data, "series string, week string, case_count long").withColumn("week", F.col("week").cast("date"))
@@ -356,10 +385,27 @@ def test_result_metadata(spark):
     assert sqlgate.templated_answer(df) == "3 in total over 2 groups; most: x (3)." and sqlgate.templated_answer(df.where("false")) == "No records found."
 
 
-def test_sources(spark, tmp_path):
+def test_sources(spark, tmp_path, monkeypatch):
     p = str(tmp_path / "t")
     tables.upsert(spark, spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), p, "k")
     tables.upsert(spark, spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string"), p, "k")
+    seen = tables.version(spark, p)
+    real, raced = tables.merged, []
+
+    def merged(old, new, key):  # another writer comes between reading and renaming, once
+        if not raced:
+            raced.append(1)
+            time.sleep(0.05)
+            tables.swap(spark, spark.createDataFrame([(2, "c"), (3, "d"), (7, "g")], "k int, v string"), p)
+        return real(old, new, key)
+
+    monkeypatch.setattr(tables, "merged", merged)
+    tables.upsert(spark, spark.createDataFrame([(2, "c"), (9, "x")], "k int, v string"), p, "k")
+    monkeypatch.setattr(tables, "merged", real)
+    assert rows(spark.read.parquet(p)) == [(2, "c"), (3, "d"), (7, "g"), (9, "x")]
+    with pytest.raises(tables.Conflict):
+        tables.swap(spark, spark.range(1), p, seen)
+    tables.delete_keys(spark, p, spark.createDataFrame([(7,)], "k int"), "k")
     tables.delete_keys(spark, p, spark.createDataFrame([(1,), (9,)], "k int"), "k")
     assert rows(spark.read.parquet(p)) == [(2, "c"), (3, "d")]
     tables.write_csv(spark.createDataFrame([(1, 'say "x", y\nz')], "k int, v string"), str(tmp_path / "c"))
