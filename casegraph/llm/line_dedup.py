@@ -155,7 +155,8 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Keys of at least ``min_chars`` code points found in at least ``min_docs`` documents lose all their lines, or with
     ``keep_first`` all but the first by document id and position."""
     order = ["h1", "h2", "doc_id", "thash", "pos"]
-    ranged = line_hashes(docs, id_col, text_col, min_chars).repartitionByRange(*order).sortWithinPartitions(*order)
+    hashes = materialise(line_hashes(docs, id_col, text_col, min_chars), "line-hashes")  # range partitioning reads them twice
+    ranged = hashes.repartitionByRange(*order).sortWithinPartitions(*order)
     runs = materialise(ranged.mapInArrow(_stream(min_docs, keep_first), _RUN), "line-runs")
     edges = runs.where(F.col("kind") == EDGE)
     # at most two rows a partition: a document that a border cuts was counted on both sides of it
