@@ -224,6 +224,27 @@ def test_sharding(spark, docs, none, rows):
     assert max(size.values()) / (sum(size.values()) / 8) < 1.02 and len(size) == 8
 
 
+def test_placement_by_dot_products():
+    """The largest item first, each where the dot product of residual capacity and item is highest, one by one."""
+    rng = np.random.default_rng(1)
+    v = rng.integers(1, 1000, (60, 3)).astype(float)
+    share = [[float(x) / float(t) for x, t in zip(r, v.sum(axis=0), strict=True)] for r in v]
+    left, want = [[1 / 7] * 3 for _ in range(7)], {}
+    for i in sorted(range(60), key=lambda i: (-max(share[i]), i)):
+        k = max(range(7), key=lambda s: (sum(a * b for a, b in zip(left[s], share[i], strict=True)), -s))
+        want[i], left[k] = k, [a - b for a, b in zip(left[k], share[i], strict=True)]
+    assert sharding.pack(v, 7).tolist() == [want[i] for i in range(60)]
+
+
+def test_items_are_ranked_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "PART_ROWS", 7)
+    d = spark.createDataFrame([(i % 400, "same" if i % 2 else f"t {i}") for i in range(500)], "doc_id long, text string")
+    slots = defaultdict(list)
+    for r in sharding.by_bytes(d, 4).collect():
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and sum(map(len, slots.values())) == 500
+
+
 def test_groups_that_fit_a_shard_stay_whole(spark):
     """Groups of 2 to 40 copies, each beyond a cell's share and below a shard's, and one group larger than a shard."""
     data = [f"group {g} " * (1 + g % 5) for g in range(40) for _ in range(2 + g)] + [f"single {i} " * (1 + i % 7) for i in range(600)] + ["too large for one " * 4] * 500
@@ -367,6 +388,16 @@ def test_language_model(docs, none, rows, hot):
     assert all(r["score"] < 0 for r in got) and lattice_lm.lm_scores(none).count() == 0
 
 
+def test_score_is_the_sum_over_words(docs, rows):
+    """Without refitting, a text's score is the sum of its words' marginals under the vocabulary's own scores, and its end."""
+    p = lattice_lm.first_pieces(lattice_lm.default_vocabulary())
+    for hot in (0, 10**6):
+        got = order((r["doc_id"], r["n_tokens"], round(r["score"], 5)) for r in lattice_lm.lm_scores(docs, rounds=0, hot_words=hot).collect())
+        words = [[w.decode() for w in lattice_lm.tokens(text(t).encode())] for _, t, *_ in rows]
+        price = {w: p.one(w) for ws in words for w in ws}
+        assert got == order((i, len(ws) + 1, round((sum(price[w] for w in ws) + p.log_p[lattice_lm.END]) / math.log(10), 5)) for (i, *_), ws in zip(rows, words, strict=True))
+
+
 # ------------------------------------------------------------------ 8
 
 
@@ -376,7 +407,8 @@ def test_packing(docs, none, rows):
     import public_tokenizers
 
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
+    rows = [*rows, (300, "a <|endoftext|> b<|endoftext|>", *rows[0][2:])]
+    docs = docs.union(docs.sparkSession.createDataFrame(rows[-1:], SCHEMA))
     ids = Counter()
     for i, t, *_ in rows:
         x = np.array([*tok.encode(text(t), add_special_tokens=False).ids, 0], dtype="<u4")
@@ -401,15 +433,51 @@ def test_packing(docs, none, rows):
     assert len(by) <= used / 1024 * 1.02 + 1 and packing.pack(none).count() == 0
 
 
-@pytest.mark.parametrize("t", ["", "a", " a", "a ", "a\n", "\n", "a  b", "a\tb", "don't we're\nI'll 's 's", "x y", "a 's\n's b", "<|endoftext|> x", "日本 ß\n\nq"])
+@pytest.mark.parametrize("t", ["", "a", " a", "a ", "a\n", "\n", "a  b", "a\tb", "don't we're\nI'll 's 's", "x y", "a 's\n's b", "<|endoftext|> x", "a <|endoftext|>  b <|endoftext|><|endoftext|>", "日本 ß\n\nq"])
 def test_ids_equal_the_tokenisers(t):
     from tokenizers import Tokenizer
 
     import public_tokenizers
 
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
-    assert packing.Ids(packing.default_vocabulary())(t) == np.array(tok.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    assert packing.Ids(packing.default_vocabulary(), packing.default_tokenizer())(t) == np.array(tok.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+
+def test_best_fit_and_the_fullest_goes():
+    """Against a plain restatement of the rule: best fit, else the fullest window is completed by a cut and goes."""
+    rng = random.Random(4)
+    docs = [rng.randint(1, 40) for _ in range(200)]
+    packer, open_, want = packing.Packer(16, 3, 2, 0, False), [], []
+    for i, n in enumerate(docs):
+        packer.add(i, 0, bytes(4 * n), n)
+        start = 0
+        while n - start >= 16:
+            want.append([(i, start, 16)])
+            start += 16
+        if n == start:
+            continue
+        fits = [w for w in open_ if sum(x[2] for x in w) + n - start <= 16]
+        if fits:
+            to = max(fits, key=lambda w: sum(x[2] for x in w))
+        else:
+            if len(open_) == 3:
+                full = max(open_, key=lambda w: sum(x[2] for x in w))
+                room = 16 - sum(x[2] for x in full)
+                if room > 2:
+                    full.append((i, start, room))
+                    start += room
+                want.append(full)
+                open_.remove(full)
+            to = []
+            open_.append(to)
+        to.append((i, start, n - start))
+        if sum(x[2] for x in to) == 16:
+            want.append(to)
+            open_.remove(to)
+    got = defaultdict(list)
+    for doc_id, start, n, _, _, seq, *_ in packer.rows:
+        got[seq].append((doc_id, start, n))
+    assert [got[k] for k in sorted(got)] == want and [w.pieces[0][0] for w in packer.open] == [w[0][0] for w in open_]
 
 
 # ------------------------------------------------------------------ 9
@@ -442,6 +510,25 @@ def test_cells_join_up(spark, monkeypatch):
     assert got == {i: sha((a[: len(a) - len(a) // 2] + b[: len(a) // 2]).encode()) for (i, a), (_, b) in zip(s, s[1:] + s[:1], strict=True)}
 
 
+def test_borders_and_outliers(spark, monkeypatch):
+    """Cells follow where the ids lie; a search over several levels counts as a sorted list does."""
+    import bisect
+
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(fingerprint, "FAN", 3)
+    rng = random.Random(6)
+    for n in (0, 1, 3, 4, 9, 10, 27, 30, 80):
+        borders = sorted(rng.sample(range(-100, 100), n))
+        ids = [-101, *borders, 0, 5, 101, None]
+        got = spark.createDataFrame([(i,) for i in ids], "i long").select(fingerprint.borders_below(F.col("i"), borders)).collect()
+        assert [r[0] for r in got] == [None if i is None else bisect.bisect_right(borders, i) for i in ids]
+    monkeypatch.setattr(fingerprint, "CELL_ROWS", 10)
+    d = spark.createDataFrame([(i, f"t{i}", i) for i in range(1000)] + [(1 << 62, "far", 0), (-(1 << 62), "low", 0)], "doc_id long, text string, thash long")
+    sizes = [r["count"] for r in fingerprint.in_cells(d)[0].where("guest = 0").groupBy("cell").count().collect()]
+    assert len(sizes) > 50 and max(sizes) < 120 and sum(sizes) == 1002
+
+
 def test_fingerprints_are_homomorphic(spark):
     a, b = "one two\nthree. four five", "six\nseven! eight"
     d = spark.createDataFrame([(1, a), (2, b), (3, f"{a}\n{b}"), (4, "three\nseven\nsix. four five. one two\neight"), (5, "")], "doc_id long, text string")
@@ -493,6 +580,41 @@ def test_mixing(docs, none, rows, weights):
         mixing.mix(docs, {"a": 0.0})
 
 
+def test_whole_schedule_against_a_simulation(spark):
+    """Several phases, slot by slot: of the released blocks the one with the earliest deadline, by exact weights."""
+    from fractions import Fraction
+
+    n, block = {"a": 37, "b": 90, "c": 11, "d": 52}, 4
+    weights = {"a": 3.0, "b": 1.0, "c": 0.5, "d": 2.0}
+    d = spark.createDataFrame([(i, s) for i, s in enumerate(s for s, k in n.items() for _ in range(k))], "doc_id long, source string")
+    got = {(r["source"], r["block"]): r["slot"] for r in mixing.mix(d, weights, block_rows=block, period=8).collect()}
+    left, want, slot = {s: -(-k // block) for s, k in n.items()}, {}, 0
+    while left:
+        total, done, t = sum(Fraction(weights[s]) for s in left), dict.fromkeys(left, 0), 0
+        w = {s: Fraction(weights[s]) / total for s in left}
+        while all(done[s] < left[s] for s in left):
+            ready = [(math.ceil((done[s] + 1) / w[s]), s) for s in sorted(left) if done[s] / w[s] < t + 1]
+            s = min(ready)[1]
+            want[s, -(-n[s] // block) - left[s] + done[s]] = slot + t
+            done[s] += 1
+            t += 1
+        slot += t
+        left = {s: left[s] - done[s] for s in left if left[s] > done[s]}
+    assert got == want
+
+
+def test_blocks_are_bounded(spark):
+    d = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(200)], "doc_id long, source string")
+    got = mixing.mix(d, {"a": 1.0, "b": 1.0}, block_rows=1, most_blocks=20).collect()
+    assert len({(r["source"], r["block"]) for r in got}) == 20 and sorted(r["position"] for r in got) == list(range(200))
+
+
+def test_two_texts_of_one_id_have_fixed_places(spark):
+    d = spark.createDataFrame([(i % 5, f"text {i}", "ab"[i % 2]) for i in range(60)], "doc_id long, text string, source string")
+    first = [r["text"] for r in mixing.in_order(d, block_rows=2).collect()]
+    assert first == [r["text"] for r in mixing.in_order(d.orderBy(d["text"].desc()).repartition(5), block_rows=2).collect()] and len(set(first)) == 60
+
+
 def test_mixing_stays_within_a_block(spark):
     d = spark.createDataFrame([(i, "abc"[min(2, i % 7)]) for i in range(700)], "doc_id long, source string")
     got = sorted(mixing.mix(d, {"a": 1.0, "b": 1.0, "c": 5.0}, block_rows=1, period=14).collect(), key=lambda r: r["slot"])

@@ -26,6 +26,25 @@ def test_empty_documents(spark, sf):
         assert docs.count() == 0
 
 
+def test_odd_rows_through_all_stages(spark, tmp_path):
+    """Nulls in all columns, empty texts, ties, repeated rows and columns with clashing names go through the whole chain."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row string, n string, key string, ck string, position long"
+    clean = [(i, f"this is a sentence of its own number {i} and it goes on with {i * i} more words", "en", "abc"[i % 3], 1, "r", "n", "k", "c", 7) for i in range(40)]
+    odd = [(100, None, None, None, None, None, None, None, None, None), (101, "", "en", "a", 0, None, None, None, None, None), (None, "no id at all", "en", None, 3, "r", None, "k", None, 1), (None, None, None, None, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(clean + odd + clean[:5] + [clean[7]] * 4, schema)
+    spark.createDataFrame([(i, 1 if i % 4 else 0, 0) for i in range(0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    texts = {r[1] for r in clean}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, docs = docs.count(), stage(spark, docs, str(tmp_path))
+        assert docs.columns == schema.replace(" string", "").replace(" long", "").split(", "), name
+        got = [r["text"] for r in docs.collect()]
+        assert texts <= set(got), name
+        assert len(got) == before or name == "ngram_jaccard_join"
+    assert len(got) == len(clean) + 2  # one of each clean text, one of all without a word, the one without an id
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert sum(p["length"] for p in pieces) == sum(p["doc_tokens"] for p in pieces if p["start"] == 0)
+
+
 def test_packing_follows_the_mixture_over_files_of_unequal_size(spark, tmp_path):
     docs = spark.createDataFrame([(i, "ab " * (1500 + i), "abc"[min(2, i % 5)]) for i in range(300)], "doc_id long, text string, source string")
     options = {"block_rows": 64, "period": 1024, "temper": 0.5}
