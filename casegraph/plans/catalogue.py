@@ -16,6 +16,7 @@ from casegraph.functions import names, scores
 from casegraph.operators import dashboard, graph, resolve, retrieval, series, sync
 from casegraph.plans import sqlgate
 from casegraph.sources import tables
+from casegraph.sources.shared import materialise
 from casegraph.streaming import incremental
 
 FLAGSHIP = "location_by_nation"
@@ -76,6 +77,11 @@ def co_edges(spark: SparkSession, d: str) -> DataFrame:
     return graph.co_accused(accused(spark, d))
 
 
+def stored_edges(spark: SparkSession, d: str) -> DataFrame:
+    """The edges as a table: for queries that read them several times."""
+    return materialise(co_edges(spark, d), "edges")
+
+
 def suppliers(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "supplier")
     return s.select(F.concat(F.lit("S-"), F.col("s_suppkey").cast("string")).alias("person_id"), F.array((F.col("s_suppkey") % 10).cast("string")).alias("unit_ids"), F.array(F.col("s_nationkey").cast("string")).alias("district_ids"))
@@ -522,7 +528,7 @@ def profile_degree(spark, d):
 
 @query(f"WITH {ACCUSED}, {CO} SELECT DISTINCT target AS person_id FROM co WHERE source = (SELECT min(source) FROM co)")
 def neighbours(spark, d):
-    e = co_edges(spark, d)
+    e = stored_edges(spark, d)
     return graph.neighbours(suppliers(spark, d), e, _start(e)).select("person_id")
 
 
@@ -541,7 +547,7 @@ def component_sizes(spark, d):
 
 @query(f"WITH {_WALK}, deg AS (SELECT 2 * count(*) AS g FROM co GROUP BY source) SELECT (SELECT count(*) FROM supplier) AS nodes, (SELECT count(*) FROM co) AS edges, floor(((SELECT sum(g) FROM deg) / (SELECT count(*) FROM supplier)) * 100 + 0.5) / 100 AS avg_degree, (SELECT max(g) FROM deg) AS max_degree, CAST(count(*) AS BIGINT) AS components, max(size) AS largest FROM sizes")
 def graph_stats(spark, d):
-    return graph.statistics(suppliers(spark, d), co_edges(spark, d))
+    return graph.statistics(suppliers(spark, d), stored_edges(spark, d))
 
 
 def _bfs_sql(hops: int, seen: str = "TRUE") -> str:
@@ -559,13 +565,13 @@ def _start(edges: DataFrame) -> str:
 
 @query(_bfs_sql(3))
 def bfs_hops3(spark, d):
-    e = co_edges(spark, d)
+    e = stored_edges(spark, d)
     return graph.traverse(suppliers(spark, d), e, _start(e), 3).drop("truncated")
 
 
 @query(_bfs_sql(2, "s_suppkey % 10 = 3 OR s_nationkey <= 20 AND s_nationkey = 7 OR 'S-' || s_suppkey = (SELECT min(source) FROM co)"))
 def bfs_scoped(spark, d):
-    e = co_edges(spark, d)
+    e = stored_edges(spark, d)
     start = _start(e)
     nodes = suppliers(spark, d).withColumn("unit_ids", F.when(F.col("person_id") == start, F.array(F.lit("3"))).otherwise(F.col("unit_ids")))
     return graph.traverse(nodes, e, start, 2, scope={"role": "Officer", "unit_id": "3", "district_id": "7"}).drop("truncated")
@@ -577,7 +583,7 @@ _REACHED = _bfs_sql(2).replace("WITH ", "", 1).rsplit("SELECT person_id, hop FRO
 @query(f"WITH {_REACHED[0]}, reached AS (SELECT person_id, hop FROM h0{_REACHED[1]}), inside AS (SELECT co.* FROM co WHERE source IN (SELECT person_id FROM reached) AND target IN (SELECT person_id FROM reached)) SELECT 'nodes' AS \"group\", person_id AS id, NULL AS source, NULL AS target, hop, (SELECT 2 * count(*) FROM inside WHERE source = person_id) AS degree FROM reached UNION ALL SELECT 'edges', NULL, source, target, NULL, NULL FROM inside")
 def graph_elements(spark, d):
     """The elements without the edges' ids, which are hashes of Spark's."""
-    e = co_edges(spark, d)
+    e = stored_edges(spark, d)
     elements = graph.export_elements(graph.traverse(suppliers(spark, d), e, _start(e), 2), e)
     return elements.withColumn("id", F.when(F.col("group") == "nodes", F.col("id")))
 
@@ -587,7 +593,7 @@ _SUMMED = _bfs_sql(3).replace("WITH ", "", 1).rsplit("SELECT person_id, hop FROM
 
 @query(f"WITH {_SUMMED[0]}, reached AS (SELECT person_id, hop FROM h0{_SUMMED[1]}), s AS (SELECT min(source) AS p FROM co) SELECT p AS person_id, (SELECT 2 * count(*) FROM co, s WHERE source = p) AS degree, (SELECT count(*) - 1 FROM reached) AS known_associates, CAST(0 AS BIGINT) AS victim_links, (SELECT 2 * count(*) FROM co, s WHERE source = p) AS co_accused, false AS truncated FROM s")
 def network_summary(spark, d):
-    e = co_edges(spark, d)
+    e = stored_edges(spark, d)
     return graph.network_summary(suppliers(spark, d), e, _start(e), most_nodes=None).drop("edge_breakdown")
 
 

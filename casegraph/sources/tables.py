@@ -30,6 +30,26 @@ def write_json(df: DataFrame, path: str) -> None:
     df.drop(*AUDIT_COLUMNS).write.mode("overwrite").json(path)
 
 
+def write_export(df: DataFrame, table: str, path: str, per_document: int = 1000) -> None:
+    """JSON documents {table, columns, rows}, one a line, of at most ``per_document`` rows each, without audit columns."""
+    rows = df.drop(*AUDIT_COLUMNS)
+    chunk = F.floor(F.monotonically_increasing_id() / per_document)  # ids are consecutive within a partition
+    dealt = rows.select(F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("r")).withColumn("chunk", chunk)
+    docs = dealt.groupBy("chunk").agg(F.collect_list("r").alias("rows")).select(F.lit(table).alias("table"), F.array(*(F.lit(c) for c in rows.columns)).alias("columns"), "rows")
+    docs.select(F.to_json(F.struct("table", "columns", "rows"), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
+
+
+def read_export(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of documents that ``write_export`` wrote; ``schema`` is that of a row."""
+    docs = spark.read.text(path).select(F.from_json("value", f"struct<rows:array<struct<{schema}>>>").alias("d"))
+    return docs.select(F.inline("d.rows"))
+
+
+def capped(df: DataFrame, by: str, most: int) -> DataFrame:
+    """The first ``most`` rows in an order, as a scan with a cap gives; the cap is what is asked for."""
+    return df.orderBy(by).limit(most)
+
+
 def write_texts(df: DataFrame, text: str, order: str, path: str, per_file: int = 200) -> None:
     """Text files of about ``per_file`` rows, in order."""
     df.repartitionByRange(order).sortWithinPartitions(order).select(text).write.option("maxRecordsPerFile", per_file).mode("overwrite").text(path)

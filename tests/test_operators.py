@@ -1,3 +1,4 @@
+import json
 import math
 import time
 
@@ -437,6 +438,11 @@ def test_texts_logs_and_json(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "t")).count() == 450
     tables.write_json(d.limit(3), str(tmp_path / "j"))
     assert spark.read.json(str(tmp_path / "j")).columns == ["k", "t"]
+    tables.write_export(d.repartition(3), "T", str(tmp_path / "e"), per_document=100)
+    docs = [json.loads(r[0]) for r in spark.read.text(str(tmp_path / "e")).collect()]
+    assert {(x["table"], *x["columns"]) for x in docs} == {("T", "k", "t")} and max(len(x["rows"]) for x in docs) <= 100
+    assert rows(tables.read_export(spark, str(tmp_path / "e"), "k:int,t:string")) == rows(d, "k", "t")
+    assert rows(tables.capped(d, "k", 2), "k") == [(0,), (1,)]
     tables.append_log(d.limit(2), str(tmp_path / "l"))
     tables.append_log(d.limit(1), str(tmp_path / "l"))
     assert spark.read.parquet(str(tmp_path / "l")).where("logged_at is not null").count() == 3
