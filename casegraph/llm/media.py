@@ -209,7 +209,13 @@ def read_payloads(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, FEATURES)
 
 
+def by_shard(manifest: DataFrame) -> DataFrame:
+    """The manifest with a task a shard, in the order of its members: a few MB of rows stand for many GB of media."""
+    shards = manifest.select("shard").distinct().count()
+    return manifest.repartition(max(1, shards), "shard").sortWithinPartitions("shard", "offset")
+
+
 def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Store, then read back: the columns of the contract, then the media's own."""
-    full = read_payloads(read_headers(store(docs, id_col=id_col, text_col=text_col)))
+    full = read_payloads(read_headers(by_shard(store(docs, id_col=id_col, text_col=text_col))))
     return full.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media_type", "width", "height", "bit_depth", "channels")
