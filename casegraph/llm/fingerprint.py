@@ -30,8 +30,8 @@ ONES = sum(1 << (WIDTH * i) for i in range(3))
 ENTRIES = ONES * ((1 << (WIDTH - 1)) - 1)
 GUARDS = ONES << (WIDTH - 1)
 M60 = (1 << 60) - 1
-#: Cells of the doc_id axis for finding the next document: rows aimed at, and most of them; borders that are looked at together.
-CELL_ROWS, MOST_CELLS, FAN = 1024, 1 << 17, 64
+#: Cells of the doc_id axis for finding the next document: rows aimed at, and most of them; ids drawn for a border; borders that are looked at together.
+CELL_ROWS, MOST_CELLS, DRAWN, FAN = 1024, 1 << 17, 16, 64
 
 
 def paragraphs(text: Column) -> Column:
@@ -113,14 +113,16 @@ def borders_below(x: Column, borders: list[int]) -> Column:
 def in_cells(docs: DataFrame) -> tuple[DataFrame, WindowSpec]:
     """The rows with ``cell`` and ``guest``, and the window in which ``lead`` finds the row next in (doc_id, text hash); after the last comes the first.
 
-    The doc_id axis is cut at ids drawn by hash, about MOST_CELLS at most, so that cells hold about as many rows however
-    the ids lie; each cell is sorted alone, and each cell's first row
+    The doc_id axis is cut at every DRAWN-th of some ids drawn by hash, in about MOST_CELLS cells at most, so that they
+    hold about as many rows however the ids lie; each cell is sorted alone, and each cell's first row
     also stands, as a guest, at the end of the cell before. Needs columns doc_id (long) and thash."""
     cells = max(1, min(MOST_CELLS, docs.count() // CELL_ROWS))
     borders = []
     if cells > 1:  # ids, not rows: one id in many rows is one border
-        share = F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.lit(1 << 40)) < (1 << 40) * cells // max(1, docs.count())
-        borders = [r[0] for r in docs.where(F.col("doc_id").isNotNull() & share).select("doc_id").distinct().orderBy("doc_id").limit(2 * MOST_CELLS).collect()]
+        drawn = F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.lit(1 << 40)) < (1 << 40) * cells * DRAWN // max(1, docs.count())
+        ids = docs.where(F.col("doc_id").isNotNull() & drawn).select("doc_id").distinct()
+        nth = ids.withColumn("nth", F.row_number().over(Window.orderBy("doc_id")))  # over DRAWN * MOST_CELLS ids, give or take a few
+        borders = [r[0] for r in nth.where(F.col("nth") % DRAWN == 0).select("doc_id").orderBy("doc_id").collect()]
     cell = F.coalesce(borders_below(F.col("doc_id"), borders), F.lit(-1)).cast("long").alias("cell")
     placed = docs.withColumn("cell", cell).withColumn("guest", F.lit(0))
     heads = docs.select(cell, F.struct(F.col("doc_id").isNotNull().alias("has"), "doc_id", "thash").alias("head")).groupBy("cell").agg(F.min("head").alias("head"))
