@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from casegraph.llm import chosen_path, fingerprint, language, lattice_lm, line_dedup, media, mixing, packing, quality, sharding
+from casegraph.llm import chosen_path, conversation, fingerprint, language, lattice_lm, line_dedup, media, mixing, packing, quality, sharding, two_fit, whitening
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,8 +53,21 @@ def op6_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.near_duplicates(_docs(spark, sf_dir), words=5, threshold=0.8)
 
 
+def op11_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return two_fit.pack(_docs(spark, sf_dir), size=2048)
+
+
+def op12_conversation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation.repair_damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), components=16)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_line_dedup": op2_line_dedup, "op9_fingerprint": op9_fingerprint, "op10_mixing": op10_mixing, "op5_sharding": op5_sharding, "op8_packing": op8_packing, "op1_media": op1_media, "op4_language": op4_language, "op3_quality": op3_quality, "op7_lattice_lm": op7_lattice_lm, "op6_chosen_path": op6_chosen_path}
+    every = [op1_media, op2_line_dedup, op3_quality, op4_language, op5_sharding, op6_chosen_path, op7_lattice_lm, op8_packing, op9_fingerprint, op10_mixing, op11_best_two_fit, op12_conversation, op13_whitening]
+    return {q.__name__: q for q in every}
 
 
 OP2_SQL = """
@@ -97,5 +110,42 @@ FROM j
 """.format(sums=", ".join(f"coalesce(sum(({x[0]} >> {x[1:]}) & 1), 0) % 524288 AS {x}" for x in _LANES), bits=", ".join(_LANES))
 
 
+# crc32 by its table of bytes; a state's value is its cost, nine digits long, and its audit, so that the least string is the least value
+_TO = "format('{{:09d}}', CAST(left({0}, 9) AS INT) + {1}) || substr({0}, 10) || '{2}'"
+_EXT = lambda k, cost, letter: _TO.format(k, cost, letter)
+_KEEP = lambda k, initial: f"CASE WHEN NOT must AND ini = '{initial}' THEN {_EXT(k, '3 * tr', 'K')} ELSE '900000000' END"
+_TURN = lambda k: f"CASE WHEN must THEN '900000000' ELSE {_EXT(k, '3 + 3 * tr', 'R')} END"
+OP12_SQL = f"""
+WITH RECURSIVE bits AS (SELECT CAST(b AS BIGINT) AS b, CAST(b AS BIGINT) AS v, 0 AS k FROM range(256) t(b)
+  UNION ALL SELECT b, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM bits WHERE k < 8),
+crc AS (SELECT list(v ORDER BY b) AS tab FROM bits WHERE k = 8),
+rows AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+coded AS (SELECT rows.*, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(name, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda a, c: xor(a >> 8, tab[(xor(a, c) & 255) + 1])), 4294967295) % 20 AS code FROM rows, crc),
+hurt AS (SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role, CASE WHEN code = 1 THEN '' WHEN code = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN code = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM coded WHERE code <> 0),
+placed AS (SELECT *, coalesce(conv_id, -1) AS c, conv_id IS NULL AS cn, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, left(text, 64), md5(text)) AS i,
+  rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS seen FROM hurt),
+faults AS (SELECT *, seen = '' AS blank, seen <> '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS dup, left(role, 1) AS ini, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM placed),
+msg AS (SELECT *, blank OR dup AS must, CAST(NOT blank AND NOT dup AND right(seen, 1) NOT IN ('.', '!', '?') AS INT) AS tr FROM faults),
+step AS (SELECT c, cn, 0 AS i, '000000000' AS z, '900000000' AS y, '000000003I' AS u, '000000006II' AS a FROM msg GROUP BY c, cn
+  UNION ALL
+  SELECT c, cn, i, z, y, least(u0, {_EXT("z", 3, "I")}, {_EXT("y", 3, "I")}, {_EXT("a0", 3, "I")}), least(a0, {_EXT("least(u0, " + _EXT("z", 3, "I") + ", " + _EXT("y", 3, "I") + ")", 3, "I")}) FROM (
+    SELECT c, cn, i, {_EXT("z", 4, "D")} AS z, least({_EXT("y", 4, "D")}, {_KEEP("z", "s")}) AS y,
+      least({_EXT("u", 4, "D")}, {", ".join(f(k) for k in "zya" for f in (lambda k: _KEEP(k, "u"), _TURN))}) AS u0, least({_EXT("a", 4, "D")}, {_KEEP("u", "a")}, {_TURN("u")}) AS a0
+    FROM (SELECT s.c, s.cn, m.i, s.z, s.y, s.u, s.a, m.must, m.tr, m.ini FROM step s JOIN msg m ON m.c = s.c AND m.cn = s.cn AND m.i = s.i + 1))),
+best AS (SELECT c, cn, least(z, a) AS v FROM step QUALIFY row_number() OVER (PARTITION BY c, cn ORDER BY i DESC) = 1),
+edits AS (SELECT c, cn, substr(v, 10) AS audit, unnest(string_split(substr(v, 10), '')) AS e, unnest(range(1, length(v) - 8)) AS pos FROM best WHERE length(v) > 9),
+dealt AS (SELECT *, sum(CASE WHEN e <> 'I' THEN 1 ELSE 0 END) OVER (PARTITION BY c, cn ORDER BY pos) AS i, sum(CASE WHEN e <> 'D' THEN 1 ELSE 0 END) OVER (PARTITION BY c, cn ORDER BY pos) AS n FROM edits),
+lines AS (SELECT d.c, d.cn, d.pos, d.e, d.n, CASE WHEN d.e <> 'I' THEN m.role END AS role, CASE WHEN d.e = 'I' THEN '' ELSE m.text END AS text FROM dealt d LEFT JOIN msg m ON m.c = d.c AND m.cn = d.cn AND m.i = d.i WHERE d.e <> 'D'),
+led AS (SELECT *, first_value(CASE WHEN e = 'K' AND left(role, 1) = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY c, cn ORDER BY pos) AS lead FROM lines),
+done AS (SELECT c, cn, string_agg(CASE WHEN e = 'K' THEN role WHEN (n - lead) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY pos) AS body FROM led GROUP BY c, cn),
+per AS (SELECT c, cn, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(blank) AS blank, count_if(dup) AS duplicate, sum(tr) AS truncated, count_if(before IS NOT NULL AND before || ini NOT IN ('su', 'ua', 'au')) AS illegal FROM msg GROUP BY c, cn),
+ids AS (SELECT DISTINCT conv_id, coalesce(conv_id, -1) AS c, conv_id IS NULL AS cn FROM conversations)
+SELECT ids.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+  CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(CAST(left(v, 9) AS INT), 0) AS BIGINT) AS cost, coalesce(substr(v, 10), '') AS audit, sha256(coalesce(body, '')) AS repaired_sha256
+FROM ids LEFT JOIN per USING (c, cn) LEFT JOIN best USING (c, cn) LEFT JOIN done USING (c, cn)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2_SQL, "op9_fingerprint": OP9_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op9_fingerprint": OP9_SQL, "op12_conversation": OP12_SQL}

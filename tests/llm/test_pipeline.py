@@ -59,13 +59,14 @@ def test_packing_follows_the_mixture_over_files_of_unequal_size(spark, tmp_path)
 
 
 def test_registry_names():
-    assert sorted(int(k[2:].split("_")[0]) for k in registry.queries()) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in registry.queries()) == list(range(1, 14))
 
 
 def test_sql(spark, sf):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    for t in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     for name, sql in registry.oracle_sql().items():
         cursor = con.execute(sql)
         cols = [c[0] for c in cursor.description]
