@@ -27,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -129,12 +130,22 @@ class Chart:
         self._fill(scanned, [])
 
 
-def parse(messages: list[Message]) -> Value:
-    """The cost and audit of the cheapest repair of a whole conversation."""
-    chart = Chart("Z")
+def derived(start: str, messages: tuple[Message, ...]) -> dict[str, Value]:
+    """The value of each nonterminal that derives all messages after ``start``."""
+    chart = Chart(start)
     for m in messages:
         chart.read(m)
-    return chart.done["S"]
+    return chart.done
+
+
+#: Short conversations look alike, so a task keeps what it found for the last ones.
+SHORT, KEPT = 16, 1 << 14
+_derived = lru_cache(KEPT)(derived)
+
+
+def parse(messages: list[Message]) -> Value:
+    """The cost and audit of the cheapest repair of a whole conversation."""
+    return derived("Z", tuple(messages))["S"]
 
 
 _SEGMENT = pa.schema([
@@ -156,7 +167,7 @@ class Stretch:
 
     def __init__(self, conv_id: int | None, block: int, first_of_block: bool):
         self.key = conv_id, block
-        self.charts = {s: Chart(s) for s in (STATES if first_of_block else "Z")}
+        self.starts, self.messages = STATES if first_of_block else "Z", []
         self.blank = self.duplicate = self.truncated = self.illegal = self.turns = 0
         self.first = self.last = self.first_turn = self.last_turn = None
 
@@ -172,11 +183,12 @@ class Stretch:
         if turn is not None and turn != self.last_turn:
             self.first_turn, self.last_turn = turn if self.first_turn is None else self.first_turn, turn
             self.turns += 1
-        for chart in self.charts.values():
-            chart.read((initial, fault in ("blank", "duplicate"), fault == "truncated"))
+        self.messages.append((initial, fault in ("blank", "duplicate"), fault == "truncated"))
 
     def row(self) -> tuple:
-        found = [(a, b, *chart.done[b]) for a, chart in self.charts.items() for b in STATES if b in chart.done]
+        messages = tuple(self.messages)
+        values = {a: (_derived if len(messages) <= SHORT else derived)(a, messages) for a in self.starts}
+        found = [(a, b, *values[a][b]) for a in self.starts for b in STATES if b in values[a]]
         return (*self.key, *([x[i] for x in found] for i in range(4)), self.blank, self.duplicate, self.truncated, self.illegal, self.first, self.last, self.first_turn, self.last_turn, self.turns)
 
 
@@ -289,7 +301,8 @@ def report(conversations: DataFrame) -> DataFrame:
     rows = materialise(ranged.select("conv_id", "turn", "role", F.substring("role", 1, 1).alias("initial"), "digest", "blank", "truncated", F.monotonically_increasing_id().alias("place")), "messages")
     firsts = rows.groupBy("conv_id", "role", "digest").agg(F.min("place").alias("place")).select("place", F.lit(False).alias("again"))
     flagged = rows.join(firsts, "place", "left").select("conv_id", "turn", "initial", "blank", F.coalesce("again", F.lit(True)).alias("duplicate"), "truncated", "place", F.expr(f"place div {SEGMENT}").alias("block"))
-    stretches = flagged.repartition("block").sortWithinPartitions("place").drop("place").mapInArrow(_stretches, SEGMENTS)
+    tasks = int(conversations.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # parsing takes longer than its few bytes tell
+    stretches = flagged.repartition(tasks, "block").sortWithinPartitions("place").drop("place").mapInArrow(_stretches, SEGMENTS)
     met = materialise(stretches, "stretches").repartition("conv_id").sortWithinPartitions("conv_id", "block")
     return materialise(met.mapInArrow(_join_up, REPORT), "report")
 
