@@ -1,14 +1,13 @@
-"""Names: transliteration, normalisation, phonetic keys, similarity. Built-in functions, but for the two that Spark lacks."""
+"""Names: transliteration, normalisation, phonetic keys, similarity. Built-in functions only: what Spark lacks are folds over letters."""
 
 from __future__ import annotations
 
-import re
+import string
 import unicodedata
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
 
 # The letters of the two scripts with the Latin spelling of each consonant (with its inherent a) and vowel sign.
 KANNADA = {
@@ -42,46 +41,53 @@ METAPHONE = ("BCDFGJKLMNPQRSTVWXZ", "BXJFKJKLMNPQRSTFFXS")
 INDIC = "[\\u0900-\\u097F\\u0C80-\\u0CFF]"
 
 
-def _spell(script: dict) -> tuple[re.Pattern, object]:
-    """A pattern of one syllable or sign, and what it becomes."""
-    c, v = "".join(script["consonants"]), "".join(script["signs"])
-    h, m, s = script["halant"], script["anusvara"], script["visarga"]
-    pattern = re.compile(f"(?P<c>[{c}])(?:(?P<halt>{h})|(?P<v>[{v}])(?P<vm>{m})?|(?P<m>{m}))?|(?P<sign>[{v}])|(?P<nasal>{m})|(?P<breath>{s})|{h}")
+# Vowel signs written in parts, with the sign that the parts make up, longer ones first.
+PARTS = [("\u0cc6\u0cc2\u0cd5", "\u0ccb"), ("\u0cca\u0cd5", "\u0ccb"), ("\u0cc6\u0cc2", "\u0cca"), ("\u0cc6\u0cd5", "\u0cc7"), ("\u0cc6\u0cd6", "\u0cc8"), ("\u0cbf\u0cd5", "\u0cc0")]
+#: A Latin letter and a mark that Unicode writes as one letter, outside a to z.
+_MARKS = [chr(c) for c in range(0x300, 0x370)]
+_MARKED = "|".join(f"{x}(?=[\u0300-\u036f]*[{''.join(m)}])" for x in string.ascii_letters if (m := [k for k in _MARKS if len(unicodedata.normalize("NFC", x + k)) == 1]))
 
-    def latin(x: re.Match) -> str:
-        if base := x["c"]:
-            full = script["consonants"][base]
-            if x["halt"]:
-                return full[:-1]
-            if x["v"]:
-                return full[:-1] + script["signs"][x["v"]] + ("m" if x["vm"] else "")
-            return full + ("m" if x["m"] else "")
-        return script["signs"][x["sign"]] if x["sign"] else "m" if x["nasal"] else "h" if x["breath"] else ""
 
-    return pattern, latin
+def _letters() -> list[tuple[str, str, str, str]]:
+    """(letter, script, kind, spelling): kinds c consonant, v vowel sign, h halant, m anusvara, b visarga."""
+    out = []
+    for name, script in (("K", KANNADA), ("D", DEVANAGARI)):
+        out += [(x, name, "c", latin) for x, latin in script["consonants"].items()] + [(x, name, "v", latin) for x, latin in script["signs"].items()]
+        out += [(script["halant"], name, "h", ""), (script["anusvara"], name, "m", "m"), (script["visarga"], name, "b", "h")]
+    return out
 
 
-_SCRIPTS = [_spell(KANNADA), _spell(DEVANAGARI)]
-# Fixed value: a word's final inherent a.
-_FINAL_A = re.compile(r"(?i)([bcdfghjklmnpqrstvwxyz])a(?=\s|$)")
-_HAS_INDIC = re.compile("[ऀ-ॿಀ-೿]")
+def let(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
 
 
-def transliterate(text: str | None) -> str | None:
-    """Latin spelling of Kannada and Devanagari letters; a word's last inherent a goes."""
-    if text is None:
-        return None
-    out = unicodedata.normalize("NFC", text)
-    if not _HAS_INDIC.search(text):
-        return out
-    for pattern, latin in _SCRIPTS:
-        out = pattern.sub(latin, out)
-    return _FINAL_A.sub(r"\1", out)
+def transliterate(text: Column) -> Column:
+    """Latin spelling of Kannada and Devanagari letters; a word's last inherent a goes. Text without such letters stays as it is,
+    but for Latin letters with a combining mark, which go, as they are no letters from a to z.
 
+    A fold over the letters keeps what is spelt so far and the script of a consonant whose inherent a may still go."""
+    every = _letters()
+    alphabet = F.lit("".join(x[0] for x in every))
+    column = lambda i: F.array(*(F.lit(x[i]) for x in every))
+    whole = F.regexp_replace(text, _MARKED, "")
+    for parts, sign in PARTS:
+        whole = F.replace(whole, F.lit(parts), F.lit(sign))
 
-@F.pandas_udf(StringType())
-def transliterate_udf(x: pd.Series) -> pd.Series:
-    return x.map(transliterate)
+    def step(acc: Column, x: Column) -> Column:
+        def known(at: Column) -> Column:
+            script, kind, latin = (F.get(column(i), at - 1) for i in (1, 2, 3))
+            bare = F.substring(acc["out"], F.lit(1), F.length(acc["out"]) - 1)  # without the inherent a
+            kept = F.when(kind.isin("h", "v") & (acc["open"] == script), bare).otherwise(acc["out"])
+            # Kannada is spelt first, so a Kannada halant of no consonant is gone by when Devanagari is
+            still = (kind == "h") & (script == "K") & (acc["open"] == "D")
+            spelt = F.struct(F.concat(kept, latin).alias("out"), F.when(kind == "c", script).when(still, "D").otherwise("").alias("open"))
+            return F.when(at > 0, spelt).otherwise(F.struct(F.concat(acc["out"], x).alias("out"), F.lit("").alias("open")))
+
+        return let(F.instr(alphabet, x), known)
+
+    spelt = F.aggregate(F.split(whole, ""), F.struct(F.lit("").alias("out"), F.lit("").alias("open")), step, lambda acc: acc["out"])
+    return F.when(text.rlike(INDIC), F.regexp_replace(spelt, r"(?i)([bcdfghjklmnpqrstvwxyz])a(?=\s|$)", "$1")).otherwise(whole)
 
 
 def normalise_latin(raw: Column) -> Column:
@@ -93,8 +99,8 @@ def normalise_latin(raw: Column) -> Column:
 
 
 def normalise_name(raw: Column) -> Column:
-    """As ``normalise_latin`` after transliteration. Python sees every row; use ``normalise_latin`` where no name is Indic."""
-    return normalise_latin(transliterate_udf(raw))
+    """As ``normalise_latin`` after transliteration."""
+    return normalise_latin(transliterate(raw))
 
 
 def soundex_token(token: Column) -> Column:
@@ -164,45 +170,89 @@ def spelling_variants(name: Column) -> Column:
     )))
 
 
-def jaro_winkler(a: str, b: str) -> float:
-    """With a prefix bonus at any similarity. Two one-letter words share no window, so even equal ones score 0."""
-    if not a or not b:
-        return 1.0 if a == b else 0.0
-    reach = max(len(a), len(b)) // 2 - 1
-    free, pairs = list(b), []
-    for i, x in enumerate(a):
-        lo, hi = max(0, i - reach), min(len(b), i + reach + 1)
-        j = next((j for j in range(lo, hi) if free[j] == x), None)
-        if j is not None:
-            free[j] = None
-            pairs.append((i, j))
-    if not pairs:
-        return 0.0
-    in_b = sorted(j for _, j in pairs)
-    moved = sum(a[i] != b[j] for (i, _), j in zip(pairs, in_b, strict=True))
-    n = len(pairs)
-    jaro = (n / len(a) + n / len(b) + (n - moved / 2) / n) / 3
-    same = 0
-    while same < min(4, len(a), len(b)) and a[same] == b[same]:
-        same += 1
-    return jaro + same * 0.1 * (1 - jaro)
-
-
-def name_score(a: str, b: str) -> float:
-    """The better of the names as they stand and with sorted words; less if only the last words differ much."""
-    ta, tb = a.split(), b.split()
-    base = max(jaro_winkler(a, b), jaro_winkler(" ".join(sorted(ta)), " ".join(sorted(tb))))
-    if len(ta) > 1 and len(tb) > 1 and ta[0] == tb[0] and ta[-1] != tb[-1]:
-        last = jaro_winkler(ta[-1], tb[-1])
-        base *= 0.65 if last < 0.6 else 0.8 if last < 0.8 else 1.0
-    return min(base, 1.0)
-
-
-@F.pandas_udf(DoubleType())
-def jaro_winkler_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([jaro_winkler(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="float64")
-
-
-@F.pandas_udf(DoubleType())
-def name_score_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([name_score(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="float64")
+#: Stand for a letter that has been matched and for the space before a name's first letter; names don't hold them.
+_USED, _BEFORE = "\u0001", "\u0002"
+
+
+def _jaro_winkler(a: Column, b: Column) -> Column:
+    """Of two different names of two letters or more, or of one letter beside a longer one."""
+    longest = F.greatest(F.length(a), F.length(b))
+    # ``free`` begins with as many spaces as a window reaches back, so letter i of a looks at what begins at i
+    start = F.struct(a.alias("a"), b.alias("b"), F.shiftright(longest, 1).alias("half"), F.length(a).cast("double").alias("la"), F.length(b).cast("double").alias("lb"))
+
+    def matched(p: Column) -> Column:
+        width = F.struct((p["half"] * 2 - 1).alias("w"), F.concat(F.repeat(F.lit(_BEFORE), p["half"] - 1), p["b"]).alias("free"))
+
+        def fold(v: Column) -> Column:
+            def step(acc: Column, e: Column) -> Column:
+                found = F.instr(F.substring(acc["free"], e["i"], v["w"]), e["x"])
+                return let(found, lambda k: F.when(k > 0, F.struct(F.overlay(acc["free"], F.lit(_USED), e["i"] + k - 1, F.lit(1)).alias("free"), F.concat(acc["met"], e["x"]).alias("met"))).otherwise(acc))
+
+            letters = F.transform(F.split(p["a"], ""), lambda x, i: F.struct(x.alias("x"), (i + 1).alias("i")))
+            got = F.aggregate(letters, F.struct(v["free"].alias("free"), F.lit("").alias("met")), step)
+            def result(acc: Column) -> Column:
+                in_b = F.array_join(F.zip_with(F.split(acc["free"], ""), F.split(v["free"], ""), lambda f, x: F.when(f == _USED, x).otherwise("")), "")
+                return F.when(acc["met"] == "", 0.0).otherwise(let(in_b, lambda other: measured(acc["met"], other)))
+
+            return let(got, result)
+
+        def measured(met: Column, in_b: Column) -> Column:
+            other = F.size(F.filter(F.zip_with(F.split(met, ""), F.split(in_b, ""), lambda x, y: x != y), lambda x: x)).cast("double")
+            moved = F.when((F.length(met) < 2) | (met == in_b), 0.0).otherwise(other)
+            n = F.length(met).cast("double")
+            prefix = lambda k: F.left(p["a"], F.lit(k)) == F.left(p["b"], F.lit(k))
+            whole = lambda k: (p["la"] >= k) & (p["lb"] >= k) & prefix(k)
+            same = F.when(~whole(1), 0).when(whole(4), 4).when(whole(3), 3).when(whole(2), 2).otherwise(1)
+            jaro = (n / p["la"] + n / p["lb"] + (n - moved / 2) / n) / 3
+            return let(jaro, lambda j: j + same * F.lit(0.1) * (1 - j))
+
+        return let(width, fold)
+
+    return let(start, matched)
+
+
+def jaro_winkler(a: Column, b: Column) -> Column:
+    """With a prefix bonus at any similarity; null counts as empty. Two one-letter words share no window, so even equal ones score 0.
+
+    A fold over the letters of ``a`` takes, for each, the first free equal letter of ``b`` within reach."""
+    text = lambda c: F.coalesce(c, F.lit(""))
+    of = lambda p: (
+        F.when((F.length(p["a"]) == 0) | (F.length(p["b"]) == 0) | (p["a"] == p["b"]) | (F.length(p["a"]) + F.length(p["b"]) == 2), F.when((p["a"] == p["b"]) & (F.length(p["a"]) != 1), 1.0).otherwise(0.0))
+        .otherwise(_jaro_winkler(p["a"], p["b"]))
+    )
+    return let(F.struct(text(a).alias("a"), text(b).alias("b")), of)
+
+
+def _words(name: Column) -> Column:
+    return F.filter(F.split(F.translate(name, "\t\n\v\f\r", "     "), " "), lambda w: w != "")
+
+
+def name_score(a: Column, b: Column) -> Column:
+    """The better of the names as they stand and with sorted words; less if only the last words differ much. Null counts as empty."""
+    text = lambda c: F.coalesce(c, F.lit(""))
+    split = F.struct(text(a).alias("a"), text(b).alias("b"), _words(text(a)).alias("wa"), _words(text(b)).alias("wb"))
+    with_sorted = lambda p: F.struct(*(p[c].alias(c) for c in ("a", "b", "wa", "wb")), *(F.array_join(F.array_sort(p[w]), " ").alias(n) for w, n in (("wa", "sa"), ("wb", "sb"))))
+
+    def score(p: Column) -> Column:
+        as_sorted = (p["a"] == p["sa"]) & (p["b"] == p["sb"])
+        base = let(jaro_winkler(p["a"], p["b"]), lambda v: F.when(as_sorted | (v == 1), v).otherwise(F.greatest(v, jaro_winkler(p["sa"], p["sb"]))))
+        first, last = (lambda w: F.get(w, F.lit(0))), (lambda w: F.get(w, F.size(w) - 1))
+        only_last = (F.size(p["wa"]) > 1) & (F.size(p["wb"]) > 1) & (first(p["wa"]) == first(p["wb"])) & (last(p["wa"]) != last(p["wb"]))
+        cut = F.when(only_last, let(jaro_winkler(last(p["wa"]), last(p["wb"])), lambda v: F.when(v < 0.6, 0.65).when(v < 0.8, 0.8).otherwise(1.0))).otherwise(1.0)
+        return F.least(base * cut, F.lit(1.0))
+
+    return let(let(split, with_sorted), score)
+
+
+def letter_bag(name: Column) -> Column:
+    """A name's letters, each with how often it came before: two names share as many of these as they have letters in common."""
+    letters = F.array_sort(F.split(F.coalesce(name, F.lit("")), ""))
+    return let(letters, lambda ls: F.transform(ls, lambda x, i: F.concat(x, (i - F.array_position(ls, x)).cast("string"))))
+
+
+def name_score_bound(a: Column, b: Column, bag_a: Column, bag_b: Column) -> Column:
+    """No less than the ``name_score`` of normalised names: letters in common bound the matches, and four letters the prefix."""
+    la, lb = F.length(a), F.length(b)
+    jaro = lambda m: F.when(m == 0, 0.0).otherwise((m / la + m / lb + 1) / 3)
+    bound = lambda m: let(jaro(m), lambda j: F.least(F.lit(1.0), j + 0.4 * (1 - j) + 1e-9))
+    return F.when((la == 0) | (lb == 0), 1.0).otherwise(let(F.size(F.array_intersect(bag_a, bag_b)).cast("double"), bound))

@@ -16,13 +16,18 @@ LINKS_A_TASK = 500_000
 SALTS = 16
 
 
-def spread_join(rows: DataFrame, by: str, table: DataFrame, key: str, how: str = "left") -> DataFrame:
-    """``rows`` with the row of ``table`` whose ``key`` (unique) is their ``by``: a hot value of ``by`` is dealt to SALTS tasks."""
-    salted = table.withColumn("_salt", F.explode(F.array(*(F.lit(i) for i in range(SALTS)))))
-    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
+def spread_join(rows: DataFrame, by: str, table: DataFrame, key: str, how: str = "left", salts: int = SALTS) -> DataFrame:
+    """``rows`` with the row of ``table`` whose ``key`` (unique) is their ``by``: a hot value of ``by`` is dealt to ``salts`` tasks."""
+    salted = table.withColumn("_salt", F.explode(F.array(*(F.lit(i) for i in range(salts)))))
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
     return dealt.join(salted, (dealt[by] == salted[key]) & (dealt["_salt"] == salted["_salt"]), how).drop("_salt")
 
 
+def dealt(rows: DataFrame, *by: str) -> DataFrame:
+    """Rows shuffled to the session's number of tasks, however few bytes they have: for steps that make much of each row."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def _joined_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(node, root) of the nodes of a task's links: the least node that these links lead to."""
     above: dict = {}

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from casegraph.functions import names, scores
-from casegraph.operators.components import components
+from casegraph.operators.components import components, dealt, spread_join
+from casegraph.sources.shared import materialise
 
 
 def with_key(records: DataFrame, strategy: Callable[[Column], Column] = names.phonetic_key) -> DataFrame:
@@ -17,6 +18,11 @@ def with_key(records: DataFrame, strategy: Callable[[Column], Column] = names.ph
     return records.withColumn("block_key", strategy(F.col("name"))).where(F.length("block_key") > 0)
 
 
+def with_letters(records: DataFrame) -> DataFrame:
+    """Records with their names' letters, so that ``scored`` needn't take them apart for each pair."""
+    return records.withColumn("letters", names.letter_bag(F.col("name")))
+
+
 def block_stats(keyed: DataFrame) -> DataFrame:
     sizes = keyed.groupBy("block_key").agg(F.count(F.lit(1)).alias("n"))
     return sizes.agg(F.count(F.lit(1)).alias("blocks"), F.count_if(F.col("n") == 1).alias("singletons"), F.max("n").alias("largest"), scores.half_up(F.avg("n"), 2).alias("mean_size"), F.sum(F.expr("n * (n - 1) div 2")).cast("long").alias("pairs"))
@@ -28,7 +34,7 @@ def by_strategies(records: DataFrame, strategies: list[Callable[[], Column]]) ->
     return records.withColumn("block_key", F.explode(F.array_compact(keys)))
 
 
-def pairs(keyed: DataFrame, by: str = "block_key", condition: Column | None = None, cell: int = 2000) -> DataFrame:
+def pairs(keyed: DataFrame, by: str = "block_key", condition: Column | None = None, cell: int = 500) -> DataFrame:
     """Pairs of different records of a block, the lesser key as ``a``, each once for each block that they share.
 
     Blocks of more than ``cell`` records are dealt to chunks of about that size, and each pair of chunks is joined by itself,
@@ -39,7 +45,7 @@ def pairs(keyed: DataFrame, by: str = "block_key", condition: Column | None = No
     left = rows.select("k", F.col("x").alias("a"), F.col("c").alias("i"), F.explode(F.sequence("c", F.col("chunks") - 1)).alias("j"))
     right = rows.select("k", F.col("x").alias("b"), F.explode(F.sequence(F.lit(0), F.col("c"))).alias("i"), F.col("c").alias("j"))
     on = (F.col("a.source_key") != F.col("b.source_key")) & ((F.col("i") < F.col("j")) | (F.col("a.source_key") < F.col("b.source_key")))
-    met = left.join(right, ["k", "i", "j"]).where(on if condition is None else on & condition)
+    met = dealt(left, "k", "i", "j").join(dealt(right, "k", "i", "j"), ["k", "i", "j"]).where(on if condition is None else on & condition)
     ordered = F.col("a.source_key") < F.col("b.source_key")
     return met.select(F.when(ordered, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(ordered, F.col("b")).otherwise(F.col("a")).alias("b"))
 
@@ -50,20 +56,30 @@ def distinct_pairs(candidates: DataFrame) -> DataFrame:
 
 
 def scored(candidates: DataFrame, least: float | None = None) -> DataFrame:
-    """Pairs with the four scores, their weighted sum and its class. Similarities of names are computed once a pair of names.
+    """Pairs (of ``pairs``, of records ``with_letters`` where ``least`` is given) with the four scores, their weighted sum and its class. Similarities of names are computed once a pair of different names.
 
-    ``least``: only pairs that reach this score; those that can't, even with equal names, never get to the comparison of names."""
+    ``least``: only pairs that reach this score; those that can't by what their names have in letters in common never get to the comparison of names."""
     km = scores.haversine(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon"))
     part = {
         "age_score": scores.age_score(F.col("a.age"), F.col("b.age")), "gender_score": scores.gender_score(F.col("a.gender"), F.col("b.gender")),
         "location_score": scores.location_score(F.col("a.unit_id"), F.col("b.unit_id"), F.col("a.district_id"), F.col("b.district_id"), km),
     }
-    out = candidates.select(F.col("a.source_key").alias("a"), F.col("b.source_key").alias("b"), F.col("a.name").alias("na"), F.col("b.name").alias("nb"), *(scores.half_up(c, 2).alias(n) for n, c in part.items()))
+    name = lambda c: F.coalesce(F.col(f"{c}.name"), F.lit(""))
+    known = "letters" in candidates.schema["a"].dataType.fieldNames()
+    letters = [(F.col(f"{c}.letters") if known else names.letter_bag(name(c))).alias(f"l{c}") for c in "ab"] if least is not None else []
+    out = candidates.select(F.col("a.source_key").alias("a"), F.col("b.source_key").alias("b"), name("a").alias("na"), name("b").alias("nb"), *(scores.half_up(c, 2).alias(n) for n, c in part.items()), *letters)
+    with_name = lambda c: scores.composite({"name_score": c} | {n: F.col(n) for n in part})
     if least is not None:
-        out = out.where(scores.composite({"name_score": F.lit(1.0)} | {n: F.col(n) for n in part}) >= least)
-    spelt = out.select("na", "nb").distinct().withColumn("name_score", scores.half_up(names.name_score_udf("na", "nb"), 2))
-    out = out.join(spelt, ["na", "nb"]).select("a", "b", "name_score", *part)
-    out = out.withColumn("score", scores.composite({n: F.col(n) for n in ("name_score", *part)})).withColumn("decision", scores.gate(F.col("score")))
+        bound = scores.half_up(names.name_score_bound(F.col("na"), F.col("nb"), F.col("la"), F.col("lb")), 2)
+        out = out.where((with_name(F.lit(1.0)) >= least) & names.let(bound, lambda most: with_name(most) >= least)).drop("la", "lb")
+    out = materialise(out, "pairs")
+    # a name's pairs with itself, of which a common name has many, need no comparison; the rest meet theirs in several tasks
+    apart = out.where("na <> nb").withColumn("spelling", F.struct("na", "nb"))
+    spelt = dealt(apart.select("spelling").distinct(), "spelling").select("spelling", scores.half_up(names.name_score(F.col("spelling.na"), F.col("spelling.nb")), 2).alias("name_score"))
+    apart = spread_join(apart.drop("na", "nb"), "spelling", spelt.withColumnRenamed("spelling", "of"), "of", "inner", salts=4)
+    alike = out.where("na = nb").withColumn("name_score", F.when(F.length("na") == 1, 0.0).otherwise(1.0))
+    out = apart.select("a", "b", "name_score", *part).unionByName(alike.select("a", "b", "name_score", *part))
+    out = out.withColumn("score", with_name(F.col("name_score"))).withColumn("decision", scores.gate(F.col("score")))
     return out if least is None else out.where(F.col("score") >= least)
 
 

@@ -132,7 +132,7 @@ def rebuilt_records(records: DataFrame, held: DataFrame, clustered: DataFrame, o
 
 def full(records: DataFrame, owners: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """A full run: records are scored, clustered by confirmed pairs, and clusters keep or get ids: (clustered, ids, fates)."""
-    confirmed = resolve.scored(resolve.pairs(resolve.with_key(records)), least=scores.CONFIRMED)
+    confirmed = resolve.scored(resolve.pairs(resolve.with_letters(resolve.with_key(records))), least=scores.CONFIRMED)
     clustered = resolve.clusters(records, confirmed)
     ids = resolve.keep_ids(clustered, owners, scores.crc_id("PM_", F.array_join("keys", "|")))
     return clustered, ids, fates(clustered, owners, ids)

@@ -220,9 +220,34 @@ def normalise_latin(spark, d):
     return person_records(spark, d).select("source_key", "name")
 
 
-@query(rf"WITH {NAMES} SELECT doc_id AS source_key, name FROM named")
+#: Letters a to z and what stands for them in each script: consonants, vowel signs, halant, anusvara, visarga; y and z stay Latin.
+_LATIN = "abcdefghijklmnopqrstuvwxyz"
+_DRESS = {"K": "ಾಕಖಗೇಘಚ್ಿಜಟಲಮನೋಪಂರಸತುವಃಷyz", "D": "ाकखगेघच्िजटलमनोपंरसतुवःषyz"}
+
+
+def _spelt_sql(column: str) -> str:
+    """Each script after the other: consonants with a mark for their inherent a, whose place a sign takes and which a halant takes away."""
+    for script in (names.KANNADA, names.DEVANAGARI):
+        for x, latin in script["consonants"].items():
+            column = f"replace({column}, '{x}', '{latin[:-1]}' || chr(1))"
+        column = f"replace({column}, chr(1) || '{script['halant']}', '')"
+        for x, latin in script["signs"].items():
+            column = f"replace(replace({column}, chr(1) || '{x}', '{latin}'), '{x}', '{latin}')"
+        for x, latin in ((script["anusvara"], "m"), (script["visarga"], "h"), (script["halant"], "")):
+            column = f"replace({column}, '{x}', '{latin}')"
+        column = f"replace({column}, chr(1), 'a')"
+    return column
+
+
+_DRESSED = f"dressed AS (SELECT *, CASE WHEN doc_id % 2 = 0 THEN translate(lower(raw), '{_LATIN}', '{_DRESS['K']}') ELSE translate(lower(raw), '{_LATIN}', '{_DRESS['D']}') END AS indic FROM raws), latin AS (SELECT doc_id, lang, source, n_chars, regexp_replace({_spelt_sql('indic')}, '([bcdfghjklmnpqrstvwxyz])a(\\s|$)', '\\1\\2', 'g') AS raw FROM dressed)"
+
+
+@query(f"WITH {RAW}, {_DRESSED}{NAMES.removeprefix(RAW).replace('FROM raws', 'FROM latin')} SELECT doc_id AS source_key, name FROM named")
 def indic_transliterate(spark, d):
-    return person_records(spark, d).select("source_key", names.normalise_name(F.col("raw")).alias("name"))
+    """Names whose letters are dressed in Kannada (even ids) or Devanagari (odd ones), spelt in Latin letters and normalised."""
+    r = person_records(spark, d).select("source_key", F.lower("raw").alias("raw"))
+    dressed = F.when(F.col("source_key") % 2 == 0, F.translate("raw", _LATIN, _DRESS["K"])).otherwise(F.translate("raw", _LATIN, _DRESS["D"]))
+    return r.select("source_key", names.normalise_name(dressed).alias("name"))
 
 
 @query(f"WITH {KEYS} SELECT doc_id AS source_key, sdx AS code FROM keyed")
@@ -285,7 +310,7 @@ gated AS (SELECT *, CASE WHEN score >= 0.78::DOUBLE THEN 'CONFIRMED' WHEN score
 
 
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
-    return resolve.pairs(resolve.with_key(person_records(spark, d)))
+    return resolve.pairs(resolve.with_letters(resolve.with_key(person_records(spark, d))))
 
 
 @query(f"WITH {SCORED} SELECT a, b, name_score, age_score, gender_score, location_score, score, decision FROM gated")
@@ -301,7 +326,7 @@ def gate_counts(spark, d):
 @query(f"WITH {SCORED} SELECT na, nb, floor(plain * 1000000 + 0.5) / 1000000 AS similarity FROM named_pairs")
 def jaro_winkler_pairs(spark, d):
     spelt = _candidates(spark, d).select(F.col("a.name").alias("na"), F.col("b.name").alias("nb")).distinct()
-    return spelt.select("na", "nb", scores.half_up(names.jaro_winkler_udf("na", "nb"), 6).alias("similarity"))
+    return spelt.select("na", "nb", scores.half_up(names.jaro_winkler(F.col("na"), F.col("nb")), 6).alias("similarity"))
 
 
 @query(f"WITH {BLOCKS}, keys AS (SELECT doc_id, '0:' || block_key AS k FROM blocks UNION ALL SELECT doc_id, '1:' || string_split(name, ' ')[-1] || ' ' || (age // 5) FROM blocks WHERE contains(name, ' ')) SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM keys a JOIN keys b ON a.k = b.k AND a.doc_id < b.doc_id")

@@ -50,7 +50,7 @@ def apply_batch(change: Transaction, events: DataFrame, key: Column | None = Non
 
     fresh = changed.where(F.length("block_key") > 0)
     met = _rows(change, "by_block", fresh.select("block_key"), blocked).join(gone, "source_key", "left_anti").select(*_FIELDS, "block_key").unionByName(fresh)
-    links = materialise(incremental.matched(incremental.fresh_pairs(fresh, met)).dropDuplicates(["a", "b"]), "links")
+    links = materialise(incremental.matched(incremental.fresh_pairs(resolve.with_letters(fresh), resolve.with_letters(met))).dropDuplicates(["a", "b"]), "links")
 
     ends = gone.union(links.select("a")).union(links.select("b")).distinct()
     hit = materialise(_rows(change, "labels", ends, "source_key string, cluster string").select("cluster").distinct(), "hit")
