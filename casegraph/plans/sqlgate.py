@@ -14,6 +14,22 @@ FORBIDDEN = ("DROP", "DELETE", "INSERT", "UPDATE", "TRUNCATE", "ALTER", "CREATE"
 MOST_JOINS, MOST_ROWS = 4, 300
 #: What a parsed query may consist of; any other node of a plan is refused.
 PLAIN_NODES = {"Project", "Filter", "Aggregate", "UnresolvedHaving", "Sort", "GlobalLimit", "LocalLimit", "Offset", "Join", "SubqueryAlias", "UnresolvedRelation", "OneRowRelation", "Distinct"}
+#: What its expressions may consist of, beside functions of FUNCTIONS.
+PLAIN_EXPRESSIONS = {
+    "UnresolvedAttribute", "UnresolvedStar", "UnresolvedAlias", "UnresolvedOrdinal", "Alias", "Literal", "SortOrder", "UnresolvedFunction", "And", "Or", "Not", "EqualTo", "EqualNullSafe", "GreaterThan", "GreaterThanOrEqual", "LessThan", "LessThanOrEqual", "Between", "UnresolvedBetweenExpression", "In", "InSubquery",
+    "IsNull", "IsNotNull", "Like", "ILike", "LikeAny", "LikeAll", "NotLikeAny", "NotLikeAll", "Add", "Subtract", "Multiply", "Divide", "IntegralDivide", "Remainder", "UnaryMinus", "UnaryPositive", "CaseWhen", "Cast", "Extract", "ScalarSubquery", "Exists", "ListQuery", "MultiAlias",
+    "StringTrim", "StringTrimLeft", "StringTrimRight", "Substring", "StringInstr", "StringLocate", "CurrentDate", "CurrentTimestamp", "Now", "Concat",
+}
+#: Plain functions of values and groups: none reads files, settings or the session, runs code, or fails on purpose.
+FUNCTIONS = {
+    "count", "count_if", "sum", "avg", "mean", "min", "max", "min_by", "max_by", "median", "mode", "stddev", "variance", "any_value", "first", "last", "approx_count_distinct", "percentile", "collect_list", "collect_set", "bool_and", "bool_or",
+    "abs", "ceil", "ceiling", "floor", "round", "bround", "sign", "sqrt", "power", "pow", "exp", "ln", "log", "log10", "log2", "mod", "pmod", "greatest", "least", "radians", "degrees", "sin", "cos", "tan", "asin", "acos", "atan", "atan2", "pi",
+    "upper", "lower", "ucase", "lcase", "initcap", "trim", "ltrim", "rtrim", "length", "char_length", "character_length", "len", "concat", "concat_ws", "substring", "substr", "left", "right", "replace", "reverse", "lpad", "rpad", "instr", "locate", "position", "split_part", "translate", "contains", "startswith", "endswith", "like", "ilike",
+    "between", "coalesce", "ifnull", "nvl", "nvl2", "nullif", "if", "iff", "isnull", "isnotnull", "cast", "string", "int", "bigint", "double", "date", "timestamp",
+    "year", "quarter", "month", "day", "dayofmonth", "dayofweek", "dayofyear", "weekofyear", "weekday", "hour", "minute", "second", "date_format", "to_date", "to_timestamp", "date_trunc", "trunc", "date_add", "date_sub", "dateadd", "datediff", "date_diff", "months_between", "add_months", "last_day", "next_day", "extract", "date_part", "current_date", "current_timestamp", "now", "make_date",
+}
+#: Names that stand for the session where no column has them; a column of such a name must be written with its table's.
+SESSION_NAMES = {"user", "current_user", "session_user", "current_catalog", "current_database", "current_schema", "current_path", "system_user"}
 _STRING = r"'(?:[^']|'')*'"
 
 
@@ -27,16 +43,17 @@ def _bare(sql: str) -> str:
     return re.sub(r"/\*.*?\*/", " ", re.sub(r"--[^\n]*", " ", out), flags=re.S).upper()
 
 
-def _walk(plan):
-    """All nodes of a parsed plan, those of subqueries in expressions too."""
+def _walk(plan, expressions: list):
+    """All nodes of a parsed plan, those of subqueries in expressions too; every expression is put into ``expressions``."""
     todo = [plan]
     while todo:
         node = todo.pop()
         yield node
         todo += [node.children().apply(i) for i in range(node.children().size())]
-        inner = [node.expressions().apply(i) for i in range(node.expressions().size())] if hasattr(node, "expressions") else []
+        inner = [node.expressions().apply(i) for i in range(node.expressions().size())]
         while inner:
             e = inner.pop()
+            expressions.append(e)
             if e.getClass().getSimpleName() in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery"):
                 todo.append(e.plan())
             inner += [e.children().apply(i) for i in range(e.children().size())]
@@ -46,7 +63,8 @@ def validate(spark: SparkSession, sql: str, tables: Iterable[str]) -> None:
     """Raise UnsafeSql unless the text (in the dialect) is one SELECT over tables of the whitelist (names in any case).
 
     The whitelist is held against the relations of the plan that Spark's parser makes of the query: quoted names, paths
-    of files, names with a catalog, comma joins, common table expressions and table functions are all refused."""
+    of files, names with a catalog, comma joins, common table expressions and table functions are all refused. So is every kind of
+    expression that isn't in PLAIN_EXPRESSIONS and every function that isn't in FUNCTIONS, whose names have one part."""
     bare = _bare(sql)
     if not re.match(r"\s*SELECT\b", bare):
         raise UnsafeSql("only SELECT is allowed")
@@ -56,7 +74,8 @@ def validate(spark: SparkSession, sql: str, tables: Iterable[str]) -> None:
         raise UnsafeSql(f"{found} is not allowed")
     try:
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(to_spark(sql))
-        nodes = list(_walk(plan))
+        expressions: list = []
+        nodes = list(_walk(plan, expressions))
     except Exception as e:
         raise UnsafeSql("not a SELECT that can be read") from e
     allowed, joins = {t.upper() for t in tables}, 0
@@ -72,6 +91,16 @@ def validate(spark: SparkSession, sql: str, tables: Iterable[str]) -> None:
             parts = [node.multipartIdentifier().apply(i) for i in range(node.multipartIdentifier().size())]
             if len(parts) != 1 or parts[0].upper() not in allowed:
                 raise UnsafeSql(f"table {'.'.join(parts)} is not known")
+    for e in expressions:
+        kind = e.getClass().getSimpleName()
+        if kind not in PLAIN_EXPRESSIONS:
+            raise UnsafeSql(f"{kind} is not allowed")
+        if kind == "UnresolvedAttribute" and e.nameParts().size() == 1 and e.nameParts().apply(0).lower() in SESSION_NAMES:
+            raise UnsafeSql(f"{e.nameParts().apply(0)} is not allowed")
+        if kind == "UnresolvedFunction":
+            name = [e.nameParts().apply(i) for i in range(e.nameParts().size())]
+            if len(name) != 1 or name[0].lower() not in FUNCTIONS:
+                raise UnsafeSql(f"the function {'.'.join(name)} is not allowed")
     if joins > MOST_JOINS:
         raise UnsafeSql(f"more than {MOST_JOINS} joins")
 

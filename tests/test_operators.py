@@ -366,6 +366,56 @@ def test_dialect():
     assert sqlgate.without_aliases("SELECT a.x AS y, count(z) AS `n n` FROM t AS a WHERE a.x = 1") == "SELECT a.x, count(z) FROM t AS a WHERE a.x = 1"
 
 
+def test_gate_lets_plain_expressions_pass(spark):
+    for sql in [
+        'SELECT * FROM c',
+        "SELECT c.a, count(*) AS n FROM c WHERE a IS 5 AND b LIKE 'x*' GROUP BY c.a HAVING count(*) > 1 ORDER BY n DESC LIMIT 1,5",
+        'SELECT count(DISTINCT a), sum(b) AS s FROM c WHERE a IN (1,2) OR a BETWEEN 1 AND 3',
+        'SELECT a FROM c WHERE a IN (SELECT a FROM d) AND NOT EXISTS (SELECT 1 FROM d WHERE d.a = c.a)',
+        "SELECT CASE WHEN a > 1 THEN 'x' ELSE 'y' END AS k, CAST(a AS STRING), -a, a % 2, a * 2 / 3, upper(b), trim(b), substring(b, 1, 2), extract(year FROM t), t::date FROM c ORDER BY 1",
+        'SELECT max(a) FROM c JOIN d ON c.a = d.a',
+        'SELECT a FROM c WHERE (SELECT max(a) FROM d) = a',
+        "SELECT current_date(), CURRENT_TIMESTAMP, date_format(t,'yyyy'), position('a' IN b), substr(b,2), a||b, trim(BOTH 'x' FROM b), DATE '2020-01-01', t - INTERVAL 1 DAY, a IS NOT NULL, a <=> 1 FROM c",
+        'SELECT count(*) FILTER (WHERE a > 1) FROM c',
+        "SELECT b ILIKE 'x%' FROM c",
+        'SELECT c.user FROM c',
+    ]:
+        sqlgate.validate(spark, sql, {"c", "d"})
+
+
+def test_gate_refuses_functions_that_are_not_listed(spark):
+    for sql in [
+        "SELECT java_method('java.lang.System','getProperty','user.home') AS x FROM c",
+        "SELECT reflect('java.lang.System','getenv','HOME') FROM c",
+        "SELECT try_reflect('a','b') FROM c",
+        'SELECT input_file_name() FROM c',
+        'SELECT current_user() FROM c',
+        'SELECT current_user FROM c',
+        'SELECT session_user FROM c',
+        'SELECT user() FROM c',
+        'SELECT spark_partition_id() FROM c',
+        "SELECT raise_error('x') FROM c",
+        "SELECT a FROM c WHERE a = (SELECT reflect('a','b') FROM d)",
+        "SELECT `java_method`('a','b') FROM c",
+        "SELECT system.builtin.reflect('a','b') FROM c",
+        'SELECT current_database() FROM c',
+        'SELECT version() FROM c',
+        "SELECT a FROM c ORDER BY reflect('a','b')",
+        "SELECT a FROM c JOIN d ON reflect('a','b') = 'x'",
+        "SELECT a, count(*) FROM c GROUP BY reflect('a','b')",
+        "SELECT count(a) FILTER (WHERE reflect('a','b')='x') FROM c",
+        "SELECT sum(a) OVER (PARTITION BY reflect('a','b')) FROM c",
+        "SELECT transform(array(1), x -> reflect('a','b')) FROM c",
+        'SELECT explode(array(1)) FROM c',
+        'SELECT uuid() FROM c',
+        "SELECT read_files('x') FROM c",
+        "SELECT CASE WHEN reflect('a','b')='c' THEN 1 END FROM c",
+        'SELECT user FROM c',
+    ]:
+        with pytest.raises(sqlgate.UnsafeSql):
+            sqlgate.validate(spark, sql, {"c", "d"})
+
+
 def test_scope_fails_closed(spark):
     t = {"a": spark.createDataFrame([(1, "d1", "Theft"), (2, "d2", "theft of car")], "id int, district string, kind string"), "b": spark.createDataFrame([(1, "x"), (2, "y")], "a_id int, v string"), "c": spark.createDataFrame([("x",)], "v string")}
     run = lambda scope, sql="SELECT id FROM A WHERE kind LIKE '*THEFT*' ORDER BY id LIMIT 0,5", **o: sqlgate.run(spark, sql, t, scope, **o)
