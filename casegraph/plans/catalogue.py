@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 
 from casegraph.functions import names, scores
 from casegraph.operators import dashboard, graph, resolve, retrieval, series, sync
+from casegraph.operators import incremental as upkeep
 from casegraph.plans import sqlgate
 from casegraph.sources import tables
-from casegraph.sources.shared import materialise
+from casegraph.sources.shared import materialise, scratch
+from casegraph.sources.store import Store
 from casegraph.streaming import incremental
 
 FLAGSHIP = "location_by_nation"
@@ -270,7 +272,7 @@ def block_stats(spark, d):
     return resolve.block_stats(resolve.with_key(person_records(spark, d)))
 
 
-_NEAR = "a.unit_id = b.unit_id AND abs(a.age - b.age) <= 2"  # a gate that a recursion in SQL can follow at any size; confirmed_clusters has the score's
+_NEAR = "abs(a.age - b.age) <= 2"  # a gate that a recursion in SQL can follow at any size; confirmed_clusters has the score's
 
 
 @query(f"WITH {BLOCKS} SELECT a.doc_id AS a, b.doc_id AS b FROM blocks a JOIN blocks b ON a.block_key = b.block_key AND a.doc_id < b.doc_id")
@@ -338,8 +340,8 @@ def candidates_of_strategies(spark, d):
 
 # ---------------------------------------------------------------- clusters and persons
 
-#: Links that SQL can express too: the same block and station, ages at most two apart.
-LINKS = f"RECURSIVE {BLOCKS}, links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM blocks a JOIN blocks b ON a.block_key = b.block_key AND a.source = b.source AND a.doc_id <> b.doc_id AND abs(a.age - b.age) <= 2), walk(n, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT links.b, walk.c FROM walk JOIN links ON links.a = walk.n), clustered AS (SELECT n AS source_key, min(c) AS cluster FROM walk GROUP BY 1)"
+#: Links that SQL can express too: the same block, ages at most two apart.
+LINKS = f"RECURSIVE {BLOCKS}, links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM blocks a JOIN blocks b ON a.block_key = b.block_key AND a.doc_id <> b.doc_id AND abs(a.age - b.age) <= 2), walk(n, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT links.b, walk.c FROM walk JOIN links ON links.a = walk.n), clustered AS (SELECT n AS source_key, min(c) AS cluster FROM walk GROUP BY 1)"
 
 
 def gated(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -381,6 +383,35 @@ def mean_confidence(spark, d):
     return sync.confidences(scored, person_records(spark, d).select("source_key", F.col("source_key").alias("cluster")))[0]
 
 
+@query(f"""WITH {SCORED}, kept AS (SELECT a, b, score FROM gated WHERE decision <> 'DISCARD'), links AS (SELECT a, b FROM kept UNION SELECT b, a FROM kept), walk(n, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT links.b, walk.c FROM walk JOIN links ON links.a = walk.n),
+labels AS (SELECT n AS source_key, min(c) AS cluster FROM walk GROUP BY 1), e AS (SELECT a AS k, score FROM kept UNION ALL SELECT b, score FROM kept), m AS (SELECT k, (2 * sum(CAST(round(score * 100) AS BIGINT)) + count(*)) // (2 * count(*)) / 100 AS confidence FROM e GROUP BY 1)
+SELECT source_key, cluster, CAST(confidence AS DOUBLE) AS confidence FROM labels LEFT JOIN m ON m.k = source_key""")
+def incremental_clusters(spark, d):
+    """Clusters over confirmed and unconfirmed pairs, kept up to date: from a state in which a tenth of the records is missing, some are other persons' and
+    some are too many, to the records as they are. The SQL clusters everything from scratch."""
+    now = materialise(person_records(spark, d), "records")
+    others = now.where("source_key % 13 = 0").withColumn("source_key", -1 - F.col("source_key"))
+    before = now.where("source_key % 10 <> 3").withColumn("age", F.when(F.col("source_key") % 17 == 0, F.col("age") + 9).otherwise(F.col("age"))).unionByName(others)
+    links = materialise(upkeep.matched(resolve.pairs(resolve.with_letters(resolve.with_key(before)))), "links")
+    labels = materialise(resolve.clusters(before, links), "labels")
+    linked = links.join(labels.select(F.col("source_key").alias("a"), "cluster"), "a")
+    changed = now.where("source_key % 10 = 3 OR source_key % 17 = 0")
+    after, kept = upkeep.apply_changes(before, labels, linked, changed, others.select("source_key"))
+    return after.join(upkeep.record_confidence(kept), "source_key", "left").select("source_key", "cluster", "confidence")
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN upper(c_name) || '!' ELSE c_name END AS c_name, CASE WHEN c_custkey % 5 = 0 THEN 1 END AS revision FROM customer WHERE c_custkey % 7 <> 0 UNION ALL SELECT -1 - c_custkey, 'new', 1 FROM customer WHERE c_custkey % 11 = 0")
+def keyed_upserts(spark, d):
+    """A keyed table of customers after an upsert of changed and new rows with a column more, and a deletion."""
+    c = table(spark, d, "customer").select("c_custkey", "c_name")
+    store = Store(spark, scratch(spark, "store"))
+    store.upsert("customer", c, ["c_custkey"], buckets=32)
+    changed = c.where("c_custkey % 5 = 0").select("c_custkey", F.concat(F.upper("c_name"), F.lit("!")).alias("c_name"), F.lit(1).alias("revision"))
+    store.upsert("customer", changed.unionByName(c.where("c_custkey % 11 = 0").select((-1 - F.col("c_custkey")).alias("c_custkey"), F.lit("new").alias("c_name"), F.lit(1).alias("revision"))), ["c_custkey"], ledger=("changes", 0))
+    store.delete("customer", c.where("c_custkey % 7 = 0").select("c_custkey"))
+    return store.read("customer")
+
+
 @query(f"""WITH {LINKS}, r AS (SELECT c.cluster, c.source_key, n.name, n.lang, CAST(18 + n.n_chars % 60 AS INTEGER) AS age FROM clustered c JOIN named n ON n.doc_id = c.source_key),
 g AS (SELECT cluster, lang FROM (SELECT cluster, lang, row_number() OVER (PARTITION BY cluster ORDER BY count(*) DESC, min(source_key)) AS k FROM r GROUP BY 1, 2) WHERE k = 1),
 m AS (SELECT cluster, name FROM (SELECT cluster, name, row_number() OVER (PARTITION BY cluster ORDER BY count(*) DESC, length(name) DESC, min(source_key)) AS k FROM r GROUP BY 1, 2) WHERE k = 1),

@@ -83,7 +83,7 @@ def apply_batch(change: Transaction, events: DataFrame, key: Column | None = Non
 
 def person_links(linked: DataFrame, clustered: DataFrame) -> DataFrame:
     """(cluster, match_confidence, supervisor_review_pending): the mean over a cluster's records of their mean score, and whether a link is unconfirmed."""
-    per = incremental.record_confidence(linked).join(clustered, "source_key").groupBy("cluster").agg(F.round(F.avg("confidence"), 2).alias("match_confidence"))
+    per = incremental.record_confidence(linked).join(clustered, "source_key").groupBy("cluster").agg(incremental.mean_of_hundredths("confidence").alias("match_confidence"))
     review = linked.groupBy("cluster").agg(F.max(F.col("decision") == "UNCONFIRMED").alias("supervisor_review_pending"))
     return per.join(review, "cluster", "left")
 
