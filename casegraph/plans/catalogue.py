@@ -13,10 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casegraph.functions import names, scores
-from casegraph.operators import dashboard, graph, resolve, retrieval, series, sync
+from casegraph.operators import dashboard, documents, graph, resolve, retrieval, series, sync
 from casegraph.operators import incremental as upkeep
+from casegraph.operators.substring import Substrings
 from casegraph.plans import sqlgate
-from casegraph.sources import tables
+from casegraph.sources import decode, tables
 from casegraph.sources.shared import materialise, scratch
 from casegraph.sources.store import Store
 from casegraph.streaming import incremental
@@ -737,6 +738,26 @@ def keyword_retrieval_top3(spark, d):
     return retrieval.excerpts(t, _WORDS)
 
 
+#: Words of which some stand in many texts, some in few, some in none, one with capitals.
+_RARE = ["license", "Warranty", "qzx", "ring the"]
+
+
+@query("""WITH h AS (SELECT doc_id AS case_id, list_filter(['license', 'qzx', 'ring the', 'warranty'], lambda w: contains(lower(text), w)) AS f FROM documents WHERE text IS NOT NULL)
+SELECT case_id, CAST(len(f) AS INTEGER) AS score, array_to_string(f, ',') AS found FROM h WHERE len(f) > 0""")
+def substring_search(spark, d):
+    """All documents that hold one of several words, by the postings of the words' trigrams."""
+    t = table(spark, d, "documents").select(F.col("doc_id").alias("case_id"), "text")
+    hits = Substrings.build(t, F.col("text"), scratch(spark, "substrings")).search(_RARE, scan_from=1)
+    return hits.select("case_id", F.size("found").alias("score"), F.array_join("found", ",").alias("found"))
+
+
+@query("SELECT name FROM (SELECT lower(p_name) AS k, min(struct_pack(o := p_partkey, name := p_name)) AS f FROM part WHERE lower(p_name) LIKE '%ring%' GROUP BY 1) t, LATERAL (SELECT f.name AS name) ORDER BY f.o, k LIMIT 10")
+def name_search_indexed(spark, d):
+    """``name_search_distinct`` by trigrams."""
+    names_ = table(spark, d, "part").select(F.col("p_partkey").alias("ord"), F.col("p_name").alias("name"))
+    return dashboard.distinct_names(Substrings.build(names_, F.col("name"), scratch(spark, "names")).search(["RING"]), "RING", 10)
+
+
 @query("SELECT o_orderkey AS case_id, o_orderstatus AS status, coalesce(array_to_string(list_sort(list(DISTINCT p_brand)), ','), '') AS sections FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN part ON p_partkey = l_partkey GROUP BY 1, 2")
 def case_enrichment(spark, d):
     items = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey")).select(F.col("l_orderkey").alias("case_id"), F.col("p_brand").alias("section"))
@@ -751,6 +772,37 @@ def case_document(spark, d):
     return o.select(F.col("o_orderkey").alias("case_id"), retrieval.case_text(o, {"Case": "o_orderkey", "Station": "c_name", "Category": "o_orderpriority"}).alias("text"))
 
 
+_ITEMS = "i AS (SELECT l.*, '  ACCUSED: ' || coalesce(s_name, 'N/A') || ', Age ' || (18 + l_suppkey % 50) || CASE WHEN l_linenumber % 2 = 0 THEN ', ' || l_returnflag ELSE '' END AS who, p_brand, p_type FROM lineitem l LEFT JOIN supplier ON s_suppkey = l_suppkey AND s_suppkey % 7 <> 0 LEFT JOIN part ON p_partkey = l_partkey)"
+
+
+@query(f"""WITH {_ITEMS}, a AS (SELECT l_orderkey AS k, string_agg(DISTINCT p_brand, ', ' ORDER BY p_brand) FILTER (WHERE l_partkey % 2 = 0) AS sections,
+string_agg(who, chr(10) ORDER BY l_linenumber, who) AS people,
+string_agg('  CHARGESHEET: ' || p_type || ', ' || strftime(l_shipdate, '%Y-%m-%d'), chr(10) ORDER BY strftime(l_shipdate, '%Y-%m-%d'), p_type) FILTER (WHERE l_linenumber % 3 = 0) AS steps FROM i GROUP BY 1)
+SELECT o_orderkey AS case_id, 'Case: ' || o_orderkey || ' | Status: ' || coalesce(o_orderstatus, 'N/A') || chr(10) || 'Station: ' || coalesce(c_name, 'N/A') || chr(10) || 'District: ' || coalesce(n_name || ' (' || r_name || ')', 'N/A') || chr(10) || 'Registered: ' || strftime(o_orderdate, '%Y-%m-%d')
+|| CASE WHEN sections IS NULL THEN '' ELSE chr(10) || chr(10) || 'SECTIONS:' || chr(10) || sections END || chr(10) || chr(10) || 'PERSONS INVOLVED:' || chr(10) || coalesce(people || chr(10), '') || '  VICTIM: ' || coalesce(c_name, 'N/A')
+|| CASE WHEN steps IS NULL THEN '' ELSE chr(10) || chr(10) || 'PROCEEDINGS:' || chr(10) || steps END AS text
+FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_custkey % 3 <> 0 LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN region ON r_regionkey = n_regionkey LEFT JOIN a ON a.k = o_orderkey""")
+def case_documents(spark, d):
+    """Cases from seven tables: their places by lookup, accused, sections and proceedings as facts that meet in one exchange."""
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    place = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("c_nationkey"), F.concat("n_name", F.lit(" ("), "r_name", F.lit(")")).alias("district"))
+    party = table(spark, d, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("o_custkey"), "c_name", "c_nationkey").join(place, "c_nationkey", "left")
+    o = table(spark, d, "orders").join(party, "o_custkey", "left").withColumn("case_id", F.col("o_orderkey"))
+    s = table(spark, d, "supplier").where("s_suppkey % 7 <> 0").select(F.col("s_suppkey").alias("l_suppkey"), "s_name")
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_type")
+    items = table(spark, d, "lineitem").join(s, "l_suppkey", "left").join(p, "l_partkey", "left")
+    head = documents.line("Case: ", F.col("case_id"), " | Status: ", F.col("o_orderstatus"), "\nStation: ", F.col("c_name"), "\nDistrict: ", F.col("district"), "\nRegistered: ", day("o_orderdate"))
+    sections = items.where("l_partkey % 2 = 0").groupBy("l_orderkey").agg(F.array_join(F.sort_array(F.collect_set("p_brand")), ", ").alias("brands"))
+    accused_ = F.concat(documents.line("  ACCUSED: ", F.col("s_name"), ", Age ", 18 + F.col("l_suppkey") % 50), F.when(F.col("l_linenumber") % 2 == 0, documents.also(", ", F.col("l_returnflag"))).otherwise(""))
+    gathered = [
+        documents.facts(sections, "l_orderkey", 1, F.col("brands")),
+        documents.facts(items, "l_orderkey", 2, accused_, F.col("l_linenumber")),
+        documents.facts(o, "case_id", 2, documents.line("  VICTIM: ", F.col("c_name")), F.lit("victim")),
+        documents.facts(items.where("l_linenumber % 3 = 0"), "l_orderkey", 3, documents.line("  CHARGESHEET: ", F.col("p_type"), ", ", day("l_shipdate")), day("l_shipdate")),
+    ]
+    return documents.case_documents(o.select("case_id", head.alias("line")), gathered, {1: "SECTIONS:", 2: "PERSONS INVOLVED:", 3: "PROCEEDINGS:"})
+
+
 @query("SELECT conv_id AS session, max(turn) AS at, max_by(text, turn) AS text FROM conversations WHERE role = 'user' GROUP BY 1")
 def last_turn_context(spark, d):
     return retrieval.last_context(table(spark, d, "conversations").select(F.col("conv_id").alias("session"), F.col("turn").alias("at"), "role", "text"))
@@ -785,6 +837,25 @@ def json_props(spark, d):
     return table(spark, d, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
 
 
+_FORMS = """forms AS (SELECT event_type, CASE event_id % 7 WHEN 0 THEN '[' || props || ']' WHEN 1 THEN '[' || to_json(props)::VARCHAR || ', ' || props || ']' WHEN 2 THEN to_json('[' || props || ']')::VARCHAR WHEN 3 THEN '[' || props || ', 7, null, "none", "[1]"]'
+WHEN 4 THEN props WHEN 5 THEN '[' || props ELSE '[' || props || '] and more' END AS raw FROM (SELECT event_id, event_type, CAST(props AS VARCHAR) AS props FROM events)),
+bodies AS (SELECT event_type, CASE WHEN json_valid(raw) THEN CASE WHEN json_type(raw) = 'VARCHAR' THEN json_extract_string(raw, '$') ELSE raw END END AS body FROM forms),
+lists AS (SELECT event_type, CASE WHEN json_valid(body) AND json_type(body) = 'ARRAY' THEN CAST(CAST(body AS JSON) AS JSON[]) END AS items FROM bodies),
+items AS (SELECT event_type, unnest(items) AS item FROM lists), kinds AS (SELECT event_type, item, json_type(item) AS kind, CASE WHEN json_type(item) = 'VARCHAR' THEN json_extract_string(item, '$') END AS inside FROM items),
+shapes AS (SELECT event_type, kind, CASE WHEN kind = 'OBJECT' THEN CAST(item AS VARCHAR) WHEN kind = 'VARCHAR' AND json_valid(inside) AND json_type(inside) = 'OBJECT' THEN inside END AS record FROM kinds)"""
+
+
+@query(f"""WITH {_FORMS} SELECT event_type, count(*) AS total, count(*) FILTER (kind = 'OBJECT') AS objects, count(*) FILTER (kind = 'VARCHAR') AS stringified, count(*) FILTER (kind = 'VARCHAR' AND record IS NOT NULL) AS parsed,
+count(*) FILTER (record IS NULL) AS malformed, CAST(sum(CAST(json_extract_string(record, '$.k') AS BIGINT)) AS BIGINT) AS k FROM shapes GROUP BY 1""")
+def record_shapes(spark, d):
+    """The events' properties dressed as lists of records in seven forms, decoded, with the counts of the shapes met."""
+    p, quoted = F.col("props").cast("string"), lambda c: F.regexp_extract(F.to_json(F.struct(c.alias("x"))), r'(?s)^\{"x":(.*)\}$', 1)
+    forms = [F.concat(F.lit("["), p, F.lit("]")), F.concat(F.lit("["), quoted(p), F.lit(", "), p, F.lit("]")), quoted(F.concat(F.lit("["), p, F.lit("]"))), F.concat(F.lit("["), p, F.lit(', 7, null, "none", "[1]"]')), p, F.concat(F.lit("["), p), F.concat(F.lit("["), p, F.lit("] and more"))]
+    rows = table(spark, d, "events").select("event_type", F.element_at(F.array(*forms), (F.col("event_id") % 7 + 1).cast("int")).alias("raw"))
+    out = decode.decoded(rows, "raw", "k long").withColumn("k", F.aggregate("records", F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x["k"], F.lit(0).cast("long"))))
+    return out.groupBy("event_type").agg(*(F.sum(f"shapes.{c}").alias(c) for c in decode.SHAPES), F.sum("k").alias("k"))
+
+
 @query("SELECT count(*) AS missing FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 9 <> 0)")
 def fk_violations(spark, d):
     return tables.orphans(table(spark, d, "lineitem"), "l_partkey", table(spark, d, "part").where("p_partkey % 9 <> 0"), "p_partkey").agg(F.count(F.lit(1)).alias("missing"))
