@@ -21,6 +21,7 @@ from casegraph.sources import decode, tables
 from casegraph.sources.shared import materialise, scratch
 from casegraph.sources.store import Store
 from casegraph.streaming import incremental
+from casegraph.streaming import sessions as session_streams
 
 FLAGSHIP = "location_by_nation"
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -813,6 +814,16 @@ def session_top5(spark, d):
     return retrieval.recent_sessions(table(spark, d, "events").select((F.col("user_id") % 50).alias("user"), F.col("user_id").alias("session"), F.col("ts").alias("at")), "user")
 
 
+@query("SELECT CAST(user AS VARCHAR) AS user, CAST(session AS VARCHAR) AS session, last, CAST(rank AS INTEGER) AS rank FROM (SELECT user, session, last, row_number() OVER (PARTITION BY user ORDER BY last DESC, CAST(session AS VARCHAR)) AS rank FROM (SELECT user_id % 50 AS user, user_id AS session, max(ts) AS last FROM events GROUP BY 1, 2)) WHERE rank <= 5")
+def session_stream_top5(spark, d):
+    """``session_top5`` as the state of a stream over the events, which keeps a keyed table up to date."""
+    events = spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    store = Store(spark, scratch(spark, "sessions"))
+    turns = events.select((F.col("user_id") % 50).alias("user"), F.col("user_id").alias("session"), F.col("ts").alias("at"))
+    session_streams.keep(turns, store, "recent", scratch(spark, "checkpoint")).awaitTermination()
+    return store.read("recent")
+
+
 # Fixed values, written out for the SQL.
 _STOP = "'the', 'a', 'an', 'in', 'of', 'for', 'on', 'to', 'at', 'by', 'with', 'from', 'is', 'was', 'are', 'were', 'what', 'how', 'show', 'tell', 'describe', 'give', 'find', 'about', 'me', 'and', 'or', 'but', 'not'"
 _INTENT = r"""CASE WHEN regexp_matches(text, '(?i)\b(associates?|linked\s+to|connected|co-accused|network|relationships?)\b') THEN 'network'

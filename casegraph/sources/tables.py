@@ -144,12 +144,9 @@ def live_sessions(sessions: DataFrame, now, hours: float = 1.0) -> DataFrame:
 def touch_session(spark: SparkSession, path: str, turn: DataFrame, now, keep_hours: float = 1.0) -> None:
     """Add turns (session, user, role, text) to a table of sessions, one row each with its turns in order; sessions that ran out go."""
     new = turn.groupBy("session", "user").agg(F.collect_list(F.struct("role", "text")).alias("turns")).withColumn("touched_at", F.lit(now).cast("timestamp"))
-    try:
-        old = live_sessions(spark.read.parquet(path), now, keep_hours)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
+    if version(spark, path) is None:
         return swap(spark, new, path)
+    old = live_sessions(spark.read.parquet(path), now, keep_hours)
     both = old.unionByName(new).groupBy("session").agg(F.max_by("user", "touched_at").alias("user"), F.transform(F.sort_array(F.collect_list(F.struct("touched_at", "turns"))), lambda x: x["turns"]).alias("t"), F.max("touched_at").alias("touched_at"))
     swap(spark, both.select("session", "user", F.flatten("t").alias("turns"), "touched_at"), path)
     return None
