@@ -115,5 +115,21 @@ def distinct_names(rows: DataFrame, needle: str, limit: int = 10) -> DataFrame:
     return first.orderBy("f.ord", "key").limit(limit).select(F.col("f.name").alias("name"))
 
 
+def role_search(roles: Mapping[str, DataFrame], term: str | None, each: int = 10, limit: int = 10) -> DataFrame:
+    """(name, id): persons of role tables (id, name) whose name contains a text, ``each`` rows of every role by id, one for each spelling in lower case: the first by role, then by id.
+
+    Both limits are what is asked for. Without a text nothing is found; one with other signs than a filter may hold is an error."""
+    needle = (term or "").strip()
+    if needle and not safe_text(needle):
+        raise ValueError("a search term may hold letters, digits and spaces only")
+    hits = None
+    for place, rows in enumerate(roles.values()):
+        some = rows.where(F.contains(F.lower("name"), F.lit(needle.lower())) & F.lit(bool(needle))).orderBy("id", "name").limit(each)
+        some = some.select(F.col("id").cast("string").alias("id"), "name", F.struct(F.lit(place).alias("place"), F.col("id").alias("nth")).alias("ord"))
+        hits = some if hits is None else hits.unionByName(some)
+    first = hits.groupBy(F.lower("name").alias("key")).agg(F.min(F.struct("ord", "id", "name")).alias("f"))
+    return first.orderBy("f.ord", "key").limit(limit).select("f.name", "f.id")
+
+
 def top_by_group(rows: DataFrame, group: str, order: list[Column], n: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("rank") <= n)

@@ -178,3 +178,13 @@ def recent_sessions(turns: DataFrame, user: str, n: int = 5) -> DataFrame:
 def last_context(turns: DataFrame) -> DataFrame:
     """The last user turn of each session."""
     return turns.where(F.col("role") == "user").groupBy("session").agg(F.max("at").alias("at"), F.max_by("text", "at").alias("text"))
+
+
+def follow_up(turns: DataFrame) -> DataFrame:
+    """(session, question, sql, hint): the last question that a user asked, the last SQL that answered one, and what a new question is told of them; null where a session lacks one.
+
+    ``turns``: session, at, role, text, query_context; empty texts count as none, of equal times the greater text is the last."""
+    last = lambda role, c: F.max(F.when((F.col("role") == role) & (F.length(c) > 0), F.struct("at", c)))[c]
+    both = turns.groupBy("session").agg(last("user", "text").alias("question"), last("assistant", "query_context").alias("sql"))
+    hint = F.concat(F.lit("Follows "), F.substring("question", 1, 80), F.lit(" with "), F.substring("sql", 1, 120))
+    return both.withColumn("hint", hint)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casegraph.functions import names, scores
-from casegraph.operators import dashboard, documents, graph, resolve, retrieval, series, sync
+from casegraph.operators import dashboard, documents, graph, persons, resolve, retrieval, series, sync
 from casegraph.operators import incremental as upkeep
 from casegraph.operators.substring import Substrings
 from casegraph.plans import sqlgate
@@ -426,6 +426,42 @@ def person_search(spark, d):
     return resolve.search_persons(persons, name="the", gender="en", min_age=20, max_age=60, limit=50).select("cluster", "confidence")
 
 
+@query(f"""WITH {LINKS}, acc AS (SELECT DISTINCT cluster, 'D' || (source_key % 200) AS case_id FROM clustered WHERE source_key % 3 = 0), e AS (SELECT a.cluster, CAST(substr(a.case_id, 2) AS BIGINT) % 2 = 0 AS sure FROM acc a JOIN acc b ON a.case_id = b.case_id AND a.cluster <> b.cluster),
+n AS (SELECT cluster, count(*) FILTER (sure) AS confirmed, count(*) FILTER (NOT sure) AS unconfirmed FROM e GROUP BY 1)
+SELECT c.cluster, count(*) AS records, min(c.source_key) AS first_record, coalesce(max(confirmed), 0) AS confirmed, coalesce(max(unconfirmed), 0) AS unconfirmed, count(*) FILTER (c.source_key % 3 = 0) > 1 AS repeat_offender, coalesce(max(unconfirmed), 0) > 3 AS review,
+CASE WHEN count(*) > 1 THEN 0.9::DOUBLE END AS confidence, 'phonetic_weighted_score_v1' AS method FROM clustered c LEFT JOIN n USING (cluster) GROUP BY c.cluster""")
+def person_master(spark, d):
+    """Whole documents of the clusters, with edges between those accused in a case (candidates in cases of odd numbers); every link scores 0.9."""
+    records = materialise(person_records(spark, d), "records")
+    links = materialise(resolve.pairs(resolve.with_key(records), condition=F.expr(_NEAR)).select(F.col("a.source_key").alias("a"), F.col("b.source_key").alias("b")), "links")
+    clustered = materialise(resolve.clusters(records, links), "clusters")
+    ids = resolve.person_documents(records, clustered).select("cluster", "person_id")
+    acc = records.where(F.col("role") == "accused").join(clustered, "source_key").join(ids, "cluster").select("person_id", "case_id")
+    kind = F.when(F.substring("case_id", 2, 9).cast("long") % 2 == 0, F.col("edge_type")).otherwise("CANDIDATE_MATCH")
+    edges = graph.dedupe(graph.co_accused(acc).withColumn("edge_type", kind))
+    docs = persons.documents(records, clustered, edges, links.withColumns({"score": F.lit(0.9), "decision": F.lit("CONFIRMED")}), review=F.size("unconfirmed_edges") > 3)
+    return docs.select(
+        "cluster", F.size("source_records").cast("long").alias("records"), F.col("source_records")[0]["source_key"].alias("first_record"), F.size("confirmed_edges").cast("long").alias("confirmed"), F.size("unconfirmed_edges").cast("long").alias("unconfirmed"),
+        "flags.repeat_offender", F.col("flags.supervisor_review_pending").alias("review"), F.col("confidence_score").alias("confidence"), F.col("resolution_method").alias("method"),
+    )
+
+
+@query("""WITH h AS ((SELECT 0 AS p, s_suppkey AS id, s_name AS name FROM supplier WHERE lower(s_name) LIKE '%00001%' ORDER BY 2 LIMIT 10) UNION ALL (SELECT 1, c_custkey, c_name FROM customer WHERE lower(c_name) LIKE '%00001%' ORDER BY 2 LIMIT 10)
+UNION ALL (SELECT 2, s_suppkey, s_name FROM supplier WHERE lower(s_name) LIKE '%00001%' AND s_suppkey % 2 = 0 ORDER BY 2 LIMIT 10)), f AS (SELECT *, row_number() OVER (PARTITION BY lower(name) ORDER BY p, id) AS r FROM h) SELECT name, CAST(id AS VARCHAR) AS id FROM f WHERE r = 1 ORDER BY p, f.id LIMIT 10""")
+def person_lookup(spark, d):
+    s, c = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")), table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    return dashboard.role_search({"accused": s, "victim": c, "complainant": s.where("id % 2 = 0")}, " 00001 ")
+
+
+@query("""WITH t AS (SELECT conv_id, turn, role, text, CASE WHEN role = 'assistant' AND turn % 4 = 1 THEN 'SELECT ' || turn || ' FROM t' ELSE '' END AS q FROM conversations),
+g AS (SELECT conv_id AS session, max(struct_pack(a := turn, x := text)) FILTER (role = 'user' AND length(text) > 0) AS u, max(struct_pack(a := turn, x := q)) FILTER (role = 'assistant' AND length(q) > 0) AS s FROM t GROUP BY 1)
+SELECT session, u.x AS question, s.x AS sql, 'Follows ' || left(u.x, 80) || ' with ' || left(s.x, 120) AS hint FROM g""")
+def follow_up_context(spark, d):
+    t = table(spark, d, "conversations")
+    asked = F.when((F.col("role") == "assistant") & (F.col("turn") % 4 == 1), F.concat(F.lit("SELECT "), F.col("turn").cast("string"), F.lit(" FROM t"))).otherwise("")
+    return retrieval.follow_up(t.select(F.col("conv_id").alias("session"), F.col("turn").alias("at"), "role", "text", asked.alias("query_context")))
+
+
 _ROLES = """roles AS (SELECT 'Accused:A-' || l_orderkey || '-' || l_linenumber AS source_key, 'accused' AS role, s_name AS raw, (18 + s_suppkey % 50)::DOUBLE AS age, s_suppkey % 3 + 1 AS g, l_orderkey AS case_id FROM lineitem JOIN supplier ON s_suppkey = l_suppkey
 UNION ALL SELECT 'Victim:V-' || o_orderkey, 'victim', c_name, (20 + c_custkey % 40)::DOUBLE, c_custkey % 4 + 1, o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey
 UNION ALL SELECT 'ComplainantDetails:C-' || o_orderkey, 'complainant', c_name, NULL, 2, o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 3 = 0)"""
