@@ -691,6 +691,41 @@ def network_summary(spark, d):
     return graph.network_summary(suppliers(spark, d), e, _start(e), most_nodes=None).drop("edge_breakdown")
 
 
+# the same on a graph that isn't complete: customers who ordered the same quantity of a part stand in for those accused in a case,
+# so a person has about two dozen neighbours at any scale, and hops two and three hold rows
+
+_SPARSE = "accused AS (SELECT DISTINCT 'C-' || o_custkey AS person_id, l_partkey || ':' || CAST(l_quantity AS INTEGER) AS case_id FROM lineitem JOIN orders ON o_orderkey = l_orderkey)"
+
+
+def _sparse_sql(name: str) -> str:
+    return _SQL[name].replace(ACCUSED, _SPARSE).replace("'S-' || s_suppkey AS person_id FROM supplier", "'C-' || c_custkey AS person_id FROM customer")
+
+
+def _sparse(spark, d) -> tuple[DataFrame, DataFrame]:
+    nodes = table(spark, d, "customer").select(F.concat(F.lit("C-"), F.col("c_custkey").cast("string")).alias("person_id"), F.array((F.col("c_custkey") % 10).cast("string")).alias("unit_ids"), F.array(F.col("c_nationkey").cast("string")).alias("district_ids"))
+    bought = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("o_orderkey") == F.col("l_orderkey"))
+    case = F.concat_ws(":", F.col("l_partkey").cast("string"), F.col("l_quantity").cast("int").cast("string"))
+    return nodes, materialise(graph.co_accused(bought.select(F.concat(F.lit("C-"), F.col("o_custkey").cast("string")).alias("person_id"), case.alias("case_id")).distinct()), "edges")
+
+
+@query(_sparse_sql("bfs_hops3"))
+def bfs_sparse3(spark, d):
+    nodes, e = _sparse(spark, d)
+    return graph.traverse(nodes, e, _start(e), 3).drop("truncated")
+
+
+@query(_sparse_sql("neighbours"))
+def neighbours_sparse(spark, d):
+    nodes, e = _sparse(spark, d)
+    return graph.neighbours(nodes, e, _start(e)).select("person_id")
+
+
+@query(_sparse_sql("network_summary"))
+def network_summary_sparse(spark, d):
+    nodes, e = _sparse(spark, d)
+    return graph.network_summary(nodes, e, _start(e), most_nodes=None).drop("edge_breakdown")
+
+
 # ---------------------------------------------------------------- weekly series
 
 _WEEKS = "counts AS (SELECT o_orderpriority AS series, CAST(date_trunc('week', o_orderdate) AS DATE) AS week, count(*) AS n FROM orders GROUP BY 1, 2), span AS (SELECT series, min(week) AS lo, max(week) AS hi FROM counts GROUP BY 1), dense AS (SELECT s.series, CAST(w AS DATE) AS week, coalesce(c.n, 0) AS case_count FROM span s, LATERAL (SELECT unnest(generate_series(CAST(lo AS TIMESTAMP), CAST(hi AS TIMESTAMP), INTERVAL 7 DAY)) AS w) LEFT JOIN counts c ON c.series = s.series AND c.week = CAST(w AS DATE))"
