@@ -111,11 +111,12 @@ class Packer:
 
     def add(self, doc_id: int | None, start: int, ids: bytes, total: int) -> None:
         size = self.size
-        while len(ids) >= 4 * size:
+        whole = len(ids) // 4 // size * size
+        for at in range(0, whole, size):
             full = Window(size)
-            full.pieces.append((doc_id, start, ids[: 4 * size], total))
+            full.pieces.append((doc_id, start + at, ids[4 * at : 4 * (at + size)], total))
             self.emit(full)
-            ids, start = ids[4 * size :], start + size
+        ids, start = ids[4 * whole :], start + whole
         n = len(ids) // 4
         if not n:
             return
