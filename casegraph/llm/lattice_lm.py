@@ -8,7 +8,7 @@ The vocabulary's own scores give the first piece probabilities: here its scores
 Expectation-maximisation over the counts of all training words then fits them: each round is one distributed pass of
 forward and backward over the table of word counts, and only expected counts of the pieces (the vocabulary's size) are
 gathered. The table of word counts itself stays distributed. Words at least as common as a threshold, chosen so that
-no more than ``hot_words`` reach it, are broadcast with their counts and prices; the others' come by a join, in which
+no more than ``hot_words`` and ``hot_bytes`` reach it, are broadcast with their counts and prices; the others' come by a join, in which
 no word is frequent. A word's marginal is computed once, in the table of words, not once a document. Nothing is left out.
 
 Defined results: a null or empty text has one token, the end; repeated rows are learned and scored as rows; without
@@ -18,6 +18,7 @@ training rows all counts are 0 and the pieces keep their first probabilities; an
 from __future__ import annotations
 
 import math
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,8 +33,8 @@ from casegraph.llm.common import by_batch, crc32_mod, materialise, text_bytes, t
 
 START = "▁"
 END = "</s>"
-#: Words in a worker's counter; longest word for which words of one length are worked on together.
-MOST_COUNTED, GRID = 400_000, 48
+#: Words in a worker's counter, and bytes of the texts that it counts at a time; longest word for which words of one length are worked on together.
+MOST_COUNTED, MOST_READ, GRID = 400_000, 1 << 28, 48
 
 
 def default_vocabulary() -> str:
@@ -53,34 +54,44 @@ class Pieces:
         self.number = {p: i for i, p in enumerate(self.log_p)}
         self.table = np.array([*self.log_p.values(), -np.inf])
 
-    def edges(self, s: str) -> list[tuple[int, int, float, tuple[int, ...]]]:
-        """(start, end, log probability, pieces) of a word's edges; bytes stand for a character without a piece."""
+    def ending(self, s: str, j: int) -> list[tuple[int, float, tuple[int, ...]]]:
+        """(start, log probability, pieces) of the edges that end at ``j``; bytes stand for a character without a piece."""
         out = []
-        for j in range(1, len(s) + 1):
-            for i in range(max(0, j - self.longest), j):
-                k = self.number.get(s[i:j])
-                if k is not None:
-                    out.append((i, j, self.table[k], (k,)))
-            if s[j - 1] not in self.number:
-                ks = tuple(self.number[b] for b in byte_pieces(s[j - 1]))
-                out.append((j - 1, j, float(self.table[list(ks)].sum()), ks))
+        for i in range(max(0, j - self.longest), j):
+            k = self.number.get(s[i:j])
+            if k is not None:
+                out.append((i, float(self.table[k]), (k,)))
+        if s[j - 1] not in self.number:
+            ks = tuple(self.number[b] for b in byte_pieces(s[j - 1]))
+            out.append((j - 1, float(self.table[list(ks)].sum()), ks))
         return out
 
     def one(self, word: str, n: float = 0.0, into: np.ndarray | None = None) -> float:
-        """The forward recursion over one word's edges; with ``into`` also the backward one, adding n times the expected counts."""
-        s = START + word
-        edges, alpha = self.edges(s), [0.0] + [-math.inf] * len(s)
-        for i, j, lp, _ in edges:
-            alpha[j] = log_add(alpha[j], alpha[i] + lp)
+        """The forward recursion over one word's edges; with ``into`` also the backward one, adding n times the expected counts.
+
+        Edges are made where they are needed and not kept: the forward recursion holds the last ``longest`` values, and for the
+        backward one a float a character."""
+        s, ring = START + word, self.longest + 1
+        width = ring if into is None else len(s) + 1
+        alpha = array("d", [0.0]) * width
+        for j in range(1, len(s) + 1):
+            total = -math.inf
+            for i, lp, _ in self.ending(s, j):
+                total = log_add(total, alpha[i % width] + lp)
+            alpha[j % width] = total
+        whole = alpha[len(s) % width]
         if into is not None:
-            beta = [-math.inf] * len(s) + [0.0]
-            for i, j, lp, _ in sorted(edges, key=lambda e: -e[1]):
-                beta[i] = log_add(beta[i], lp + beta[j])
-            for i, j, lp, ks in edges:
-                x = n * math.exp(alpha[i] + lp + beta[j] - alpha[-1])
-                for k in ks:
-                    into[k] += x
-        return alpha[-1]
+            beta = array("d", [-math.inf]) * ring
+            beta[len(s) % ring] = 0.0
+            for j in range(len(s), 0, -1):
+                after = beta[j % ring]
+                beta[j % ring] = -math.inf  # its place is that of j - longest - 1, which the next step reaches
+                for i, lp, ks in self.ending(s, j):
+                    beta[i % ring] = log_add(beta[i % ring], lp + after)
+                    x = n * math.exp(alpha[i] + lp + after - whole)
+                    for k in ks:
+                        into[k] += x
+        return whole
 
     def many(self, words: list[str], n: np.ndarray | None = None, into: np.ndarray | None = None) -> np.ndarray:
         """``one`` for many words: those of one length share each step of the recursion."""
@@ -90,14 +101,14 @@ class Pieces:
             by_length.setdefault(len(w) + 1, []).append(k)
         get, none = self.number.get, len(self.log_p)
         for length, group in by_length.items():
+            if length > GRID:
+                for k in group:
+                    out[k] = self.one(words[k], 0.0 if n is None else float(n[k]), into)
+                continue
             spans = [(i, j) for j in range(1, length + 1) for i in range(max(0, j - self.longest), j)]
             starts, ends = np.array([i for i, _ in spans]), np.array([j for _, j in spans])
             for at in range(0, len(group), 2048):
-                part = group[at : at + 2048] if length <= GRID else []
-                for k in group[at : at + 2048] if length > GRID else ():
-                    out[k] = self.one(words[k], 0.0 if n is None else float(n[k]), into)
-                if not part:
-                    continue
+                part = group[at : at + 2048]
                 ids = np.array([[get(s[i:j], none) for i, j in spans] for s in (START + words[k] for k in part)], dtype=np.int32)
                 odd = (ids[:, ends - starts == 1] == none).any(axis=1)  # a character without a piece
                 for k in np.asarray(part)[odd].tolist():
@@ -155,6 +166,7 @@ def count_words(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[bytes] = Counter()
         others: set[bytes] = set()
+        read = 0
 
         def out() -> pa.RecordBatch:
             unseen = others.difference(seen)
@@ -166,8 +178,10 @@ def count_words(texts: DataFrame) -> DataFrame:
         for b in batches:
             for data, held in zip(text_bytes(b.column("text")), b.column("held_out").to_pylist(), strict=True):
                 (others if held else seen).update(tokens(data))
-                if len(seen) + len(others) > MOST_COUNTED:
+                read += len(data)
+                if len(seen) + len(others) > MOST_COUNTED or read > MOST_READ:
                     yield out()
+                    read = 0
         if seen or others:
             yield out()
 
@@ -237,7 +251,7 @@ def _score(shared, end: float):
     return run
 
 
-def lm_scores(docs: DataFrame, rounds: int = 2, hot_words: int = 200_000, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def lm_scores(docs: DataFrame, rounds: int = 2, hot_words: int = 200_000, hot_bytes: int = 1 << 26, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score); learned where crc32(doc_id) mod 5 isn't 1."""
     context = docs.sparkSession.sparkContext
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"), (crc32_mod(id_col, 5) == 1).alias("held_out"))
@@ -245,13 +259,13 @@ def lm_scores(docs: DataFrame, rounds: int = 2, hot_words: int = 200_000, vocabu
     counts = materialise(count_words(slim.select("text", "held_out")), "word-counts")
     # words by the power of two of their count: at most 64 rows; the hot ones are those of the highest powers that fit
     level = F.floor(F.log2("n")).cast("int")
-    levels = sorted(((r["level"], r["words"], r["n"]) for r in counts.where("n > 0").groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("n")).collect()), reverse=True)
-    total = ends + sum(n for _, _, n in levels)
-    distinct = sum(w for _, w, _ in levels) + (ends > 0)
-    least, room = None, hot_words
-    for lv, words, _ in levels:
-        room -= words
-        if room < 0:
+    levels = sorted(((r["level"], r["words"], r["n"], r["bytes"]) for r in counts.where("n > 0").groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("n"), F.sum(F.octet_length("word")).alias("bytes")).collect()), reverse=True)
+    total = ends + sum(n for _, _, n, _ in levels)
+    distinct = sum(w for _, w, _, _ in levels) + (ends > 0)
+    least, room, space = None, hot_words, hot_bytes
+    for lv, words, _, size in levels:
+        room, space = room - words, space - size
+        if min(room, space) < 0:
             break
         least = 1 << lv
     pieces = first_pieces(vocabulary or default_vocabulary())
