@@ -4,7 +4,8 @@ Each line becomes (two 64-bit hashes of its key, document, position): no text is
 range-partitioned on all of these, so a line that a third of all documents share is spread over many tasks.
 One pass over each sorted partition decides every run of equal hashes that lies within it. Only the first and the
 last run of a partition may go on in a neighbour: their counts (at most two a partition) are summed up, and the
-few undecided rows are settled by a broadcast of that bounded summary. What is dropped comes back as one
+few undecided rows are settled by a broadcast of that bounded summary, as are those of a run that has more rows in few documents
+than a task holds. What is dropped comes back as one
 compressed bitmap a document.
 
 Defined results: a null or empty text is one empty line; an empty key never repeats (it has no code point);
@@ -31,6 +32,8 @@ _KEY = "translate(trim(BOTH ' \\t\\n\\u000B\\f\\r' FROM line), 'ABCDEFGHIJKLMNOP
 _RUN = "kind int, h1 long, h2 long, doc_id long, thash long, pos int, first boolean, pid int, n_docs long, last_doc long, last_thash long"
 #: Kinds of rows that the streaming pass returns.
 DROP, OPEN, EDGE = 0, 1, 2
+#: Rows of an undecided run that a task holds; beyond these they are written as undecided.
+MOST_HELD = 1 << 20
 
 
 def line_hashes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 1) -> DataFrame:
@@ -49,11 +52,11 @@ class _Stream:
 
     def begin(self, key: tuple[int, int], doc: tuple, pos: int) -> None:
         self.key, self.first_doc, self.first_pos, self.last_doc = key, doc, pos, None
-        self.n_docs, self.held = 0, []
+        self.n_docs, self.held, self.n_held, self.written = 0, [], 0, False
         self.runs += 1
 
     def add(self, part: pa.RecordBatch, docs: int, last: tuple) -> Iterator[dict]:
-        """Rows of the current run; they are held while they span fewer than min_docs documents."""
+        """Rows of the current run; they are held while they span fewer than min_docs documents and are MOST_HELD at most."""
         self.n_docs, self.last_doc = self.n_docs + docs, last
         # repeated rows of the first occurrence are first too; equal rows always lie in one partition
         doc, thash = self.first_doc
@@ -61,8 +64,12 @@ class _Stream:
         same = ids.is_null() if doc is None else pc.fill_null(pc.equal(ids, doc), False)
         first = same.to_numpy(zero_copy_only=False) & (part.column("thash").to_numpy() == thash) & (part.column("pos").to_numpy() == self.first_pos)
         self.held.append((part, first))
+        self.n_held += part.num_rows
         if self.n_docs >= self.min_docs:
             yield from self.flush(DROP)
+        elif self.n_held > MOST_HELD:
+            self.written = True
+            yield from self.flush(OPEN)
 
     def flush(self, kind: int) -> Iterator[dict]:
         for part, first in self.held:
@@ -72,7 +79,7 @@ class _Stream:
             if kind == DROP and self.keep_first and self.runs == 1:
                 out_kind[first] = OPEN
             yield {"part": part.filter(pa.array(~keep)), "first": first[~keep], "kind": out_kind[~keep]}
-        self.held = []
+        self.held, self.n_held = [], 0
 
     def end(self, is_last: bool) -> Iterator[dict]:
         if self.key is None:
@@ -81,7 +88,7 @@ class _Stream:
         if edge and self.held:
             yield from self.flush(OPEN)
         self.held = []
-        if edge:
+        if edge or self.written and self.n_docs >= self.min_docs:
             yield {"edge": True}
 
 
@@ -159,7 +166,7 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ranged = hashes.repartitionByRange(*order).sortWithinPartitions(*order)
     runs = materialise(ranged.mapInArrow(_stream(min_docs, keep_first), _RUN), "line-runs")
     edges = runs.where(F.col("kind") == EDGE)
-    # at most two rows a partition: a document that a border cuts was counted on both sides of it
+    # at most two rows a partition, and one for MOST_HELD rows: a document that a border cuts was counted on both sides of it
     by_key = edges.groupBy("h1", "h2").agg(F.sort_array(F.collect_list(F.struct("pid", "n_docs", F.struct("doc_id", "thash").alias("head"), F.struct(F.col("last_doc").alias("doc_id"), F.col("last_thash").alias("thash")).alias("tail")))).alias("e"))
     total = F.expr("aggregate(e, 0L, (s, x) -> s + x.n_docs) - size(filter(e, (x, i) -> i > 0 and e[i - 1].tail <=> x.head))")
     common = by_key.where(total >= min_docs).select("h1", "h2", F.col("e")[0]["pid"].alias("first_pid"))
