@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from casegraph.llm.common import by_batch, materialise, mix64, range_hashes, same_key, slices, text_bytes, text_or_empty
-from casegraph.operators.components import components
+from casegraph.operators.components import components, spread_join
 
 _U = np.uint64
 #: Bytes of a shingle's hash that are compared.
@@ -311,9 +311,9 @@ def what_is_left(buckets: DataFrame, found: DataFrame, small: int) -> DataFrame:
     return dealt.where(F.col("in") != F.col("most")).select("key", at("rows_of").alias("i"), every("cols_of").alias("j"), "ck").unionByName(dealt.select("key", every("rows_of").alias("i"), at("cols_of").alias("j"), "ck"))
 
 
-def classes_and_links(docs: DataFrame, words: int = 5, threshold: float = 0.8, recall: float = 0.999, beta: float = 1.5, small: int = 1024, cell: int = 512, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Of each row (doc_id, thash, ck); of each class (ck, group, class_id, n_links, n_copies): the group it belongs to, the documents
-    of other classes that it is similar to, and the documents of its own."""
+def groups(docs: DataFrame, words: int = 5, threshold: float = 0.8, recall: float = 0.999, beta: float = 1.5, small: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Of each row (doc_id, thash, ck); of each class (ck, rep, at, n_copies), its least id, its first document and its number of
+    documents; of each class with links (ck, component); the sets (ck, set) of all that may have any."""
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lower(text_or_empty(text_col)).alias("text"), F.xxhash64(text_or_empty(text_col)).alias("thash"))
     runs = runs_for(recall, threshold, beta)
     rows = materialise(slim.mapInArrow(_sign(words, beta, runs), "doc_id long, thash long, ck binary, n int, paths array<struct<run int, key long>>"), "signed")
@@ -342,28 +342,36 @@ def classes_and_links(docs: DataFrame, words: int = 5, threshold: float = 0.8, r
         late = steps.where(F.col("run") >= early).join(found, "ck", "left").select("run", "key", "ck", F.coalesce("component", "ck").alias("in"))
         links = links.unionByName(compared(in_chunks(members(late), small), sets, threshold))
         found = components(links).withColumnRenamed("node", "ck")
+    return rows.select("doc_id", "thash", "ck"), classes.select("ck", "rep", "at", "n_copies"), found, sets
+
+
+def classes_and_links(docs: DataFrame, threshold: float = 0.8, cell: int = 512, **options) -> tuple[DataFrame, DataFrame]:
+    """Of each row (doc_id, thash, ck); of each class (ck, class_id, n_links, n_copies): the least id of its group, the documents
+    of other classes that it is similar to, and the documents of its own."""
+    rows, facts, found, sets = groups(docs, threshold=threshold, **options)
     sized = found.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    facts = classes.select("ck", "rep", "n_copies")
+    facts = facts.drop("at")
     linked = found.join(sized, "component").join(facts, "ck").join(sets, "ck")
     cells = in_cells(linked, "size", cell).select("component", "i", "j", "ck", "set", F.col("n_copies").alias("members"), "chunk").repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
     counted = cells.mapInArrow(_count(threshold), "ck binary, classes long, docs long").groupBy("ck").agg(F.sum("docs").alias("n_links"))
     head = found.join(facts, "ck").groupBy("component").agg(F.min("rep").alias("class_id"))
-    of = materialise(found.join(head, "component").join(counted, "ck", "left").select("ck", "component", "class_id", "n_links"), "groups")
-    each = facts.join(of, "ck", "left").select("ck", F.coalesce("component", "ck").alias("group"), F.when(F.col("class_id").isNull(), F.col("rep")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
-    return rows.select("doc_id", "thash", "ck"), each
+    of = materialise(found.join(head, "component").join(counted, "ck", "left").select("ck", "class_id", "n_links"), "groups")
+    each = facts.join(of, "ck", "left").select("ck", F.when(F.col("class_id").isNull(), F.col("rep")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
+    return rows, each
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, class_id, n_links) of each row: class_id is the least doc_id that links lead to; n_links counts the other documents with a similarity of at least the threshold, copies among them."""
     rows, each = classes_and_links(docs, **options)
-    return rows.join(each, "ck").select("doc_id", "class_id", (F.col("n_links") + F.col("n_copies") - 1).alias("n_links"))
+    met = spread_join(rows, "ck", each.withColumnRenamed("ck", "of"), "of", "inner", salts=8)  # copies of one text may be a third of all
+    return met.select("doc_id", "class_id", (F.col("n_links") + F.col("n_copies") - 1).alias("n_links"))
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, with their own columns, of one document of each group: the least doc_id (null first), then
-    the least hash of the text; of repeated rows one. What stays is decided on ids and hashes; texts are joined once."""
-    rows, each = classes_and_links(docs, **options)
-    first = rows.join(each.select("ck", "group"), "ck").groupBy("group").agg(F.min(F.struct("doc_id", "thash")).alias("first")).select("first.doc_id", "first.thash")
+    the least hash of the text; of repeated rows one. What stays is decided on the first documents of classes; links aren't counted; texts are joined once."""
+    rows, classes, found, _ = groups(docs, **options)
+    first = classes.join(found, "ck", "left").groupBy(F.coalesce("component", "ck").alias("group")).agg(F.min("at").alias("first")).select("first.doc_id", "first.thash")
     keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("thash"))
     kept = keyed.join(first, same_key(keyed, first, "doc_id", "thash"), "left_semi")
     if not rows.groupBy("doc_id", "thash").count().where("count > 1").isEmpty():
