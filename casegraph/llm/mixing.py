@@ -9,13 +9,14 @@ a new phase begins: the others share its weight in proportion. All rows stay.
 Weights are integer parts of a total: exact where a total that 64 bits allow for a phase of n blocks (2**62 / n, 2**48 at
 most) suffices, else the nearest parts of the largest such total; what this rounding adds over a phase is n * n / 2**62 of a block, or
 n / 2**48 for small n. The schedule doesn't repeat. The driver walks it, a step a block and none a row, and keeps only
-where each source stands every ``period`` slots; tasks run these stretches again, side by side, for the slots of the
+where each source stands at the bounds of stretches; tasks run these stretches again, side by side, for the slots of the
 blocks, and each cell of a source (below) gets those of its own blocks.
 
 Numbering a source's rows never sorts a source in one task: a source is cut by hash in cells, cells are counted
 (pre-aggregated), and a row's rank is its cell's offset and its rank in the cell.
 
-Sources, their counts and the walk over the blocks are on the driver: thousands of sources, not millions.
+Sources, their counts and the walk over the blocks are on the driver: a step a block, and a row for each pair of sources, as each
+source that ends begins a phase of all that are left.
 
 Defined results: a null source is a source of its own; rows that agree in doc_id follow one another by a hash of their
 other columns where the row is carried; repeated rows are rows like any; a source without a given
@@ -38,6 +39,8 @@ from pyspark.sql.window import Window
 CELL_ROWS, MOST_CELLS = 1024, 8192
 #: The most parts that weights are divided into.
 MOST_PARTS = 1 << 48
+#: About so many stretches of slots are handed to tasks, or fewer.
+MOST_STRETCHES = 1024
 
 
 def quotas(weights: list[float], period: int) -> list[int]:
@@ -98,14 +101,16 @@ def literal(rows: list[dict], schema: str, spark) -> DataFrame:
     return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<{schema}>")))
 
 
-def earliest_deadline_first(q: Column, period: Column, begin: str = "0L", slots: str = "period", done: str = "transform(q, x -> 0L)") -> Column:
+def earliest_deadline_first(q: Column, period: Column, begin: str = "0L", slots: str = "period", done: str = "transform(q, x -> 0L)", steps: int = 1024) -> Column:
     """The order in which slots go to the sources: an array of indexes into the quotas.
 
-    ``slots`` slots from ``begin`` on, before which the sources have run ``done`` blocks: one whole period by default."""
+    ``slots`` slots from ``begin`` on, before which the sources have run ``done`` blocks: one whole period by default. They are
+    run ``steps`` at a time, as an array that grows is copied at each step."""
     due = "((s.done[i] + 1) * period + q[i] - 1) div q[i]"
     pick = f"array_min(transform(sequence(0, size(q) - 1), i -> if((s.done[i] * period) div q[i] <= t, struct({due} as due, i as i), null))).i"
-    fold = f"aggregate(sequence({begin}, {begin} + {slots} - 1), struct({done} as done, cast(array() as array<int>) as ran), (s, t) -> aggregate(array({pick}), s, (z, p) -> struct(transform(z.done, (d, k) -> if(k = p, d + 1, d)) as done, concat(z.ran, array(p)) as ran)), s -> s.ran)"
-    return F.expr(fold)
+    first, n = f"({begin} + c * {steps}L)", f"least({steps}L, {slots} - c * {steps}L)"
+    part = f"aggregate(sequence({first}, {first} + {n} - 1), struct(o.done as done, cast(array() as array<int>) as ran), (s, t) -> aggregate(array({pick}), s, (z, p) -> struct(transform(z.done, (d, k) -> if(k = p, d + 1, d)) as done, concat(z.ran, array(p)) as ran)))"
+    return F.expr(f"aggregate(sequence(0L, ({slots} - 1) div {steps}L), struct({done} as done, cast(array() as array<array<int>>) as ran), (o, c) -> aggregate(array({part}), o, (y, x) -> struct(x.done as done, concat(y.ran, array(x.ran)) as ran)), o -> flatten(o.ran))")
 
 
 def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame, list[tuple[str | None, int]]]:
@@ -122,39 +127,41 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame, list[tuple[str | No
     return keyed.withColumn("_within", within).drop("cells", "_order", "_tie"), offsets, counts
 
 
-def block_slots(stretches: list[dict], spark) -> DataFrame:
+def block_slots(stretches: list[dict], spark, steps: int = 1024) -> DataFrame:
     """(source_no, block, slot) of all blocks: each row of the stretches is run by itself."""
     table = literal(stretches, "struct<first_slot long, begin long, slots long, period long, q array<long>, done array<long>, source_no array<int>, first_block array<long>>", spark)
-    ran = table.repartition(F.col("first_slot") + F.col("begin")).withColumn("order", earliest_deadline_first(F.col("q"), F.col("period"), "begin", "slots", "done"))
+    ran = table.repartition(F.col("first_slot") + F.col("begin")).withColumn("order", earliest_deadline_first(F.col("q"), F.col("period"), "begin", "slots", "done", steps))
     each = ran.select("first_slot", "begin", "source_no", "first_block", "done", F.posexplode("order").alias("at", "who"))
     each = each.select("first_slot", "begin", "at", F.expr("source_no[who]").alias("source_no"), F.expr("first_block[who] + done[who]").alias("_from"))
     nth = F.row_number().over(Window.partitionBy("first_slot", "begin", "source_no").orderBy("at")) - 1
     return each.select("source_no", (F.col("_from") + nth).alias("block"), (F.col("first_slot") + F.col("begin") + F.col("at")).alias("slot"))
 
 
-def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, block_rows: int = 64, period: int = 1024, temper: float = 0.5, default_weight: float = 1.0, id_col: str = "doc_id", source_col: str = "source", carry: bool = False, most_blocks: int = 1 << 20) -> DataFrame:
+def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, block_rows: int = 64, period: int = 1024, temper: float = 0.5, default_weight: float = 1.0, id_col: str = "doc_id", source_col: str = "source", carry: bool = False) -> DataFrame:
     """(doc_id, source) of all rows with source_rank, block, release, deadline, slot and position (gapless from 0: the order of the mixture).
 
     ``weights``: of the sources; without, a source's row count to the power ``temper``. ``release`` and ``deadline``
     are slots: the block runs in ``slot`` with release <= slot < deadline. ``period``: slots that are run at a time; it
-    doesn't change the result. Where ``block_rows`` would make more than ``most_blocks`` blocks, blocks are as much larger:
-    the driver's walk and its table of stretches stay bounded. The table of sources is collected (a row a source), never their rows. ``carry``: keep the
+    doesn't change the result. Blocks have ``block_rows`` rows at any size. A task's stretch is as many periods as leave about
+    MOST_STRETCHES of them, so that their table doesn't grow with the blocks; the driver's walk is a step a block. The table of sources is collected (a row a source), never their rows. ``carry``: keep the
     whole row as a struct, ``row``."""
     if weights is not None and any(w <= 0 for w in [*weights.values(), default_weight]):
         raise ValueError("weights must be above 0")
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), *([F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if carry else []))
     rows, offsets, counts = numbered(slim)
-    block_rows = max(block_rows, -(-sum(n for _, n in counts) // most_blocks))
     blocks = [-(-n // block_rows) for _, n in counts]
     target = [float(n) ** temper if weights is None else float(weights.get(s, default_weight)) for s, n in counts]
-    plan, stretches, ends = schedule(blocks, target, period)
+    plan, stretches, ends = schedule(blocks, target, period * max(1, sum(blocks) // (period * MOST_STRETCHES)))
     # a cell's rows are consecutive ranks: it gets the slots of the blocks from its first rank's to its last's
     spans = offsets.withColumn("block", F.explode(F.expr(f"sequence(_offset div {block_rows}L, (_offset + n - 1) div {block_rows}L)")))
-    met = spans.join(block_slots(stretches, spark), ["source_no", "block"])
+    met = spans.join(block_slots(stretches, spark, period), ["source_no", "block"])
     cells = met.groupBy("source_no", "_cell", "_offset").agg(F.transform(F.sort_array(F.collect_list(F.struct("block", "slot"))), lambda x: x["slot"]).alias("_slots"))
     # a row a source: bounded by the numbers of sources and phases
-    per_source = [{"source_no": i, "phases": [{"first_block": x["first_block"], "first_slot": p["first_slot"], "period": p["period"], "quota": x["quota"]} for p in plan for x in p["sources"] if x["source_no"] == i]} for i in range(len(counts))]
+    per_source = [{"source_no": i, "phases": []} for i in range(len(counts))]
+    for p in plan:
+        for x in p["sources"]:
+            per_source[x["source_no"]]["phases"].append({"first_block": x["first_block"], "first_slot": p["first_slot"], "period": p["period"], "quota": x["quota"]})
     phases = literal(per_source, "struct<source_no int, phases array<struct<first_block long, first_slot long, period long, quota long>>>", spark)
     out = rows.join(cells, ["source_no", "_cell"]).withColumn("source_rank", F.col("_offset") + F.col("_within")).withColumn("block", F.expr(f"source_rank div {block_rows}L"))
     out = out.withColumn("slot", F.expr(f"_slots[cast(block - _offset div {block_rows}L as int)]")).drop("_cell", "_offset", "_within", "_slots").join(F.broadcast(phases), "source_no")
