@@ -148,6 +148,28 @@ def test_line_runs_over_partition_borders(spark):
     assert line_dedup.line_dedup(many, min_docs=301).where("n_dropped > 0").count() == 0
 
 
+@pytest.mark.parametrize("held", [0, 5, 1 << 20])
+def test_many_equal_lines_of_few_documents(spark, monkeypatch, held):
+    """A task holds a bounded number of undecided rows; what it writes undecided gets the same outcome."""
+    monkeypatch.setattr(line_dedup, "MOST_HELD", held)
+    runs = {"x": (4, 60), "y": (3, 50), "z": (9, 1), "w": (2, 70)}  # of each line: in how many documents, how often in each
+    texts = {i: "\n".join(line for line, (docs, times) in runs.items() if i < docs for _ in range(times)) for i in range(9)}
+    d = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string").coalesce(1)
+    for least in (3, 4, 5):
+        gone = {line for line, (docs, _) in runs.items() if docs >= least}
+        got = {r["doc_id"]: r["n_dropped"] for r in line_dedup.line_dedup(d, min_docs=least).collect()}
+        assert got == {i: sum(line in gone for line in t.split("\n")) for i, t in texts.items()}
+        kept = {r["doc_id"]: r["text"] for r in line_dedup.drop_lines(d, min_docs=least).collect()}
+        seen: set[str] = set()
+        for i, t in texts.items():
+            want = []
+            for line in t.split("\n"):
+                if line not in gone or line not in seen:
+                    want.append(line)
+                seen.add(line)
+            assert kept[i] == "\n".join(want)
+
+
 # ------------------------------------------------------------------ 3 and 4
 
 
@@ -376,6 +398,25 @@ def test_lattice_sums_all_segmentations():
     assert np.allclose(one, many)
 
 
+def test_long_words_hold_no_edges():
+    """The memory of a word of 90 000 letters: two floats a letter, not its edges."""
+    import tracemalloc
+
+    p = lattice_lm.first_pieces(lattice_lm.default_vocabulary())
+    word = "thequickx" * 10_000
+    tracemalloc.start()
+    into = np.zeros(len(p.log_p) + 1)
+    tracemalloc.reset_peak()
+    before = tracemalloc.get_traced_memory()[0]
+    [lp] = p.many([word], np.ones(1), into)
+    peak = tracemalloc.get_traced_memory()[1] - before
+    tracemalloc.stop()
+    assert lp == pytest.approx(p.one(word)) and peak < 16 * len(word) + (1 << 19)
+    sizes = np.array([1 if x.startswith("<0x") else len(x) for x in p.log_p])
+    # the pieces of each segmentation spell the word; large logs are rounded at each letter
+    assert (into[:-1] * sizes).sum() == pytest.approx(len(word) + 1, rel=1e-4)
+
+
 @pytest.mark.parametrize("hot", [0, 20, 10**6])
 def test_language_model(docs, none, rows, hot):
     got = lattice_lm.lm_scores(docs, rounds=1, hot_words=hot).collect()
@@ -443,6 +484,15 @@ def test_ids_equal_the_tokenisers(t):
     assert packing.Ids(packing.default_vocabulary(), packing.default_tokenizer())(t) == np.array(tok.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
+def test_a_long_document_is_cut_in_one_pass():
+    p = packing.Packer(4, 2, 0, 0, False)
+    ids = np.arange(4_000_003, dtype="<u4").tobytes()
+    p.add(1, 0, ids, 4_000_003)
+    assert len(p.rows) == 1_000_000 and [w.free for w in p.open] == [1]
+    assert p.rows[777_777][:4] == (1, 4 * 777_777, 4, zlib.crc32(ids[16 * 777_777 : 16 * 777_778]))
+    assert p.open[0].pieces == [(1, 4_000_000, ids[16_000_000:], 4_000_003)]
+
+
 def test_best_fit_and_the_fullest_goes():
     """Against a plain restatement of the rule: best fit, else the fullest window is completed by a cut and goes."""
     rng = random.Random(4)
@@ -603,10 +653,21 @@ def test_whole_schedule_against_a_simulation(spark):
     assert got == want
 
 
-def test_blocks_are_bounded(spark):
-    d = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(200)], "doc_id long, source string")
-    got = mixing.mix(d, {"a": 1.0, "b": 1.0}, block_rows=1, most_blocks=20).collect()
-    assert len({(r["source"], r["block"]) for r in got}) == 20 and sorted(r["position"] for r in got) == list(range(200))
+def test_longer_stretches_give_the_same_order(spark, monkeypatch):
+    """However many blocks there are they keep their size, and the schedule doesn't depend on how it is dealt to tasks."""
+    d = spark.createDataFrame([(i, "aabcccc"[i % 7]) for i in range(700)], "doc_id long, source string")
+    mixed = lambda period: sorted(tuple(r) for r in mixing.mix(d, {"a": 3.0, "b": 1.0, "c": 2.5}, block_rows=2, period=period).collect())
+    want = mixed(1024)
+    for most in (1, 3, 1024):
+        monkeypatch.setattr(mixing, "MOST_STRETCHES", most)
+        assert mixed(7) == want
+    assert len({r[3] for r in want if r[1] == "c"}) == 200
+
+
+def test_hundreds_of_sources(spark):
+    d = spark.range(3000).selectExpr("id AS doc_id", "concat('s', id % 300) AS source")
+    got = mixing.mix(d, {f"s{i}": 1.0 + i % 7 for i in range(300)}, block_rows=4, period=64).collect()
+    assert sorted(r["position"] for r in got) == list(range(3000)) and all(r["release"] <= r["slot"] < r["deadline"] for r in got)
 
 
 def test_two_texts_of_one_id_have_fixed_places(spark):
