@@ -65,7 +65,7 @@ def train(texts: list[str], labels: list[str], epochs: int = 4, rate: float = 0.
         if i % 5 == 4:
             apart.append((t, y_of[lang]))
             continue
-        for part in {t, *t.split("\n")}:
+        for part in dict.fromkeys([t, *t.split("\n")]):
             if part.strip():
                 held.append(y_of[lang])
                 known.append(sparse_counts(prepare(part), ORDERS, BITS))
