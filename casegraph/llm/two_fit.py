@@ -35,8 +35,8 @@ _CUT = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.in
 CUT = "doc_id long, piece int, start long, length long, ids_crc32 long, doc_tokens long, task int, nth long"
 _PLACED = pa.schema([*list(_CUT)[:6], ("sequence_id", pa.int64()), ("offset", pa.int64())])
 PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-#: Ids whose pieces are handed over at once.
-BATCH_IDS = 1 << 20
+#: Ids whose pieces are handed over at once; rows of the table of counts that a file of it may get.
+BATCH_IDS, COUNTS_A_FILE = 1 << 20, 1 << 18
 
 
 def cuts(total: int, size: int) -> Iterator[tuple[int, int]]:
@@ -145,9 +145,11 @@ def pack(docs: DataFrame, size: int = 2048, end_id: int = 0, vocabulary: Callabl
     """The pieces of all documents with their places: (doc_id, piece, start, length, ids_crc32, doc_tokens, sequence_id, offset)."""
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     cut = materialise(slim.mapInArrow(_cut(size, end_id, vocabulary, tokenizer), CUT), "cut")
-    per_task = materialise(cut.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n")), "counts")
+    # a row a length and task, in files by their number and not one a shuffle partition, as these are more costly to write than the rows
+    files = 1 + len(cut.inputFiles()) * size // COUNTS_A_FILE
+    per_task = materialise(cut.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n")).coalesce(files), "counts")
     counts = np.zeros(size + 1, dtype=np.int64)
-    for r in per_task.groupBy("length").agg(F.sum("n").alias("n")).toLocalIterator():  # a row a length: size of them at most
+    for r in per_task.groupBy("length").agg(F.sum("n").alias("n")).collect():  # a row a length: size of them at most
         counts[r["length"]] = r["n"]
     before = per_task.select("length", "task", (F.sum("n").over(Window.partitionBy("length").orderBy("task")) - F.col("n")).alias("before"))
     numbered = cut.join(before, ["length", "task"]).select("doc_id", "piece", "start", "length", "ids_crc32", "doc_tokens", (F.col("before") + F.col("nth")).alias("number"))

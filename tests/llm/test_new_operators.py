@@ -5,12 +5,15 @@ import random
 import re
 import zlib
 from fractions import Fraction
+from pathlib import Path
+from urllib.parse import urlparse
 
 import numpy as np
 import pytest
 
 pytest.importorskip("casegraph.llm")
 from casegraph.llm import conversation, packing, two_fit, whitening  # noqa: E402
+from casegraph.sources.shared import shared_dir  # noqa: E402
 
 # ---- best-two-fit packing
 
@@ -95,6 +98,40 @@ def test_pieces_are_whole_and_placed(spark):
     assert two_fit.pack(docs.where("false")).count() == 0
 
 
+@pytest.fixture
+def parts_kept(spark):
+    """Fifty shuffle partitions that aren't joined up, however small."""
+    conf = {"spark.sql.shuffle.partitions": "50", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield Path(urlparse(shared_dir(spark)).path, "casegraph")
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize(("a_file", "files"), [(1 << 18, 1), (64, 5)])
+def test_counts_take_files_by_their_rows_and_one_job(spark, parts_kept, monkeypatch, a_file, files):
+    monkeypatch.setattr(two_fit, "COUNTS_A_FILE", a_file, raising=False)
+    docs = spark.createDataFrame([(i, "word " * (i % 50)) for i in range(400)], "doc_id long, text string").repartition(4)
+    known = set(parts_kept.glob("counts-*"))
+    spark.sparkContext.setJobGroup(f"two_fit {files}", "")
+    try:
+        packed = two_fit.pack(docs, size=64)
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"two_fit {files}")) < 20  # not one a partition
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    (made,) = set(parts_kept.glob("counts-*")) - known
+    assert len(list(made.glob("*.parquet"))) == files
+    rows = sorted(packed.collect(), key=lambda r: (r["sequence_id"], r["offset"]))
+    assert sorted(r["doc_id"] for r in rows) == list(range(400))
+    ends = {}
+    for r in rows:
+        assert r["offset"] == ends.get(r["sequence_id"], 0)
+        ends[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(ends.values()) <= 64 and list(ends) == list(range(len(ends)))
+
+
 # ---- conversation repair
 
 SPACE = " \t\n\x0b\x0c\r"
