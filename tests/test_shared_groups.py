@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from casegraph.operators import graph
+from casegraph.plans import catalogue
 
 
 def rows(df, *cols):
@@ -33,3 +34,15 @@ def test_groups_hold_each_edge_once_at_any_size(spark, shared):
         assert rows(graph.component_sizes(nodes, edges, graph.star(met))) == rows(graph.component_sizes(nodes, edges))
         assert rows(graph.statistics(nodes, edges, graph.star(met), unique=True)) == rows(graph.statistics(nodes, edges))
     assert rows(graph.co_accused(shared), "case_id", "source", "target") == want
+
+
+def test_edges_are_never_written(spark, sf, monkeypatch):
+    """Neither by statistics nor by a traversal: what is written has fewer rows than there are edges."""
+    most = catalogue.queries()["co_accused_edges"](spark, sf).count()
+    written = {}
+    put = graph.materialise
+    monkeypatch.setattr(graph, "materialise", lambda df, name: (out := put(df, name), written.update({name: out.count()}))[0])
+    monkeypatch.setattr(catalogue, "materialise", lambda df, name: pytest.fail(f"{name} are written"))
+    for query in ("graph_stats", "graph_elements", "edge_dedupe"):
+        catalogue.queries()[query](spark, sf).count()
+    assert set(written) == {"hot", "groups", "front"} and max(written.values()) < most / 4
