@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from casegraph.operators import graph
+from casegraph.operators import graph, persons, resolve
 from casegraph.plans import catalogue
 
 
@@ -46,3 +46,14 @@ def test_edges_are_never_written(spark, sf, monkeypatch):
     for query in ("graph_stats", "graph_elements", "edge_dedupe"):
         catalogue.queries()[query](spark, sf).count()
     assert set(written) == {"hot", "groups", "front"} and max(written.values()) < most / 4
+
+
+def test_edges_of_single_ids_need_no_meeting_by_id(spark, shared):
+    edges = graph.co_accused(shared).withColumn("edge_type", F.when(F.col("case_id") < "d", "CANDIDATE_MATCH").otherwise(F.col("edge_type"))).withColumn("case_ids", F.array("case_id"))
+    some = shared.select("person_id").where("person_id is not null").distinct()
+    assert rows(persons.with_edges(some, edges, unique=True)) == rows(persons.with_edges(some, graph.dedupe(edges)))
+
+
+def test_person_master_pairs_no_records(spark, sf, monkeypatch):
+    monkeypatch.setattr(resolve, "pairs", lambda *_, **__: pytest.fail("records of a block are paired"))
+    assert catalogue.queries()["person_master"](spark, sf).count() > 0
